@@ -4,13 +4,17 @@ Spark runs Java regular expressions, whose ``\\s \\w \\d \\b`` are ASCII and who
 know more line ends than a newline. :func:`rx` spells those tokens out.
 """
 
+import re
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters that str.isspace() accepts.
-_BLANKS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-BLANK = f"[{_BLANKS}]"
-NOT_BLANK = f"[^{_BLANKS}]"
+# str.isspace(); the property class is several times faster than a list of ranges
+BLANK = r"[\p{IsWhite_Space}\x1c-\x1f]"
+NOT_BLANK = r"[^\p{IsWhite_Space}\x1c-\x1f]"
+BLANK_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 WORD = r"[\p{L}\p{N}_]"
 
 _TOKENS = ((r"[\s\S]", "[\\x{0}-\\x{10ffff}]"), (r"\s", BLANK), (r"\w", WORD), (r"\d", r"\p{Nd}"))
@@ -27,17 +31,33 @@ def rx(pattern: str, flags: str = "") -> str:
     return f"(?d{flags.replace('i', '')}){lead}(?iu){pattern[len(lead):]}"
 
 
-def phrase_rx(alternatives: str) -> str:
-    """Search for any alternative between word edges.
+def phrase_rx(phrase: str) -> str:
+    """Search for a phrase between word edges."""
+    # a word edge before a non-word character means that a word character precedes it
+    before = f"(?<={WORD})" if phrase.startswith("\\$") else f"(?<!{WORD})"
+    return rx(f"{before}{phrase}(?!{WORD})")
+
+
+def phrase_tokens(alternatives: str) -> list[str]:
+    """The word tokens that the alternatives of a pattern are made of."""
+    return re.findall(r"\w+", re.sub(r"\\[d$]\+?", " ", alternatives))
+
 
-    The leading look-ahead tests one character, so that the dearer edge test only runs where an
-    alternative can start.
+def any_phrase(lowered: Column, tokens: Column, alternatives: str) -> Column:
+    """True when any alternative occurs between word edges in the lower-cased text.
+
+    ``tokens`` are the word tokens of the text, at least those that occur in the alternatives. A
+    single word is found among them; a longer phrase is searched for in the text only where all of
+    its words are there.
     """
-    words = alternatives.split("|")
-    starts = "".join(sorted({w.lstrip("\\")[0] for w in words}))
-    # A word edge before a non-word character means that a word character precedes it.
-    inner = "|".join(f"(?<={WORD}){w}" if w.startswith("\\$") else f"(?<!{WORD}){w}" for w in words)
-    return rx(f"(?=[{starts}])(?:{inner})(?!{WORD})")
+    phrases = alternatives.split("|")
+    single = [p for p in phrases if re.fullmatch(r"\w+", p)]
+    hit = F.arrays_overlap(tokens, F.array(*[F.lit(p) for p in single])) if single else F.lit(False)
+    for phrase in phrases:
+        if phrase not in single:
+            parts = [F.array_contains(tokens, t) for t in phrase_tokens(phrase)] or [lowered.contains("$")]
+            hit = hit | (reduce(and_, parts) & lowered.rlike(phrase_rx(phrase)))
+    return hit
 
 
 def quote(literal: str) -> str:
@@ -47,12 +67,18 @@ def quote(literal: str) -> str:
 
 def strip(text: Column) -> Column:
     """``str.strip()``: drop blanks of any kind at both ends."""
-    return F.regexp_replace(text, rf"\A{BLANK}+|(?={BLANK})(?<!{BLANK}){BLANK}+\z", "")
+    return F.btrim(text, F.lit(BLANK_CHARS))
 
 
 def words(text: Column) -> Column:
     """``str.split()``: the runs of non-blank characters."""
-    return F.regexp_extract_all(text, F.lit(f"{NOT_BLANK}+"), F.lit(0))
+    return F.array_remove(F.split(text, f"{BLANK}+"), "")
+
+
+def word_tokens(distinct_words: Column) -> Column:
+    """The runs of word characters inside an array of words."""
+    joined = F.array_join(distinct_words, " ")
+    return F.split(F.regexp_replace(joined, r"[^\p{L}\p{N}_ ]", " "), " ")
 
 
 def word_count(text: Column) -> Column:
@@ -61,9 +87,7 @@ def word_count(text: Column) -> Column:
 
 def filled_lines(text: Column) -> Column:
     """Stripped lines of ``text`` without the empty ones; an empty array when there is none."""
-    joined = F.regexp_replace(text, rf"(?={BLANK})(?<!{BLANK})[{BLANK}&&[^\n]]*+\n{BLANK}*+", "\n")
-    lines = F.split(strip(joined), "\n")
-    return F.filter(lines, lambda line: line != "")
+    return F.array_remove(F.transform(F.split(text, "\n"), strip), "")
 
 
 def may_contain(text: Column, lowered: Column, literal: str) -> Column:

@@ -113,9 +113,13 @@ def top_fifth(scored: DataFrame, score: str = "score", key: str = "key") -> Data
     return ranked.filter(F.col("rank") <= max(1, total // 5)).drop("rank")
 
 
+def _seconds_between(start: Column, end: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", start, end) / 1e6
+
+
 def speed(log: DataFrame, ts: str = "ts") -> DataFrame:
     """One row: rows, seconds and rows per second of a log."""
-    seconds = (F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / 1e6
+    seconds = _seconds_between(F.min(ts), F.max(ts))
     return log.agg(
         F.count("*").alias("processed"),
         seconds.alias("seconds"),
@@ -135,7 +139,7 @@ def request_gap_audit(log: DataFrame, delay: float, bucket: str = "hour") -> Dat
     ends = ends.select("key", "_bucket", F.lag("_end").over(W.partitionBy("key").orderBy("_bucket")).alias("_before"))
     inside = F.lag("ts").over(W.partitionBy("key", "_bucket").orderBy("ts", "id"))
     joined = df.withColumn("_inside", inside).join(ends, ["key", "_bucket"])
-    gap = (F.unix_micros("ts") - F.unix_micros(F.coalesce("_inside", "_before"))) / 1e6
+    gap = _seconds_between(F.coalesce("_inside", "_before"), F.col("ts"))
     return joined.select("key", "id", "ts", gap.alias("gap")).withColumn(
         "wait", F.greatest(F.lit(0.0), F.lit(float(delay)) - F.coalesce("gap", F.lit(float(delay))))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomsift.functions import urls, vocab
-from loomsift.functions.dialect import count_matches, phrase_rx, rx, words
+from loomsift.functions.dialect import any_phrase, count_matches, phrase_tokens, rx, word_tokens, words
 from loomsift.functions.session import fence
 
 DIMENSIONS = list(vocab.WEIGHTS)
@@ -36,9 +36,17 @@ def length_score(text: Column, lowered: Column) -> Column:
     )
 
 
-def category_hits(lowered: Column) -> list[Column]:
+_HIGH_VALUE = [p for patterns in vocab.HIGH_VALUE.values() for p in patterns]
+_TOKENS = sorted({t for p in [*_HIGH_VALUE, *vocab.LOW_VALUE] for t in phrase_tokens(p)})
+
+
+def _count_phrases(lowered: Column, tokens: Column, patterns: list[str]) -> Column:
+    return reduce(lambda a, b: a + b, [any_phrase(lowered, tokens, p).cast("int") for p in patterns])
+
+
+def category_hits(lowered: Column, tokens: Column) -> list[Column]:
     """Matching high-value patterns of each category."""
-    return [count_matches(lowered, [phrase_rx(p) for p in patterns]) for patterns in vocab.HIGH_VALUE.values()]
+    return [_count_phrases(lowered, tokens, patterns) for patterns in vocab.HIGH_VALUE.values()]
 
 
 def information_density(text: Column, n_words: Column, n_unique: Column, hits: list[Column]) -> Column:
@@ -79,8 +87,8 @@ def educational_value(hits: list[Column]) -> Column:
     return F.least(F.lit(100), F.lit(30) + found * 15 + bonus)
 
 
-def noise_level(lowered: Column) -> Column:
-    return F.greatest(F.lit(0), F.lit(100) - count_matches(lowered, [phrase_rx(p) for p in vocab.LOW_VALUE]) * 8)
+def noise_level(lowered: Column, tokens: Column) -> Column:
+    return F.greatest(F.lit(0), F.lit(100) - _count_phrases(lowered, tokens, vocab.LOW_VALUE) * 8)
 
 
 def overall(scores: dict[str, Column]) -> Column:
@@ -109,14 +117,12 @@ def score_content(df: DataFrame, text: str = "text", url: str = "url") -> DataFr
     """Add the six scores, ``overall`` and ``rating``."""
     df = df.withColumn("_lower", F.lower(text))
     df = df.withColumn("_words", words(F.col("_lower")))
-    hits = category_hits(F.col("_lower"))
-    df = df.withColumns(
-        {
-            "_n_words": F.size("_words"),
-            "_n_unique": F.size(F.array_distinct("_words")),
-            **{f"_hits{i}": h for i, h in enumerate(hits)},
-        }
-    )
+    df = df.withColumn("_unique", F.array_distinct("_words"))
+    # of the tokens only those that any pattern asks for are kept
+    wanted = F.array_intersect(word_tokens(F.col("_unique")), F.array(*[F.lit(t) for t in _TOKENS]))
+    df = df.withColumns({"_n_words": F.size("_words"), "_n_unique": F.size("_unique"), "_tokens": wanted})
+    hits = category_hits(F.col("_lower"), F.col("_tokens"))
+    df = df.withColumns({f"_hits{i}": h for i, h in enumerate(hits)})
     counted = [F.col(f"_hits{i}") for i in range(len(hits))]
     df = df.withColumns(
         {
@@ -124,10 +130,10 @@ def score_content(df: DataFrame, text: str = "text", url: str = "url") -> DataFr
             "information_density": information_density(F.col(text), F.col("_n_words"), F.col("_n_unique"), counted),
             "structure": structure(F.col(text)),
             "educational_value": educational_value(counted),
-            "noise_level": noise_level(F.col("_lower")),
+            "noise_level": noise_level(F.col("_lower"), F.col("_tokens")),
             "url_quality": F.when(F.col(text).isNotNull(), urls.quality(F.col(url))),
         }
-    ).drop("_lower", "_words", "_n_words", "_n_unique", *[f"_hits{i}" for i in range(len(hits))])
+    ).drop("_lower", "_words", "_unique", "_tokens", "_n_words", "_n_unique", *[f"_hits{i}" for i in range(len(hits))])
     df = df.withColumn("overall", overall({name: F.col(name) for name in DIMENSIONS}))
     return fence(df.withColumn("rating", rating(F.col("overall"))), *DIMENSIONS, "overall", "rating")
 

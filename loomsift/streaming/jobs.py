@@ -29,6 +29,11 @@ def stream_dedup(arrivals: DataFrame, key: str = "url", ts: str | None = None, d
     return keyed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["canonical_url"])
 
 
+def with_event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
+    """Watermarks need a TIMESTAMP; one without time zone is read in the zone of the session."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def stream_stats(outcomes: DataFrame, ts: str = "ts", key: str = "outcome", delay: str = "10 minutes", size: str = "1 minute") -> DataFrame:
     """Counts per outcome and time window; later rows than ``delay`` are dropped."""
     counted = outcomes.withWatermark(ts, delay).groupBy(F.window(ts, size), key).agg(F.count("*").alias("rows"))
