@@ -7,7 +7,7 @@ queries and their checks start from the same rows.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsift.sources.tables import read_table
+from loomsift.sources.tables import read_table, spread
 
 NL = "chr(10)"
 
@@ -78,11 +78,11 @@ SEED_LINE = "concat('  ', " + _by_remainder("page_id", ["url", "concat('see ', u
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "documents")
+    return spread(read_table(spark, sf, "documents"))
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "pages")
+    return spread(read_table(spark, sf, "pages"))
 
 
 def docs_rich(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,8 +5,6 @@ know more line ends than a newline. :func:`rx` spells those tokens out.
 """
 
 import re
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,32 +29,43 @@ def rx(pattern: str, flags: str = "") -> str:
     return f"(?d{flags.replace('i', '')}){lead}(?iu){pattern[len(lead):]}"
 
 
-def phrase_rx(phrase: str) -> str:
-    """Search for a phrase between word edges."""
+def phrase_rx(phrases: list[str]) -> str:
+    """Search for any of the phrases between word edges."""
     # a word edge before a non-word character means that a word character precedes it
-    before = f"(?<={WORD})" if phrase.startswith("\\$") else f"(?<!{WORD})"
-    return rx(f"{before}{phrase}(?!{WORD})")
+    edged = [(f"(?<={WORD})" if p.startswith("\\$") else f"(?<!{WORD})") + p for p in phrases]
+    return rx(f"(?:{'|'.join(edged)})(?!{WORD})")
 
 
-def phrase_tokens(alternatives: str) -> list[str]:
-    """The word tokens that the alternatives of a pattern are made of."""
-    return re.findall(r"\w+", re.sub(r"\\[d$]\+?", " ", alternatives))
+def _key_word(phrase: str) -> str:
+    """The longest plain word of a phrase; empty when it has none."""
+    return max(re.findall(r"\w+", re.sub(r"\\[d$]\+?", " ", phrase)), key=len, default="")
+
+
+def key_words(alternatives: str) -> list[str]:
+    """One word of every alternative, without which it cannot occur."""
+    return [w for w in map(_key_word, alternatives.split("|")) if w]
+
+
+def const_array(items) -> Column:
+    """Array of constants; folded to a literal by the optimizer."""
+    return F.split(F.lit("|".join(items)), r"\|")
 
 
 def any_phrase(lowered: Column, tokens: Column, alternatives: str) -> Column:
     """True when any alternative occurs between word edges in the lower-cased text.
 
-    ``tokens`` are the word tokens of the text, at least those that occur in the alternatives. A
-    single word is found among them; a longer phrase is searched for in the text only where all of
-    its words are there.
+    ``tokens`` are the word tokens of the text, at least those among the key words. A single word
+    is found there; longer phrases are searched for in the text only where a key word is present.
     """
     phrases = alternatives.split("|")
     single = [p for p in phrases if re.fullmatch(r"\w+", p)]
-    hit = F.arrays_overlap(tokens, F.array(*[F.lit(p) for p in single])) if single else F.lit(False)
-    for phrase in phrases:
-        if phrase not in single:
-            parts = [F.array_contains(tokens, t) for t in phrase_tokens(phrase)] or [lowered.contains("$")]
-            hit = hit | (reduce(and_, parts) & lowered.rlike(phrase_rx(phrase)))
+    longer = [p for p in phrases if p not in single]
+    hit = F.arrays_overlap(tokens, const_array(single)) if single else F.lit(False)
+    if longer:
+        possible = F.arrays_overlap(tokens, const_array(key_words("|".join(longer))))
+        if any(not _key_word(p) for p in longer):
+            possible = possible | lowered.contains("$")
+        hit = hit | (possible & lowered.rlike(phrase_rx(longer)))
     return hit
 
 
@@ -72,7 +81,9 @@ def strip(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """``str.split()``: the runs of non-blank characters."""
-    return F.array_remove(F.split(text, f"{BLANK}+"), "")
+    stripped = strip(text)
+    none = F.array().cast("array<string>")
+    return F.when(stripped == "", none).otherwise(F.split(stripped, f"{BLANK}+"))
 
 
 def word_tokens(distinct_words: Column) -> Column:
@@ -90,16 +101,9 @@ def filled_lines(text: Column) -> Column:
     return F.array_remove(F.transform(F.split(text, "\n"), strip), "")
 
 
-def may_contain(text: Column, lowered: Column, literal: str) -> Column:
-    """Cheap test that is true wherever a case-ignoring search of the lower-cased literal can match.
-
-    The characters listed fold to i, k and s without being lower-cased to them.
-    """
-    hit = lowered.contains(literal)
-    for odd, plain in (("\u0130", "i"), ("\u0131", "i"), ("\u212a", "k"), ("\u017f", "s")):
-        if plain in literal:
-            hit = hit | text.contains(odd)
-    return hit
+def folds_oddly(text: Column) -> Column:
+    """True when a character folds to i, k or s without being lower-cased to it."""
+    return text.rlike("[\u0130\u0131\u212a\u017f]")
 
 
 def contains_any(text: Column, needles) -> Column:
@@ -112,10 +116,7 @@ def contains_any(text: Column, needles) -> Column:
 
 def count_hits(text: Column, needles) -> Column:
     """How many of the literals occur in ``text`` at least once."""
-    total = F.lit(0)
-    for needle in needles:
-        total = total + text.contains(needle).cast("int")
-    return total
+    return F.size(F.filter(const_array(needles), lambda needle: text.contains(needle)))
 
 
 def count_matches(text: Column, patterns) -> Column:

@@ -6,30 +6,29 @@ step that needs its input twice starts a new projection instead of nesting the e
 
 import re
 from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomsift.functions import vocab
-from loomsift.functions.dialect import BLANK, filled_lines, longest, may_contain, rx
+from loomsift.functions.dialect import BLANK, contains_any, filled_lines, folds_oddly, longest, rx
 from loomsift.functions.session import fence
 
 
-def _head(text: Column, last: str) -> Column:
-    """The part of ``text`` that ends with the last match of ``last``; empty when there is none."""
-    lead, rest = (r"<", last[1:]) if last.startswith("<") else ("", last)
-    return F.regexp_extract(text, rf"(?ds)\A.*{lead}(?iu){rest}", 0)
+def _head(last: str, col: str = "html") -> str:
+    """SQL for the part of a column that ends with the last match of ``last``; empty without one."""
+    lead, rest = ("<", last[1:]) if last.startswith("<") else ("", last)
+    return rf"regexp_extract({col}, r'(?ds)\A.*{lead}(?iu){rest}', 0)"
 
 
-def _replace_up_to(text: Column, last: str, pattern: str, by: str) -> Column:
-    """Replace ``pattern`` in the head of ``text``.
+def _replace_up_to(col: str, last: str, pattern: str, by: str) -> str:
+    """SQL to replace ``pattern`` in the head of a column.
 
     Every match ends with ``last``, so the result is the same as on the whole text, but opening
     tags that are never closed do not each scan to the end of the page.
     """
-    head = _head(text, last)
-    return F.concat(F.regexp_replace(head, pattern, by), F.substr(text, F.length(head) + 1))
+    head = _head(last, col)
+    return f"concat(regexp_replace({head}, r'{pattern}', r'{by}'), substr({col}, length({head}) + 1))"
 
 
 def _element(name: str) -> str:
@@ -62,12 +61,13 @@ def _run_steps(df: DataFrame, col: str, steps) -> DataFrame:
     code steps cut without leaving a blank, hence they come last and test on their own.
     """
     literals = sorted({literal for literal, *_ in steps})
-    lowered = F.lower(col)
-    df = df.withColumn("_has", F.struct(*[may_contain(F.col(col), lowered, s).alias(f"t{i}") for i, s in enumerate(literals)]))
+    tests = ", ".join(f"contains(lower({col}), '{s}') AS t{i}" for i, s in enumerate(literals))
+    df = df.withColumns({"_has": F.expr(f"struct({tests})"), "_odd": folds_oddly(F.col(col))})
     for literal, last, pattern, by in steps:
-        present = F.col("_has")[f"t{literals.index(literal)}"]
-        df = df.withColumn(col, F.when(present, _replace_up_to(F.col(col), last, pattern, by)).otherwise(F.col(col)))
-    return df.drop("_has")
+        replaced = _replace_up_to(col, last, pattern, by)
+        present = f"_odd OR _has.t{literals.index(literal)}"
+        df = df.withColumn(col, F.expr(f"CASE WHEN {present} THEN {replaced} ELSE {col} END"))
+    return df.drop("_has", "_odd")
 
 
 def strip_noise(df: DataFrame, col: str = "html") -> DataFrame:
@@ -79,7 +79,7 @@ def pick_main(df: DataFrame, col: str = "html") -> DataFrame:
     """Keep the longest match of the first main-content pattern that occurs, if it is long enough."""
 
     def candidates(pattern: str, closing: str) -> Column:
-        return longest(F.regexp_extract_all(_head(F.col(col), closing), F.lit(rx(pattern, "is")), F.lit(1)))
+        return longest(F.regexp_extract_all(F.expr(_head(closing, col)), F.lit(rx(pattern, "is")), F.lit(1)))
 
     picked = F.coalesce(*[candidates(p, c) for p, c in vocab.MAIN_CONTENT])
     df = df.withColumn("_main", picked)
@@ -100,7 +100,7 @@ def drop_code(df: DataFrame, col: str = "html") -> DataFrame:
 
 
 def strip_tags(df: DataFrame, col: str = "html") -> DataFrame:
-    return df.withColumn(col, _replace_up_to(F.col(col), ">", "<[^>]+>", " "))
+    return df.withColumn(col, F.expr(_replace_up_to(col, ">", "<[^>]+>", " ")))
 
 
 def decode_entities(df: DataFrame, col: str = "html") -> DataFrame:
@@ -127,9 +127,9 @@ def _needles(pattern: str) -> list[str]:
 
 def drop_boilerplate(df: DataFrame, col: str = "html") -> DataFrame:
     """Delete the boilerplate phrases; texts that cannot hold any are passed on after substring tests."""
-    text, lowered = F.col(col), F.lower(col)
+    text = F.col(col)
     needles = sorted({needle for pattern in vocab.BOILERPLATE for needle in _needles(pattern)})
-    possible = reduce(or_, [may_contain(text, lowered, needle) for needle in needles])
+    possible = contains_any(F.lower(text), needles) | folds_oddly(text)
     cleaned = reduce(lambda t, pattern: F.regexp_replace(t, rx(pattern, "i"), ""), vocab.BOILERPLATE, text)
     return df.withColumn(col, F.when(possible, cleaned).otherwise(text))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomsift.functions import urls, vocab
-from loomsift.functions.dialect import any_phrase, count_matches, phrase_tokens, rx, word_tokens, words
+from loomsift.functions.dialect import any_phrase, const_array, count_matches, key_words, rx, word_tokens, words
 from loomsift.functions.session import fence
 
 DIMENSIONS = list(vocab.WEIGHTS)
@@ -37,7 +37,7 @@ def length_score(text: Column, lowered: Column) -> Column:
 
 
 _HIGH_VALUE = [p for patterns in vocab.HIGH_VALUE.values() for p in patterns]
-_TOKENS = sorted({t for p in [*_HIGH_VALUE, *vocab.LOW_VALUE] for t in phrase_tokens(p)})
+_TOKENS = sorted({w for p in [*_HIGH_VALUE, *vocab.LOW_VALUE] for w in key_words(p)})
 
 
 def _count_phrases(lowered: Column, tokens: Column, patterns: list[str]) -> Column:
@@ -63,12 +63,19 @@ def information_density(text: Column, n_words: Column, n_unique: Column, hits: l
     return F.when(sentences == 0, 0).otherwise(_clamp(F.lit(50) + pace + patterns - repetitive))
 
 
+# A character without which a structure cannot occur: a cheap test ahead of the pattern.
+_STRUCTURE_MARK = {"hash_headings": "#", "label_headings": ":", "code": "`", "quotes": ">"}
+
+
 def _has_structure(text: Column, name: str) -> Column:
     if name == "label_headings":
         # consuming the run up to a stop mark or colon decides all line starts inside it at once
         labels = F.regexp_extract_all(text, F.lit(rx(r"(?:^|\n)[A-Z][^.!?:]*+(:?)")), F.lit(1))
-        return F.array_contains(labels, ":")
-    return text.rlike(rx(vocab.STRUCTURE[name]))
+        found = F.array_contains(labels, ":")
+    else:
+        found = text.rlike(rx(vocab.STRUCTURE[name]))
+    mark = _STRUCTURE_MARK.get(name)
+    return text.contains(mark) & found if mark else found
 
 
 def structure(text: Column) -> Column:
@@ -119,7 +126,7 @@ def score_content(df: DataFrame, text: str = "text", url: str = "url") -> DataFr
     df = df.withColumn("_words", words(F.col("_lower")))
     df = df.withColumn("_unique", F.array_distinct("_words"))
     # of the tokens only those that any pattern asks for are kept
-    wanted = F.array_intersect(word_tokens(F.col("_unique")), F.array(*[F.lit(t) for t in _TOKENS]))
+    wanted = F.array_intersect(word_tokens(F.col("_unique")), const_array(_TOKENS))
     df = df.withColumns({"_n_words": F.size("_words"), "_n_unique": F.size("_unique"), "_tokens": wanted})
     hits = category_hits(F.col("_lower"), F.col("_tokens"))
     df = df.withColumns({f"_hits{i}": h for i, h in enumerate(hits)})

@@ -28,7 +28,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     if dict(pages.dtypes)["html"] == "binary":
         text = F.make_valid_utf8(F.col("html").cast("string"))
         pages = pages.withColumn("html", F.replace(text, F.lit("�"), F.lit("")))
-    return pages.select("page_id", "url", "html")
+    return spread(pages.select("page_id", "url", "html"))
 
 
 def scan_code(spark: SparkSession, root: str, max_size: int | None = None) -> DataFrame:
@@ -78,5 +78,14 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return joined.select("file", (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("line_no"), "value")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table with fewer splits than cores, so that costly text work uses all of them.
+
+    A table with enough splits, which is any large one, is passed on without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
