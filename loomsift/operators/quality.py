@@ -114,7 +114,7 @@ def rating(total: Column) -> Column:
 def rejection_reason(total: Column, scores: dict[str, Column]) -> Column:
     """Text of the weakest dimension (the first one on ties); NULL from an overall score of 50 on."""
     lowest = F.least(*[scores[name] for name in DIMENSIONS])
-    reason = F.when(total >= 50, None)
+    reason = F.when(total.isNull() | (total >= 50), None)
     for name in DIMENSIONS:
         reason = reason.when(scores[name] == lowest, vocab.WEAKNESS[name])
     return reason
@@ -131,16 +131,16 @@ def score_content(df: DataFrame, text: str = "text", url: str = "url") -> DataFr
     hits = category_hits(F.col("_lower"), F.col("_tokens"))
     df = df.withColumns({f"_hits{i}": h for i, h in enumerate(hits)})
     counted = [F.col(f"_hits{i}") for i in range(len(hits))]
-    df = df.withColumns(
-        {
-            "length": length_score(F.col(text), F.col("_lower")),
-            "information_density": information_density(F.col(text), F.col("_n_words"), F.col("_n_unique"), counted),
-            "structure": structure(F.col(text)),
-            "educational_value": educational_value(counted),
-            "noise_level": noise_level(F.col("_lower"), F.col("_tokens")),
-            "url_quality": F.when(F.col(text).isNotNull(), urls.quality(F.col(url))),
-        }
-    ).drop("_lower", "_words", "_unique", "_tokens", "_n_words", "_n_unique", *[f"_hits{i}" for i in range(len(hits))])
+    scores = {
+        "length": length_score(F.col(text), F.col("_lower")),
+        "information_density": information_density(F.col(text), F.col("_n_words"), F.col("_n_unique"), counted),
+        "structure": structure(F.col(text)),
+        "educational_value": educational_value(counted),
+        "noise_level": noise_level(F.col("_lower"), F.col("_tokens")),
+        "url_quality": urls.quality(F.col(url)),
+    }
+    # least() and greatest() pass over NULL
+    df = df.withColumns({name: F.when(F.col(text).isNotNull(), score) for name, score in scores.items()}).drop("_lower", "_words", "_unique", "_tokens", "_n_words", "_n_unique", *[f"_hits{i}" for i in range(len(hits))])
     df = df.withColumn("overall", overall({name: F.col(name) for name in DIMENSIONS}))
     return fence(df.withColumn("rating", rating(F.col("overall"))), *DIMENSIONS, "overall", "rating")
 
