@@ -25,6 +25,7 @@ def decode_code(files: DataFrame, max_size: int = 100_000) -> DataFrame:
     """Binary ``content`` to text; NULL where a file counts as unreadable.
 
     Empty and oversized files, files with NUL and files with under ten characters are unreadable.
+    (Empty files are not even listed by Spark's binary reader.)
     Invalid UTF-8 is dropped and line ends become newlines.
     """
     sized = F.col("length").between(1, max_size)
