@@ -7,8 +7,8 @@ joined with the URLs of each level; pages' html is read once for all levels.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomsift.functions import urls, vocab
-from loomsift.functions.session import cut
+from loomsift.functions import urls
+from loomsift.functions.session import cut, fresh_folder
 from loomsift.operators.links import link_array
 from loomsift.operators.ranking import first_per_group
 from loomsift.options import CrawlOptions, GateOptions, RenderOptions
@@ -64,23 +64,33 @@ def domain_cap(candidates: DataFrame, used: DataFrame | None, cap: int, order: t
     return left.filter(F.col("rn") + F.coalesce("_used", F.lit(0)) <= cap).drop("rn", "_used")
 
 
-def page_links(pages: DataFrame, gate: GateOptions, options: CrawlOptions) -> DataFrame:
-    """``(src_url, dst)`` of pages that a crawl would read: links in fixed order, 2n at most.
+def read_pages(pages: DataFrame, gate: GateOptions, options: CrawlOptions) -> DataFrame:
+    """Every page under its canonical URL: URL gate, text, error and links.
 
-    Of pages with one canonical URL the one with the lowest id counts. Gated and empty pages give
-    no links. Ordering and cutting happen inside the row.
+    Links are in fixed order, 2n at most; ordering and cutting happen inside the row. Gated pages
+    and pages without content have none.
     """
     canonical = pages.withColumn("url", urls.canonical(F.col("url"))).withColumn("_raw", F.col("html"))
     read = gated_text(canonical, gate)
     ok = F.col("url_gate").isNull() & F.col("error").isNull()
-    found = read.select("page_id", "url", F.when(ok, link_array(F.col("url"), F.col("_raw"))).alias("links"))
-    keyed = F.transform("links", lambda x: F.struct(link_order(x, options).alias("ord"), x.alias("url")))
+    read = read.withColumn("_links", F.when(ok, link_array(F.col("url"), F.col("_raw"))))
+    keyed = F.transform("_links", lambda x: F.struct(link_order(x, options).alias("ord"), x.alias("url")))
     first = F.slice(F.array_sort(keyed), 1, 2 * options.links_per_page)
-    found = found.select(F.col("url").alias("src_url"), "page_id", first.alias("dst"))
+    return read.select("page_id", "url", "url_gate", "text", "error", first.alias("dst"))
+
+
+def link_table(read: DataFrame) -> DataFrame:
+    """``(src_url, dst)`` of pages with links; of pages with one canonical URL the lowest id counts."""
+    found = read.select(F.col("url").alias("src_url"), "page_id", "dst")
     one = first_per_group(found, ["src_url"], [F.asc("page_id")], 1, "page_id").drop("rn", "page_id")
     return one.filter(F.size("dst") > 0)
 
 
+def page_links(pages: DataFrame, gate: GateOptions, options: CrawlOptions) -> DataFrame:
+    """Link table straight from pages."""
+    return link_table(read_pages(pages, gate, options))
+
+
 def expand(level: DataFrame, links: DataFrame) -> DataFrame:
     """Links of the pages of a level, canonical, with the order in which they arrive."""
     joined = level.select(F.col("url").alias("src_url"), F.col("priority").alias("src_priority")).join(links, "src_url")
@@ -89,11 +99,12 @@ def expand(level: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _admit(arrivals: DataFrame, admitted: DataFrame | None, seeds: DataFrame, depth: int, options: CrawlOptions) -> DataFrame:
+    # merging the copies of a URL first keeps a much-linked URL out of the joins
+    fresh = first_seen(arrivals)
     if admitted is not None:
-        arrivals = unseen(arrivals, admitted)
+        fresh = unseen(fresh, admitted)
     if options.same_domain:
-        arrivals = of_sites(arrivals, sites_of(seeds))
-    fresh = first_seen(arrivals)
+        fresh = of_sites(fresh, sites_of(seeds))
     if depth > 0:
         fresh = links_per_page(fresh, options.links_per_page)
     fresh = fresh.withColumns(
@@ -113,12 +124,13 @@ def crawl_frontier(
     options: CrawlOptions = CrawlOptions(),
     gate: GateOptions = GateOptions(),
     subdomains: DataFrame | None = None,
+    links: DataFrame | None = None,
 ) -> DataFrame:
     """URLs a crawl reaches: ``(url, depth, domain, priority, ord)``.
 
     Admission per level: unseen, same site, first arrival, links per page, domain cap. A URL that
     a cap turns away is not marked as seen and may come in at a later level. ``subdomains`` enter
-    at depth 0 ahead of the seeds.
+    at depth 0 ahead of the seeds. ``links`` takes a link table that exists already.
     """
     starts = seeds.select(urls.canonical(F.col("url")).alias("url"), F.lit(1).alias("src_priority"))
     if subdomains is not None:
@@ -128,7 +140,7 @@ def crawl_frontier(
     admitted = level = cut(_admit(starts, None, seeds, 0, options))
     if not options.crawler_enabled or options.max_depth <= 1:
         return admitted
-    links = cut(page_links(pages, gate, options).repartition("src_url"))
+    links = cut(page_links(pages, gate, options) if links is None else links)
     for depth in range(1, options.max_depth):
         level = cut(_admit(expand(level, links), admitted, seeds, depth, options))
         if level.isEmpty():
@@ -144,16 +156,24 @@ def crawl_and_curate(
     gate: GateOptions = GateOptions(),
     render: RenderOptions = RenderOptions(),
 ) -> DataFrame:
-    """Training rows of the pages that a crawl reaches."""
-    reached = crawl_frontier(pages, seeds, options, gate)
-    return training_rows(apply_gates(gated_text(reached_pages(pages, reached), gate), gate), render)
+    """Training rows of the pages that a crawl reaches.
+
+    Pages are read once: text and links go to one table, from which both the frontier and the
+    curated rows are made. Joins then move clean text instead of html.
+    """
+    spark = pages.sparkSession
+    folder = fresh_folder(spark, "read")
+    read_pages(pages, gate, options).write.parquet(folder)
+    read = spark.read.parquet(folder)
+    reached = crawl_frontier(pages, seeds, options, gate, links=link_table(read))
+    return training_rows(apply_gates(reached_pages(read, reached), gate), render)
 
 
-def reached_pages(pages: DataFrame, reached: DataFrame) -> DataFrame:
-    """Pages whose canonical URL was reached, under that URL; of copies the lowest id.
+def reached_pages(read: DataFrame, reached: DataFrame) -> DataFrame:
+    """Rows of :func:`read_pages` whose URL was reached; of copies the lowest id.
 
-    The ids are picked on the narrow columns first, so that html moves once, for the pages kept.
+    The ids are picked on the narrow columns first, so that texts move once, for the pages kept.
     """
-    keyed = pages.select("page_id", urls.canonical(F.col("url")).alias("url"))
-    ids = keyed.join(reached.select("url"), "url", "left_semi").groupBy("url").agg(F.min("page_id").alias("page_id"))
-    return pages.drop("url").join(ids, "page_id")
+    ids = read.select("page_id", "url").join(reached.select("url"), "url", "left_semi")
+    ids = ids.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    return read.drop("url", "dst").join(ids, "page_id")

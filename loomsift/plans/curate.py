@@ -7,8 +7,12 @@ from loomsift.functions import urls, vocab
 from loomsift.functions.dialect import contains_any
 from loomsift.functions.session import fence
 from loomsift.operators import extract, gates, quality, render
+from loomsift.operators.ranking import with_global_rank
 from loomsift.options import GateOptions, RenderOptions
 
+# Beyond this many rows a limit is not merged in one task.
+_TOP_K = 100_000
+
 
 def gated_text(pages: DataFrame, options: GateOptions = GateOptions()) -> DataFrame:
     """``(…, url_gate, text, error)``: URL gates, then extraction of the pages that pass them.
@@ -126,5 +130,13 @@ def kept_share(flagged: DataFrame, reason: str = "reason") -> DataFrame:
 
 
 def stop_after(accepted: DataFrame, n: int, *order) -> DataFrame:
-    """The first ``n`` accepted rows in the given order; 0 means all of them."""
-    return accepted if n <= 0 else accepted.orderBy(*order).limit(n)
+    """The first ``n`` accepted rows in the given order; 0 means all of them.
+
+    A small limit is a top-k; a large one is cut at its rank in a distributed sort.
+    """
+    if n <= 0:
+        return accepted
+    if n <= _TOP_K:
+        return accepted.orderBy(*order).limit(n)
+    ranked, _ = with_global_rank(accepted, *[F.asc(o) for o in order])
+    return ranked.filter(F.col("rank") <= n).drop("rank")
