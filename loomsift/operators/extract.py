@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomsift.functions import vocab
-from loomsift.functions.dialect import BLANK, contains_any, filled_lines, folds_oddly, longest, rx
+from loomsift.functions.dialect import BLANK, filled_lines, longest, may_hold, rx
 from loomsift.functions.session import fence
 
 
@@ -35,39 +35,61 @@ def _element(name: str) -> str:
     return rx(f"<{name}[^>]*>.*?</{name}>", "is")
 
 
-# (literal that every match contains, end of every match, pattern, replacement), in this order
+def _drop(name: str, by: str = " ") -> tuple:
+    """Step (literals of which one is in every match, SQL on a column) that drops an element."""
+    last = f"</{name}>"
+    return [last], lambda h: _replace_up_to(h, last, _element(name), by)
+
+
+def _replace(pattern: str, by: str):
+    return lambda h: f"regexp_replace({h}, r'{pattern}', r'{by}')"
+
+
 _NOISE_STEPS = (
-    [(f"</{name}>", f"</{name}>", _element(name), " ") for name in vocab.NOISE_ELEMENTS]
-    + [("<!--", "-->", rx("<!--.*?-->", "s"), " ")]
+    [_drop(name) for name in vocab.NOISE_ELEMENTS]
+    + [(["<!--"], lambda h: _replace_up_to(h, "-->", rx("<!--.*?-->", "s"), " "))]
     + [
-        ("<input", ">", rx("<input[^>]*>", "i"), " ") if name == "input" else (f"</{name}>", f"</{name}>", _element(name), " ")
+        (["<input"], lambda h: _replace_up_to(h, ">", rx("<input[^>]*>", "i"), " ")) if name == "input" else _drop(name)
         for name in vocab.FORM_ELEMENTS
     ]
 )
 _BLOCK_STEPS = [
-    ("</h", "</h[1-6]>", rx(r"<h[1-6][^>]*>(.*?)</h[1-6]>", "i"), "\n\n$1\n"),
-    ("</li>", "</li>", rx(r"<li[^>]*>(.*?)</li>", "i"), "\n- $1"),
-    ("</p>", "</p>", rx("</p>", "i"), "\n\n"),
-    ("<br", ">", rx(r"<br\s*/?>", "i"), "\n"),
+    (["</h"], lambda h: _replace_up_to(h, "</h[1-6]>", rx(r"<h[1-6][^>]*>(.*?)</h[1-6]>", "i"), "\n\n$1\n")),
+    (["</li>"], lambda h: _replace_up_to(h, "</li>", rx(r"<li[^>]*>(.*?)</li>", "i"), "\n- $1")),
+    (["</p>"], _replace(rx("</p>", "i"), "\n\n")),
+    (["<br"], _replace(rx(r"<br\s*/?>", "i"), "\n")),
 ]
-_CODE_STEPS = [(f"</{name}>", f"</{name}>", _element(name), "") for name in vocab.CODE_ELEMENTS]
+# these cut without leaving a blank, so that one may complete a tag of the next
+_CODE_LITERALS = [f"</{name}>" for name in vocab.CODE_ELEMENTS]
+_CODE_STEPS = [(_CODE_LITERALS, _drop(name, "")[1]) for name in vocab.CODE_ELEMENTS]
+_LITERALS = sorted({x for literals, _ in [*_NOISE_STEPS, *_BLOCK_STEPS, *_CODE_STEPS] for x in literals})
 
 
-def _run_steps(df: DataFrame, col: str, steps) -> DataFrame:
-    """Apply the steps in order, skipping those whose literal the page does not contain.
+def _flag(df: DataFrame, col: str) -> DataFrame:
+    """Note which literals the page holds, once for all steps.
 
-    The tests are taken once, before the first step: replacements are blank or line structure, or
-    cut out whole elements ahead of the final tag strip, and no tag is put together by them. The
-    code steps cut without leaving a blank, hence they come last and test on their own.
+    Replacements are blanks or line structure and put no tag together, so a step whose literal is
+    not in the page has nothing to do.
     """
-    literals = sorted({literal for literal, *_ in steps})
-    tests = ", ".join(f"contains(lower({col}), '{s}') AS t{i}" for i, s in enumerate(literals))
-    df = df.withColumns({"_has": F.expr(f"struct({tests})"), "_odd": folds_oddly(F.col(col))})
-    for literal, last, pattern, by in steps:
-        replaced = _replace_up_to(col, last, pattern, by)
-        present = f"_odd OR _has.t{literals.index(literal)}"
-        df = df.withColumn(col, F.expr(f"CASE WHEN {present} THEN {replaced} ELSE {col} END"))
-    return df.drop("_has", "_odd")
+    if "_has" in df.columns:
+        return df
+    tests = [f"contains(lower({col}), '{x}') AS t{i}" for i, x in enumerate(_LITERALS)]
+    odd = f"{may_hold(col, [])} AS odd"
+    return df.withColumn("_has", F.expr(f"struct({', '.join([*tests, odd])})"))
+
+
+def _run_steps(df: DataFrame, col: str, steps) -> DataFrame:
+    """Apply the steps in order as one select; each refers to the result of the one before."""
+    known = "_has" in df.columns
+    df = _flag(df, col)
+    others = [c for c in df.columns if c != col]
+    results, source = [], col
+    for i, (literals, step) in enumerate(steps):
+        present = " OR ".join(["_has.odd"] + [f"_has.t{_LITERALS.index(x)}" for x in literals])
+        results.append(F.expr(f"CASE WHEN {present} THEN {step(source)} ELSE {source} END").alias(f"_step{i}"))
+        source = f"_step{i}"
+    df = df.select(*others, col, *results).select(*others, F.col(source).alias(col))
+    return df if known else df.drop("_has")
 
 
 def strip_noise(df: DataFrame, col: str = "html") -> DataFrame:
@@ -94,9 +116,7 @@ def mark_blocks(df: DataFrame, col: str = "html") -> DataFrame:
 
 
 def drop_code(df: DataFrame, col: str = "html") -> DataFrame:
-    for step in _CODE_STEPS:
-        df = _run_steps(df, col, [step])
-    return df
+    return _run_steps(df, col, _CODE_STEPS)
 
 
 def strip_tags(df: DataFrame, col: str = "html") -> DataFrame:
@@ -129,7 +149,7 @@ def drop_boilerplate(df: DataFrame, col: str = "html") -> DataFrame:
     """Delete the boilerplate phrases; texts that cannot hold any are passed on after substring tests."""
     text = F.col(col)
     needles = sorted({needle for pattern in vocab.BOILERPLATE for needle in _needles(pattern)})
-    possible = contains_any(F.lower(text), needles) | folds_oddly(text)
+    possible = F.expr(may_hold(col, needles))
     cleaned = reduce(lambda t, pattern: F.regexp_replace(t, rx(pattern, "i"), ""), vocab.BOILERPLATE, text)
     return df.withColumn(col, F.when(possible, cleaned).otherwise(text))
 
@@ -182,9 +202,10 @@ def clean_lines(df: DataFrame, lines: str = "lines", out: str = "text") -> DataF
 
 def extract_text(pages: DataFrame, clean_code: bool = False, col: str = "html", out: str = "text") -> DataFrame:
     """Replace the html column by the clean main text. A NULL html gives a NULL text."""
-    df = mark_blocks(pick_main(strip_noise(pages, col), col), col)
+    df = mark_blocks(pick_main(strip_noise(_flag(pages, col), col), col), col)
     if clean_code:
         df = drop_code(df, col)
+    df = df.drop("_has")
     df = drop_boilerplate(decode_entities(strip_tags(df, col), col), col)
     # runs of spaces may be collapsed before the lines are formatted: no line rule depends on them
     df = df.withColumn("_lines", filled_lines(F.regexp_replace(col, " {2,}", " "))).drop(col)
