@@ -59,6 +59,12 @@ _PAGE_BLOCKS = [
 ]
 RICH_HTML = f"replace(html, '<article>', concat('<article>', {_by_remainder('page_id', _PAGE_BLOCKS)}))"
 
+# a link to a host that is one of the common subdomains of the page's site
+HOST_LINK = (
+    "concat('<a href=\"https://', " + _by_remainder("page_id", ["'docs.example.com'", "'blog.example.net'", "'www.example.org'"])
+    + ", '/start/', cast(page_id % 10 AS string), '\">docs</a>')"
+)
+
 CODE_CONTENT = (
     f"concat('def f', cast(doc_id AS string), '(a):', {NL}, 'class C', cast(doc_id AS string), ':', {NL}, "
     f"'# note', {NL}, 'int g(int a) {{ // x', {NL}, text)"
@@ -98,14 +104,14 @@ def rich_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def linked_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages with absolute links to the next three pages by id, the last ones to the first."""
+    """Pages with absolute links to the next three pages by id, the last ones to the first, and to a subdomain."""
     base = pages(spark, sf)
     n = base.agg((F.max("page_id") + 1).alias("n")).scalar()
     steps = base.select("page_id", "url", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
     targets = steps.select(F.pmod(F.col("page_id") - F.col("k") + n, n).alias("page_id"), "k", "url")
     urls = targets.groupBy("page_id").agg(*[F.max(F.when(F.col("k") == k, F.col("url"))).alias(f"u{k}") for k in (1, 2, 3)])
     anchors = [F.concat(F.lit('<a href="'), F.col(f"u{k}"), F.lit('">next</a>')) for k in (1, 2, 3)]
-    return base.join(urls, "page_id").select("page_id", "url", F.concat(*anchors, F.col("html")).alias("html"))
+    return base.join(urls, "page_id").select("page_id", "url", F.concat(*anchors, F.expr(HOST_LINK), F.col("html")).alias("html"))
 
 
 def seeds(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,8 +142,8 @@ TABLES = {
     "docs_rich": f"SELECT doc_id, {DOC_URL} AS url, {RICH_TEXT} AS text FROM documents",
     "all_urls": f"SELECT url FROM pages UNION ALL SELECT {DOC_URL} FROM documents",
     "rich_pages": f"SELECT page_id, url, {RICH_HTML} AS html FROM pages",
-    "linked_pages": """SELECT p.page_id, p.url, concat('<a href="', a.url, '">next</a><a href="', b.url,
-        '">next</a><a href="', c.url, '">next</a>', p.html) AS html
+    "linked_pages": f"""SELECT p.page_id, p.url, concat('<a href="', a.url, '">next</a><a href="', b.url,
+        '">next</a><a href="', c.url, '">next</a>', {HOST_LINK.replace("page_id", "p.page_id")}, p.html) AS html
         FROM pages p, (SELECT max(page_id) + 1 AS n FROM pages) m, pages a, pages b, pages c
         WHERE a.page_id = (p.page_id + 1) % n AND b.page_id = (p.page_id + 2) % n AND c.page_id = (p.page_id + 3) % n""",
     "seeds": "SELECT url FROM pages WHERE url LIKE '%://blog.%'",

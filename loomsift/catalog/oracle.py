@@ -473,7 +473,7 @@ def _curated_ctes() -> dict[str, str]:
 # --- crawl -------------------------------------------------------------------------------------
 
 
-def crawl_ctes(o) -> dict[str, str]:
+def crawl_ctes(o, subdomains: bool = False) -> dict[str, str]:
     """Levels of the frontier, unrolled, ending in ``frontier``."""
     allowed = f"AND {last_two(domain('url'))} IN (SELECT {last_two(domain('url'))} FROM seeds)" if o.same_domain else ""
 
@@ -501,7 +501,11 @@ def crawl_ctes(o) -> dict[str, str]:
         "raw_links": links_of("sources"),
         "link_table": f"""SELECT src AS src_url, dst, md5(dst) AS ord FROM raw_links
             QUALIFY row_number() OVER (PARTITION BY src ORDER BY md5(dst), dst) <= {2 * o.links_per_page}""",
-        "start": f"""SELECT {canonical('url')} AS url, 1 AS src_priority, '' AS src_url, md5({canonical('url')}) AS ord FROM seeds""",
+        "early": f"SELECT candidate AS url FROM ({_candidates('seeds')}) WHERE candidate IN ({_SEEN_HOSTS})"
+        if subdomains
+        else "SELECT NULL::VARCHAR AS url WHERE FALSE",
+        "start": f"""SELECT {canonical('url')} AS url, 1 AS src_priority, '' AS src_url, md5({canonical('url')}) AS ord FROM seeds
+            UNION ALL SELECT {canonical('url')}, 0, '', md5({canonical('url')}) FROM early""",
         **fresh("start", 0, []),
     }
     for depth in range(1, o.max_depth):
@@ -800,6 +804,7 @@ def all_sql() -> dict[str, str]:
         ),
         "crawl_frontier": with_(crawled, "SELECT * FROM frontier"),
         "crawl_frontier_same_site": with_(crawl_ctes(q.SITE_CRAWL), "SELECT * FROM frontier"),
+        "crawl_with_subdomains": with_(crawl_ctes(q.SITE_CRAWL, True), "SELECT * FROM frontier"),
         "crawl_and_curate": with_(
             crawl_curated,
             f"""SELECT url, quality, {render_sql(vocab.DEFAULT_TEMPLATE, 'Recipe')} AS chat FROM kept JOIN answers USING (page_id)""",

@@ -431,6 +431,11 @@ def crawl_frontier_same_site(spark, sf):
     return crawl.crawl_frontier(d.linked_pages(spark, sf), d.seeds(spark, sf), SITE_CRAWL, CRAWL_GATE)
 
 
+def crawl_with_subdomains(spark, sf):
+    pages, seeds = d.linked_pages(spark, sf), d.seeds(spark, sf)
+    return crawl.crawl_frontier(pages, seeds, SITE_CRAWL, CRAWL_GATE, crawl.subdomain_seeds(seeds, pages))
+
+
 def crawl_and_curate(spark, sf):
     rows = crawl.crawl_and_curate(d.linked_pages(spark, sf), d.seeds(spark, sf), CRAWL, CRAWL_GATE)
     return rows.select("url", F.round("quality", 6).alias("quality"), "chat")
@@ -547,7 +552,7 @@ _NAMED = [
     training_roundtrip, readable_lines, seed_urls, select_code_files, decode_code, scan_code, code_metadata,
     format_code, curate_code, code_stats, chunk_code, unseen, same_site, subdomain_candidates, observed_subdomains,
     new_subdomains, verified_candidates, discovery_stats, first_seen, links_per_page, domain_cap, crawl_expand,
-    crawl_frontier, crawl_frontier_same_site, crawl_and_curate, domain_counts, domain_totals, extract_endpoints,
+    crawl_frontier, crawl_frontier_same_site, crawl_with_subdomains, crawl_and_curate, domain_counts, domain_totals, extract_endpoints,
     endpoint_health, quarantine, pool_stats, top_fifth, speed, request_gap_audit, stream_curate, stream_dedup,
     stream_stats, stream_health,
 ]

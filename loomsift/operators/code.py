@@ -93,4 +93,5 @@ def chunk_code(files: DataFrame, size: int = vocab.CHUNK_LINES, content: str = "
 
     texts = F.transform(F.sequence(F.lit(0), F.col("_chunks") - 1), cut)
     kept = [c for c in files.columns if c != content]
-    return df.filter(F.col(content).isNotNull()).select(*kept, F.posexplode(texts).alias("chunk", "chunk_text"))
+    # the outer form: Catalyst would otherwise add a size test below and cut the chunks twice
+    return df.filter(F.col(content).isNotNull()).select(*kept, F.posexplode_outer(texts).alias("chunk", "chunk_text"))

@@ -10,7 +10,7 @@ class GateOptions:
     """Thresholds and lists of the content gates."""
 
     min_chars: int = 150
-    max_chars: int = 50_000
+    max_chars: int = 50_000  # of text kept, not of text tested
     short_min_chars: int = 100
     allow_short_quality: bool = False
     ignore_quality_short: bool = False
@@ -23,6 +23,10 @@ class GateOptions:
     clean_code: bool = False
 
 
+# The looser settings of an interactive run.
+INTERACTIVE_GATES = GateOptions(allow_short_quality=True, short_min_chars=50, quality_threshold=35.0)
+
+
 @dataclass(frozen=True)
 class CrawlOptions:
     """Limits of the frontier."""

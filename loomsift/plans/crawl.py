@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomsift.functions import urls
 from loomsift.functions.session import cut, fresh_folder
-from loomsift.operators.links import link_array
+from loomsift.operators.links import link_array, subdomain_candidates, verified_candidates
 from loomsift.operators.ranking import first_per_group
 from loomsift.options import CrawlOptions, GateOptions, RenderOptions
 from loomsift.plans.curate import apply_gates, gated_text, training_rows
@@ -98,6 +98,12 @@ def expand(level: DataFrame, links: DataFrame) -> DataFrame:
     return each.select("src_url", "src_priority", F.col("d.ord").alias("ord"), urls.canonical(F.col("d.url")).alias("url"))
 
 
+def subdomain_seeds(seeds: DataFrame, pages: DataFrame) -> DataFrame:
+    """Common subdomains of the seeds' root domains whose host occurs in the pages, as URLs."""
+    found = verified_candidates(subdomain_candidates(seeds), pages)
+    return found.select(F.col("candidate").alias("url"))
+
+
 def _admit(arrivals: DataFrame, admitted: DataFrame | None, seeds: DataFrame, depth: int, options: CrawlOptions) -> DataFrame:
     # merging the copies of a URL first keeps a much-linked URL out of the joins
     fresh = first_seen(arrivals)

@@ -81,7 +81,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Spread a table with fewer splits than cores, so that costly text work uses all of them.
 
-    A table with enough splits, which is any large one, is passed on without a shuffle.
+    A table with enough splits, which is any large one, is passed on without a shuffle. Meant for
+    plain scans, whose number of splits is known without running anything.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
