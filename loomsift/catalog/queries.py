@@ -266,10 +266,11 @@ def refilter_histogram(spark, sf):
 
 
 def _dataset_lines(spark, sf):
-    """JSON lines with blank and broken ones between."""
-    row = F.to_json(F.struct("text"))
-    line = F.when(F.col("doc_id") % 7 == 3, " ").when(F.col("doc_id") % 11 == 5, F.concat(F.lit("{\"text\": "), F.lit("oops"))).otherwise(row)
-    return d.docs_rich(spark, sf).select((F.col("doc_id") + 1).alias("line_no"), line.alias("value"))
+    """JSON lines, each followed by a blank and a broken one."""
+    broken = F.concat(F.lit('{"text": "'), F.col("url"))
+    lines = F.posexplode(F.array(F.to_json(F.struct("text")), F.lit(" "), broken)).alias("_k", "value")
+    numbered = d.docs_rich(spark, sf).select("doc_id", lines)
+    return numbered.select((F.col("doc_id") * 3 + F.col("_k") + 1).alias("line_no"), "value")
 
 
 def parse_jsonl(spark, sf):

@@ -138,7 +138,7 @@ def request_gap_audit(log: DataFrame, delay: float, bucket: str = "hour") -> Dat
     ends = df.groupBy("key", "_bucket").agg(F.max("ts").alias("_end"))
     ends = ends.select("key", "_bucket", F.lag("_end").over(W.partitionBy("key").orderBy("_bucket")).alias("_before"))
     inside = F.lag("ts").over(W.partitionBy("key", "_bucket").orderBy("ts", "id"))
-    joined = df.withColumn("_inside", inside).join(ends, ["key", "_bucket"])
+    joined = df.withColumn("_inside", inside).join(ends, ["key", "_bucket"], "left")
     gap = _seconds_between(F.coalesce("_inside", "_before"), F.col("ts"))
     return joined.select("key", "id", "ts", gap.alias("gap")).withColumn(
         "wait", F.greatest(F.lit(0.0), F.lit(float(delay)) - F.coalesce("gap", F.lit(float(delay))))

@@ -35,7 +35,7 @@ def junk_reason(text: Column, url: Column, lowered: Column, lines: Column, digit
         F.filter(first_lines, lambda x: (F.length(x) > 15) & (F.length(x) < 60) & x.rlike(r"^\p{IsUppercase}"))
     )
     n_words = word_count(text)
-    digits_rare = F.regexp_count(text, F.lit(r"\p{Nd}+")) / n_words < 0.015
+    digits_rare = F.try_divide(F.regexp_count(text, F.lit(r"\p{Nd}+")), n_words) < 0.015
     total_length = F.length(F.array_join(lines, ""))
     reason = (
         F.when(text.isNull() | lowered_url.contains(vocab.MEAL_BYPASS), None)
@@ -50,7 +50,7 @@ def junk_reason(text: Column, url: Column, lowered: Column, lines: Column, digit
     )
     if digit_density:
         reason = reason.when((n_words > 150) & digits_rare, vocab.REASON_DIGITS)
-    return reason.when((n_lines > 25) & (total_length / n_lines < 20), vocab.REASON_SHORT_LINES)
+    return reason.when((n_lines > 25) & (F.try_divide(total_length, n_lines) < 20), vocab.REASON_SHORT_LINES)
 
 
 def junk_gate(

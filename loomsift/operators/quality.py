@@ -51,7 +51,7 @@ def category_hits(lowered: Column, tokens: Column) -> list[Column]:
 
 def information_density(text: Column, n_words: Column, n_unique: Column, hits: list[Column]) -> Column:
     sentences = F.regexp_count(text, F.lit("[.!?]+"))
-    per_sentence = n_words / sentences
+    per_sentence = F.try_divide(n_words, sentences)
     pace = (
         F.when(per_sentence.between(15, 25), 20)
         .when((per_sentence >= 10) & (per_sentence <= 35), 10)
@@ -59,7 +59,7 @@ def information_density(text: Column, n_words: Column, n_unique: Column, hits: l
         .otherwise(0)
     )
     patterns = F.least(F.lit(30), reduce(lambda a, b: a + b, hits) * 3)
-    repetitive = F.when((n_words > 0) & (n_unique / n_words < 0.3), 20).otherwise(0)
+    repetitive = F.when(F.try_divide(n_unique, n_words) < 0.3, 20).otherwise(0)
     return F.when(sentences == 0, 0).otherwise(_clamp(F.lit(50) + pace + patterns - repetitive))
 
 
