@@ -38,7 +38,8 @@ def main() -> None:
     spark = local_session(cpus, "loomsift-bench")
     spark.sparkContext.setLogLevel("ERROR")
     registered = all_queries()
-    spark.read.parquet(f"{folder}/pages.parquet").count()  # start the executors
+    # one untimed query starts the executors and compiles the hot paths
+    registered["page_quality"](spark, folder).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in HEADLINE:
         start = time.perf_counter()
@@ -54,6 +55,7 @@ def main() -> None:
                 "queries": seconds,
                 "sf": folder.rstrip("/").rsplit("sf", 1)[-1],
                 "cpus": cpus,
+                "warmed_up": True,
                 "rows": rows,
                 "pages_per_minute_extract": round(rows["pages"] / seconds["extract_text"] * 60),
                 "pages_per_minute_curate": round(rows["pages"] / seconds["training_rows"] * 60),
