@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomsift.functions.session import fresh_folder
@@ -56,7 +57,15 @@ class Memo(dict):
         self.update(zip(new, self.make(new)))
 
 
+#: Rows that go to Python at once. The default of 10,000 is meant for narrow rows; texts are not.
+BATCH_ROWS = 1000
+
+
 def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow``, with batches of at most ``BATCH_ROWS`` rows from now on in the session."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) > BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
     return df.mapInArrow(fn, schema)
 
 
@@ -99,3 +108,25 @@ class Published:
         self.out.close()
         self.fs.move(self.part, self.path)
         return self.path
+
+
+def with_rows(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``(row, doc_id, text)`` with a number of its own for every row, in ascending order of id; and whether it is new.
+
+    Unique ids without nulls are the numbers themselves. Otherwise rows are numbered in the order of id, nulls last, and text,
+    from a range sort that is written once, so that the numbers stay when a task is repeated.
+    """
+    plain = id_text(docs)
+    counts = plain.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if counts[0] == counts[1] == counts[2]:
+        return plain.select(F.col("doc_id").alias("row"), "doc_id", "text"), False
+    order = [F.col("doc_id").asc_nulls_last(), F.col("text"), F.col("_at")]
+    dealt = plain.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stored(dealt.select("doc_id", "text", F.monotonically_increasing_id().alias("at")), "rows")
+    part = F.shiftright("at", 33).alias("part")
+    sizes = placed.groupBy(part).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per partition
+    sizes = sizes.select("part", before.alias("before"))
+    numbered = placed.withColumn("part", part).join(F.broadcast(sizes), "part")
+    row = F.col("at") - F.shiftleft(F.col("part"), 33) + F.col("before")
+    return numbered.select(row.alias("row"), "doc_id", "text"), True

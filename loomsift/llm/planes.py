@@ -13,8 +13,8 @@ zero at the top are left out.
 """
 
 import io
+import os
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,14 +138,18 @@ class ShardReader:
         return np.concatenate(parts) if parts else np.empty(0, np.uint32)
 
 
-def token_ids(path: str, limit: int = 300_000) -> tuple[Memo, Tokenizer]:
+def token_ids(path: str, limit: int = 150_000) -> Memo:
     """Little-endian ids of blank-free strings. The vocabulary drops white space and joins nothing across it."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
     tokenizer = Tokenizer.from_file(path)
 
     def make(words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        found = []
+        for at in range(0, len(words), 1000):  # what the library returns is large
+            found += [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words[at : at + 1000], add_special_tokens=False)]
+        return found
 
-    return Memo(make, limit), tokenizer
+    return Memo(make, limit)
 
 
 def write_ids(
@@ -161,10 +165,10 @@ def write_ids(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        memo, _ = token_ids(vocabulary_path)
+        memo = token_ids(vocabulary_path)
         shard, writer, name = TaskContext.get().partitionId(), None, ""
         end = np.array([end_id], "<u4").tobytes()
-        for part in pieces_of(batches, size=2 << 20):
+        for part in pieces_of(batches, size=1 << 20):
             if writer is None:
                 name = f"ids-{shard:06d}.planes"
                 writer = ShardWriter(folder, name, bits)
@@ -217,7 +221,3 @@ def id_digests(docs: DataFrame, vocabulary_path: str = f"{TOKENIZERS}/word_bpe_4
     """Write all documents and read them back: ``(doc_id, start, n_tokens, ids_crc32)``."""
     read = read_ids(write_ids(docs, shared_files(docs.sparkSession, "ids"), vocabulary_path))
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-
-def crc(ids: np.ndarray) -> int:
-    return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
