@@ -15,10 +15,14 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _count_of(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
 def op1_secrets(spark: SparkSession, sf: str) -> DataFrame:
     found = secrets.find_secrets(read_table(spark, sf, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in secrets.KINDS]
+    counts = [_count_of(kind) for kind in secrets.KINDS]
     return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 

@@ -50,16 +50,20 @@ def test_secrets_base_and_dense(spark):
 
 
 def test_secrets_query_equals_plain_patterns(spark):
-    rows = {r["doc_id"]: r for r in queries.op1_secrets(spark, SF).collect()}
+    sf = "/root/testdata/sf0.01"
+    rows = {r["doc_id"]: r for r in queries.op1_secrets(spark, sf).collect()}
     patterns = [
         ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 6, 2),
         ("access", re.compile("AKIA[A-Z0-9]+"), 20, 0),
         ("hex", re.compile("[0-9a-f]+"), 24, 0),
     ]
-    for d in given(spark, "documents").collect():
+    for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
         spans = sorted((m.start(), k, m.end()) for k, (_, p, least, g) in enumerate(patterns) for m in p.finditer(d["text"] or "") if len(m.group(g)) >= least)
         text = ",".join(f"{patterns[k][0]}:{s}:{e}" for s, k, e in spans)
-        assert rows[d["doc_id"]]["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        row = rows[d["doc_id"]]
+        assert row["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert [row[f"n_{p[0]}"] for p in patterns] == [sum(k == n for _, k, _ in spans) for n in range(3)]
+    assert any(r["n_assign"] for r in rows.values()) and any(r["n_access"] for r in rows.values())
 
 
 # 2 ----------------------------------------------------------------------------------------------------------------------
