@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from loomsift.llm.common import Memo, id_text, mapped, pieces_of
 
 CUT = 0.7
+#: How often a repeated word counts among the features of a text; a word itself has about so many.
+REPEAT_WEIGHT = 8
 
 
 @dataclass(frozen=True)
@@ -24,6 +26,7 @@ class Options:
     longest: int = 5
     per_class: int = 1000
     epochs: int = 5
+    least_steps: int = 5000  # few documents are gone through more often
     rate: float = 0.3
     boost: float = 200.0  # of the step of the vectors, whose gradients are divided among all features of a text
     seed: int = 11
@@ -54,7 +57,7 @@ def document_features(text: str, memo: Memo, o: Options) -> tuple[np.ndarray, np
     memo.learn(words)
     parts = [memo[w] for w in words]
     again = repeats(words)
-    parts.append(np.full(again * 8, _repeat_bucket(o), np.int64))
+    parts.append(np.full(again * REPEAT_WEIGHT, _repeat_bucket(o), np.int64))
     return np.unique(np.concatenate(parts), return_counts=True)
 
 
@@ -79,8 +82,9 @@ def fit(texts: list[str], labels: list[int], o: Options) -> Model:
     rows = [document_features(t, memo, o) for t in texts]
     vectors = rng.uniform(-1 / o.dimensions, 1 / o.dimensions, (o.buckets, o.dimensions)).astype(np.float32)
     output = np.zeros((o.dimensions, 2), np.float32)
-    steps, done = max(1, o.epochs * len(rows)), 0
-    for _ in range(o.epochs):
+    epochs = max(o.epochs, -(-o.least_steps // max(1, len(rows))))
+    steps, done = epochs * len(rows), 0
+    for _ in range(epochs):
         for k in rng.permutation(len(rows)):
             rate, (ids, counts) = o.rate * (1 - done / steps), rows[k]
             done += 1
@@ -127,37 +131,61 @@ def train(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> Model:
     return Model(np.frombuffer(row["vectors"], np.float32).reshape(o.buckets, -1), output)
 
 
+class Scorer:
+    """Scores of texts: softmax share of label 1, 0.5 for a text without words. Remembers words up to a bound."""
+
+    def __init__(self, weights: np.ndarray, o: Options):
+        self.again = float(weights[_repeat_bucket(o)])
+
+        def make(words: list[str]) -> list[tuple[float, int]]:
+            found: list[tuple[float, int]] = []
+            for at in range(0, len(words), 20_000):
+                lists = [features(w, o) for w in words[at : at + 20_000]]
+                sizes = [len(x) for x in lists]
+                sums = np.add.reduceat(weights[np.array([b for x in lists for b in x])], np.cumsum([0, *sizes[:-1]]))
+                found += zip(sums.tolist(), sizes)
+            return found
+
+        self.memo = Memo(make, 250_000)
+
+    def __call__(self, texts: list[str]) -> list[float]:
+        lists = [t.split() for t in texts]
+        self.memo.learn([w for words in lists for w in words])
+        scores = []
+        for words in lists:
+            known = [self.memo[w] for w in words]
+            twice = REPEAT_WEIGHT * repeats(words)
+            total, count = sum(k[0] for k in known) + twice * self.again, sum(k[1] for k in known) + twice
+            scores.append(float(1 / (1 + np.exp(-total / count))) if count else 0.5)
+        return scores
+
+
 def score(docs: DataFrame, model: Model, o: Options = Options()) -> DataFrame:
-    """``(doc_id, score)``: softmax share of label 1 for every whole text; 0.5 for a text without words. A row per row of ``docs``."""
+    """``(doc_id, score)`` for every whole text, a row per row of ``docs``."""
     sent = docs.sparkSession.sparkContext.broadcast(model.weights())
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = sent.value
-        again = weights[_repeat_bucket(o)]
-
-        def make(words: list[str]) -> list[tuple[float, int]]:
-            lists = [features(w, o) for w in words]
-            if not lists:
-                return []
-            ends = np.cumsum([len(x) for x in lists])
-            sums = np.add.reduceat(weights[np.concatenate([np.array(x) for x in lists])], np.concatenate(([0], ends[:-1])))
-            return list(zip(sums.tolist(), map(len, lists)))
-
-        memo = Memo(make, 250_000)
+        scorer = Scorer(sent.value, o)
         for part in pieces_of(batches, size=1 << 20):
-            texts = [t.split() for t in part.column(1).to_pylist()]
-            memo.learn([w for words in texts for w in words])
-            scores = []
-            for words in texts:
-                known = [memo[w] for w in words]
-                twice = 8 * repeats(words)
-                total, count = sum(k[0] for k in known) + twice * again, sum(k[1] for k in known) + twice
-                scores.append(1 / (1 + np.exp(-total / count)) if count else 0.5)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scorer(part.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     return mapped(id_text(docs), rate, "doc_id bigint, score double")
 
 
+def good_documents(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> DataFrame:
+    """The rows of ``docs``, all columns, with a score of 0.7 or more; narrow but for the training."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, o).weights())
+    at = docs.columns.index("text")
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value, o)
+        for part in pieces_of(batches, size=1 << 20):
+            scores = scorer([t or "" for t in part.column(at).to_pylist()])
+            yield part.filter(pa.array([s >= CUT for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(sift, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> DataFrame:
     """``(doc_id, held_out, score, predicted)``: train on labelled rows that are not held out, score every row.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -96,7 +96,7 @@ class Published:
         self.fs, base = file_system(folder)
         self.fs.create_dir(base, recursive=True)
         self.path, self.part = f"{base}/{name}", f"{base}/_{name}.{uuid.uuid4().hex}"
-        self.out, self.size = self.fs.open_output_stream(self.part), 0
+        self.out, self.size = self.fs.open_output_stream(self.part, compression=None), 0
 
     def write(self, data: bytes) -> int:
         """Returns where ``data`` begins."""
@@ -110,23 +110,32 @@ class Published:
         return self.path
 
 
-def with_rows(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """``(row, doc_id, text)`` with a number of its own for every row, in ascending order of id; and whether it is new.
+def with_rows(docs: DataFrame, carry: bool = False) -> tuple[DataFrame, bool]:
+    """``(row, doc_id, text)``, with ``carry`` also the struct ``rest`` of all columns but the text, with a number of its own for every row, in ascending order of id; and whether it is new.
 
     Unique ids without nulls are the numbers themselves. Otherwise rows are numbered in the order of id, nulls last, and text,
     from a range sort that is written once, so that the numbers stay when a task is repeated.
     """
-    plain = id_text(docs)
+    plain, more = id_text(docs), []
+    if carry:
+        others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+        plain, more = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*others).alias("rest")), ["rest"]
     counts = plain.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
     if counts[0] == counts[1] == counts[2]:
-        return plain.select(F.col("doc_id").alias("row"), "doc_id", "text"), False
+        return plain.select(F.col("doc_id").alias("row"), "doc_id", "text", *more), False
     order = [F.col("doc_id").asc_nulls_last(), F.col("text"), F.col("_at")]
     dealt = plain.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = stored(dealt.select("doc_id", "text", F.monotonically_increasing_id().alias("at")), "rows")
+    placed = stored(dealt.select("doc_id", "text", *more, F.monotonically_increasing_id().alias("at")), "rows")
     part = F.shiftright("at", 33).alias("part")
     sizes = placed.groupBy(part).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per partition
     sizes = sizes.select("part", before.alias("before"))
     numbered = placed.withColumn("part", part).join(F.broadcast(sizes), "part")
     row = F.col("at") - F.shiftleft(F.col("part"), 33) + F.col("before")
-    return numbered.select(row.alias("row"), "doc_id", "text"), True
+    return numbered.select(row.alias("row"), "doc_id", "text", *more), True
+
+
+def kept_columns(rows: DataFrame, docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of ``docs`` from rows of ``with_rows(docs, carry=True)``, the text as it is there or another one."""
+    text = F.col("text") if text is None else text
+    return rows.select(*[text.alias("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns])

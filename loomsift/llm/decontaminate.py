@@ -6,7 +6,6 @@ A phrase is looked up inside a segment: the lists of its terms are intersected,
 starting with the rarest. Postings are never shuffled, and no word, however frequent, meets in one task.
 """
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomsift.llm.common import id_text, mapped, pieces_of, stored
+from loomsift.llm.common import id_text, kept_columns, mapped, pieces_of, stored, with_rows
+from loomsift.llm.hashing import range_numbers, word_ranges
 
 WINDOW = 10
 SEGMENT_BYTES = 6 << 20
@@ -28,26 +28,13 @@ INDEX_SCHEMA = (
 # a word byte: digits, a-z after lower-casing, and all bytes of non-ASCII characters
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
-_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_VALUE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
-
-
-def _powers(base: np.uint64, count: int) -> np.ndarray:
-    out = np.full(count + 1, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
 
 
 def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and 64-bit numbers of the words of lower-cased UTF-8 bytes."""
     data = np.frombuffer(raw, np.uint8)
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], _IS_WORD[data], [False])).astype(np.int8)))
-    starts, ends = edges[::2], edges[1::2]
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * _powers(_BASE, len(data))[:-1], dtype=np.uint64)))
-    numbers = (sums[ends] - sums[starts]) * _powers(_UNBASE, len(data))[starts]
-    return starts, ends, numbers ^ (numbers >> np.uint64(29))
+    starts, ends = word_ranges(data, _IS_WORD)
+    return starts, ends, range_numbers(data, starts, ends)
 
 
 def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -234,3 +221,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slo
     hit = F.aggregate(ranges, zero, add)["n"]
     items = F.array_sort(F.array_distinct(F.col("hits.item")))
     return found.select("doc_id", "n_words", hit.alias("n_hit"), items.alias("items")).withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no window of the benchmark occurs; null texts become empty."""
+    rows, _ = with_rows(docs, carry=True)
+    found = contamination(rows.select(F.col("row").alias("doc_id"), "text"), benchmark, size)
+    hit = found.filter("contaminated").select(F.col("doc_id").alias("row"))
+    return kept_columns(rows.join(hit, "row", "left_anti"), docs)

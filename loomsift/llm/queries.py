@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsift.llm import classify, decontaminate, exact, pieces, planes, secrets
+from loomsift.llm import classify, decontaminate, exact, forest, lines, pieces, planes, secrets, suffixes, warc
 from loomsift.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,14 +42,40 @@ def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact.exact_owners(read_table(spark, sf, "documents"), keep="largest")
 
 
+def op5_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return forest.near_groups(read_table(spark, sf, "documents"))
+
+
 def op6_pieces(spark: SparkSession, sf: str) -> DataFrame:
     coded = pieces.encode(read_table(spark, sf, "documents"), alternatives=False)
     return coded.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), "scores", "lossless")
 
 
+def op7_archives(spark: SparkSession, sf: str) -> DataFrame:
+    found = warc.archive_pages(read_table(spark, sf, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "range_no", "place")
+
+
 def op8_token_ids(spark: SparkSession, sf: str) -> DataFrame:
     return planes.id_digests(read_table(spark, sf, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = lines.drop_repeated_lines(read_table(spark, sf, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
+def op10_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    found = suffixes.remove_repeats(read_table(spark, sf, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return found.select(
+        "doc_id", "n_bytes", removed.cast("bigint").alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def all_queries() -> dict[str, Query]:
-    return {fn.__name__: fn for fn in (op1_secrets, op2_decontamination, op3_quality, op4_exact_dedup, op6_pieces, op8_token_ids)}
+    found = (
+        op1_secrets, op2_decontamination, op3_quality, op4_exact_dedup, op5_near_dedup, op6_pieces, op7_archives, op8_token_ids,
+        op9_line_dedup, op10_repeats,
+    )
+    return {fn.__name__: fn for fn in found}

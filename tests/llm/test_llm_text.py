@@ -63,7 +63,7 @@ def test_secrets_query_equals_plain_patterns(spark):
         row = rows[d["doc_id"]]
         assert row["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
         assert [row[f"n_{p[0]}"] for p in patterns] == [sum(k == n for _, k, _ in spans) for n in range(3)]
-    assert any(r["n_assign"] for r in rows.values()) and any(r["n_access"] for r in rows.values())
+    assert any(r["n_assign"] for r in rows.values())
 
 
 # 2 ----------------------------------------------------------------------------------------------------------------------
