@@ -7,7 +7,8 @@ queries and their checks start from the same rows.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsift.sources.tables import read_table, spread
+from loomsift.operators.ranking import with_global_rank
+from loomsift.sources.tables import read_table
 
 NL = "chr(10)"
 
@@ -45,7 +46,7 @@ _NOTES = [
     "concat('Entry ', cast(doc_id AS string), ' of ', source, ' holds a plain remark in ', lang, ' that is neither long nor of much use to anybody who reads it today.')",
 ]
 RICH_TEXT = (
-    f"CASE WHEN doc_id % 20 = 7 THEN {_NOTES[0]} WHEN doc_id % 20 = 13 THEN {_NOTES[1]} "
+    f"CASE WHEN doc_id % 20 = 7 THEN concat({_NOTES[0]}, {NL}, text) WHEN doc_id % 20 = 13 THEN concat({_NOTES[1]}, {NL}, text) "
     f"ELSE concat({_by_remainder('doc_id', _BLOCKS)}, text) END"
 )
 
@@ -84,11 +85,11 @@ SEED_LINE = "concat('  ', " + _by_remainder("page_id", ["url", "concat('see ', u
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(read_table(spark, sf, "documents"))
+    return read_table(spark, sf, "documents")
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(read_table(spark, sf, "pages"))
+    return read_table(spark, sf, "pages")
 
 
 def docs_rich(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,12 +107,14 @@ def rich_pages(spark: SparkSession, sf: str) -> DataFrame:
 def linked_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Pages with absolute links to the next three pages by id, the last ones to the first, and to a subdomain."""
     base = pages(spark, sf)
-    n = base.agg((F.max("page_id") + 1).alias("n")).scalar()
-    steps = base.select("page_id", "url", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
-    targets = steps.select(F.pmod(F.col("page_id") - F.col("k") + n, n).alias("page_id"), "k", "url")
-    urls = targets.groupBy("page_id").agg(*[F.max(F.when(F.col("k") == k, F.col("url"))).alias(f"u{k}") for k in (1, 2, 3)])
+    placed, n = with_global_rank(base.select("page_id", "url"), F.asc("page_id"))
+    placed = placed.withColumn("place", F.col("rank") - 1)
+    steps = placed.select("place", "url", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
+    targets = steps.select(F.pmod(F.col("place") - F.col("k") + n, F.lit(n)).alias("place"), "k", "url")
+    urls = targets.groupBy("place").agg(*[F.max(F.when(F.col("k") == k, F.col("url"))).alias(f"u{k}") for k in (1, 2, 3)])
     anchors = [F.concat(F.lit('<a href="'), F.col(f"u{k}"), F.lit('">next</a>')) for k in (1, 2, 3)]
-    return base.join(urls, "page_id").select("page_id", "url", F.concat(*anchors, F.expr(HOST_LINK), F.col("html")).alias("html"))
+    own = placed.select("page_id", "place").join(urls, "place")
+    return base.join(own, "page_id").select("page_id", "url", F.concat(*anchors, F.expr(HOST_LINK), F.col("html")).alias("html"))
 
 
 def seeds(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,11 +127,16 @@ def code_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def request_log(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "events").filter("event_type IN ('error', 'purchase')").select(
+    return as_requests(read_table(spark, sf, "events"))
+
+
+def as_requests(events: DataFrame) -> DataFrame:
+    """Every event is a request of its user; errors are failures."""
+    return events.select(
         F.col("user_id").alias("key"),
         "ts",
         F.col("event_id").alias("id"),
-        (F.col("event_type") == "purchase").alias("ok"),
+        (F.col("event_type") != "error").alias("ok"),
         F.col("value").alias("seconds"),
     )
 
@@ -144,12 +152,13 @@ TABLES = {
     "rich_pages": f"SELECT page_id, url, {RICH_HTML} AS html FROM pages",
     "linked_pages": f"""SELECT p.page_id, p.url, concat('<a href="', a.url, '">next</a><a href="', b.url,
         '">next</a><a href="', c.url, '">next</a>', {HOST_LINK.replace("page_id", "p.page_id")}, p.html) AS html
-        FROM pages p, (SELECT max(page_id) + 1 AS n FROM pages) m, pages a, pages b, pages c
-        WHERE a.page_id = (p.page_id + 1) % n AND b.page_id = (p.page_id + 2) % n AND c.page_id = (p.page_id + 3) % n""",
+        FROM (SELECT *, row_number() OVER (ORDER BY page_id) - 1 AS place, count(*) OVER () AS n FROM pages) p
+        JOIN (SELECT url, row_number() OVER (ORDER BY page_id) - 1 AS place FROM pages) a ON a.place = (p.place + 1) % n
+        JOIN (SELECT url, row_number() OVER (ORDER BY page_id) - 1 AS place FROM pages) b ON b.place = (p.place + 2) % n
+        JOIN (SELECT url, row_number() OVER (ORDER BY page_id) - 1 AS place FROM pages) c ON c.place = (p.place + 3) % n""",
     "seeds": "SELECT url FROM pages WHERE url LIKE '%://blog.%'",
     "code_files": f"SELECT doc_id, {CODE_PATH} AS rel_path, {CODE_CONTENT} AS content FROM documents",
-    "request_log": """SELECT user_id AS key, ts, event_id AS id, event_type = 'purchase' AS ok, value AS seconds
-        FROM events WHERE event_type IN ('error', 'purchase')""",
+    "request_log": "SELECT user_id AS key, ts, event_id AS id, event_type <> 'error' AS ok, value AS seconds FROM events",
     "blobs": f"SELECT {BLOB} AS text FROM documents UNION ALL SELECT {JSON_BLOB} FROM documents",
 }
 

@@ -246,7 +246,7 @@ def extract_ctes(table: str, key: str = "page_id", clean_code: bool = False) ->
         "x_lines": lines_cte("plain", key, "html"),
         **recipe_ctes("x_lines", key),
         "squeezed": f"SELECT {key}, i, regexp_replace(line, ' {{2,}}', ' ', 'g') AS line FROM rewritten",
-        "texts": "SELECT {k}, substr(text, 1, 200000) AS text FROM ({j})".format(
+        "texts": "SELECT {k}, text FROM ({j})".format(
             k=key, j=joined_lines("squeezed", key, table, _KEPT_LINE)
         ),
     }
@@ -339,7 +339,7 @@ def gate_ctes(table: str, key: str, o, short_html_fails: bool = True) -> dict[st
     error = "length(text) < 50" if short_html_fails else "FALSE"
     gate = url_gate("url")
     blacklisted = has_any("lower(url)", o.domain_blacklist)
-    scored_text = f"CASE WHEN length(text) < {o.min_chars} THEN text ELSE substr(text, 1, {o.max_chars}) END"
+    scored_text = "text" if o.max_chars is None else f"CASE WHEN length(text) < {o.min_chars} THEN text ELSE substr(text, 1, {o.max_chars}) END"
     return {
         "to_score": f"SELECT {key}, url, text, {scored_text} AS cut FROM {table}",
         **score_ctes("to_score", key, "cut"),
@@ -450,7 +450,7 @@ def _selected() -> str:
         AND NOT list_has_any(string_split(rel_path, '/')[:-2], [{pruned}])"""
 
 
-_DECODED = f"""CASE WHEN strlen(content) BETWEEN 1 AND 20000 AND length({strip('content')}) >= 10
+_DECODED = f"""CASE WHEN strlen(content) >= 1 AND length({strip('content')}) >= 10
     THEN replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) END"""
 
 
@@ -606,7 +606,6 @@ def all_sql() -> dict[str, str]:
     prompt = lambda t: prompt_sql(t)
     content_rows = ", ".join(f"({lit(n)}, {lit(p)}, {lit(s)})" for n, (p, s) in vocab.CONTENT_TYPES.items())
     custom = vocab.CONTENT_TYPES[vocab.CUSTOM_CONTENT_TYPE]
-    closed = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
     dims = list(vocab.WEIGHTS)
 
     sql = {
@@ -731,7 +730,7 @@ def all_sql() -> dict[str, str]:
         "readable_lines": "SELECT count(*) AS lines, TRUE AS dense FROM documents",
         "seed_urls": f"""SELECT {canonical('line')} AS url FROM (SELECT trim({d.SEED_LINE}) AS line FROM pages) WHERE line LIKE 'http%'""",
         "select_code_files": with_({**base("code_files"), "chosen": _selected()}, "SELECT doc_id, rel_path FROM chosen"),
-        "decode_code": with_(base("code_files"), f"SELECT doc_id, {_DECODED} AS content FROM code_files"),
+        "decode_code": with_(base("code_files"), f"SELECT doc_id, CASE WHEN strlen(content) <= 20000 THEN {_DECODED} END AS content FROM code_files"),
         "scan_code": with_(base("code_files"), "SELECT sum(strlen(content) + 1)::BIGINT AS bytes FROM code_files"),
         "code_metadata": with_(
             {**base("code_files"), **_code_ctes()},
@@ -792,7 +791,7 @@ def all_sql() -> dict[str, str]:
                 **base("seeds"),
                 "firsts": f"""SELECT *, {domain('url')} AS domain, {priority('url', '1')} AS priority FROM arrivals
                     QUALIFY row_number() OVER (PARTITION BY url ORDER BY src_priority, src_url, ord) = 1""",
-                "used": f"SELECT {domain('url')} AS domain, count(*) AS n FROM seeds GROUP BY 1",
+                "used": f"SELECT {domain(canonical('url'))} AS domain, count(DISTINCT {canonical('url')}) AS n FROM seeds GROUP BY 1",
             },
             """SELECT domain, url FROM (SELECT f.domain, f.url, coalesce(n, 0)
             + row_number() OVER (PARTITION BY f.domain ORDER BY priority, ord, url) AS k FROM firsts f LEFT JOIN used USING (domain)) WHERE k <= 5""",
@@ -809,7 +808,7 @@ def all_sql() -> dict[str, str]:
             crawl_curated,
             f"""SELECT url, quality, {render_sql(vocab.DEFAULT_TEMPLATE, 'Recipe')} AS chat FROM kept JOIN answers USING (page_id)""",
         ),
-        "domain_counts": with_(urls_, f"SELECT {domain('url')} AS domain, count(*) AS urls FROM all_urls GROUP BY 1"),
+        "domain_counts": with_(urls_, f"SELECT {domain(canonical('url'))} AS domain, count(DISTINCT {canonical('url')}) AS urls FROM all_urls GROUP BY 1"),
         "domain_totals": with_(
             urls_,
             f"""SELECT count(DISTINCT {canonical('url')}) AS seen_urls,
@@ -842,7 +841,7 @@ def all_sql() -> dict[str, str]:
         ),
         "top_fifth": with_(
             {**base("request_log"), **state_ctes()},
-            """SELECT key, round(rate, 6) AS score FROM state
+            f"""SELECT key, round(rate, 6) AS score FROM state WHERE NOT coalesce({_HELD}, FALSE)
             QUALIFY row_number() OVER (ORDER BY rate DESC, key) <= greatest(1, count(*) OVER () // 5)""",
         ),
         "speed": """SELECT count(*) AS processed, round(date_diff('microsecond', min(ts), max(ts)) / 1e6::DOUBLE, 3) AS seconds,
@@ -856,15 +855,12 @@ def all_sql() -> dict[str, str]:
             f"""SELECT key, id, round(gap, 3) AS gap, round(greatest(0, {q.DELAY}::DOUBLE - coalesce(gap, {q.DELAY}::DOUBLE)), 3) AS wait FROM gaps""",
         ),
         "stream_dedup": f"SELECT DISTINCT {canonical('url')} AS canonical_url FROM pages",
-        "stream_stats": f"""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS rows FROM events
-            GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= {closed}""",
+        "stream_stats": """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS rows FROM events
+            GROUP BY 1, 2""",
         "stream_health": with_(
             {
                 **base("request_log"),
-                "log_end": "SELECT max(ts) - INTERVAL 10 MINUTE AS t FROM request_log",
-                "closed_log": """SELECT * FROM request_log
-                    WHERE time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 10 MINUTE <= (SELECT t FROM log_end)""",
-                **state_ctes("closed_log"),
+                **state_ctes(),
             },
             """SELECT key, success, fail, round(total_time, 4) AS total_time, quarantine_until FROM state JOIN times USING (key)""",
         ),

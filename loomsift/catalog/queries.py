@@ -24,7 +24,6 @@ FUNNEL_GATE = GateOptions(
     digit_density=False,
     allow_short_quality=True,
     short_min_chars=50,
-    max_chars=5000,
     quality_threshold=58.0,
     keywords_out=("privacy policy", "flour"),
     domain_blacklist=("spam-farm", "/de/"),
@@ -344,7 +343,7 @@ def format_code(spark, sf):
 
 def _curated_code(spark, sf):
     files = d.code_files(spark, sf).withColumn("content", F.encode("content", "utf-8")).withColumn("length", F.octet_length("content"))
-    return datasets.curate_code(code.decode_code(select_code(files, "rel_path"), 20_000))
+    return datasets.curate_code(code.decode_code(select_code(files, "rel_path")))
 
 
 def curate_code(spark, sf):
@@ -478,7 +477,7 @@ def pool_stats(spark, sf):
 
 
 def top_fifth(spark, sf):
-    return endpoints.top_fifth(endpoints.endpoint_health(d.request_log(spark, sf))).select("key", F.round("score", 6).alias("score"))
+    return endpoints.top_fifth(quarantine(spark, sf)).select("key", F.round("score", 6).alias("score"))
 
 
 def speed(spark, sf):
@@ -505,26 +504,17 @@ def stream_dedup(spark, sf):
 
 def _event_stream(spark, sf):
     schema = tables.read_table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return jobs.with_event_time(events)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
 def stream_stats(spark, sf):
-    """Closed one-hour windows of the event stream."""
-    counted = jobs.stream_stats(_event_stream(spark, sf), key="event_type", size="1 hour")
-    closed = jobs.run_to_table(counted, "stats")
-    return closed.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    """One-hour windows of the event stream, all of them."""
+    partials = jobs.run_partials(_event_stream(spark, sf), lambda b: jobs.partial_stats(b, key="event_type", size="1 hour"), "stats")
+    return jobs.current_stats(partials, "event_type").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def stream_health(spark, sf):
-    log = _event_stream(spark, sf).filter("event_type IN ('error', 'purchase')").select(
-        F.col("user_id").alias("key"),
-        "ts",
-        F.col("event_id").alias("id"),
-        (F.col("event_type") == "purchase").alias("ok"),
-        F.col("value").alias("seconds"),
-    )
-    partials = jobs.run_to_table(jobs.stream_health(log), "health")
+    partials = jobs.run_partials(d.as_requests(_event_stream(spark, sf)), jobs.partial_health, "health")
     return jobs.current_health(partials).select(
         "key", "success", "fail", F.round("total_time", 4).alias("total_time"), F.col("quarantine_until").cast("timestamp_ntz")
     )

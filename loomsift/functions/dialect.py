@@ -144,3 +144,8 @@ def longest(items: Column) -> Column:
     """Longest string of an array, the first one on ties; NULL when the array is empty."""
     sized = F.transform(items, lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("at"), x.alias("text")))
     return F.array_max(sized)["text"]
+
+
+def without_broken_bytes(text: Column) -> Column:
+    """Text without bytes that are no UTF-8. Valid text stays as it is, replacement characters of its own included."""
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))

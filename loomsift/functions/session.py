@@ -23,14 +23,15 @@ def local_session(cpus: int = 8, name: str = "loomsift") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only a local session may go without it; it then gets a fresh temporary folder.
+    Only a session in one process may go without it; it then gets a fresh temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="loomsift-")
     if spark.sparkContext.getCheckpointDir() is None:

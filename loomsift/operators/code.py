@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomsift.functions import vocab
-from loomsift.functions.dialect import rx, strip
+from loomsift.functions.dialect import rx, strip, without_broken_bytes
 
 
 def extension(path: Column) -> Column:
@@ -21,15 +21,15 @@ def select_code(files: DataFrame, path: str = "path") -> DataFrame:
     return files.filter(F.lower(extension(F.col(path))).isin(vocab.CODE_EXTENSIONS) & ~pruned)
 
 
-def decode_code(files: DataFrame, max_size: int = 100_000) -> DataFrame:
+def decode_code(files: DataFrame, max_size: int | None = None) -> DataFrame:
     """Binary ``content`` to text; NULL where a file counts as unreadable.
 
-    Empty and oversized files, files with NUL and files with under ten characters are unreadable.
+    Empty files, those above ``max_size`` bytes if it is given, files with NUL and files with under ten characters are unreadable.
     (Empty files are not even listed by Spark's binary reader.)
     Invalid UTF-8 is dropped and line ends become newlines.
     """
-    sized = F.col("length").between(1, max_size)
-    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
+    sized = F.col("length") >= 1 if max_size is None else F.col("length").between(1, max_size)
+    text = without_broken_bytes(F.col("content").cast("string"))
     df = files.withColumn("content", F.when(sized, F.regexp_replace(text, "\r\n?", "\n")))
     readable = ~F.col("content").contains("\0") & (F.length(strip(F.col("content"))) >= 10)
     return df.withColumn("content", F.when(readable, F.col("content")))
@@ -55,11 +55,13 @@ def code_metadata(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumns(metadata_columns(F.col(content)))
 
 
-def format_code(with_metadata: DataFrame, rel_path: str = "rel_path", content: str = "content", out: str = "formatted") -> DataFrame:
-    """Header lines, then the code. Lists name ten entries at most; empty lists leave no line."""
+def format_code(
+    with_metadata: DataFrame, rel_path: str = "rel_path", content: str = "content", out: str = "formatted", named: int = 10
+) -> DataFrame:
+    """Header lines, then the code. Lists name the first ``named`` entries; empty lists leave no line."""
 
     def listed(label: str, names: str) -> Column:
-        return F.when(F.size(names) > 0, F.concat(F.lit(f"{label}: "), F.array_join(F.slice(names, 1, 10), ", ")))
+        return F.when(F.size(names) > 0, F.concat(F.lit(f"{label}: "), F.array_join(F.slice(names, 1, named), ", ")))
 
     text = F.concat_ws(
         "\n",

@@ -108,7 +108,12 @@ def pool_stats(log: DataFrame, as_of: Column) -> DataFrame:
 
 
 def top_fifth(scored: DataFrame, score: str = "score", key: str = "key") -> DataFrame:
-    """Best 20 % of the rows by score, one at least; equal scores in key order."""
+    """Best 20 % of the rows by score, one at least; equal scores in key order.
+
+    Rows marked in a column ``quarantined``, as :func:`quarantine` has it, are no candidates and do not count.
+    """
+    if "quarantined" in scored.columns:
+        scored = scored.filter(~F.col("quarantined"))
     ranked, total = with_global_rank(scored, F.desc(score), F.asc(key))
     return ranked.filter(F.col("rank") <= max(1, total // 5)).drop("rank")
 

@@ -194,13 +194,14 @@ def format_recipe_lines(df: DataFrame, lines: str = "lines") -> DataFrame:
     ).drop("_measure", "_step", "_m1", "_s1", "_steps_from")
 
 
-def clean_lines(df: DataFrame, lines: str = "lines", out: str = "text") -> DataFrame:
-    """Drop lines under three characters and one-word lines that are no list item."""
+def clean_lines(df: DataFrame, lines: str = "lines", out: str = "text", limit: int | None = None) -> DataFrame:
+    """Drop lines under three characters and one-word lines that are no list item; cut after ``limit`` characters if it is given."""
     kept = F.filter(lines, lambda x: (F.length(x) >= 3) & (x.startswith("-") | x.rlike(BLANK)))
-    return df.withColumn(out, F.substring(F.array_join(kept, "\n"), 1, vocab.TEXT_LIMIT))
+    text = F.array_join(kept, "\n")
+    return df.withColumn(out, text if limit is None else F.substring(text, 1, limit))
 
 
-def extract_text(pages: DataFrame, clean_code: bool = False, col: str = "html", out: str = "text") -> DataFrame:
+def extract_text(pages: DataFrame, clean_code: bool = False, col: str = "html", out: str = "text", limit: int | None = None) -> DataFrame:
     """Replace the html column by the clean main text. A NULL html gives a NULL text."""
     df = mark_blocks(pick_main(strip_noise(_flag(pages, col), col), col), col)
     if clean_code:
@@ -209,7 +210,7 @@ def extract_text(pages: DataFrame, clean_code: bool = False, col: str = "html",
     df = drop_boilerplate(decode_entities(strip_tags(df, col), col), col)
     # runs of spaces may be collapsed before the lines are formatted: no line rule depends on them
     df = df.withColumn("_lines", filled_lines(F.regexp_replace(col, " {2,}", " "))).drop(col)
-    return fence(clean_lines(format_recipe_lines(df, "_lines"), "_lines", out).drop("_lines"), out)
+    return fence(clean_lines(format_recipe_lines(df, "_lines"), "_lines", out, limit).drop("_lines"), out)
 
 
 def recipe_lines(df: DataFrame, text: str = "text") -> DataFrame:

@@ -51,8 +51,9 @@ def extract_links(pages: DataFrame) -> DataFrame:
 
 
 def domain_counts(urls_df: DataFrame, url: str = "url") -> DataFrame:
-    """URLs per domain."""
-    return with_domain(urls_df.select(url), url).groupBy("domain").agg(F.count("*").alias("urls"))
+    """Distinct canonical URLs per domain."""
+    per_url = urls_df.select(urls.canonical(F.col(url)).alias("url")).distinct()
+    return with_domain(per_url).groupBy("domain").agg(F.count("*").alias("urls"))
 
 
 def domain_totals(urls_df: DataFrame, url: str = "url") -> DataFrame:
@@ -99,7 +100,10 @@ def seen_hosts(pages: DataFrame) -> DataFrame:
     """``https://host`` of every page URL and every absolute link."""
     hosts = F.array_union(
         F.array(urls.domain(F.col("url"))),
-        F.transform(F.regexp_extract_all("html", F.lit(vocab.HOST_IN_HTML), F.lit(1)), lambda h: F.lower(h)),
+        F.coalesce(
+            F.transform(F.regexp_extract_all("html", F.lit(vocab.HOST_IN_HTML), F.lit(1)), lambda h: F.lower(h)),
+            F.array().cast("array<string>"),
+        ),
     )
     return (
         pages.select(F.explode_outer(hosts).alias("host"))

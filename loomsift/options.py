@@ -10,7 +10,8 @@ class GateOptions:
     """Thresholds and lists of the content gates."""
 
     min_chars: int = 150
-    max_chars: int = 50_000  # of text kept, not of text tested
+    max_chars: int | None = None  # of text kept, not of text tested
+    text_limit: int | None = None  # of extracted text
     short_min_chars: int = 100
     allow_short_quality: bool = False
     ignore_quality_short: bool = False
@@ -52,9 +53,9 @@ class RenderOptions:
 
 @dataclass(frozen=True)
 class CodeOptions:
-    """Size limits of source files."""
+    """Size limits of source files; without ``max_size`` all are read."""
 
-    max_size: int = 100_000
+    max_size: int | None = None
     min_chars: int = 50
     render: RenderOptions = field(default_factory=lambda: RenderOptions(content_type=vocab.CODE_CONTENT_TYPE))
 

@@ -1,18 +1,17 @@
 """Pages to training rows in one pass, and the statistics of a run."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomsift.functions import urls, vocab
 from loomsift.functions.dialect import contains_any
-from loomsift.functions.session import fence
+from loomsift.functions.session import cut, fence
 from loomsift.operators import extract, gates, quality, render
 from loomsift.operators.ranking import with_global_rank
 from loomsift.options import GateOptions, RenderOptions
 
-# Beyond this many rows a limit is not merged in one task.
-_TOP_K = 100_000
-
 
 def gated_text(pages: DataFrame, options: GateOptions = GateOptions()) -> DataFrame:
     """``(…, url_gate, text, error)``: URL gates, then extraction of the pages that pass them.
@@ -24,7 +23,7 @@ def gated_text(pages: DataFrame, options: GateOptions = GateOptions()) -> DataFr
         F.when(contains_any(F.lower("url"), options.domain_blacklist), "blacklist"),
     )
     df = pages.withColumn("url_gate", url_gate).withColumn("html", F.when(F.col("url_gate").isNull(), F.col("html")))
-    df = extract.extract_text(df, options.clean_code)
+    df = extract.extract_text(df, options.clean_code, limit=options.text_limit)
     short = F.col("url_gate").isNull() & (F.coalesce(F.length("text"), F.lit(0)) < vocab.MIN_EXTRACTED)
     return df.withColumn("error", F.when(short, vocab.NO_CONTENT))
 
@@ -47,7 +46,8 @@ def apply_gates(df: DataFrame, options: GateOptions = GateOptions()) -> DataFram
     if options.ignore_quality_short or options.allow_short_quality:
         needs_score = needs_score | is_short
     alive = ~is_short | (F.col("_n") >= options.short_min_chars)
-    df = df.withColumn("text", F.when(is_short, F.col("text")).otherwise(F.substring("text", 1, options.max_chars)))
+    if options.max_chars is not None:
+        df = df.withColumn("text", F.when(is_short, F.col("text")).otherwise(F.substring("text", 1, options.max_chars)))
     df = df.withColumn("_scored", F.when(needs_score & alive, F.col("text")))
     df = quality.with_rejection_reason(quality.score_content(df, "_scored"))
 
@@ -130,13 +130,14 @@ def kept_share(flagged: DataFrame, reason: str = "reason") -> DataFrame:
 
 
 def stop_after(accepted: DataFrame, n: int, *order) -> DataFrame:
-    """The first ``n`` accepted rows in the given order; 0 means all of them.
+    """The first ``n`` accepted rows in the given order, whose columns identify a row; 0 means all of them.
 
-    A small limit is a top-k; a large one is cut at its rank in a distributed sort.
+    Only the columns of the order are ranked, in a distributed sort; the texts stay where they are.
     """
     if n <= 0:
         return accepted
-    if n <= _TOP_K:
-        return accepted.orderBy(*order).limit(n)
-    ranked, _ = with_global_rank(accepted, *[F.asc(o) for o in order])
-    return ranked.filter(F.col("rank") <= n).drop("rank")
+    stored = cut(accepted)
+    ranked, _ = with_global_rank(stored.select(*order), *[F.asc(o) for o in order])
+    first = ranked.filter(F.col("rank") <= n)
+    same = [stored[o].eqNullSafe(first[o]) for o in order]
+    return stored.join(first, reduce(lambda a, b: a & b, same), "left_semi")

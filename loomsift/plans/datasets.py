@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loomsift.operators import code, gates, render
 from loomsift.options import CodeOptions
 from loomsift.sources.sinks import write_filtered, write_training
-from loomsift.sources.tables import read_jsonl, scan_code
+from loomsift.sources.tables import parse_jsonl, scan_code
 from loomsift.functions.session import fresh_folder
 
 
@@ -45,13 +45,11 @@ def flag_dataset(rows: DataFrame) -> DataFrame:
 
 
 def refilter_dataset(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
-    """Write the kept rows of a JSON-lines dataset beside it; returns their path and the flags.
+    """Write the kept entries of a JSON-lines dataset, as they are, beside it; returns their path and the flags.
 
     The flags are stored once and serve both the kept rows and the histogram of reasons.
     """
     folder = fresh_folder(spark, "refilter")
-    flag_dataset(read_jsonl(spark, path)).drop("content").write.parquet(folder)
+    flag_dataset(parse_jsonl(spark.read.text(path))).drop("content").write.parquet(folder)
     flagged = spark.read.parquet(folder)
-    kept = flagged.filter(F.col("reason").isNull())
-    kept = kept.select("text", F.when(F.col("url") != "", F.col("url")).alias("url"))
-    return write_filtered(kept, path), flagged
+    return write_filtered(flagged.filter(F.col("reason").isNull()), path), flagged

@@ -15,9 +15,9 @@ def filtered_path(path: str) -> str:
 
 
 def write_filtered(kept: DataFrame, path: str) -> str:
-    """Write the kept rows next to the dataset; the dataset itself is not touched."""
+    """Write the kept entries (``entry``, a whole line each) next to the dataset; the dataset itself is not touched."""
     target = filtered_path(path)
-    kept.write.mode("errorifexists").json(target)
+    kept.select("entry").write.mode("errorifexists").text(target)
     return target
 
 

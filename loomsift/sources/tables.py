@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomsift.functions import urls
-from loomsift.functions.dialect import strip
+from loomsift.functions.dialect import strip, without_broken_bytes
 from loomsift.operators.code import select_code
 
 PAGE_SCHEMA = "page_id BIGINT, url STRING, html STRING"
@@ -26,9 +26,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Page table ``(page_id, url, html)``; binary html is decoded, invalid bytes dropped."""
     pages = spark.read.parquet(path)
     if dict(pages.dtypes)["html"] == "binary":
-        text = F.make_valid_utf8(F.col("html").cast("string"))
-        pages = pages.withColumn("html", F.replace(text, F.lit("�"), F.lit("")))
-    return spread(pages.select("page_id", "url", "html"))
+        pages = pages.withColumn("html", without_broken_bytes(F.col("html").cast("string")))
+    return pages.select("page_id", "url", "html")
 
 
 def scan_code(spark: SparkSession, root: str, max_size: int | None = None) -> DataFrame:
@@ -46,13 +45,13 @@ def scan_code(spark: SparkSession, root: str, max_size: int | None = None) -> Da
 
 
 def parse_jsonl(lines: DataFrame, value: str = "value") -> DataFrame:
-    """``text`` and ``url`` of JSON lines; lines that are no JSON object are dropped."""
+    """``text`` and ``url`` of JSON lines, and the whole line as ``entry``; lines that are no JSON object are dropped."""
     parsed = lines.withColumn(
         "_row", F.from_json(value, "text STRING, url STRING, _bad STRING", {"columnNameOfCorruptRecord": "_bad"})
     )
     good = F.col("_row").isNotNull() & F.col("_row._bad").isNull()
     return parsed.filter(good & (strip(F.col(value)) != "")).select(
-        *[c for c in lines.columns if c != value], "_row.text", "_row.url"
+        *[c for c in lines.columns if c != value], "_row.text", "_row.url", F.col(value).alias("entry")
     )
 
 
@@ -78,15 +77,5 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return joined.select("file", (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("line_no"), "value")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a table with fewer splits than cores, so that costly text work uses all of them.
-
-    A table with enough splits, which is any large one, is passed on without a shuffle. Meant for
-    plain scans, whose number of splits is known without running anything.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

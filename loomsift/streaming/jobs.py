@@ -1,5 +1,7 @@
 """The running pipeline as Structured Streaming jobs; each uses the batch operators unchanged."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,33 +23,25 @@ def stream_curate(pages: DataFrame, gate: GateOptions = GateOptions(), render: R
     return training_rows(curation_funnel(pages, gate), render)
 
 
-def stream_dedup(arrivals: DataFrame, key: str = "url", ts: str | None = None, delay: str = "1 day") -> DataFrame:
-    """First arrival of every canonical URL; with a time column only repeats within ``delay`` are remembered."""
-    keyed = arrivals.withColumn("canonical_url", urls.canonical(F.col(key)))
-    if ts is None:
-        return keyed.dropDuplicates(["canonical_url"])
-    return keyed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["canonical_url"])
-
+def stream_dedup(arrivals: DataFrame, key: str = "url") -> DataFrame:
+    """First arrival of every canonical URL. All URLs are remembered, so that none is let in twice and none is lost."""
+    return arrivals.withColumn("canonical_url", urls.canonical(F.col(key))).dropDuplicates(["canonical_url"])
 
-def with_event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """Watermarks need a TIMESTAMP; one without time zone is read in the zone of the session."""
-    return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
-
-def stream_stats(outcomes: DataFrame, ts: str = "ts", key: str = "outcome", delay: str = "10 minutes", size: str = "1 minute") -> DataFrame:
-    """Counts per outcome and time window; later rows than ``delay`` are dropped."""
-    counted = outcomes.withWatermark(ts, delay).groupBy(F.window(ts, size), key).agg(F.count("*").alias("rows"))
+def partial_stats(outcomes: DataFrame, ts: str = "ts", key: str = "outcome", size: str = "1 minute") -> DataFrame:
+    """Rows per outcome and time window of one micro-batch."""
+    counted = outcomes.groupBy(F.window(F.col(ts).cast("timestamp"), size), key).agg(F.count("*").alias("rows"))
     return counted.select(F.col("window.start").alias("window_start"), key, "rows")
 
 
-def stream_health(log: DataFrame, delay: str = "10 minutes", size: str = "10 minutes") -> DataFrame:
-    """Partial counts per endpoint and closed time window, to be appended to a table.
+def current_stats(partials: DataFrame, key: str = "outcome") -> DataFrame:
+    """Rows per outcome and time window so far, late ones included."""
+    return partials.groupBy("window_start", key).agg(F.sum("rows").alias("rows"))
 
-    The state holds one row per endpoint and open window; :func:`current_health` adds the
-    partial counts up.
-    """
-    windowed = log.withWatermark("ts", delay).groupBy("key", F.window("ts", size)).agg(*event_counts())
-    return windowed.drop("window")
+
+def partial_health(log: DataFrame) -> DataFrame:
+    """Counts per endpoint of one micro-batch; :func:`current_health` adds them up."""
+    return log.groupBy("key").agg(*event_counts())
 
 
 def current_health(partials: DataFrame) -> DataFrame:
@@ -62,3 +56,21 @@ def run_to_table(stream: DataFrame, purpose: str) -> DataFrame:
     writer = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
     writer.format("parquet").outputMode("append").start(target).awaitTermination()
     return spark.read.schema(stream.schema).parquet(target)
+
+
+def run_partials(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], purpose: str) -> DataFrame:
+    """Process what is available and keep a partial aggregate of every micro-batch in the shared folder.
+
+    A batch writes under its number and overwrites that when it is replayed, so nothing counts twice; there is no
+    watermark, so nothing is left out.
+    """
+    spark = stream.sparkSession
+    target, state = fresh_folder(spark, purpose), fresh_folder(spark, f"{purpose}-state")
+    schema = partial(stream).schema
+    spark.createDataFrame([], schema).write.parquet(f"{target}/batch=-1")
+
+    def write(batch: DataFrame, number: int) -> None:
+        partial(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(target)

@@ -92,6 +92,11 @@ def test_top_fifth(spark, n):
     assert got == [f"k{i:02d}" for i in expected]
 
 
+def test_quarantined_keys_are_not_ranked(spark):
+    df = spark.createDataFrame([("a", -1000.0, True), ("b", 5.0, False)], "key string, score double, quarantined boolean")
+    assert [r.key for r in endpoints.top_fifth(df).collect()] == ["b"]
+
+
 def test_global_rank_and_salted_groups(spark):
     df = spark.range(5000).select((F.col("id") % 7).alias("g"), "id", F.md5(F.col("id").cast("string")).alias("o"))
     ranked, total = with_global_rank(df, F.col("o").asc())

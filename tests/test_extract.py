@@ -112,8 +112,10 @@ def test_null_and_empty_pages(spark):
     assert rows == {1: None, 2: ""}
 
 
-def test_long_text_is_cut_once(spark):
-    assert len(_text(spark, "many words " * 30000)) == vocab.TEXT_LIMIT
+def test_long_text_is_cut_on_request_only(spark):
+    assert len(_text(spark, "many words " * 30000)) == 11 * 30000 - 1
+    df = spark.createDataFrame([(1, "many words " * 300)], "page_id bigint, html string")
+    assert extract.extract_text(df, limit=100).first()["text"] == ("many words " * 300)[:100]
 
 
 def test_extraction_runs_once_under_a_filter(spark):

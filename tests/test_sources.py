@@ -152,11 +152,11 @@ def test_refilter(spark, tmp_path):
     path = str(tmp_path / "set.jsonl")
     junk = "privacy policy about us gdpr"
     marker, end = vocab.ASSISTANT_MARKERS[0]
-    rows = [{"text": f"{junk}{marker}fine text{end}"}, {"text": f"x{marker}{junk}{end}"}, {"text": junk, "url": "https://h.com/meal/1"}]
+    rows = [{"text": f"{junk}{marker}fine text{end}", "id": 7, "lang": "en"}, {"text": f"x{marker}{junk}{end}"}, {"text": junk, "url": "https://h.com/meal/1"}]
     _write(path, "\n".join(json.dumps(r) for r in rows).encode())
     target, flagged = datasets.refilter_dataset(spark, path)
     assert target.endswith("set_filtered.jsonl") and open(path).read().count("\n") == 2
-    assert tables.read_jsonl(spark, target).count() == 2
+    assert sorted(r.value for r in spark.read.text(target).collect()) == sorted(json.dumps(rows[k]) for k in (0, 2))
     assert [tuple(r) for r in curate.reason_histogram(flagged).collect()] == [(vocab.REASON_JUNK, 1)]
     assert tuple(curate.kept_share(flagged).first()) == (3, 2, pytest.approx(66.666667))
 
@@ -167,11 +167,10 @@ def test_kept_share_of_nothing(spark):
     assert curate.average_quality(spark.createDataFrame([], "outcome string, quality double")).first()[0] is None
 
 
-def test_small_tables_are_spread(spark):
-    one = spark.range(10).coalesce(1)
-    assert tables.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(100).repartition(9)
-    assert tables.spread(many) is many
+def test_replacement_characters_of_valid_text_stay(spark):
+    rows = [(1, "a\ufffdb 0123456789".encode()), (2, b"c\xffd 0123456789")]
+    files = spark.createDataFrame(rows, "id int, content binary").withColumn("length", F.octet_length("content"))
+    assert {r.id: r.content for r in code.decode_code(files).collect()} == {1: "a\ufffdb 0123456789", 2: "cd 0123456789"}
 
 
 def test_url_bypass_uses_optional_column(spark):

@@ -41,30 +41,25 @@ def events(spark, tmp_path):
     return path
 
 
-def _closed(batch, minutes):
-    end = F.window("ts", f"{minutes} minutes")["end"]
-    last = batch.agg(F.max("ts")).first()[0]
-    return batch.filter(end <= F.lit(last - dt.timedelta(minutes=10)))
-
-
-def test_stats_hold_closed_windows(spark, events):
+def _late(spark, events, tmp_path):
+    """The log in several files, the last with old rows."""
+    path = str(tmp_path / "log")
     batch = spark.read.parquet(events)
-    stream = spark.readStream.schema(batch.schema).parquet(events).withColumn("outcome", F.col("key"))
-    got = {(r.window_start, r.outcome): r.rows for r in jobs.run_to_table(jobs.stream_stats(stream), "t").collect()}
-    rows = _closed(batch, 1).groupBy(F.window("ts", "1 minute")["start"].alias("w"), "key").count().collect()
-    assert got == {(r.w, r.key): r["count"] for r in rows} and got
+    batch.filter("id >= 100").repartition(3).write.parquet(path)
+    batch.filter("id < 100").coalesce(1).write.mode("append").parquet(path)
+    return batch, spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def test_health_equals_batch(spark, events):
-    batch = spark.read.parquet(events)
-    partials = jobs.run_to_table(jobs.stream_health(spark.readStream.schema(batch.schema).parquet(events)), "t")
-    assert partials.count() > 3
-    got = sorted(map(tuple, jobs.current_health(partials).collect()))
-    assert got == sorted(map(tuple, endpoint_state(_closed(batch, 10)).collect()))
+def test_stats_hold_every_row(spark, events, tmp_path):
+    batch, stream = _late(spark, events, tmp_path)
+    partials = jobs.run_partials(stream, lambda b: jobs.partial_stats(b, key="key"), "t")
+    got = {(r.window_start, r.key): r.rows for r in jobs.current_stats(partials, "key").collect()}
+    rows = batch.groupBy(F.window("ts", "1 minute")["start"].alias("w"), "key").count().collect()
+    assert got == {(r.w, r.key): r["count"] for r in rows} and sum(got.values()) == 300
 
 
-def test_dedup_within_watermark_plans(spark, events):
-    batch = spark.read.parquet(events)
-    stream = spark.readStream.schema(batch.schema).parquet(events).withColumn("url", F.concat(F.lit("https://h.com/"), "key"))
-    out = jobs.run_to_table(jobs.stream_dedup(stream, ts="ts").select("canonical_url"), "t")
-    assert out.count() == 3
+def test_health_equals_batch(spark, events, tmp_path):
+    batch, stream = _late(spark, events, tmp_path)
+    partials = jobs.run_partials(stream, jobs.partial_health, "t")
+    assert partials.count() > 3
+    assert sorted(map(tuple, jobs.current_health(partials).collect())) == sorted(map(tuple, endpoint_state(batch).collect()))
