@@ -1,6 +1,5 @@
 """Quality classifier: averaged vectors of hashed words and character n-grams, softmax, trained by stochastic gradient descent."""
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,10 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomsift.llm.common import Memo, id_text, mapped, pieces_of
+from loomsift.llm.hashing import mixed, range_numbers
 
 CUT = 0.7
 #: How often a repeated word counts among the features of a text; a word itself has about so many.
 REPEAT_WEIGHT = 8
+#: Characters of a word whose n-grams count.
+HEAD = 64
 
 
 @dataclass(frozen=True)
@@ -32,14 +34,38 @@ class Options:
     seed: int = 11
 
 
-def features(word: str, o: Options) -> list[int]:
-    """Buckets of a word and of the character n-grams of the word between edge marks (of a giant word: of its head)."""
-    whole = f"<{word}>".encode()
-    marked = f"<{word[:64]}>" if len(word) > 64 else f"<{word}>"
-    found = [zlib.crc32(b"w" + whole) % o.buckets]
-    for n in range(o.shortest, o.longest + 1):
-        found += [zlib.crc32(marked[k : k + n].encode()) % o.buckets for k in range(len(marked) - n + 1)]
-    return found
+def features(words: list[str], o: Options) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word and of its character n-grams between edge marks, and the place of the word that each belongs to.
+
+    Of a giant word, the n-grams of its head count.
+    """
+    raws = [w.encode("utf-8", "surrogatepass") for w in words]
+    ends = np.cumsum([len(r) for r in raws])
+    whole = range_numbers(np.frombuffer(b"".join(raws), np.uint8), np.concatenate(([0], ends[:-1])), ends)
+    marked = [f"<{w[:HEAD]}>" for w in words]
+    chars = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    sizes = np.array([len(m) for m in marked])
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = np.cumsum(sizes)[owner] - np.arange(len(chars))
+    buckets, owners = [whole], [np.arange(len(words))]
+    at, key = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
+    for n in range(1, o.longest + 1):
+        fits = left[at] >= n
+        at, key = at[fits], key[fits]
+        key = mixed(key + chars[at + n - 1] + np.uint64(1))
+        if n >= o.shortest:
+            buckets.append(key)
+            owners.append(owner[at])
+    return (np.concatenate(buckets) % np.uint64(o.buckets)).astype(np.int64), np.concatenate(owners)
+
+
+def feature_lists(words: list[str], o: Options) -> list[np.ndarray]:
+    """Buckets per word."""
+    if not words:
+        return []
+    buckets, owners = features(words, o)
+    order = np.argsort(owners, kind="stable")
+    return np.split(buckets[order], np.cumsum(np.bincount(owners, minlength=len(words)))[:-1])
 
 
 def repeats(words: list[str]) -> int:
@@ -48,7 +74,7 @@ def repeats(words: list[str]) -> int:
 
 
 def _repeat_bucket(o: Options) -> int:
-    return zlib.crc32(b"again") % o.buckets
+    return o.buckets // 3
 
 
 def document_features(text: str, memo: Memo, o: Options) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +104,7 @@ class Model:
 def fit(texts: list[str], labels: list[int], o: Options) -> Model:
     """Plain stochastic gradient descent over documents, in an order that depends on the seed only."""
     rng = np.random.default_rng(o.seed)
-    memo = Memo(lambda ws: [np.array(features(w, o), np.int64) for w in ws], 50_000)
+    memo = Memo(lambda words: feature_lists(words, o), 50_000)
     rows = [document_features(t, memo, o) for t in texts]
     vectors = rng.uniform(-1 / o.dimensions, 1 / o.dimensions, (o.buckets, o.dimensions)).astype(np.float32)
     output = np.zeros((o.dimensions, 2), np.float32)
@@ -140,10 +166,10 @@ class Scorer:
         def make(words: list[str]) -> list[tuple[float, int]]:
             found: list[tuple[float, int]] = []
             for at in range(0, len(words), 20_000):
-                lists = [features(w, o) for w in words[at : at + 20_000]]
-                sizes = [len(x) for x in lists]
-                sums = np.add.reduceat(weights[np.array([b for x in lists for b in x])], np.cumsum([0, *sizes[:-1]]))
-                found += zip(sums.tolist(), sizes)
+                part = words[at : at + 20_000]
+                buckets, owners = features(part, o)
+                sums = np.bincount(owners, weights[buckets], len(part))
+                found += zip(sums.tolist(), np.bincount(owners, minlength=len(part)).tolist())
             return found
 
         self.memo = Memo(make, 250_000)

@@ -142,7 +142,7 @@ def test_score_is_softmax_of_mean_vectors(spark):
     model = classify.Model(rng.normal(size=(o.buckets, 4)).astype(np.float32), rng.normal(size=(4, 2)).astype(np.float32))
     texts = ["one two two three", *EDGE]
     got = {r["doc_id"]: r["score"] for r in classify.score(docs_of(spark, texts), model, o).collect()}
-    memo = classify.Memo(lambda ws: [np.array(classify.features(w, o), np.int64) for w in ws], 100)
+    memo = classify.Memo(lambda words: classify.feature_lists(words, o), 100)
     for k, text in enumerate(texts):
         ids, counts = classify.document_features(text or "", memo, o)
         mean = counts @ model.vectors[ids].astype(float) / counts.sum() if len(ids) else np.zeros(4)
