@@ -479,15 +479,14 @@ def crawl_ctes(o, subdomains: bool = False) -> dict[str, str]:
 
     def fresh(arrivals: str, depth: int, before: list[str]) -> dict[str, str]:
         used = " UNION ALL ".join(f"SELECT url, domain FROM {b}" for b in before) or "SELECT NULL AS url, NULL AS domain WHERE FALSE"
-        page_cap = f"WHERE p <= {o.links_per_page}" if depth else ""
+        page_cap = f"QUALIFY row_number() OVER (PARTITION BY src_url ORDER BY ord, url) <= {o.links_per_page}" if depth else ""
         return {
             f"first{depth}": f"""SELECT * FROM {arrivals} WHERE url NOT IN (SELECT url FROM ({used})) {allowed}
                 QUALIFY row_number() OVER (PARTITION BY url ORDER BY src_priority, src_url, ord) = 1""",
-            f"paged{depth}": f"""SELECT url, ord, {depth} AS depth, {domain('url')} AS domain, {priority('url', str(depth))} AS priority FROM (
-                SELECT *, row_number() OVER (PARTITION BY src_url ORDER BY ord, url) AS p FROM first{depth}) {page_cap}""",
-            f"level{depth}": f"""SELECT url, depth, domain, priority, ord FROM (
-                SELECT *, row_number() OVER (PARTITION BY domain ORDER BY priority, ord, url)
-                    + (SELECT count(*) FROM ({used}) z WHERE z.domain = paged{depth}.domain) AS k FROM paged{depth}) WHERE k <= {o.max_per_domain}""",
+            f"rated{depth}": f"""SELECT url, ord, src_url, {depth} AS depth, {domain('url')} AS domain,
+                {priority('url', str(depth))} AS priority FROM first{depth}""",
+            f"level{depth}": f"""SELECT url, depth, domain, priority, ord FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY priority, ord, url)
+                    + (SELECT count(*) FROM ({used}) z WHERE z.domain = rated{depth}.domain) AS k FROM rated{depth}) WHERE k <= {o.max_per_domain} {page_cap}""",
         }
 
     ctes = {

@@ -111,8 +111,6 @@ def _admit(arrivals: DataFrame, admitted: DataFrame | None, seeds: DataFrame, de
         fresh = unseen(fresh, admitted)
     if options.same_domain:
         fresh = of_sites(fresh, sites_of(seeds))
-    if depth > 0:
-        fresh = links_per_page(fresh, options.links_per_page)
     fresh = fresh.withColumns(
         {
             "depth": F.lit(depth),
@@ -121,7 +119,11 @@ def _admit(arrivals: DataFrame, admitted: DataFrame | None, seeds: DataFrame, de
         }
     )
     used = None if admitted is None else admitted.groupBy("domain").agg(F.count("*").alias("n"))
-    return domain_cap(fresh, used, options.max_per_domain).select("url", "depth", "domain", "priority", "ord")
+    # the cap comes first: links that it turns away take nothing of the quota of their page
+    fresh = domain_cap(fresh, used, options.max_per_domain)
+    if depth > 0:
+        fresh = links_per_page(fresh, options.links_per_page)
+    return fresh.select("url", "depth", "domain", "priority", "ord")
 
 
 def crawl_frontier(
@@ -134,8 +136,8 @@ def crawl_frontier(
 ) -> DataFrame:
     """URLs a crawl reaches: ``(url, depth, domain, priority, ord)``.
 
-    Admission per level: unseen, same site, first arrival, links per page, domain cap. A URL that
-    a cap turns away is not marked as seen and may come in at a later level. ``subdomains`` enter
+    Admission per level: first arrival, unseen, same site, domain cap, links per page. A URL that
+    a cap or quota turns away is not marked as seen and may come in at a later level. ``subdomains`` enter
     at depth 0 ahead of the seeds. ``links`` takes a link table that exists already.
     """
     starts = seeds.select(urls.canonical(F.col("url")).alias("url"), F.lit(1).alias("src_priority"))

@@ -60,6 +60,15 @@ def test_domain_cap_leaves_urls_for_later(spark):
     assert counts == {"h.com": 1, "x.org": 2, "y.org": 1}
 
 
+@pytest.mark.parametrize("seed", ["", "a", "b", "c", "d"])
+def test_refused_links_take_no_quota(spark, seed):
+    a = "https://h.com/a"
+    graph = {a: [f"https://x.org/{i}" for i in range(5)] + ["https://y.org/1"]}
+    options = CrawlOptions(max_depth=2, same_domain=False, max_per_domain=1, links_per_page=3, order_seed=seed)
+    got = crawl.crawl_frontier(_pages(spark, graph), _seeds(spark, a), options)
+    assert sorted(r.domain for r in got.collect()) == ["h.com", "x.org", "y.org"]
+
+
 def test_verified_subdomains_come_first(spark):
     early = _seeds(spark, "https://s.h.com", "https://h.com/a")
     got = crawl.crawl_frontier(_pages(spark, {}), _seeds(spark, "https://h.com/a", "https://h.com/b"), CrawlOptions(max_depth=1), subdomains=early)
@@ -79,11 +88,6 @@ def _simulate(graph, seeds, o):
         for src_priority, src, key, url in arrivals:
             if url not in admitted and (url not in first or (src_priority, src, key) < first[url]):
                 first[url] = (src_priority, src, key)
-        if depth:
-            per_page = {}
-            for url, (p, src, key) in first.items():
-                per_page.setdefault(src, []).append((key, url))
-            first = {u: first[u] for rows in per_page.values() for _, u in sorted(rows)[: o.links_per_page]}
         domains = {}
         for url, (_, _, key) in first.items():
             domains.setdefault(urlparse(url).netloc, []).append((_priority(url, depth), key, url))
@@ -92,6 +96,11 @@ def _simulate(graph, seeds, o):
             for rank, (_, _, url) in enumerate(sorted(rows)[: o.max_per_domain], 1):
                 if rank + used.get(name, 0) <= o.max_per_domain:
                     level.append(url)
+        if depth:
+            per_page = {}
+            for url in level:
+                per_page.setdefault(first[url][1], []).append((first[url][2], url))
+            level = [u for rows in per_page.values() for _, u in sorted(rows)[: o.links_per_page]]
         for url in level:
             admitted[url] = depth
         for url in level:
