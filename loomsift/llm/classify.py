@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> Model:
     """Learn ``labels.quality`` from at most ``per_class`` labelled documents of each class, chosen by a hash of their id.
 
     Labels that are null or neither 0 nor 1 are left out, as are labels without a document; a repeated label row counts once.
-    The chosen texts meet in one task, whose input the bound limits; only the model comes to the driver.
+    All tasks look for the chosen texts, which then meet in one, whose input the bound limits; only the model comes to the driver.
     """
     marked = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     marked = marked.filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2).distinct()
@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> Model:
         model = fit([t for _, t, _ in read], [q for _, _, q in read], o)
         yield pa.RecordBatch.from_pydict({"vectors": [model.vectors.tobytes()], "output": [model.output.tobytes()]})
 
-    row = mapped(rows.select("doc_id", "text", "quality").coalesce(1), learn, "vectors binary, output binary").first()
+    row = mapped(rows.select("doc_id", "text", "quality").repartition(1), learn, "vectors binary, output binary").first()
     if row is None:  # nothing to learn from
         return Model(np.zeros((o.buckets, 1), np.float32), np.zeros((1, 2), np.float32))
     output = np.frombuffer(row["output"], np.float32).reshape(-1, 2)
