@@ -398,6 +398,20 @@ def chat_sql(prompt: str, answer: str, template: str, system: str) -> str:
     return f"replace(concat({', '.join(parts)}), '\\\\n', {NL})"
 
 
+def _conversations(template: str) -> str:
+    tpl = vocab.CHAT_TEMPLATES[template]
+
+    def framed(slot: str, value: str) -> str:
+        before, after = tpl[slot].split("{" + slot + "}")
+        return f"concat({lit(before)}, {value}, {lit(after)})"
+
+    turn = f"""CASE role WHEN 'assistant' THEN {framed('assistant', strip('text'))} WHEN 'user' THEN {framed('user', 'text')}
+        ELSE {framed('system', 'text')} END"""
+    return f"""SELECT conv_id, count(*) AS turns, replace(concat({lit(tpl['begin'])},
+        CASE WHEN bool_or(role = 'system') THEN '' ELSE {framed('system', lit(vocab.DEFAULT_SYSTEM.strip()))} END,
+        string_agg({turn}, '' ORDER BY turn)), '\\\\n', {NL}) AS chat FROM conversations GROUP BY conv_id"""
+
+
 def prompt_sql(template: str) -> str:
     return f"replace({lit(template)}, '{{title}}', title)"
 
@@ -705,10 +719,7 @@ def all_sql() -> dict[str, str]:
             coalesce(system_prompt, {lit(custom[1])}) AS system_prompt
             FROM (SELECT doc_id, {d.CONTENT_TYPE} AS content_type FROM documents) t
             LEFT JOIN (VALUES {content_rows}) v(content_type, user_prompt, system_prompt) USING (content_type)""",
-        "conversation_rows": f"""SELECT u.conv_id, u.turn,
-            {chat_sql('u.text', strip('a.text'), 'Qwen2.5 Instruct', vocab.DEFAULT_SYSTEM)} AS chat
-            FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-            WHERE u.role = 'user' AND a.role = 'assistant'""",
+        "conversation_rows": _conversations("Qwen2.5 Instruct"),
         "unwrap_assistant": with_(dataset, f"SELECT doc_id, {unwrap_sql('text')} AS content FROM dataset"),
         "refilter_dataset": with_(refiltered, "SELECT doc_id, reason FROM flags"),
         "refilter_histogram": with_(refiltered, _histogram("flags")),

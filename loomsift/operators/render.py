@@ -113,10 +113,24 @@ def unwrap_assistant(df: DataFrame, text: str = "text", out: str = "content") ->
 
 
 def render_turns(conversations: DataFrame, options: RenderOptions = RenderOptions()) -> DataFrame:
-    """One training text per user turn that an assistant turn follows, keeping both as they are."""
-    answers = conversations.filter("role = 'assistant'").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
+    """``(conv_id, turns, chat)``: one training text per conversation with all its turns in order.
+
+    A system turn stands where it is; without one the system prompt of the options comes first. Turns of other roles than system,
+    user and assistant are left out and do not count. Null texts are empty.
+    """
+    tpl = vocab.CHAT_TEMPLATES.get(options.template, vocab.CHAT_TEMPLATES[vocab.DEFAULT_TEMPLATE])
+    text = F.coalesce(F.col("text"), F.lit(""))
+    part = F.when(F.col("role") == "assistant", _frame(tpl["assistant"], "assistant", strip(text)))
+    for role in ("system", "user"):
+        part = part.when(F.col("role") == role, _frame(tpl[role], role, text))
+    parts = conversations.select("conv_id", "turn", "role", part.alias("part")).filter(F.col("part").isNotNull())
+    whole = parts.groupBy("conv_id").agg(
+        F.count("*").alias("turns"),
+        F.bool_or(F.col("role") == "system").alias("_system"),
+        F.array_sort(F.collect_list(F.struct("turn", "part"))).alias("_parts"),
     )
-    asked = conversations.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"))
-    pairs = asked.join(answers, ["conv_id", "turn"])
-    return pairs.select("conv_id", "turn", chat_text(F.col("prompt"), strip(F.col("answer")), options).alias("chat"))
+    head, system = F.lit(tpl["begin"]), options.system_prompt.strip()
+    if system:
+        head = F.concat(head, F.when(F.col("_system"), F.lit("")).otherwise(_frame(tpl["system"], "system", F.lit(system))))
+    chat = F.concat(head, F.array_join("_parts.part", ""))
+    return whole.select("conv_id", "turns", F.replace(chat, F.lit("\\\\n"), F.lit("\n")).alias("chat"))

@@ -76,3 +76,12 @@ def test_unwrap_edges(spark):
 
 def test_null_rows_stay_null(spark):
     assert render.render_chat(_frame(spark, None)).first()["chat"] is None
+
+
+def test_whole_conversations(spark):
+    rows = [(1, 0, "system", "rules"), (1, 2, "assistant", " a "), (1, 1, "user", "q"), (1, 3, "user", "open"), (2, 0, "user", None), (2, 1, "tool", "x")]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    got = {r.conv_id: r for r in render.render_turns(df, RenderOptions(template="Qwen2.5 Instruct", system_prompt="default")).collect()}
+    assert (got[1].turns, got[2].turns) == (4, 1)
+    places = [got[1].chat.index(x) for x in ("rules", "q", "assistant\na<", "open")]
+    assert places == sorted(places) and "default" not in got[1].chat and "default" in got[2].chat
