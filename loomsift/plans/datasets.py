@@ -26,7 +26,7 @@ def curate_code(files: DataFrame, options: CodeOptions = CodeOptions()) -> DataF
 def curate_code_folder(spark: SparkSession, root: str, target: str, options: CodeOptions = CodeOptions()) -> DataFrame:
     """Read a source folder, append its training rows to ``target`` and return the statistics."""
     folder = fresh_folder(spark, "code")
-    files = code.decode_code(scan_code(spark, root), options.max_size)
+    files = code.decode_code(scan_code(spark, root, options.max_size), options.max_size)
     curate_code(files, options).write.parquet(folder)
     done = spark.read.parquet(folder)
     write_training(done.filter("outcome = 'success'"), target)

@@ -1,6 +1,8 @@
 """Readers of seeds, pages, source folders and JSON-lines datasets."""
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,15 +35,19 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 def scan_code(spark: SparkSession, root: str, max_size: int | None = None) -> DataFrame:
     """``(path, rel_path, length, content)`` of the source files below ``root``.
 
-    The path and size filters come before the content is used; the size filter reaches the reader.
+    Files above ``max_size``, or above what Spark's binary reader takes, are listed without content and never opened.
     """
-    spark_path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = spark_path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(spark_path).toString().rstrip("/")
+    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    most = most if max_size is None else min(most, max_size)
+    base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    if max_size is not None:
-        files = files.filter(F.col("length") <= max_size)
-    files = files.select("path", F.expr(f"substr(path, {len(base) + 2})").alias("rel_path"), "length", "content")
-    return select_code(files, "rel_path")
+    inside = F.substr("path", F.instr("path", base) + len(base))
+
+    def listed(files: DataFrame, content: Column) -> DataFrame:
+        return select_code(files.select("path", inside.alias("rel_path"), "length", content.alias("content")), "rel_path")
+
+    read = listed(files.filter(F.col("length") <= most), F.col("content"))
+    return read.unionAll(listed(files.filter(F.col("length") > most), F.lit(None).cast("binary")))
 
 
 def parse_jsonl(lines: DataFrame, value: str = "value") -> DataFrame:

@@ -54,7 +54,16 @@ def test_scan_and_decode(spark, code_root):
         "src/big.py": None,
         "src/fits.py": "x" * 200,
     }
-    assert tables.scan_code(spark, code_root, 200).filter("rel_path = 'src/big.py'").count() == 0
+    assert [(r.length, r.content) for r in tables.scan_code(spark, code_root, 200).filter("rel_path = 'src/big.py'").collect()] == [(201, None)]
+
+
+def test_files_beyond_the_reader_are_listed(spark, code_root):
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "150")
+    try:
+        found = {r.rel_path: r.content for r in tables.scan_code(spark, "file://" + code_root).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert found["src/big.py"] is None and found["src/fits.py"] is None and found["src/ten.py"] is not None
 
 
 def test_code_folder_to_training_rows(spark, code_root, tmp_path):
