@@ -728,6 +728,14 @@ def all_sql() -> dict[str, str]:
             _line_ctes(),
             f"""SELECT line_no, concat({rule}, {NL}, 'Entry ', line_no, {NL}, {rule}, {NL}, text, {NL}, {NL}) AS value FROM rows_in""",
         ),
+        "readable_dump": with_(
+            {
+                **_line_ctes(),
+                "ls": f"""SELECT unnest(string_split(concat({rule}, {NL}, 'Entry ', line_no, {NL}, {rule}, {NL}, text, {NL}, {NL}), {NL})) AS line
+                    FROM rows_in""",
+            },
+            "SELECT line, count(*) AS rows FROM ls GROUP BY line",
+        ),
         "preview": with_(
             _line_ctes(),
             f"""SELECT line_no, array_to_string(string_split(substr(text, 1, 2000), {NL})[1:40], {NL}) AS preview,

@@ -280,6 +280,13 @@ def to_readable(spark, sf):
     return sinks.to_readable(tables.parse_jsonl(_dataset_lines(spark, sf)))
 
 
+def readable_dump(spark, sf):
+    """The readable dump of a dataset, written and read back: how often each line is there."""
+    path = fresh_folder(spark, "dump")
+    sinks.write_readable(tables.parse_jsonl(_dataset_lines(spark, sf)), path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("rows"))
+
+
 def preview(spark, sf):
     return sinks.preview(tables.parse_jsonl(_dataset_lines(spark, sf)))
 
@@ -539,7 +546,7 @@ _NAMED = [
     junk_gate, junk_gate_any_digits, length_gate, truncate, keyword_gate, quality_gate, score_content, overall,
     rejection_reason, rating_summary, page_quality, curation_funnel, document_funnel, run_stats, average_quality,
     reason_histogram, kept_share, training_rows, stop_after, title, answer, user_prompt, with_template,
-    conversation_rows, unwrap_assistant, refilter_dataset, refilter_histogram, parse_jsonl, to_readable, preview,
+    conversation_rows, unwrap_assistant, refilter_dataset, refilter_histogram, parse_jsonl, to_readable, readable_dump, preview,
     training_roundtrip, readable_lines, seed_urls, select_code_files, decode_code, scan_code, code_metadata,
     format_code, curate_code, code_stats, chunk_code, unseen, same_site, subdomain_candidates, observed_subdomains,
     new_subdomains, verified_candidates, discovery_stats, first_seen, links_per_page, domain_cap, crawl_expand,

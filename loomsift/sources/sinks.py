@@ -33,6 +33,12 @@ def to_readable(rows: DataFrame, number: str = "line_no", text: str = "text") ->
     return rows.select(number, readable_entry(F.col(number), F.col(text)).alias("value"))
 
 
+def write_readable(rows: DataFrame, path: str, number: str = "line_no", text: str = "text") -> None:
+    """Write the readable form in the order of the numbers: the part files one after the other are the dump."""
+    ordered = rows.select(number, text).repartitionByRange(number).sortWithinPartitions(number)
+    to_readable(ordered, number, text).select("value").write.mode("errorifexists").text(path)
+
+
 def preview(rows: DataFrame, order: str = "line_no", text: str = "text", chars: int = 2000, lines: int = 40) -> DataFrame:
     """One row: the first lines of the first entry and the number of characters left out."""
     first = rows.orderBy(order).limit(1)

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,6 +148,15 @@ def test_readable_and_preview(spark, dataset):
     assert row.line_no == 1 and len(row.preview) == 2000 and row.more_chars == 3049
 
 
+def test_readable_dump_is_in_order(spark, tmp_path):
+    path = str(tmp_path / "dump")
+    rows = spark.createDataFrame([(k, f"text {k}") for k in random.Random(4).sample(range(500), 500)], "line_no int, text string").repartition(5)
+    sinks.write_readable(rows, path)
+    parts = sorted(f for f in os.listdir(path) if f.startswith("part-"))
+    lines = "".join(open(os.path.join(path, f), encoding="utf-8").read() for f in parts).split("\n")
+    assert [x for x in lines if x.startswith("Entry ")] == [f"Entry {k}" for k in range(500)]
+
+
 def test_training_rows_keep_nulls_and_unicode(spark, tmp_path):
     path = str(tmp_path / "out")
     df = spark.createDataFrame([("ü — 😀",), (None,)], "chat string")
