@@ -134,7 +134,8 @@ def aligned_cuts(rows: DataFrame, rare: int = RARE, least: int = BLOCK_CHARS) ->
 
     lists = stored(mapped(rows.select("row", "text"), number, LINES), "lines")
     lines = mapped(lists.select("row", "numbers"), each, "line bigint, row bigint")
-    owners = lines.groupBy("line").agg(F.min("row").alias("owner"), F.count("*").alias("n")).filter("n > 1")
+    # stored, so that both sides of the join come from plain shuffles and adaptive execution can split a very common line
+    owners = stored(lines.groupBy("line").agg(F.min("row").alias("owner"), F.count("*").alias("n")).filter("n > 1"), "owners")
     shared = lines.join(owners, "line").filter("row > owner")
     # the rare lines of a document, or its rarest if it shares common ones only: no document with a shared line is left out
     bound = shared.groupBy("row").agg(F.greatest(F.min("n"), F.lit(rare)).alias("bound"))
