@@ -13,17 +13,17 @@ def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` of every node of ``links`` (``u, v`` bigint): the smallest id reachable. Self links and repeats do no harm.
 
     Each round links all larger neighbours of a node to the smallest one, then all smaller ones. Minima are taken
-    with map-side merging, and the join that follows has one row per node on one side, so that a node with very many links is
-    split by adaptive execution. Every round is written to the shared folder.
+    with map-side merging and stored; the join that follows has one row per node on that side, so that adaptive execution
+    can split a node with very many links. Every round is written to the shared folder.
     """
     edges = stored(_larger_first(links.select("u", "v")), "links")
     before = None
     for _ in range(ROUNDS):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = _larger_first(large)
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+        smallest = stored(large.groupBy("u").agg(F.min("v").alias("m")), "smallest")
         small = large.join(smallest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(_larger_first(small.unionAll(smallest.select("u", F.col("m").alias("v")))), "links")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 30))).first())
