@@ -2,9 +2,9 @@
 
 import numpy as np
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_VALUE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+BASE = np.uint64(0x9E3779B97F4A7C15)
+UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+VALUE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def powers(base: np.uint64, count: int) -> np.ndarray:
@@ -22,8 +22,8 @@ def mixed(numbers: np.ndarray) -> np.ndarray:
 
 def range_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Numbers of ``data[start:end]``: sums of byte values times powers of an odd base, moved to place 0."""
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * powers(_BASE, len(data))[:-1], dtype=np.uint64)))
-    return mixed((sums[ends] - sums[starts]) * powers(_UNBASE, len(data))[starts] + (ends - starts).astype(np.uint64))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(VALUE[data] * powers(BASE, len(data))[:-1], dtype=np.uint64)))
+    return mixed((sums[ends] - sums[starts]) * powers(UNBASE, len(data))[starts] + (ends - starts).astype(np.uint64))
 
 
 def word_ranges(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -3,8 +3,9 @@
 A byte goes when a string of 100 bytes that covers it also starts earlier. Every 100-byte window has an anchor, the position
 of its smallest hash of 32 bytes; equal windows have it at the same place. Consecutive windows with one anchor make a
 context. A context that is there before, whole, needs no sorting: all its windows repeat. Of the contexts left, those whose anchor bytes
-occur in another context, too, meet by anchor in shards. A shard is sorted by induction, its common prefixes come from
-the permuted array, and runs of suffixes with 100 bytes in common tell which windows repeat.
+occur in another context, too, meet by anchor in shards. In a shard, windows without another of their number are cut away first; what is
+left is sorted by induction, its common prefixes come from the permuted array, and runs of suffixes with 100 bytes in common tell
+which windows repeat.
 
 Anchors that are very common, found by a count over all data, would gather too many contexts in one shard; their windows are dealt
 by their own 100 bytes instead. Which way a window takes has no influence on the result.
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomsift.llm.common import mapped, stored, with_rows
-from loomsift.llm.hashing import _VALUE, mixed, range_numbers
+from loomsift.llm.hashing import BASE, UNBASE, VALUE, mixed, powers, range_numbers
 
 WIDTH = 100
 #: Bytes of an anchor; every window has WIDTH - GRAM + 1 of them.
@@ -36,74 +37,90 @@ WANTED = np.dtype([("gram", "<u8"), ("row", "<i8"), ("start", "<i4"), ("size", "
 # -- suffix arrays --------------------------------------------------------------------------------------------------------
 
 
-def suffix_array(text: list[int], size: int) -> list[int]:
+def _types(text: np.ndarray) -> np.ndarray:
+    """1 for suffixes that are smaller (S) than the next one, 0 for larger (L) ones; the empty suffix at the end is S."""
+    n = len(text)
+    small = np.zeros(n + 1, np.uint8)
+    small[n] = 1
+    rises = text[:-1] < text[1:]
+    # in a stretch of equal symbols all suffixes are like the last one
+    place = np.where(text[:-1] != text[1:], np.arange(n - 1), n)
+    ahead = np.minimum.accumulate(place[::-1])[::-1]
+    small[: n - 1] = np.where(ahead < n, rises[np.minimum(ahead, n - 2)], False)
+    return small
+
+
+def _substring_numbers(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    values = mixed(text.astype(np.uint64) + np.uint64(1))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * powers(BASE, len(text))[:-1], dtype=np.uint64)))
+    return mixed((sums[ends] - sums[starts]) * powers(UNBASE, len(text))[starts] + (ends - starts).astype(np.uint64))
+
+
+def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     """Suffix array of ``text`` over symbols below ``size`` by induced sorting.
 
     Suffixes are smaller (S) or larger (L) than the one after them. The leftmost S of each run starts a substring;
-    these substrings are sorted by inducing, named, and, if names repeat, ordered by the suffix array of the names. Once they are in
-    order, one pass from the left puts the L suffixes in place and one from the right the S suffixes.
+    these substrings are sorted by inducing, named, and, if names repeat, ordered by the suffix array of the names. Once they
+    are in order, one pass from the left puts the L suffixes in place and one from the right the S suffixes.
     """
+    text = np.asarray(text, np.int64)
     n = len(text)
     if n < 2:
-        return list(range(n))
-    small = bytearray(n + 1)  # 1: S; the empty suffix at n is S
-    small[n] = 1
-    for k in range(n - 2, -1, -1):
-        a, b = text[k], text[k + 1]
-        small[k] = a < b or (a == b and small[k + 1])
-    counts = np.bincount(np.array(text), minlength=size)
-    tails = np.cumsum(counts)
-    heads = (tails - counts).tolist()
+        return np.arange(n)
+    small = _types(text)
+    tails = np.cumsum(np.bincount(text, minlength=size))
+    heads = np.concatenate(([0], tails[:-1])).tolist()
     tails = tails.tolist()
-    kinds = np.frombuffer(small, np.uint8)
-    starts = (np.flatnonzero((kinds[1:n] == 1) & (kinds[: n - 1] == 0)) + 1).tolist()
+    starts = np.flatnonzero((small[1:n] == 1) & (small[: n - 1] == 0)) + 1
+    symbols = text.tolist()
+    # what stands before position k: an L or an S suffix; the last entry is for the mark -1
+    before_large = bytes([0]) + (1 - small[: n - 1]).tobytes() + bytes([0])
+    before_small = bytes([0]) + small[: n - 1].tobytes() + bytes([0])
 
     def induce(order: list[int]) -> list[int]:
         array = [-1] * n
         ends = tails.copy()
         for k in reversed(order):
-            c = text[k]
+            c = symbols[k]
             ends[c] -= 1
             array[ends[c]] = k
         fronts = heads.copy()
-        c = text[n - 1]  # the suffix before the empty one is L
+        c = symbols[n - 1]  # the suffix before the empty one is L
         array[fronts[c]] = n - 1
         fronts[c] += 1
         for k in array:
-            if k > 0 and not small[k - 1]:
-                c = text[k - 1]
-                array[fronts[c]] = k - 1
-                fronts[c] += 1
+            if before_large[k]:
+                c = symbols[k - 1]
+                at = fronts[c]
+                array[at] = k - 1
+                fronts[c] = at + 1
         ends = tails.copy()
         for i in range(n - 1, -1, -1):
             k = array[i]
-            if k > 0 and small[k - 1]:
-                c = text[k - 1]
-                ends[c] -= 1
-                array[ends[c]] = k - 1
+            if before_small[k]:
+                c = symbols[k - 1]
+                ends[c] = at = ends[c] - 1
+                array[at] = k - 1
         return array
 
-    array = induce(starts)
+    array = np.array(induce(starts.tolist()))
     if len(starts) > 1:
-        place = {k: i for i, k in enumerate(starts)}
-        stop = [*(s + 1 for s in starts[1:]), n]
-        names = [0] * len(starts)
-        name, last = -1, None
-        for k in array:
-            i = place.get(k)
-            if i is not None:
-                own = text[k : stop[i]] if i + 1 < len(starts) else None  # the last ends at the empty suffix, unlike any other
-                if own is None or own != last:
-                    name += 1
-                last = own
-                names[i] = name
-        if name + 1 < len(starts):
-            order = suffix_array(names, name + 1)
+        first = np.zeros(n, bool)
+        first[starts] = True
+        ordered = array[first[array]]
+        place = np.zeros(n, np.int64)
+        place[starts] = np.arange(len(starts))
+        stop = np.append(starts[1:] + 1, n)[place[ordered]]
+        numbers = _substring_numbers(text, ordered, stop)
+        # the last substring ends at the empty suffix, unlike any other
+        new = (numbers[1:] != numbers[:-1]) | (stop[1:] - ordered[1:] != stop[:-1] - ordered[:-1]) | (stop[1:] == n) | (stop[:-1] == n)
+        names = np.empty(len(starts), np.int64)
+        names[place[ordered]] = np.concatenate(([0], np.cumsum(new)))
+        if new.all():
+            order = ordered
         else:
-            order = [0] * len(starts)
-            for i, x in enumerate(names):
-                order[x] = i
-        array = induce([starts[i] for i in order])
+            order = starts[suffix_array(names, int(names.max()) + 1)]
+        array = np.array(induce(order.tolist()))
     return array
 
 
@@ -129,6 +146,26 @@ def permuted_prefixes(text: list[int], array: np.ndarray, limit: int) -> np.ndar
     return np.array(lengths)
 
 
+def with_shared_windows(contexts: list[tuple[int, int, bytes]], width: int = WIDTH) -> list[tuple[int, int, bytes]]:
+    """Contexts cut to the stretch of their windows whose number another window here has, too; the others can't repeat and go."""
+    sizes = np.array([len(c[2]) for c in contexts])
+    data = np.frombuffer(b"".join([c[2] for c in contexts]), np.uint8)
+    firsts, windows = np.cumsum(sizes) - sizes, sizes - width + 1
+    owner = np.repeat(np.arange(len(contexts)), windows)
+    offset = np.arange(len(owner)) - (np.cumsum(windows) - windows)[owner]
+    at = firsts[owner] + offset
+    numbers = range_numbers(data, at, at + width)
+    order = np.argsort(numbers, kind="stable")
+    same = numbers[order][1:] == numbers[order][:-1]
+    shared = np.zeros(len(numbers), bool)
+    shared[order[1:]] |= same
+    shared[order[:-1]] |= same
+    low, high = np.full(len(contexts), len(data)), np.full(len(contexts), -1)
+    np.minimum.at(low, owner[shared], offset[shared])
+    np.maximum.at(high, owner[shared], offset[shared])
+    return [(c[0], c[1] + a, c[2][a : b + width]) for c, a, b in zip(contexts, low.tolist(), high.tolist()) if b >= 0]
+
+
 def repeated_in(contexts: list[tuple[int, int, bytes]], width: int = WIDTH) -> np.ndarray:
     """Spans of windows of ``contexts`` ``(row, start, bytes)`` that also start earlier in one of them."""
     rows = np.array([c[0] for c in contexts], np.int64)
@@ -137,9 +174,8 @@ def repeated_in(contexts: list[tuple[int, int, bytes]], width: int = WIDTH) -> n
     # symbols are bytes plus one; a zero ends each context, and no window holds one
     data = (np.frombuffer(b"".join([c[2] + b"\0" for c in contexts]), np.uint8).astype(np.int64)) + 1
     data[np.cumsum(sizes + 1) - 1] = 0
-    text = data.tolist()
-    array = np.array(suffix_array(text, 257), np.int64)
-    prefixes = permuted_prefixes(text, array, width)
+    array = suffix_array(data, 257)
+    prefixes = permuted_prefixes(data.tolist(), array, width)
     firsts = np.cumsum(sizes + 1) - sizes - 1
     owner = np.repeat(np.arange(len(contexts)), sizes + 1)
     offset = np.arange(len(data)) - firsts[owner]
@@ -175,7 +211,7 @@ def spans_of(row: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
 
 def gram_numbers(data: np.ndarray, size: int) -> np.ndarray:
     """Numbers of all strings of ``size`` bytes, a power of two, by doubling."""
-    numbers, have = mixed(_VALUE[data]), 1
+    numbers, have = mixed(VALUE[data]), 1
     while have < size:
         numbers = mixed(numbers[: len(numbers) - have] * np.uint64(0x9E3779B97F4A7C15) + numbers[have:])
         have *= 2
@@ -374,6 +410,10 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, share:
                 [pa.array(list(pieces), pa.int32()), pa.array([b"".join(p) for p in pieces.values()], pa.binary())], names=["bucket", "blob"]
             )
 
+    def sorted_shard(shard: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
+        shard = with_shared_windows(shard, width)
+        return [repeated_in(shard, width)] if shard else []
+
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []
         for batch in batches:
@@ -389,13 +429,13 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, share:
         spans = []
         for g, row, start, raw in held:
             if size >= shard_bytes and g != last:
-                spans.append(repeated_in(shard, width))
+                spans += sorted_shard(shard)
                 shard, size = [], 0
             shard.append((row, start, raw))
             size += len(raw)
             last = g
         if shard:
-            spans.append(repeated_in(shard, width))
+            spans += sorted_shard(shard)
         yield from _by_row(np.concatenate(spans) if spans else np.empty(0, SPAN), np.empty(0, WANTED))
 
     asked = found.filter("wanted IS NOT NULL").groupBy("row").agg(F.collect_list("wanted").alias("asked"))

@@ -244,7 +244,7 @@ def test_suffix_array_and_prefixes():
     for _ in range(400):
         size = rng.choice([2, 3, 6])
         text = [rng.randrange(size) for _ in range(rng.randrange(50))]
-        array = suffixes.suffix_array(text, size)
+        array = suffixes.suffix_array(np.array(text, np.int64), size).tolist()
         assert array == sorted(range(len(text)), key=lambda k: text[k:])
         if text:
             prefixes = suffixes.permuted_prefixes(text, np.array(array), 7)
