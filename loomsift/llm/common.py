@@ -2,7 +2,7 @@
 
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,23 +37,24 @@ def pieces_of(batches: Iterator[pa.RecordBatch], text: str = "text", size: int =
 
 
 class Memo(dict):
-    """Values by word, made for many words at once and forgotten when there are too many.
+    """Values by word, made for many words at once; those not used for long are forgotten.
 
-    What is kept changes the speed only, never a value.
+    There are two generations of up to half of ``limit`` words. What is kept changes the speed only, never a value.
     """
 
     def __init__(self, make: Callable[[list[str]], list], limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: Iterable[str]) -> None:
         """Have a value ready for each of ``words``."""
-        wanted = set(words)
-        new = list(wanted.difference(self))
-        if len(self) + len(new) > self.limit:
-            kept = {w: self[w] for w in wanted.intersection(self)}
+        if len(self) > self.limit // 2:
+            self.old = dict(self)
             self.clear()
-            self.update(kept)
+        missing = set(words).difference(self)
+        known = missing.intersection(self.old)
+        self.update({w: self.old[w] for w in known})
+        new = list(missing.difference(known))
         self.update(zip(new, self.make(new)))
 
 
@@ -106,6 +107,8 @@ class Published:
 
     def commit(self) -> str:
         self.out.close()
+        if self.fs.get_file_info(self.path).type != fs.FileType.NotFound:  # from an earlier attempt; some stores don't replace on moving
+            self.fs.delete_file(self.path)
         self.fs.move(self.part, self.path)
         return self.path
 
