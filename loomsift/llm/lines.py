@@ -1,6 +1,6 @@
 """Removal of repeated lines by pairwise alignment.
 
-Documents that share rare lines are compared in pairs, a later one with the first that has the line. Patience diff aligns the lines of a
+Documents that share lines are compared in pairs, a later one with the first that has the line. Patience diff aligns the lines of a
 pair: lines that both have once are anchors, the longest chain of anchors in order stays, and matches grow from there. Aligned common
 blocks go from the later document.
 """
@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from loomsift.llm.common import mapped, pieces_of, stored, with_rows
 from loomsift.llm.hashing import range_numbers
 
-#: Lines in up to so many documents are rare.
-RARE = 20
 #: Characters of an aligned block, blanks at the ends of lines aside, from which it goes.
 BLOCK_CHARS = 40
 
@@ -103,8 +101,8 @@ LINES = "row bigint, numbers binary, sizes binary"
 CUTS = "row bigint, first int, stop int"
 
 
-def aligned_cuts(rows: DataFrame, rare: int = RARE, least: int = BLOCK_CHARS) -> DataFrame:
-    """``(row, first, stop)``: ranges of lines to delete."""
+def aligned_cuts(rows: DataFrame, rare: int | None = None, least: int = BLOCK_CHARS) -> DataFrame:
+    """``(row, first, stop)``: ranges of lines to delete. ``rare`` as in ``drop_repeated_lines``."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces_of(batches):
@@ -137,19 +135,21 @@ def aligned_cuts(rows: DataFrame, rare: int = RARE, least: int = BLOCK_CHARS) ->
     # stored, so that both sides of the join come from plain shuffles and adaptive execution can split a very common line
     owners = stored(lines.groupBy("line").agg(F.min("row").alias("owner"), F.count("*").alias("n")).filter("n > 1"), "owners")
     shared = lines.join(owners, "line").filter("row > owner")
-    # the rare lines of a document, or its rarest if it shares common ones only: no document with a shared line is left out
-    bound = shared.groupBy("row").agg(F.greatest(F.min("n"), F.lit(rare)).alias("bound"))
-    pairs = shared.join(bound, "row").filter("n <= bound").select("row", "owner").distinct()
+    if rare is not None:
+        bound = shared.groupBy("row").agg(F.greatest(F.min("n"), F.lit(rare)).alias("bound"))
+        shared = shared.join(bound, "row").filter("n <= bound")
+    pairs = shared.select("row", "owner").distinct()
     later = lists.select("row", F.col("numbers").alias("own"), "sizes")
     earlier = lists.select(F.col("row").alias("owner"), F.col("numbers").alias("other"))
     return mapped(pairs.join(later, "row").join(earlier, "owner").select("row", "own", "sizes", "other"), align, CUTS)
 
 
-def drop_repeated_lines(docs: DataFrame, rare: int = RARE, least: int = BLOCK_CHARS, carry: bool = False) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, rare: int | None = None, least: int = BLOCK_CHARS, carry: bool = False) -> DataFrame:
     """``(doc_id, text, n_lines, n_removed)``, with ``carry`` also the struct ``rest`` of the other columns: a row per row of ``docs``, without the lines of aligned common blocks.
 
-    Earlier means a smaller id. Lines are compared without blanks at their ends. A later document is aligned with the first owner of each of its lines
-    that is in at most ``rare`` documents; if it has none of these, of its rarest shared lines. Blocks under ``least`` characters stay. All
+    Earlier means a smaller id. Lines are compared without blanks at their ends. A later document is aligned with the first owner of each of its lines,
+    however common; there are at most as many pairs as shared lines. Only where ``rare`` is set, it is aligned with the owners of its lines in at most
+    so many documents, or of its rarest shared lines if it has none of these. Blocks under ``least`` characters stay. All
     comparisons use the input, so that a block in a chain of copies stays in the first of them. Null texts are empty and have one blank
     line. Rows with equal or null ids are documents of their own in the order of id, nulls last, and text. A
     very common line costs one aggregate with map-side merging and a join with one row per line, split by adaptive execution.

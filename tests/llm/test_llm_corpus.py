@@ -224,6 +224,31 @@ def test_lines_equal_brute_force(spark):
     assert got == want
 
 
+def test_common_lines_go_beside_rare_ones(spark):
+    common, rare = "a line of a licence that is in every document here", "a line that is in two of the documents only, no more"
+    texts = [f"{common}\nown 0", f"{rare}\nown 1", *[f"own {k}\n{common}\nend {k}" for k in range(2, 30)], f"{rare}\nown 30\n{common}\nend 30"]
+    got = {r["doc_id"]: r["text"] for r in lines.drop_repeated_lines(docs_of(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: texts[1], **{k: f"own {k}\nend {k}" for k in range(2, 31)}}
+
+
+def test_lines_equal_brute_force_over_all_owners(spark):
+    rng = random.Random(13)
+    pool = [f"sentence {k} " + "x" * rng.randrange(60) for k in range(40)]
+    texts = ["\n".join(rng.choice(pool) if rng.random() < 0.7 else pool[0] for _ in range(rng.randrange(9))) for _ in range(60)]
+    owner, want = {}, {}
+    for k, t in enumerate(texts):
+        own, gone = t.split("\n"), set()
+        for o in {owner[x] for x in own if x in owner}:
+            names = {x: n for n, x in enumerate({*own, *texts[o].split("\n")} - {""}, 1)} | {"": 0}
+            for a, b in lines.common_blocks([names[x] for x in own], [names[x] for x in texts[o].split("\n")], [len(x) for x in own], 40):
+                gone |= set(range(a, b))
+        for x in set(own) - {""}:
+            owner.setdefault(x, k)
+        want[k] = "\n".join(x for n, x in enumerate(own) if n not in gone) if gone else t
+    got = {r["doc_id"]: r["text"] for r in lines.drop_repeated_lines(docs_of(spark, texts)).collect()}
+    assert got == want
+
+
 # 10 ---------------------------------------------------------------------------------------------------------------------
 
 
