@@ -1,8 +1,8 @@
 """Removal of repeated lines by pairwise alignment.
 
 Documents that share lines are compared in pairs, a later one with the first that has the line. Patience diff aligns the lines of a
-pair: lines that both have once are anchors, the longest chain of anchors in order stays, and matches grow from there. Aligned common
-blocks go from the later document.
+pair: lines that both have once are anchors, the longest chain of anchors in order stays, and matches grow from there. A stretch without
+such lines is divided at its longest common block. Aligned common blocks go from the later document.
 """
 
 import bisect
@@ -30,8 +30,13 @@ def line_numbers(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.where(sizes > 0, numbers, np.uint64(0)), sizes
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned pairs ``(place in a, place in b)``, both ascending, of equal lines. Blank lines (0) are matched next to others only."""
+def patience(a: list[int], b: list[int], sizes: list[int] | None = None) -> list[tuple[int, int]]:
+    """Aligned pairs ``(place in a, place in b)``, both ascending, of equal lines. Blank lines (0) are matched next to others only.
+
+    ``sizes`` are the lengths of the lines of ``a``, by which blocks are compared; without them a line counts 1.
+    """
+    if sizes is None:
+        sizes = [int(line != 0) for line in a]
     found, stack = [], [(0, len(a), 0, len(b))]
     while stack:
         alo, ahi, blo, bhi = stack.pop()
@@ -54,9 +59,60 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             last = (i + 1, j + 1)
         if chain:
             stack.append((last[0], ahi, last[1], bhi))
+        elif block := _longest_block(a, b, alo, ahi, blo, bhi, sizes):
+            i, j, n = block
+            found += [(i + k, j + k) for k in range(n)]
+            stack += [(alo, i, blo, j), (i + n, ahi, j + n, bhi)]
     return sorted(found)
 
 
+def _longest_block(a: list[int], b: list[int], alo: int, ahi: int, blo: int, bhi: int, sizes: list[int]) -> tuple[int, int, int] | None:
+    """``(place in a, place in b, lines)`` of the common block of two stretches with the most characters, the first of equal ones; None if only blank lines are common.
+
+    The suffix automaton of the stretch of ``b`` reads that of ``a``: time is linear in both, however often a line is repeated.
+    """
+    if set(b[blo:bhi]).isdisjoint(line for line in a[alo:ahi] if line):
+        return None
+    steps: list[dict[int, int]] = [{}]
+    links, lengths, ends, tip = [-1], [0], [-1], 0
+    for j in range(blo, bhi):
+        line, state, new = b[j], tip, len(steps)
+        steps.append({})
+        links.append(0)
+        lengths.append(lengths[tip] + 1)
+        ends.append(j)
+        while state >= 0 and line not in steps[state]:
+            steps[state][line] = new
+            state = links[state]
+        if state >= 0:
+            to = steps[state][line]
+            if lengths[to] > lengths[state] + 1:
+                copy = len(steps)
+                steps.append(dict(steps[to]))
+                links.append(links[to])
+                lengths.append(lengths[state] + 1)
+                ends.append(ends[to])
+                links[to] = links[new] = copy
+                while state >= 0 and steps[state].get(line) == to:
+                    steps[state][line] = copy
+                    state = links[state]
+            else:
+                links[new] = to
+        tip = new
+    best, block, state, n, held = 0, None, 0, 0, 0
+    for i in range(alo, ahi):
+        line = a[i]
+        while state and line not in steps[state]:
+            state = links[state]
+            held -= sum(sizes[i - n : i - lengths[state]])
+            n = lengths[state]
+        if line in steps[state]:
+            state, n, held = steps[state][line], n + 1, held + sizes[i]
+        if held > best:
+            best, block = held, (i + 1 - n, ends[state] + 1 - n, n)
+    return block
+
+
 def _once(lines: list[int], low: int, high: int) -> dict[int, int]:
     """Places of the lines that are in a stretch once."""
     seen: dict[int, int] = {}
@@ -86,7 +142,7 @@ def _longest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def common_blocks(later: list[int], earlier: list[int], sizes: list[int], least: int) -> list[tuple[int, int]]:
     """Ranges of lines of ``later`` in aligned blocks with ``least`` characters or more."""
     found, begin, held, last = [], 0, 0, None
-    for i, j in [*patience(later, earlier), (-9, -9)]:
+    for i, j in [*patience(later, earlier, sizes), (-9, -9)]:
         if last is not None and (i, j) == (last[0] + 1, last[1] + 1):
             held += sizes[i]
         else:

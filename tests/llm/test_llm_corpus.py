@@ -180,6 +180,28 @@ def test_patience_aligns_equal_lines():
     assert lines.patience([1, 0, 2], [3, 0, 4]) == []  # blank lines alone are no anchor
 
 
+def test_patience_without_unique_lines():
+    assert lines.patience([1, 9, 2, 9, 3], [4, 9, 5]) == [(1, 1)]
+    assert lines.patience([4, 9, 5], [1, 9, 2, 9, 3]) == [(1, 1)]
+    # both lines of a block stay together
+    assert lines.patience([1, 8, 9, 2, 8, 0, 9, 3], [4, 8, 9, 5]) == [(1, 1), (2, 2)]
+    assert lines.patience([1, 8, 2, 8, 9, 3, 9], [4, 8, 9, 5, 8, 9, 6]) == [(3, 1), (4, 2), (6, 5)]
+    assert lines.patience([1, 7, 7, 2, 9, 4, 9], [3, 9, 5, 7, 7, 6], [1, 2, 2, 1, 50, 1, 50]) == [(4, 1)]
+    assert lines.common_blocks([1, 9, 2, 9, 3], [4, 9, 5], [50] * 5, 40) == [(1, 2)]
+    rng = random.Random(10)
+    for _ in range(300):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(1, 12))] for _ in range(2))
+        sizes = [rng.randrange(1, 9) * (x > 0) for x in a]
+        blocks = [(sum(sizes[i : i + n]), -i, -j, n) for i in range(len(a)) for j in range(len(b)) for n in range(1, 12) if a[i : i + n] == b[j : j + n] and i + n <= len(a) and j + n <= len(b)]
+        most = max(blocks, default=(0,))[0]
+        got = lines._longest_block(a, b, 0, len(a), 0, len(b), sizes)
+        if got is None:
+            assert most == 0
+        else:
+            i, j, n = got
+            assert a[i : i + n] == b[j : j + n] and sum(sizes[i : i + n]) == most
+
+
 def test_repeated_lines_go_from_later_documents(spark):
     first = "\n".join(f"line number {k} of the first document here" for k in range(6))
     texts = [
