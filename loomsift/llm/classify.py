@@ -14,8 +14,10 @@ from loomsift.llm.hashing import mixed, range_numbers
 CUT = 0.7
 #: How often a repeated word counts among the features of a text; a word itself has about so many.
 REPEAT_WEIGHT = 8
-#: Characters of a word whose n-grams count.
-HEAD = 64
+#: Words over so many characters are not remembered.
+LONG = 64
+#: Characters that are hashed at once.
+PART_CHARS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -35,28 +37,62 @@ class Options:
 
 
 def features(words: list[str], o: Options) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of each word and of its character n-grams between edge marks, and the place of the word that each belongs to.
-
-    Of a giant word, the n-grams of its head count.
-    """
+    """Buckets of each word and of its character n-grams between edge marks, and the place of the word that each belongs to."""
     raws = [w.encode("utf-8", "surrogatepass") for w in words]
     ends = np.cumsum([len(r) for r in raws])
     whole = range_numbers(np.frombuffer(b"".join(raws), np.uint8), np.concatenate(([0], ends[:-1])), ends)
-    marked = [f"<{w[:HEAD]}>" for w in words]
-    chars = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    marked = [f"<{w}>" for w in words]
     sizes = np.array([len(m) for m in marked])
     owner = np.repeat(np.arange(len(words)), sizes)
-    left = np.cumsum(sizes)[owner] - np.arange(len(chars))
-    buckets, owners = [whole], [np.arange(len(words))]
-    at, key = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
+    left = np.cumsum(sizes)[owner] - np.arange(len(owner))
+    keys, places = _grams("".join(marked), left, o)
+    return _buckets(np.concatenate([whole, keys]), o), np.concatenate([np.arange(len(words)), owner[places]])
+
+
+def _buckets(keys: np.ndarray, o: Options) -> np.ndarray:
+    return (keys % np.uint64(o.buckets)).astype(np.int64)
+
+
+def _grams(text: str, left: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and places of the n-grams that begin at the first ``len(left)`` characters; ``left`` are the characters up to the end of the word."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    keys, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    at, key = np.arange(len(left)), np.zeros(len(left), np.uint64)
     for n in range(1, o.longest + 1):
         fits = left[at] >= n
         at, key = at[fits], key[fits]
         key = mixed(key + chars[at + n - 1] + np.uint64(1))
         if n >= o.shortest:
-            buckets.append(key)
-            owners.append(owner[at])
-    return (np.concatenate(buckets) % np.uint64(o.buckets)).astype(np.int64), np.concatenate(owners)
+            keys.append(key)
+            places.append(at)
+    return np.concatenate(keys), np.concatenate(places)
+
+
+def feature_parts(words: list[str], o: Options, chars: int = PART_CHARS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(first, stop, buckets, owners)``: ``features`` of ``words[first:stop]``, all words in arrays of bounded size.
+
+    A word over ``chars`` characters comes in several parts, from blocks that overlap by ``longest - 1`` characters.
+    """
+    first = held = 0
+    for k, word in enumerate([*words, None]):
+        if first < k and (word is None or held + len(word) > chars or k - first >= 20_000):
+            yield (first, k, *features(words[first:k], o))
+            first, held = k, 0
+        if word is None:
+            return
+        if len(word) <= chars:
+            held += len(word)
+            continue
+        raw = word.encode("utf-8", "surrogatepass")
+        whole = range_numbers(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]))
+        yield k, k + 1, _buckets(whole, o), np.zeros(1, np.int64)
+        marked = f"<{word}>"
+        for at in range(0, len(marked), chars):
+            starts = min(chars, len(marked) - at)
+            part = marked[at : at + starts + o.longest - 1]
+            keys, _ = _grams(part, len(part) - np.arange(starts), o)
+            yield k, k + 1, _buckets(keys, o), np.zeros(len(keys), np.int64)
+        first = k + 1
 
 
 def feature_lists(words: list[str], o: Options) -> list[np.ndarray]:
@@ -80,11 +116,16 @@ def _repeat_bucket(o: Options) -> int:
 def document_features(text: str, memo: Memo, o: Options) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and how often each occurs."""
     words = text.split()
-    memo.learn(words)
-    parts = [memo[w] for w in words]
+    short = [w for w in words if len(w) <= LONG]
+    memo.learn(short)
+    parts = [memo[w] for w in short]
     again = repeats(words)
     parts.append(np.full(again * REPEAT_WEIGHT, _repeat_bucket(o), np.int64))
-    return np.unique(np.concatenate(parts), return_counts=True)
+    counts = np.bincount(np.concatenate(parts), minlength=o.buckets)
+    for _, _, buckets, _ in feature_parts([w for w in words if len(w) > LONG], o):
+        counts += np.bincount(buckets, minlength=o.buckets)
+    ids = np.flatnonzero(counts)
+    return ids, counts[ids]
 
 
 @dataclass
@@ -164,22 +205,22 @@ class Scorer:
         self.again = float(weights[_repeat_bucket(o)])
 
         def make(words: list[str]) -> list[tuple[float, int]]:
-            found: list[tuple[float, int]] = []
-            for at in range(0, len(words), 20_000):
-                part = words[at : at + 20_000]
-                buckets, owners = features(part, o)
-                sums = np.bincount(owners, weights[buckets], len(part))
-                found += zip(sums.tolist(), np.bincount(owners, minlength=len(part)).tolist())
-            return found
+            sums, counts = np.zeros(len(words)), np.zeros(len(words), np.int64)
+            for first, stop, buckets, owners in feature_parts(words, o):
+                sums[first:stop] += np.bincount(owners, weights[buckets], stop - first)
+                counts[first:stop] += np.bincount(owners, minlength=stop - first)
+            return list(zip(sums.tolist(), counts.tolist()))
 
-        self.memo = Memo(make, 250_000)
+        self.make, self.memo = make, Memo(make, 250_000)
 
     def __call__(self, texts: list[str]) -> list[float]:
         lists = [t.split() for t in texts]
-        self.memo.learn([w for words in lists for w in words])
+        self.memo.learn([w for words in lists for w in words if len(w) <= LONG])
+        long = list({w for words in lists for w in words if len(w) > LONG})
+        sums = dict(zip(long, self.make(long)))
         scores = []
         for words in lists:
-            known = [self.memo[w] for w in words]
+            known = [self.memo[w] if len(w) <= LONG else sums[w] for w in words]
             twice = REPEAT_WEIGHT * repeats(words)
             total, count = sum(k[0] for k in known) + twice * self.again, sum(k[1] for k in known) + twice
             scores.append(float(1 / (1 + np.exp(-total / count))) if count else 0.5)

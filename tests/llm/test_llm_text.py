@@ -150,6 +150,29 @@ def test_score_is_softmax_of_mean_vectors(spark):
         assert got[k] == pytest.approx(np.exp(z[1]) / np.exp(z).sum(), abs=1e-5)
 
 
+def test_all_of_a_long_word_counts():
+    o = classify.Options(buckets=1 << 12)
+    rng = random.Random(3)
+    head, good, bad = "h" * 64, "".join(rng.choices("abcd", k=3000)), "".join(rng.choices("wxyz", k=3000))
+    words = ["a", "", head + good, "b" * 300, head + bad, "c"]
+    plain = []
+    for w in words:
+        m = f"<{w}>"
+        plain.append(1 + sum(max(0, len(m) - n + 1) for n in range(o.shortest, o.longest + 1)))
+    whole = classify.feature_lists(words, o)
+    assert [len(f) for f in whole] == plain
+    for chars in (100, 1000, 10**6):
+        found = [[] for _ in words]
+        for first, stop, buckets, owners in classify.feature_parts(words, o, chars):
+            assert len(buckets) <= 5 * (chars + 2 * (stop - first))
+            for k in range(first, stop):
+                found[k] += buckets[owners == k - first].tolist()
+        assert [sorted(f) for f in found] == [sorted(f.tolist()) for f in whole]
+    model = classify.fit([good, bad, good[:1500], bad[:1500]], [1, 0, 1, 0], o)
+    high, low = classify.Scorer(model.weights(), o)([head + good[::-1], head + bad[::-1]])
+    assert high > 0.7 > 0.3 > low
+
+
 def test_classifier_without_labels(spark):
     none = spark.createDataFrame([(1, None, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
     assert {r["score"] for r in classify.classify(docs_of(spark, ["a", None]), none).collect()} == {0.5}
