@@ -52,7 +52,7 @@ def op6_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op7_archives(spark: SparkSession, sf: str) -> DataFrame:
-    found = warc.archive_pages(read_table(spark, sf, "pages"))
+    found = warc.archive_pages(read_table(spark, sf, "pages"), unnamed=True)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "range_no", "place")
 
 

@@ -40,17 +40,17 @@ def url_key(url: str | None) -> str:
     return f"{','.join(reversed(host.split('.')))}){path}".lower()
 
 
-def capture_time(page_id: int) -> str:
-    """The given pages have no time; they count as captured a second apart, in the order of their ids."""
-    return (EPOCH + timedelta(seconds=page_id % 10**9)).strftime("%Y-%m-%dT%H:%M:%SZ")
+def capture_time(page_id: int | None) -> str:
+    """The given pages have no time; they count as captured a second apart, in the order of their ids, those without an id at the begin."""
+    return (EPOCH + timedelta(seconds=(page_id or 0) % 10**9)).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None = None) -> bytes:
-    """One record, uncompressed. Line ends in a URL would break the header and become blanks."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None = None, name: str = "") -> bytes:
+    """One record, uncompressed, under ``name`` if the page has no id. Line ends in a URL would break the header and become blanks."""
     target = " ".join((url or "").split())
     head = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:page:{page_id}>"),
+        ("WARC-Record-ID", f"<urn:unnamed:{name}>" if page_id is None else f"<urn:page:{page_id}>"),
         ("WARC-Date", capture_time(page_id)),
         ("WARC-Target-URI", target),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
@@ -106,18 +106,20 @@ def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def plan_captures(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, html, digest, refers_to)``: equal payloads after the one with the smallest id refer to it.
+    """``(page_id, digest, n, url, html, refers_to)``: equal payloads after the one with the smallest id refer to it.
 
-    Digests are grouped with map-side merging. Only the pages that refer to another come back through a join, by digest with one row on the other side;
-    html moves once, by page. Rows with a null id can't be named: they are left out by ``write_archives``.
+    Digests are grouped with map-side merging. Only the rows that refer to another come back through a join, by page, digest and length with one row
+    on the other side; html moves once, by these. Rows with a null id refer to the smallest id with their payload, if there is one.
     """
     own = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
-    ).filter("page_id IS NOT NULL")
-    digests = stored(own.select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("digest"), F.octet_length("html").alias("n")), "digests")
-    firsts = digests.groupBy("digest", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
-    revisits = digests.join(firsts, ["digest", "n"]).filter("page_id > first").select("page_id", F.col("first").alias("refers_to")).distinct()
-    return own.join(revisits, "page_id", "left")
+    ).select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("digest"), F.octet_length("html").alias("n"), "url", "html")
+    digests = stored(own.select("page_id", "digest", "n"), "digests")
+    firsts = digests.groupBy("digest", "n").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).filter("copies > 1 AND refers_to IS NOT NULL")
+    revisits = digests.join(firsts, ["digest", "n"]).filter("page_id IS NULL OR page_id > refers_to").select("page_id", "digest", "n", "refers_to").distinct()
+    revisits = revisits.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("n").alias("_n"), "refers_to")
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")) & (F.col("n") == F.col("_n"))
+    return own.join(revisits, same, "left").drop("_page", "_digest", "_n")
 
 
 ENTRY = "url_key string, ts string, page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, file string, offset bigint, size bigint"
@@ -131,7 +133,7 @@ def write_archives(captures: DataFrame, folder: str, archive_bytes: int = ARCHIV
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, serial, out, count = TaskContext.get().partitionId(), 0, None, 0
+        task, serial, out, count, unnamed = TaskContext.get().partitionId(), 0, None, 0, 0
         done: list[tuple[str, int, int]] = []
 
         def close():
@@ -144,7 +146,8 @@ def write_archives(captures: DataFrame, folder: str, archive_bytes: int = ARCHIV
                     payload = html.encode("utf-8", "surrogatepass")
                     if out is None:
                         out, count = Published(folder, f"pages-{task:06d}-{serial:04d}.warc.gz"), 0
-                    out.write(packed(record(page_id, url, payload, payload_digest(payload), refers_to)))
+                    unnamed += page_id is None
+                    out.write(packed(record(page_id, url, payload, payload_digest(payload), refers_to, name=f"{task}-{unnamed}")))
                     count += 1
                     if out.size >= archive_bytes:
                         close()
@@ -189,8 +192,13 @@ def index_archives(archives: DataFrame) -> DataFrame:
     return mapped(archives.select("file").repartition(parts, "file"), read, ENTRY)
 
 
-def _page(urn: str) -> int:
-    return int(urn.rstrip(">").rsplit(":", 1)[1])
+def _page(urn: str) -> int | None:
+    return None if urn.startswith("<urn:unnamed:") else int(urn.rstrip(">").rsplit(":", 1)[1])
+
+
+def _key(entry: tuple) -> tuple:
+    """URL key, time, page (none last), file and offset of an entry: no two records are equal in all of them."""
+    return (entry[0], entry[1], entry[2] is None, entry[2] or 0, entry[8], entry[9])
 
 
 class LoserTree:
@@ -244,18 +252,18 @@ SLICES = "bucket int, task int, run bigint, entries binary"
 
 
 def capture_histories(archives: DataFrame, ranges: int | None = None, fan_in: int = 256) -> DataFrame:
-    """Captures of all archives in the order of URL key, time and page: ``(range_no, place, …)``, ``place`` counting inside a range.
+    """Captures of all archives in the order of URL key, time and page, nulls last: ``(range_no, place, …)``, ``place`` counting inside a range.
 
     Each index task sorts what it read, a run, and cuts it at the bounds of the ranges, which come from a sample
-    of bounded size. Slices of a range are merged ``fan_in`` at a time. The bounds have URL key, time and page, so
-    that also a single URL with very many captures is spread.
+    of bounded size. Slices of a range are merged ``fan_in`` at a time. The bounds have URL key, time, page, file and offset, so
+    that also a single URL or page with very many captures is spread.
     """
     spark = archives.sparkSession
     entries = stored(index_archives(archives), "entries")
     ranges = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     total = max(1, entries.count())
-    chosen = F.pmod(F.xxhash64("page_id"), F.lit(max(1, total // (40 * ranges)))) == 0
-    sample = sorted(tuple(r) for r in entries.filter(chosen).select("url_key", "ts", "page_id").limit(80 * ranges).collect())
+    chosen = F.pmod(F.xxhash64("page_id", "offset"), F.lit(max(1, total // (40 * ranges)))) == 0
+    sample = sorted(_key(r) for r in entries.filter(chosen).select(*_FIELDS).limit(80 * ranges).collect())
     bounds = [sample[len(sample) * k // ranges] for k in range(1, ranges)] if len(sample) >= ranges else sample
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +273,7 @@ def capture_histories(archives: DataFrame, ranges: int | None = None, fan_in: in
 
         task = TaskContext.get().partitionId()
         for run, batch in enumerate(batches):
-            keys = list(zip(*[batch.column(k).to_pylist() for k in range(3)]))
+            keys = [_key(e) for e in zip(*[c.to_pylist() for c in batch.columns])]
             order = sorted(range(len(keys)), key=keys.__getitem__)
             buckets = [bisect.bisect_right(bounds, keys[k]) for k in order]
             rows, at = [], 0
@@ -324,19 +332,21 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class _Entry(tuple):
-    """An entry that compares by URL key, time and page alone."""
+    """An entry that compares by ``_key``."""
 
     __slots__ = ()
 
     def __lt__(self, other) -> bool:
-        return self[:3] < other[:3]
+        return _key(self) < _key(other)
 
 
-def archive_pages(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def archive_pages(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, unnamed: bool = False) -> DataFrame:
     """Write all pages and read the archives back as capture histories.
 
-    Null html is an empty payload, null URLs are empty. Pages with a null id have no name and are left out; rows with equal ids each give
-    a record. Equal payloads refer to the record with the smallest id. An empty table gives no archive and no rows.
+    Null html is an empty payload, null URLs are empty. With ``unnamed``, pages with a null id get a record under a name of their own, otherwise they are
+    left out; rows with equal ids each give a record. Equal payloads refer to the record with the smallest id and their digest. An empty table gives no
+    archive and no rows.
     """
     folder = shared_files(pages.sparkSession, "warc")
+    pages = pages if unnamed else pages.filter(F.col("page_id").cast("bigint").isNotNull())
     return capture_histories(write_archives(plan_captures(pages), folder, archive_bytes))
