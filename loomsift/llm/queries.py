@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsift.llm import classify, decontaminate, exact, forest, lines, pieces, planes, secrets, suffixes, warc
+from loomsift.llm import classify, decontaminate, exact, forest, lines, pieces, planes, repair, secrets, suffixes, warc
 from loomsift.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,9 +73,13 @@ def op10_repeats(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return repair.repair(read_table(spark, sf, "conversations"))
+
+
 def all_queries() -> dict[str, Query]:
     found = (
         op1_secrets, op2_decontamination, op3_quality, op4_exact_dedup, op5_near_dedup, op6_pieces, op7_archives, op8_token_ids,
-        op9_line_dedup, op10_repeats,
+        op9_line_dedup, op10_repeats, op13_conversation_repair,
     )
     return {fn.__name__: fn for fn in found}
