@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsift.llm import classify, counts, decontaminate, exact, forest, lines, pieces, planes, repair, secrets, suffixes, warc
+from loomsift.llm import classify, counts, decontaminate, exact, forest, lines, pieces, planes, repair, search, secrets, suffixes, warc
 from loomsift.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,10 @@ def op11_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counts.token_counts(read_table(spark, sf, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return search.rank_documents(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     return repair.repair(read_table(spark, sf, "conversations"))
 
@@ -84,6 +88,6 @@ def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     found = (
         op1_secrets, op2_decontamination, op3_quality, op4_exact_dedup, op5_near_dedup, op6_pieces, op7_archives, op8_token_ids,
-        op9_line_dedup, op10_repeats, op11_token_counts, op13_conversation_repair,
+        op9_line_dedup, op10_repeats, op11_token_counts, op12_ranked_search, op13_conversation_repair,
     )
     return {fn.__name__: fn for fn in found}
