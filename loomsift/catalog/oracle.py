@@ -491,16 +491,25 @@ def crawl_ctes(o, subdomains: bool = False) -> dict[str, str]:
     """Levels of the frontier, unrolled, ending in ``frontier``."""
     allowed = f"AND {last_two(domain('url'))} IN (SELECT {last_two(domain('url'))} FROM seeds)" if o.same_domain else ""
 
-    def fresh(arrivals: str, depth: int, before: list[str]) -> dict[str, str]:
-        used = " UNION ALL ".join(f"SELECT url, domain FROM {b}" for b in before) or "SELECT NULL AS url, NULL AS domain WHERE FALSE"
-        page_cap = f"QUALIFY row_number() OVER (PARTITION BY src_url ORDER BY ord, url) <= {o.links_per_page}" if depth else ""
+    def rated(table: str, depth: int) -> str:
+        return f"SELECT url, {depth} AS depth, domain, {priority('url', str(depth))} AS priority, ord FROM {table}"
+
+    def one_by_one(depth: int) -> dict[str, str]:
+        """Links in order of arrival, each taken or not by what was taken before it."""
+        before = " UNION ALL ".join(f"SELECT url, domain FROM level{i}" for i in range(depth))
+        taken = f"""len(list_filter(taken, lambda t: t.url = x.url)) = 0 AND len(list_filter(taken, lambda t: t.src_url = x.src_url)) < {o.links_per_page}
+            AND x.used + len(list_filter(taken, lambda t: t.domain = x.domain)) < {o.max_per_domain}"""
+        row = "{'src_priority': src_priority, 'src_url': src_url, 'ord': ord, 'url': url, 'domain': domain, 'used': used}"
+        kind = "STRUCT(src_priority INTEGER, src_url VARCHAR, ord VARCHAR, url VARCHAR, domain VARCHAR, used BIGINT)"
         return {
-            f"first{depth}": f"""SELECT * FROM {arrivals} WHERE url NOT IN (SELECT url FROM ({used})) {allowed}
-                QUALIFY row_number() OVER (PARTITION BY url ORDER BY src_priority, src_url, ord) = 1""",
-            f"rated{depth}": f"""SELECT url, ord, src_url, {depth} AS depth, {domain('url')} AS domain,
-                {priority('url', str(depth))} AS priority FROM first{depth}""",
-            f"level{depth}": f"""SELECT url, depth, domain, priority, ord FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY priority, ord, url)
-                    + (SELECT count(*) FROM ({used}) z WHERE z.domain = rated{depth}.domain) AS k FROM rated{depth}) WHERE k <= {o.max_per_domain} {page_cap}""",
+            f"before{depth}": before,
+            f"coming{depth}": f"""SELECT a.* REPLACE (src_priority::INTEGER AS src_priority), {domain('url')} AS domain,
+                (SELECT count(*) FROM before{depth} b WHERE b.domain = {domain('a.url')}) AS used
+                FROM arrive{depth} a WHERE url NOT IN (SELECT url FROM before{depth}) {allowed}""",
+            f"queue{depth}": f"SELECT list({row}::{kind} ORDER BY src_priority, src_url, ord, url) AS links FROM coming{depth}",
+            f"taken{depth}": f"""SELECT unnest(list_reduce(coalesce(links, []::{kind}[]), lambda taken, x: CASE WHEN {taken} THEN list_append(taken, x) ELSE taken END,
+                []::{kind}[])) AS t FROM queue{depth}""",
+            f"level{depth}": rated(f"(SELECT t.* FROM taken{depth})", depth),
         }
 
     ctes = {
@@ -519,12 +528,15 @@ def crawl_ctes(o, subdomains: bool = False) -> dict[str, str]:
         else "SELECT NULL::VARCHAR AS url WHERE FALSE",
         "start": f"""SELECT {canonical('url')} AS url, 1 AS src_priority, '' AS src_url, md5({canonical('url')}) AS ord FROM seeds
             UNION ALL SELECT {canonical('url')}, 0, '', md5({canonical('url')}) FROM early""",
-        **fresh("start", 0, []),
+        "first0": f"""SELECT *, {domain('url')} AS domain FROM start WHERE url IS NOT NULL {allowed}
+            QUALIFY row_number() OVER (PARTITION BY url ORDER BY src_priority, src_url, ord) = 1""",
+        "level0": f"""SELECT * FROM ({rated('first0', 0)})
+            QUALIFY row_number() OVER (PARTITION BY domain ORDER BY priority, ord, url) <= {o.max_per_domain}""",
     }
     for depth in range(1, o.max_depth):
         ctes[f"arrive{depth}"] = f"""SELECT {canonical('dst')} AS url, v.priority AS src_priority, l.src_url, l.ord
             FROM level{depth - 1} v JOIN link_table l ON l.src_url = v.url"""
-        ctes.update(fresh(f"arrive{depth}", depth, [f"level{i}" for i in range(depth)]))
+        ctes.update(one_by_one(depth))
     ctes["frontier"] = " UNION ALL ".join(f"SELECT * FROM level{i}" for i in range(o.max_depth))
     return ctes
 
@@ -615,6 +627,14 @@ def all_sql() -> dict[str, str]:
         "kept": "SELECT page_id, url, quality, text FROM funnel WHERE outcome = 'success'",
         **answer_ctes("kept", "page_id"),
     }
+    crawl_stopped = {
+        **crawled,
+        "picked": "SELECT page_id, url, text FROM one_page JOIN frontier USING (url) JOIN texts USING (page_id)",
+        **gate_ctes("picked", "page_id", q.CRAWL_GATE),
+        "kept": f"""SELECT page_id, url, depth, quality, text FROM funnel JOIN frontier USING (url) WHERE outcome = 'success'
+            QUALIFY row_number() OVER (ORDER BY depth, priority, ord, url) <= {q.STOPPED_CRAWL.stop_after}""",
+        **answer_ctes("kept", "page_id"),
+    }
     rule = "repeat('=', 80)"
     prompt = lambda t: prompt_sql(t)
     content_rows = ", ".join(f"({lit(n)}, {lit(p)}, {lit(s)})" for n, (p, s) in vocab.CONTENT_TYPES.items())
@@ -826,6 +846,10 @@ def all_sql() -> dict[str, str]:
             crawl_curated,
             f"""SELECT url, quality, {render_sql(vocab.DEFAULT_TEMPLATE, 'Recipe')} AS chat FROM kept JOIN answers USING (page_id)""",
         ),
+        "crawl_stop_after": with_(
+            crawl_stopped,
+            f"""SELECT url, quality, {render_sql(vocab.DEFAULT_TEMPLATE, 'Recipe')} AS chat FROM kept JOIN answers USING (page_id)""",
+        ),
         "domain_counts": with_(urls_, f"SELECT {domain(canonical('url'))} AS domain, count(DISTINCT {canonical('url')}) AS urls FROM all_urls GROUP BY 1"),
         "domain_totals": with_(
             urls_,

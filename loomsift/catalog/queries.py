@@ -1,6 +1,7 @@
 """Registered queries: every operator over whole tables, or over tables derived from them."""
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ FUNNEL_GATE = GateOptions(
 )
 BLACKLIST = ("spam-farm", "src7.", "/tag/")
 CRAWL = CrawlOptions(max_depth=3, links_per_page=4, max_per_domain=6, same_domain=False)
+STOPPED_CRAWL = replace(CRAWL, stop_after=10)
 SITE_CRAWL = CrawlOptions(max_depth=3)
 CRAWL_GATE = GateOptions(digit_density=False, quality_threshold=55.0)
 TRUNCATE_AT = 1000
@@ -448,6 +450,11 @@ def crawl_and_curate(spark, sf):
     return rows.select("url", F.round("quality", 6).alias("quality"), "chat")
 
 
+def crawl_stop_after(spark, sf):
+    rows = crawl.crawl_and_curate(d.linked_pages(spark, sf), d.seeds(spark, sf), STOPPED_CRAWL, CRAWL_GATE)
+    return rows.select("url", F.round("quality", 6).alias("quality"), "chat")
+
+
 def domain_counts(spark, sf):
     return links.domain_counts(d.all_urls(spark, sf))
 
@@ -550,7 +557,7 @@ _NAMED = [
     training_roundtrip, readable_lines, seed_urls, select_code_files, decode_code, scan_code, code_metadata,
     format_code, curate_code, code_stats, chunk_code, unseen, same_site, subdomain_candidates, observed_subdomains,
     new_subdomains, verified_candidates, discovery_stats, first_seen, links_per_page, domain_cap, crawl_expand,
-    crawl_frontier, crawl_frontier_same_site, crawl_with_subdomains, crawl_and_curate, domain_counts, domain_totals, extract_endpoints,
+    crawl_frontier, crawl_frontier_same_site, crawl_with_subdomains, crawl_and_curate, crawl_stop_after, domain_counts, domain_totals, extract_endpoints,
     endpoint_health, quarantine, pool_stats, top_fifth, speed, request_gap_audit, stream_curate, stream_dedup,
     stream_stats, stream_health,
 ]

@@ -50,6 +50,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def table_of(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it from there: computed once, and of a size that Spark knows when it plans a join."""
+    folder = fresh_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def fence(df: DataFrame, *costly: str) -> DataFrame:
     """Pass the costly columns through a one-element generator.
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from loomsift.functions import vocab
 from loomsift.functions.dialect import BLANK, rx
-from loomsift.operators.ranking import with_global_rank
+from loomsift.functions.session import cut
+from loomsift.operators.ranking import first_rows
 
 
 def extract_endpoints(blobs: DataFrame, text: str = "text") -> DataFrame:
@@ -108,14 +109,16 @@ def pool_stats(log: DataFrame, as_of: Column) -> DataFrame:
 
 
 def top_fifth(scored: DataFrame, score: str = "score", key: str = "key") -> DataFrame:
-    """Best 20 % of the rows by score, one at least; equal scores in key order.
+    """Best 20 % of the rows by score, one at least; equal scores in key order. The last of them is selected, nothing is sorted.
 
     Rows marked in a column ``quarantined``, as :func:`quarantine` has it, are no candidates and do not count.
     """
     if "quarantined" in scored.columns:
         scored = scored.filter(~F.col("quarantined"))
-    ranked, total = with_global_rank(scored, F.desc(score), F.asc(key))
-    return ranked.filter(F.col("rank") <= max(1, total // 5)).drop("rank")
+    # lowest first: rows without a score last, then the largest score
+    stored = cut(scored.withColumns({"_none": F.col(score).isNull(), "_less": -F.col(score)}))
+    best = first_rows(stored, max(1, stored.count() // 5), "_none", "_less", key)
+    return best.drop("_none", "_less")
 
 
 def _seconds_between(start: Column, end: Column) -> Column:

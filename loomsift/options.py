@@ -38,6 +38,7 @@ class CrawlOptions:
     same_domain: bool = True
     prioritize_content: bool = True
     crawler_enabled: bool = True
+    stop_after: int = 0  # accepted pages, 0 for no limit
     order_seed: str = ""
 
 

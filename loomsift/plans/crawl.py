@@ -1,18 +1,21 @@
 """Bounded-depth crawl over a table of pages.
 
-A level is one round of joins. The link table is built once, stored partitioned by source URL, and
-joined with the URLs of each level; pages' html is read once for all levels.
+A narrow table of canonical URLs is made once. Each level joins it with the URLs that the level before admitted, and only the pages found
+are extracted, so the work follows what the crawl reaches and not the size of the table.
 """
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomsift.functions import urls
-from loomsift.functions.session import cut, fresh_folder
+from loomsift.functions.session import cut, table_of
 from loomsift.operators.links import link_array, subdomain_candidates, verified_candidates
-from loomsift.operators.ranking import first_per_group
+from loomsift.operators.ranking import first_per_group, ranked_in_groups
 from loomsift.options import CrawlOptions, GateOptions, RenderOptions
-from loomsift.plans.curate import apply_gates, gated_text, training_rows
+from loomsift.plans.curate import apply_gates, gated_text, stop_after, training_rows
 
 
 def unseen(candidates: DataFrame, seen: DataFrame, key: str = "url") -> DataFrame:
@@ -52,16 +55,51 @@ def link_order(url, options: CrawlOptions):
 
 def links_per_page(links: DataFrame, n: int, order: str = "ord") -> DataFrame:
     """At most ``n`` links of every source page."""
-    return first_per_group(links, ["src_url"], [F.asc(order), F.asc("url")], n, "url").drop("rn")
+    return first_per_group(links, ["src_url"], [F.asc(order), F.asc("url")], n).drop("rn")
 
 
-def domain_cap(candidates: DataFrame, used: DataFrame | None, cap: int, order: tuple[str, ...] = ("priority", "ord")) -> DataFrame:
-    """At most ``cap`` URLs per domain, less those that ``used`` (domain, n) holds already."""
-    ranked = first_per_group(candidates, ["domain"], [F.asc(o) for o in order] + [F.asc("url")], cap, "url")
+def with_room(candidates: DataFrame, used: DataFrame | None, cap: int) -> DataFrame:
+    """Candidates of domains that take more, with ``room``: the cap less what ``used`` (domain, n) holds already."""
     if used is None:
-        return ranked.drop("rn")
-    left = ranked.join(used.select("domain", F.col("n").alias("_used")), "domain", "left")
-    return left.filter(F.col("rn") + F.coalesce("_used", F.lit(0)) <= cap).drop("rn", "_used")
+        return candidates.withColumn("room", F.lit(cap).cast("bigint"))
+    left = candidates.join(used.select("domain", F.col("n").alias("_used")), "domain", "left")
+    return left.withColumn("room", F.lit(cap) - F.coalesce("_used", F.lit(0))).drop("_used").filter("room > 0")
+
+
+def domain_cap(candidates: DataFrame, used: DataFrame | None, cap: int, order: tuple[str, ...] = ("priority", "ord")) -> DataFrame:
+    """At most ``cap`` URLs per domain, less those that ``used`` (domain, n) holds already; a domain and a cap may be of any size."""
+    ranked = ranked_in_groups(with_room(candidates, used, cap), ["domain"], [*order, "url"])
+    return ranked.filter("rn <= room").drop("rn", "room")
+
+
+_ARRIVAL = ("src_priority", "src_url", "ord", "url")
+
+
+def joint_admission(candidates: DataFrame, n: int) -> DataFrame:
+    """Links ``(src_priority, src_url, ord, url, domain, room)`` that come in when pages, one after the other, offer theirs in order.
+
+    A link comes in unless its URL is in already, its domain has no room left, or its page has ``n`` links in. That is found
+    for all pages at once: each page offers its first ``n`` links that are not refused; a URL holds the first offer, a domain
+    the first ``room`` of those, in order of arrival; every link that comes after what is held is refused for good. The
+    offers that nobody refuses any more are those of the one-by-one order, as URLs and domains all prefer the same arrivals.
+    """
+    copies = candidates.groupBy("src_priority", "src_url", "url", "domain", "room").agg(F.min("ord").alias("ord"))
+    live, own = cut(copies), F.struct(*_ARRIVAL)
+    while True:
+        offered = first_per_group(live, ["src_url"], [F.asc("ord"), F.asc("url")], n).drop("rn")
+        held = cut(offered.groupBy("url", "domain", "room").agg(F.min(own).alias("_held"), F.count("*").alias("_offers")))
+        counts = held.groupBy("domain", "room").agg(F.count("*").alias("_n"), F.sum("_offers").alias("_offers"))
+        told = counts.agg(F.sum(F.col("_offers") - F.col("_n")).alias("again"), F.count_if(F.col("_n") > F.col("room")).alias("full")).first()
+        if not told["again"] and not told["full"]:
+            return offered
+        stays = F.coalesce(own <= F.col("_held"), F.lit(True))
+        left = live.join(held.select("url", "_held"), "url", "left")
+        if told["full"]:
+            rows = held.join(counts.filter("_n > room").select("domain"), "domain", "left_semi").select("domain", "room", "_held")
+            last = ranked_in_groups(rows, ["domain"], ["_held"]).filter("rn = room").select("domain", F.col("_held").alias("_last"))
+            left = left.join(last, "domain", "left")
+            stays = stays & F.coalesce(own <= F.col("_last"), F.lit(True))
+        live = cut(left.filter(stays).select(live.columns))
 
 
 def read_pages(pages: DataFrame, gate: GateOptions, options: CrawlOptions) -> DataFrame:
@@ -82,7 +120,7 @@ def read_pages(pages: DataFrame, gate: GateOptions, options: CrawlOptions) -> Da
 def link_table(read: DataFrame) -> DataFrame:
     """``(src_url, dst)`` of pages with links; of pages with one canonical URL the lowest id counts."""
     found = read.select(F.col("url").alias("src_url"), "page_id", "dst")
-    one = first_per_group(found, ["src_url"], [F.asc("page_id")], 1, "page_id").drop("rn", "page_id")
+    one = first_per_group(found, ["src_url"], [F.asc("page_id")], 1).drop("rn", "page_id")
     return one.filter(F.size("dst") > 0)
 
 
@@ -104,84 +142,121 @@ def subdomain_seeds(seeds: DataFrame, pages: DataFrame) -> DataFrame:
     return found.select(F.col("candidate").alias("url"))
 
 
-def _admit(arrivals: DataFrame, admitted: DataFrame | None, seeds: DataFrame, depth: int, options: CrawlOptions) -> DataFrame:
-    # merging the copies of a URL first keeps a much-linked URL out of the joins
-    fresh = first_seen(arrivals)
-    if admitted is not None:
-        fresh = unseen(fresh, admitted)
-    if options.same_domain:
-        fresh = of_sites(fresh, sites_of(seeds))
-    fresh = fresh.withColumns(
-        {
-            "depth": F.lit(depth),
-            "domain": urls.domain(F.col("url")),
-            "priority": urls.priority(F.col("url"), F.lit(depth), options.prioritize_content),
-        }
-    )
-    used = None if admitted is None else admitted.groupBy("domain").agg(F.count("*").alias("n"))
-    # the cap comes first: links that it turns away take nothing of the quota of their page
-    fresh = domain_cap(fresh, used, options.max_per_domain)
-    if depth > 0:
-        fresh = links_per_page(fresh, options.links_per_page)
-    return fresh.select("url", "depth", "domain", "priority", "ord")
+def _fresh(arrivals: DataFrame, seen: DataFrame | None, sites: DataFrame | None, depth: int, options: CrawlOptions) -> DataFrame:
+    fresh = arrivals if seen is None else unseen(arrivals, seen)
+    if sites is not None:
+        fresh = of_sites(fresh, sites)
+    return fresh.withColumn("domain", urls.domain(F.col("url")))
 
 
-def crawl_frontier(
+def _rated(admitted: DataFrame, depth: int, options: CrawlOptions) -> DataFrame:
+    priority = urls.priority(F.col("url"), F.lit(depth), options.prioritize_content)
+    return admitted.select("url", F.lit(depth).alias("depth"), "domain", priority.alias("priority"), "ord")
+
+
+def page_index(pages: DataFrame) -> DataFrame:
+    """``(url, page_id)``: the lowest id of each canonical URL. Narrow, and the only thing made of all pages."""
+    return pages.select(urls.canonical(F.col("url")).alias("url"), "page_id").groupBy("url").agg(F.min("page_id").alias("page_id"))
+
+
+def pages_at(pages: DataFrame, index: DataFrame, level: DataFrame) -> DataFrame:
+    """The pages of the URLs of a level, under their canonical URL.
+
+    Ids are found on narrow tables. With few of them the join broadcasts them; with many, Spark filters the pages by a Bloom filter of the ids
+    ahead of the shuffle, for which the condition on the ids is written out: html of pages that are not reached does not move.
+    """
+    ids = table_of(index.join(level.select("url"), "url", "left_semi").select("page_id", F.col("url").alias("_url")), "ids")
+    bounds = ids.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).first()
+    if bounds["lo"] is None:
+        return pages.withColumn("url", urls.canonical(F.col("url"))).limit(0)
+    inside = F.col("page_id").between(bounds["lo"], bounds["hi"])
+    found = pages.join(ids.filter(inside), "page_id").withColumn("url", urls.canonical(F.col("url")))
+    return found.filter(F.col("url") == F.col("_url")).drop("_url")
+
+
+def crawl_levels(
     pages: DataFrame,
     seeds: DataFrame,
     options: CrawlOptions = CrawlOptions(),
     gate: GateOptions = GateOptions(),
     subdomains: DataFrame | None = None,
     links: DataFrame | None = None,
-) -> DataFrame:
-    """URLs a crawl reaches: ``(url, depth, domain, priority, ord)``.
+    read_last: bool = False,
+) -> Iterator[tuple[DataFrame, DataFrame | None]]:
+    """Level by level ``(url, depth, domain, priority, ord)`` and the pages read there as :func:`read_pages` has them.
 
-    Admission per level: first arrival, unseen, same site, domain cap, links per page. A URL that
-    a cap or quota turns away is not marked as seen and may come in at a later level. ``subdomains`` enter
-    at depth 0 ahead of the seeds. ``links`` takes a link table that exists already.
+    A caller that needs no further level just stops. The last level is read only if asked for; with a link table in
+    ``links`` no other level is, either.
     """
     starts = seeds.select(urls.canonical(F.col("url")).alias("url"), F.lit(1).alias("src_priority"))
     if subdomains is not None:
         early = subdomains.select(urls.canonical(F.col("url")).alias("url"), F.lit(0).alias("src_priority"))
         starts = early.unionByName(starts)
     starts = starts.select("url", "src_priority", F.lit("").alias("src_url"), link_order(F.col("url"), options).alias("ord"))
-    admitted = level = cut(_admit(starts, None, seeds, 0, options))
-    if not options.crawler_enabled or options.max_depth <= 1:
-        return admitted
-    links = cut(page_links(pages, gate, options) if links is None else links)
-    for depth in range(1, options.max_depth):
-        level = cut(_admit(expand(level, links), admitted, seeds, depth, options))
+    sites = cut(sites_of(seeds)) if options.same_domain else None
+    # merging the copies of a URL first keeps a much-linked URL out of the joins
+    first = _rated(_fresh(first_seen(starts), None, sites, 0, options), 0, options)
+    level = cut(domain_cap(first, None, options.max_per_domain))
+    index = cut(page_index(pages))
+    links = links if links is None else cut(links)
+    seen, used, depths = level.select("url"), None, options.max_depth if options.crawler_enabled else 1
+    for depth in range(max(1, depths)):
+        last = depth + 1 >= depths
+        read = None
+        if read_last if last else read_last or links is None:
+            read = table_of(read_pages(pages_at(pages, index, level), gate, options), "read")
+        yield level, read
+        if last:
+            return
+        counts = level.groupBy("domain").agg(F.count("*").alias("n"))
+        used = cut(counts if used is None else used.unionByName(counts).groupBy("domain").agg(F.sum("n").alias("n")))
+        fresh = _fresh(expand(level, link_table(read) if links is None else links), seen, sites, depth + 1, options)
+        admitted = joint_admission(with_room(fresh, used, options.max_per_domain), options.links_per_page)
+        level = cut(_rated(admitted, depth + 1, options))
         if level.isEmpty():
-            break
-        admitted = admitted.unionByName(level)
-    return admitted
+            return
+        seen = seen.unionByName(level.select("url"))
 
 
-def crawl_and_curate(
+def crawl_frontier(
     pages: DataFrame,
     seeds: DataFrame,
     options: CrawlOptions = CrawlOptions(),
     gate: GateOptions = GateOptions(),
-    render: RenderOptions = RenderOptions(),
+    subdomains: DataFrame | None = None,
+    links: DataFrame | None = None,
 ) -> DataFrame:
-    """Training rows of the pages that a crawl reaches.
+    """URLs a crawl reaches: ``(url, depth, domain, priority, ord)``.
 
-    Pages are read once: text and links go to one table, from which both the frontier and the
-    curated rows are made. Joins then move clean text instead of html.
+    Seeds come in at depth 0, up to the cap of their domain; ``subdomains`` ahead of them. At each further level the pages of the one
+    before offer their unseen links of allowed sites, see :func:`joint_admission`. A URL that a cap or quota turns away is not
+    marked as seen and may come in at a later level. ``links`` takes a link table that exists already.
     """
-    spark = pages.sparkSession
-    folder = fresh_folder(spark, "read")
-    read_pages(pages, gate, options).write.parquet(folder)
-    read = spark.read.parquet(folder)
-    reached = crawl_frontier(pages, seeds, options, gate, links=link_table(read))
-    return training_rows(apply_gates(reached_pages(read, reached), gate), render)
+    levels = [level for level, _ in crawl_levels(pages, seeds, options, gate, subdomains, links)]
+    return reduce(DataFrame.unionByName, levels)
 
 
-def reached_pages(read: DataFrame, reached: DataFrame) -> DataFrame:
-    """Rows of :func:`read_pages` whose URL was reached; of copies the lowest id.
+def crawl_and_curate(
+    pages: DataFrame,
+    seeds: DataFrame,
+    options: CrawlOptions = CrawlOptions(),
+    gate: GateOptions = GateOptions(),
+    render: RenderOptions = RenderOptions(),
+) -> DataFrame:
+    """Training rows of the pages that a crawl reaches.
 
-    The ids are picked on the narrow columns first, so that texts move once, for the pages kept.
+    With ``options.stop_after`` the crawl ends at so many accepted pages, taken level by level in order of (priority, ord, url):
+    what comes after is neither read nor expanded.
     """
-    ids = read.select("page_id", "url").join(reached.select("url"), "url", "left_semi")
-    ids = ids.groupBy("url").agg(F.min("page_id").alias("page_id"))
-    return read.drop("url", "dst").join(ids, "page_id")
+    done, left = [], options.stop_after
+    for level, read in crawl_levels(pages, seeds, options, gate, read_last=True):
+        funnel = apply_gates(read.drop("dst"), gate)
+        if options.stop_after:
+            accepted = funnel.filter("outcome = 'success'").join(level.select("url", "priority", "ord"), "url")
+            accepted = stop_after(table_of(accepted, "accepted"), left, "priority", "ord", "url", "page_id")
+            left -= accepted.count()
+            funnel = accepted.select(funnel.columns)
+        done.append(funnel)
+        if options.stop_after and left <= 0:
+            break
+    return training_rows(reduce(DataFrame.unionByName, done), render)

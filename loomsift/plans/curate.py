@@ -1,7 +1,5 @@
 """Pages to training rows in one pass, and the statistics of a run."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +7,7 @@ from loomsift.functions import urls, vocab
 from loomsift.functions.dialect import contains_any
 from loomsift.functions.session import cut, fence
 from loomsift.operators import extract, gates, quality, render
-from loomsift.operators.ranking import with_global_rank
+from loomsift.operators.ranking import first_rows
 from loomsift.options import GateOptions, RenderOptions
 
 
@@ -132,12 +130,6 @@ def kept_share(flagged: DataFrame, reason: str = "reason") -> DataFrame:
 def stop_after(accepted: DataFrame, n: int, *order) -> DataFrame:
     """The first ``n`` accepted rows in the given order, whose columns identify a row; 0 means all of them.
 
-    Only the columns of the order are ranked, in a distributed sort; the texts stay where they are.
+    The n-th value is selected by counts over the columns of the order, so that nothing is sorted and no text moves.
     """
-    if n <= 0:
-        return accepted
-    stored = cut(accepted)
-    ranked, _ = with_global_rank(stored.select(*order), *[F.asc(o) for o in order])
-    first = ranked.filter(F.col("rank") <= n)
-    same = [stored[o].eqNullSafe(first[o]) for o in order]
-    return stored.join(first, reduce(lambda a, b: a & b, same), "left_semi")
+    return first_rows(cut(accepted), n, *order) if n > 0 else accepted

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomsift.options import CrawlOptions, GateOptions
+from loomsift.operators.ranking import ranked_in_groups
 from loomsift.plans import crawl
 
 FILLER = "<p>" + "words of a page that has some content in it 1 2 3 " * 3 + "</p>"
@@ -80,52 +81,115 @@ def _priority(url, depth):
 
 
 def _simulate(graph, seeds, o):
+    """One page after the other, one link after the other, as a crawler with a queue does it within a level."""
     order = lambda u: hashlib.md5(u.encode()).hexdigest()
     admitted, used = {}, {}
 
-    def admit(arrivals, depth):
-        first = {}
-        for src_priority, src, key, url in arrivals:
-            if url not in admitted and (url not in first or (src_priority, src, key) < first[url]):
-                first[url] = (src_priority, src, key)
-        domains = {}
-        for url, (_, _, key) in first.items():
-            domains.setdefault(urlparse(url).netloc, []).append((_priority(url, depth), key, url))
-        level = []
-        for name, rows in domains.items():
-            for rank, (_, _, url) in enumerate(sorted(rows)[: o.max_per_domain], 1):
-                if rank + used.get(name, 0) <= o.max_per_domain:
-                    level.append(url)
-        if depth:
-            per_page = {}
-            for url in level:
-                per_page.setdefault(first[url][1], []).append((first[url][2], url))
-            level = [u for rows in per_page.values() for _, u in sorted(rows)[: o.links_per_page]]
-        for url in level:
-            admitted[url] = depth
-        for url in level:
-            name = urlparse(url).netloc
-            used[name] = used.get(name, 0) + 1
-        return level
-
-    level = admit([(1, "", order(u), u) for u in seeds], 0)
+    def push(url, depth):
+        name = urlparse(url).netloc
+        if url in admitted or used.get(name, 0) >= o.max_per_domain:
+            return False
+        admitted[url] = depth
+        used[name] = used.get(name, 0) + 1
+        return True
+
+    level = [u for u in sorted(seeds, key=lambda u: (_priority(u, 0), order(u), u)) if push(u, 0)]
     for depth in range(1, o.max_depth):
-        arrivals = []
-        for src in level:
+        found = []
+        for src in sorted(level, key=lambda u: (_priority(u, depth - 1), u)):
             targets = sorted({t for t in graph.get(src, []) if t != src}, key=lambda t: (order(t), t))[: 2 * o.links_per_page]
-            arrivals += [(_priority(src, depth - 1), src, order(t), t) for t in targets]
-        level = admit(arrivals, depth)
+            added = 0
+            for url in targets:
+                if added >= o.links_per_page:
+                    break
+                if push(url, depth):
+                    added += 1
+                    found.append(url)
+        level = found
     return admitted
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_frontier_equals_a_simulation(spark, seed):
+def _random_graph(seed, hosts=5, urls=60, most=9):
     rng = random.Random(seed)
-    urls = [f"https://h{i % 5}.org/p{i}" for i in range(60)]
-    graph = {u: [rng.choice(urls) for _ in range(rng.randint(0, 9))] for u in urls[:50]}
-    options = CrawlOptions(max_depth=4, links_per_page=2, max_per_domain=6, same_domain=False)
-    got = _depths(crawl.crawl_frontier(_pages(spark, graph), _seeds(spark, *urls[:4]), options))
-    assert got == _simulate(graph, urls[:4], options)
+    names = [f"https://h{rng.randrange(hosts)}.org/p{i}" for i in range(urls)]
+    return names, {u: [rng.choice(names) for _ in range(rng.randint(0, most))] for u in names[: urls * 5 // 6]}
+
+
+@pytest.mark.parametrize(("seed", "quota", "cap"), [(1, 2, 6), (2, 2, 3), (3, 1, 4), (4, 4, 8), (5, 3, 100)])
+def test_frontier_equals_a_simulation(spark, seed, quota, cap):
+    names, graph = _random_graph(seed)
+    options = CrawlOptions(max_depth=4, links_per_page=quota, max_per_domain=cap, same_domain=False)
+    got = _depths(crawl.crawl_frontier(_pages(spark, graph), _seeds(spark, *names[:4]), options))
+    assert got == _simulate(graph, names[:4], options)
+
+
+def test_refused_links_leave_their_place_to_others(spark):
+    a, b, c = "https://h.com/a", "https://h.com/b", "https://h.com/c"
+    graph = {c: [a, b], a: [f"https://x.org/{i}" for i in range(10)], b: ["https://x.org/z"]}
+    options = CrawlOptions(max_depth=3, same_domain=False, max_per_domain=6, links_per_page=4)
+    got = crawl.crawl_frontier(_pages(spark, graph), _seeds(spark, c), options)
+    assert got.filter("domain = 'x.org'").count() == 5 and "https://x.org/z" in _depths(got)
+
+
+def test_no_page_with_quota_has_a_refused_link_to_a_domain_with_room(spark):
+    rng = random.Random(9)
+    links, quota, rooms = [], 3, {f"d{k}": rng.randrange(1, 25) for k in range(8)}
+    for p in range(60):
+        for place in range(rng.randrange(0, 7)):
+            domain = rng.choice([*rooms, "d0", "d0"])
+            links.append((p % 3, f"p{p:02d}", f"{place}", f"{domain}/{rng.randrange(12)}", domain, rooms[domain]))
+    df = spark.createDataFrame(links, "src_priority int, src_url string, ord string, url string, domain string, room bigint")
+    got = {(r.src_url, r.url) for r in crawl.joint_admission(df, quota).collect()}
+    used, pages, taken = {}, {}, set()
+    for _, page, _, url, domain, room in sorted(links):
+        if url not in taken and used.get(domain, 0) < room and pages.get(page, 0) < quota:
+            taken.add(url)
+            used[domain], pages[page] = used.get(domain, 0) + 1, pages.get(page, 0) + 1
+            assert (page, url) in got
+    assert len(got) == len(taken) and any(used.get(d, 0) == n for d, n in rooms.items()) and quota in pages.values()
+
+
+def test_only_reached_pages_are_extracted(spark, monkeypatch):
+    names, graph = _random_graph(6)
+    pages, read = _pages(spark, graph), []
+    whole = crawl.read_pages
+    monkeypatch.setattr(crawl, "read_pages", lambda df, *a: read.append(sorted(r.url for r in df.select("url").collect())) or whole(df, *a))
+    options = CrawlOptions(max_depth=2, links_per_page=2, same_domain=False)
+    reached = _depths(crawl.crawl_frontier(pages, _seeds(spark, names[0]), options))
+    assert read == [[names[0]]] and len(reached) == 3
+    read.clear()
+    crawl.crawl_and_curate(pages, _seeds(spark, names[0]), options).count()
+    assert read == [sorted(u for u in reached if u in graph and d == reached[u]) for d in (0, 1)]
+
+
+def test_pages_beyond_a_broadcast_are_filtered_ahead_of_the_shuffle(spark):
+    names, graph = _random_graph(7)
+    folder = crawl.table_of(_pages(spark, graph), "pages")
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        found = crawl.pages_at(folder, crawl.page_index(folder), _seeds(spark, *names[:5]))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "might_contain" in plan
+        assert sorted(r.url for r in found.collect()) == sorted(names[:5])
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("n", [1, 3, 7, 500])
+def test_a_crawl_stops_at_accepted_pages(spark, n):
+    names, graph = _random_graph(8)
+    pages = _pages(spark, graph)
+    gate = GateOptions(use_quality_filter=False, digit_density=False, min_chars=50)
+    o = CrawlOptions(max_depth=3, links_per_page=3, same_domain=False, stop_after=n)
+    got = sorted(r.url for r in crawl.crawl_and_curate(pages, _seeds(spark, names[0]), o, gate).select("url").collect())
+    reached = _simulate(graph, names[:1], o)
+    order = sorted((d, _priority(u, d), hashlib.md5(u.encode()).hexdigest(), u) for u, d in reached.items() if u in graph)
+    assert got == sorted(u for *_, u in order[:n])
 
 
 def test_curated_pages_are_those_reached(spark):
@@ -136,9 +200,13 @@ def test_curated_pages_are_those_reached(spark):
     assert sorted(r.url for r in rows) == [a, b]
 
 
-def test_cap_uses_group_limit_before_the_shuffle(spark):
+def test_a_large_cap_on_one_domain_is_spread(spark):
     text = F.col("id").cast("string")
-    df = spark.range(10).select((text % 3).alias("domain"), F.col("id").alias("priority"), text.alias("ord"), text.alias("url"))
-    plan = crawl.domain_cap(df, None, 5)._jdf.queryExecution().executedPlan().toString()
-    final, exchange, partial = (plan.index(x) for x in ("row_number(), 5, Final", "Exchange hashpartitioning(domain", "row_number(), 5, Partial"))
-    assert final < exchange < partial
+    df = spark.range(120_000).select(F.lit("x.org").alias("domain"), (F.col("id") % 5).alias("priority"), F.md5(text).alias("ord"), text.alias("url"))
+    got = crawl.domain_cap(df.repartition(4), None, 100_000)
+    assert got.count() == 100_000 and got.agg(F.max("priority")).first()[0] == 4
+    sizes = ranked_in_groups(df, ["domain"], ["priority", "ord", "url"])
+    assert sizes.agg(F.max("rn"), F.min("rn"), F.count_distinct("rn")).first()[:] == (120_000, 1, 120_000)
+    # the sort of the one domain is dealt over all partitions
+    placed = df.repartitionByRange("domain", "priority", "ord", "url").groupBy(F.spark_partition_id()).count().collect()
+    assert len(placed) > 1 and max(r["count"] for r in placed) < 60_000

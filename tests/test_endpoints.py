@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomsift.operators import endpoints
-from loomsift.operators.ranking import first_per_group, with_global_rank
+from loomsift.operators.ranking import first_per_group, first_rows, ranked_in_groups, with_global_rank
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -97,18 +97,37 @@ def test_quarantined_keys_are_not_ranked(spark):
     assert [r.key for r in endpoints.top_fifth(df).collect()] == ["b"]
 
 
-def test_global_rank_and_salted_groups(spark):
+def test_global_rank_and_groups(spark):
     df = spark.range(5000).select((F.col("id") % 7).alias("g"), "id", F.md5(F.col("id").cast("string")).alias("o"))
     ranked, total = with_global_rank(df, F.col("o").asc())
     assert total == 5000
     expected = {r.id: i for i, r in enumerate(sorted(df.collect(), key=lambda r: r.o), 1)}
     assert all(expected[r.id] == r["rank"] for r in ranked.collect())
-    small = first_per_group(df, ["g"], [F.asc("o")], 5, "id")
-    assert small.count() == 35
-    # beyond the group limit the groups are cut in salted parts first, with the same result
-    hot = spark.range(6000).select(F.lit(1).alias("g"), "id", F.md5(F.col("id").cast("string")).alias("o"))
-    kept = {r.id for r in first_per_group(hot, ["g"], [F.asc("o")], 1500, "id").collect()}
-    assert kept == {r.id for r in sorted(hot.collect(), key=lambda r: r.o)[:1500]}
+    assert first_per_group(df, ["g"], [F.asc("o")], 5).count() == 35
+
+
+def test_ranks_in_groups_of_any_size(spark):
+    group = F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.concat(F.lit("g"), F.col("id") % 50))
+    df = spark.range(4000).select(group.alias("g"), F.when(F.col("id") % 11 > 0, F.col("id") % 13).alias("a"), "id").repartition(3)
+    groups = {}
+    for r in df.collect():
+        groups.setdefault(r.g, []).append(((r.a is not None, r.a or 0), r.id))
+    expected = {i: k for rows in groups.values() for k, (_, i) in enumerate(sorted(rows), 1)}
+    assert {r.id: r.rn for r in ranked_in_groups(df, ["g"], ["a", "id"]).collect()} == expected
+
+
+@pytest.mark.parametrize("n", [0, 1, 17, 999, 1999, 2000, 5000])
+def test_first_rows_are_selected(spark, n):
+    df = spark.range(2000).select(F.when(F.col("id") % 9 > 0, F.col("id") % 4).alias("a"), F.md5(F.col("id").cast("string")).alias("b"), "id")
+    rows = sorted(df.collect(), key=lambda r: (r.a is not None, r.a or 0, r.b))
+    got = first_rows(df, n, "a", "b", pivots=5, few=20)
+    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in rows[:n])
+    assert "Sort" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_rows_at_the_limit_stay(spark):
+    df = spark.createDataFrame([(1,)] * 50 + [(2,)] * 50, "a int")
+    assert first_rows(df, 10, "a", pivots=3, few=5).count() == 50 and first_rows(df, 60, "a", pivots=3, few=5).count() == 100
 
 
 def test_speed(spark):
