@@ -81,6 +81,13 @@ JSON_BLOB = (
     "concat('{\"data\":[{\"ip\":\"10.9.', cast(doc_id % 256 AS string), '.2\",\"port\":\"', "
     "cast(3000 + doc_id % 50 AS string), '\"},{\"ip\":\"10.0.0.1\"}]}')"
 )
+ENDPOINT_TEXT = _by_remainder("doc_id", [
+    f"concat('host', cast(doc_id AS string), '.example.org:8080', {NL}, {NL}, '10.1.', cast(doc_id % 250 AS string), '.9:3128  ', {NL}, 'user:key@10.2.3.4:80', {NL})",
+    f"""concat('{{', {NL}, '  "data": [', {NL}, '    {{', {NL}, '      "ip": "10.3.', cast(doc_id % 250 AS string), '.1",', {NL}, '      "country": "x",', {NL},
+        '      "port": ', cast(9000 + doc_id % 90 AS string), {NL}, '    }}, {{"port": "81",', {NL}, '"ip": "10.4.0.', cast(doc_id % 250 AS string), '"}}', {NL},
+        '    , {{"ip": "10.9.9.9"}}, {{"port": "1"}}', {NL}, '  ]', {NL}, '}}', {NL})""",
+    f"concat(text, {NL}, 'see 10.5.', cast(doc_id % 250 AS string), '.2 - 4000: ok', {NL})",
+])
 SEED_LINE = "concat('  ', " + _by_remainder("page_id", ["url", "concat('see ', url)", "concat(url, '#x')"]) + ", ' ')"
 
 
@@ -146,6 +153,10 @@ def blobs(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select(F.expr(BLOB).alias("text")).unionAll(docs.select(F.expr(JSON_BLOB).alias("text")))
 
 
+def endpoint_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return documents(spark, sf).select(F.expr("concat('set/f', cast(doc_id AS string), '.txt')").alias("rel_path"), F.expr(ENDPOINT_TEXT).alias("text"))
+
+
 TABLES = {
     "docs_rich": f"SELECT doc_id, {DOC_URL} AS url, {RICH_TEXT} AS text FROM documents",
     "all_urls": f"SELECT url FROM pages UNION ALL SELECT {DOC_URL} FROM documents",
@@ -159,6 +170,7 @@ TABLES = {
     "seeds": "SELECT url FROM pages WHERE url LIKE '%://blog.%'",
     "code_files": f"SELECT doc_id, {CODE_PATH} AS rel_path, {CODE_CONTENT} AS content FROM documents",
     "request_log": "SELECT user_id AS key, ts, event_id AS id, event_type <> 'error' AS ok, value AS seconds FROM events",
+    "endpoint_texts": f"SELECT doc_id, {ENDPOINT_TEXT} AS text FROM documents",
     "blobs": f"SELECT {BLOB} AS text FROM documents UNION ALL SELECT {JSON_BLOB} FROM documents",
 }
 

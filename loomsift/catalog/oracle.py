@@ -751,10 +751,11 @@ def all_sql() -> dict[str, str]:
         "readable_dump": with_(
             {
                 **_line_ctes(),
-                "ls": f"""SELECT unnest(string_split(concat({rule}, {NL}, 'Entry ', line_no, {NL}, {rule}, {NL}, text, {NL}, {NL}), {NL})) AS line
+                "ls": f"""SELECT line_no, string_split(concat({rule}, {NL}, 'Entry ', line_no, {NL}, {rule}, {NL}, text, {NL}, {NL}), {NL}) AS own
                     FROM rows_in""",
+                "each": "SELECT line_no, unnest(own) AS line, generate_subscripts(own, 1) AS k FROM ls",
             },
-            "SELECT line, count(*) AS rows FROM ls GROUP BY line",
+            "SELECT row_number() OVER (ORDER BY line_no, k) AS number, line FROM each",
         ),
         "preview": with_(
             _line_ctes(),
@@ -765,11 +766,17 @@ def all_sql() -> dict[str, str]:
             answers,
             f"""SELECT {render_sql(vocab.DEFAULT_TEMPLATE, 'Recipe', '')} AS text, count(*) AS rows FROM answers GROUP BY 1""",
         ),
-        "readable_lines": "SELECT count(*) AS lines, TRUE AS dense FROM documents",
+        "readable_lines": with_(rich, "SELECT row_number() OVER (ORDER BY doc_id) AS number, doc_id, url FROM docs_rich"),
+        "binary_pages": """SELECT page_id, url, md5(concat(html, ' <p>é</p>')) AS html_md5, (length(html) + 9)::INTEGER AS chars FROM pages""",
+        "refilter_written": with_(
+            refiltered,
+            f"""SELECT concat_ws(' ', doc_id, 'kept as it is', md5(text)) AS line, 1::BIGINT AS rows FROM dataset JOIN flags USING (doc_id) WHERE reason IS NULL
+            UNION ALL SELECT coalesce(reason, 'kept') AS line, count(*) AS rows FROM flags GROUP BY ALL""",
+        ),
         "seed_urls": f"""SELECT {canonical('line')} AS url FROM (SELECT trim({d.SEED_LINE}) AS line FROM pages) WHERE line LIKE 'http%'""",
         "select_code_files": with_({**base("code_files"), "chosen": _selected()}, "SELECT doc_id, rel_path FROM chosen"),
         "decode_code": with_(base("code_files"), f"SELECT doc_id, CASE WHEN strlen(content) <= 20000 THEN {_DECODED} END AS content FROM code_files"),
-        "scan_code": with_(base("code_files"), "SELECT sum(strlen(content) + 1)::BIGINT AS bytes FROM code_files"),
+        "scan_code": with_({**base("code_files"), "chosen": _selected()}, "SELECT rel_path, strlen(content)::BIGINT AS length, sha256(content) AS content_sha256 FROM chosen"),
         "code_metadata": with_(
             {**base("code_files"), **_code_ctes()},
             """SELECT doc_id, array_to_string(fs, ',') AS functions, array_to_string(cs, ',') AS classes, comments, lines FROM meta""",
@@ -866,6 +873,18 @@ def all_sql() -> dict[str, str]:
             },
             """SELECT endpoint FROM plain UNION SELECT concat(x.ip, ':', x.port) FROM items WHERE x.ip IS NOT NULL AND x.port IS NOT NULL""",
         ),
+        "endpoint_files": with_(
+            {
+                **base("endpoint_texts"),
+                "ls": f"SELECT doc_id, trim(unnest(string_split(text, {NL}))) AS line FROM endpoint_texts",
+                "objects": f"""SELECT unnest(from_json(json_extract(text, '$.data'), '[{{"ip":"VARCHAR","port":"VARCHAR"}}]')) AS x
+                    FROM endpoint_texts WHERE doc_id % 3 = 1""",
+            },
+            f"""SELECT line AS endpoint FROM ls WHERE doc_id % 3 = 0 AND line <> ''
+            UNION SELECT concat(x.ip, ':', x.port) FROM objects WHERE x.ip IS NOT NULL AND x.port IS NOT NULL
+            UNION SELECT concat(unnest(regexp_extract_all(line, {lit(re2(vocab.ENDPOINT))}, 1)), ':',
+                unnest(regexp_extract_all(line, {lit(re2(vocab.ENDPOINT))}, 2))) FROM ls WHERE doc_id % 3 > 0""",
+        ),
         "endpoint_health": with_(
             {**base("request_log"), **state_ctes()},
             """SELECT k.key, coalesce(success, 0)::BIGINT AS success, coalesce(fail, 0)::BIGINT AS fail,

@@ -3,7 +3,7 @@
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomsift.catalog import derived as d
@@ -11,6 +11,7 @@ from loomsift.functions import urls, vocab
 from loomsift.functions.session import fresh_folder
 from loomsift.operators import code, endpoints, extract, gates, links, quality, render
 from loomsift.operators.code import select_code
+from loomsift.operators.endpoints import merge_counts
 from loomsift.options import CrawlOptions, GateOptions, RenderOptions
 from loomsift.plans import crawl, curate, datasets
 from loomsift.sources import sinks, tables
@@ -266,6 +267,18 @@ def refilter_histogram(spark, sf):
     return curate.reason_histogram(datasets.flag_dataset(rows))
 
 
+def refilter_written(spark, sf):
+    """A dataset with extra fields and broken lines, re-filtered beside itself: the kept lines, and the rows per reason as lines too."""
+    path = fresh_folder(spark, "dataset")
+    entry = F.to_json(F.struct("text", "doc_id", F.lit("kept as it is").alias("note")))
+    broken = F.concat(F.lit('{"text": "'), F.col("doc_id").cast("string"))
+    _dataset(spark, sf).select(F.explode(F.array(entry, broken)).alias("value")).write.text(path)
+    target, reasons = datasets.refilter_dataset(spark, path)
+    kept = spark.read.json(target, schema="text string, doc_id bigint, note string")
+    kept = kept.select(F.concat_ws(" ", "doc_id", "note", F.md5("text")).alias("line"), F.lit(1).cast("bigint").alias("rows"))
+    return kept.unionAll(reasons.select(F.coalesce("reason", F.lit("kept")).alias("line"), "rows"))
+
+
 def _dataset_lines(spark, sf):
     """JSON lines, each followed by a blank and a broken one."""
     broken = F.concat(F.lit('{"text": "'), F.col("url"))
@@ -282,11 +295,18 @@ def to_readable(spark, sf):
     return sinks.to_readable(tables.parse_jsonl(_dataset_lines(spark, sf)))
 
 
+def _in_folder(numbered):
+    """Numbered lines of the files of a folder, numbered through all of them in the order of their names."""
+    sizes = numbered.groupBy("file").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # a row per file
+    return numbered.join(sizes.select("file", F.coalesce(before, F.lit(0)).alias("before")), "file").select((F.col("line_no") + F.col("before")).alias("number"), "value")
+
+
 def readable_dump(spark, sf):
-    """The readable dump of a dataset, written and read back: how often each line is there."""
+    """The readable dump of a dataset, written, read back and numbered: every line at its place."""
     path = fresh_folder(spark, "dump")
     sinks.write_readable(tables.parse_jsonl(_dataset_lines(spark, sf)), path)
-    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("rows"))
+    return _in_folder(tables.numbered_lines(spark, path)).select("number", F.col("value").alias("line"))
 
 
 def preview(spark, sf):
@@ -302,15 +322,19 @@ def training_roundtrip(spark, sf):
 
 
 def readable_lines(spark, sf):
-    """Numbered lines of a dataset file, counted and summed up per file."""
+    """The lines of a dataset file, written in order of id over several files and numbered: every line at its place."""
     path = fresh_folder(spark, "lines")
-    d.docs_rich(spark, sf).select(F.to_json(F.struct("text")).alias("value")).write.text(path)
-    numbered = tables.numbered_lines(spark, path)
-    per_file = numbered.groupBy("file").agg(
-        F.count("*").alias("n"), F.count_distinct("line_no").alias("u"), F.min("line_no").alias("lo"), F.max("line_no").alias("hi")
-    )
-    dense = (F.col("n") == F.col("u")) & (F.col("lo") == 1) & (F.col("hi") == F.col("n"))
-    return per_file.agg(F.sum("n").alias("lines"), F.bool_and(dense).alias("dense"))
+    lines = d.docs_rich(spark, sf).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    lines.select(F.to_json(F.struct("doc_id", "url")).alias("value")).write.text(path)
+    return _in_folder(tables.numbered_lines(spark, path)).select("number", F.from_json("value", "doc_id bigint, url string").alias("v")).select("number", "v.doc_id", "v.url")
+
+
+def binary_pages(spark, sf):
+    """Pages whose html is bytes, some of them broken, read as a page table."""
+    path = fresh_folder(spark, "pages")
+    broken = F.concat(F.encode("html", "utf-8"), F.unhex(F.lit("FF20C3")), F.encode(F.lit("<p>é</p>"), "utf-8"), F.unhex(F.lit("E282")))
+    d.pages(spark, sf).select("page_id", "url", broken.alias("html")).write.parquet(path)
+    return tables.read_pages(spark, path).select("page_id", "url", F.md5("html").alias("html_md5"), F.length("html").alias("chars"))
 
 
 def seed_urls(spark, sf):
@@ -327,12 +351,11 @@ def decode_code(spark, sf):
 
 
 def scan_code(spark, sf):
-    """Source files written to a folder, then found and read again."""
+    """Source files written under their paths, then found and read again."""
     root = fresh_folder(spark, "files")
-    d.code_files(spark, sf).select(F.col("content").alias("value"), F.lit("src").alias("folder"), F.lit("x.py").alias("name")).write.partitionBy("folder", "name").text(root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    named = files.withColumn("rel_path", F.regexp_extract("path", r"folder=([^/]*)/name=([^/]*)", 2))
-    return select_code(named, "rel_path").agg(F.sum("length").alias("bytes"))
+    sinks.write_files(d.code_files(spark, sf), root)
+    found = tables.scan_code(spark, root)
+    return found.select("rel_path", F.col("length").cast("bigint").alias("length"), F.sha2("content", 256).alias("content_sha256"))
 
 
 def code_metadata(spark, sf):
@@ -467,6 +490,13 @@ def extract_endpoints(spark, sf):
     return endpoints.extract_endpoints(d.blobs(spark, sf))
 
 
+def endpoint_files(spark, sf):
+    """Files in all forms: lists, objects over many lines, and text, told apart by their lines."""
+    root = fresh_folder(spark, "endpoints")
+    sinks.write_files(d.endpoint_texts(spark, sf).select("rel_path", F.col("text").alias("content")), root)
+    return endpoints.endpoints_of_files(tables.numbered_lines(spark, root + "/*"))
+
+
 def _now(log):
     """The last instant of the log."""
     return log.agg(F.max("ts")).scalar()
@@ -513,7 +543,7 @@ def stream_curate(spark, sf):
 
 def stream_dedup(spark, sf):
     pages = jobs.pages_stream(spark, sf, "pages.parquet").select("url")
-    return jobs.run_to_table(jobs.stream_dedup(pages).select("canonical_url"), "dedup")
+    return jobs.stream_dedup(pages)
 
 
 def _event_stream(spark, sf):
@@ -523,12 +553,12 @@ def _event_stream(spark, sf):
 
 def stream_stats(spark, sf):
     """One-hour windows of the event stream, all of them."""
-    partials = jobs.run_partials(_event_stream(spark, sf), lambda b: jobs.partial_stats(b, key="event_type", size="1 hour"), "stats")
+    partials = jobs.run_partials(_event_stream(spark, sf), lambda b: jobs.partial_stats(b, key="event_type", size="1 hour"), "stats", lambda p: jobs.current_stats(p, "event_type"))
     return jobs.current_stats(partials, "event_type").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def stream_health(spark, sf):
-    partials = jobs.run_partials(d.as_requests(_event_stream(spark, sf)), jobs.partial_health, "health")
+    partials = jobs.run_partials(d.as_requests(_event_stream(spark, sf)), jobs.partial_health, "health", merge_counts)
     return jobs.current_health(partials).select(
         "key", "success", "fail", F.round("total_time", 4).alias("total_time"), F.col("quarantine_until").cast("timestamp_ntz")
     )
@@ -553,11 +583,11 @@ _NAMED = [
     junk_gate, junk_gate_any_digits, length_gate, truncate, keyword_gate, quality_gate, score_content, overall,
     rejection_reason, rating_summary, page_quality, curation_funnel, document_funnel, run_stats, average_quality,
     reason_histogram, kept_share, training_rows, stop_after, title, answer, user_prompt, with_template,
-    conversation_rows, unwrap_assistant, refilter_dataset, refilter_histogram, parse_jsonl, to_readable, readable_dump, preview,
-    training_roundtrip, readable_lines, seed_urls, select_code_files, decode_code, scan_code, code_metadata,
+    conversation_rows, unwrap_assistant, refilter_dataset, refilter_written, refilter_histogram, parse_jsonl, to_readable, readable_dump, preview,
+    training_roundtrip, readable_lines, seed_urls, binary_pages, select_code_files, decode_code, scan_code, code_metadata,
     format_code, curate_code, code_stats, chunk_code, unseen, same_site, subdomain_candidates, observed_subdomains,
     new_subdomains, verified_candidates, discovery_stats, first_seen, links_per_page, domain_cap, crawl_expand,
-    crawl_frontier, crawl_frontier_same_site, crawl_with_subdomains, crawl_and_curate, crawl_stop_after, domain_counts, domain_totals, extract_endpoints,
+    crawl_frontier, crawl_frontier_same_site, crawl_with_subdomains, crawl_and_curate, crawl_stop_after, domain_counts, domain_totals, extract_endpoints, endpoint_files,
     endpoint_health, quarantine, pool_stats, top_fifth, speed, request_gap_audit, stream_curate, stream_dedup,
     stream_stats, stream_health,
 ]

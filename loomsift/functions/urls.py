@@ -109,7 +109,16 @@ def _without_dot_segments(path: Column) -> Column:
 
 
 def resolve_rooted(base_scheme: Column, base_netloc: Column, link: Column) -> Column:
-    """Absolute form of a link that starts with ``/`` (or ``//host``) on a page of the given base."""
+    """Absolute form of a link that starts with ``/`` (or ``//host``) on a page of the given base.
+
+    Most links hold nothing to be resolved, which substring tests tell without a pattern.
+    """
+    special = reduce(lambda a, b: a | b, [link.contains(c) for c in ("#", "?", "/.", "\t", "\r", "\n")], link.startswith("//"))
+    plain = F.concat(base_scheme, F.lit("://"), base_netloc, link)
+    return F.when(special, _resolve(base_scheme, base_netloc, link)).otherwise(plain)
+
+
+def _resolve(base_scheme: Column, base_netloc: Column, link: Column) -> Column:
     link = F.regexp_replace(F.regexp_replace(link, r"[\t\r\n]", ""), r"#$", "")
     link = F.regexp_replace(link, r"^([^?#]*)\?(#|$)", "$1$2")
     path = F.regexp_extract(link, r"^[^?#]*", 0)

@@ -1,34 +1,86 @@
 """Endpoints in text blobs and their health from a request log ``(key, ts, id, ok, seconds)``."""
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomsift.functions import vocab
-from loomsift.functions.dialect import BLANK, rx
+from loomsift.functions.dialect import BLANK, rx, strip
 from loomsift.functions.session import cut
-from loomsift.operators.ranking import first_rows
+from loomsift.operators.ranking import first_rows, with_previous
+
+
+_NONE = "array<string>"
+
+
+def _in_text(text: Column) -> Column:
+    """``ip:port`` of all addresses in a text."""
+    pattern = rx(vocab.ENDPOINT)
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.regexp_replace(m, pattern, "$1:$2"))
+
+
+def _in_object(text: Column) -> Column:
+    """``ip:port`` of the items of a whole JSON object ``{"data": [{ip, port}]}``."""
+    whole_object = text.rlike(rf"(?s)\A{BLANK}*\{{.*\}}{BLANK}*\z")
+    items = F.from_json(F.when(whole_object, text), "data array<struct<ip:string,port:string>>")["data"]
+    listed = F.transform(F.filter(items, lambda x: x["ip"].isNotNull() & x["port"].isNotNull()), lambda x: F.concat_ws(":", x["ip"], x["port"]))
+    return F.coalesce(listed, F.array().cast(_NONE))
+
+
+def _distinct(found: DataFrame) -> DataFrame:
+    return found.select(strip(F.col("endpoint")).alias("endpoint")).filter(F.col("endpoint").contains(":")).distinct()
 
 
 def extract_endpoints(blobs: DataFrame, text: str = "text") -> DataFrame:
     """Distinct ``ip:port`` strings, from plain text and from JSON ``{"data": [{ip, port}]}``."""
-    pattern = rx(vocab.ENDPOINT)
-    plain = F.transform(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.regexp_replace(m, pattern, "$1:$2")
-    )
-    whole_object = F.col(text).rlike(rf"(?s)\A{BLANK}*\{{.*\}}{BLANK}*\z")
-    items = F.from_json(F.when(whole_object, F.col(text)), "data array<struct<ip:string,port:string>>")["data"]
-    listed = F.transform(
-        F.filter(items, lambda x: x["ip"].isNotNull() & x["port"].isNotNull()),
-        lambda x: F.concat_ws(":", x["ip"], x["port"]),
+    found = F.concat(_in_text(F.col(text)), _in_object(F.col(text)))
+    return _distinct(blobs.select(F.explode_outer(found).alias("endpoint")))
+
+
+def file_forms(lines: DataFrame) -> DataFrame:
+    """``(file, form)`` of numbered lines ``(file, line_no, value)``: ``object``, ``list`` or ``text``.
+
+    An object begins with ``{`` and ends with ``}``; in a list every line that is not blank is one string with a ``:``. Both follow from
+    counts and from the first and last line, so no file is put together.
+    """
+    value = strip(F.col("value"))
+    shown = lines.select("file", "line_no", value.alias("value")).filter("value <> ''")
+    told = shown.groupBy("file").agg(
+        F.min_by(F.left("value", F.lit(1)), "line_no").alias("_first"),
+        F.max_by(F.right("value", F.lit(1)), "line_no").alias("_last"),
+        F.count_if(~F.col("value").contains(":") | F.col("value").rlike(BLANK)).alias("_other"),
     )
-    found = F.concat(plain, F.coalesce(listed, F.array().cast("array<string>")))
-    return (
-        blobs.select(F.explode_outer(found).alias("endpoint"))
-        .select(F.trim("endpoint").alias("endpoint"))
-        .filter(F.col("endpoint").contains(":"))
-        .distinct()
+    whole = (F.col("_first") == "{") & (F.col("_last") == "}")
+    return told.select("file", F.when(whole, "object").when(F.col("_other") == 0, "list").otherwise("text").alias("form"))
+
+
+_MEMBER = r"""[{}]|"(?:ip|port)"\s*:\s*(?:"[^"]*"|\d+)"""
+
+
+def _of_objects(lines: DataFrame) -> DataFrame:
+    """Endpoints of objects over several lines: an ``ip`` and a ``port`` beside each other, with no brace between them."""
+    members = F.posexplode(F.regexp_extract_all("value", F.lit(_MEMBER), F.lit(0))).alias("k", "member")
+    each = lines.select("file", "line_no", members)
+    paired = with_previous(each, ["file", "line_no", "k"], ["file", "member"], "before")
+    here, before = F.col("member"), F.col("before.member")
+    value = lambda m: F.rtrim(F.ltrim(F.regexp_extract(m, r":\s*(.*)$", 1), F.lit('"')), F.lit('"'))
+    is_ip = lambda m: m.startswith('"ip"')
+    is_port = lambda m: m.startswith('"port"')
+    endpoint = F.when(is_ip(before) & is_port(here), F.concat_ws(":", value(before), value(here))).when(
+        is_port(before) & is_ip(here), F.concat_ws(":", value(here), value(before))
     )
+    return paired.filter(F.col("before.file") == F.col("file")).select(endpoint.alias("endpoint")).filter("endpoint IS NOT NULL")
+
+
+def endpoints_of_files(lines: DataFrame) -> DataFrame:
+    """Distinct endpoints of files of numbered lines ``(file, line_no, value)``, each read by its form.
+
+    Every line of a list is an endpoint as it is; an object gives the ``ip`` and ``port`` of its items, wherever its lines break; text gives the
+    addresses in its lines. Objects give the addresses in their lines too, as a text would.
+    """
+    formed = lines.join(file_forms(lines), "file")
+    listed = formed.filter("form = 'list'").select(F.col("value").alias("endpoint"))
+    plain = formed.filter("form <> 'list'").select(F.explode(_in_text(F.col("value"))).alias("endpoint"))
+    return _distinct(listed.unionAll(plain).unionAll(_of_objects(formed.filter("form = 'object'"))))
 
 
 def event_counts() -> list[Column]:
@@ -135,19 +187,14 @@ def speed(log: DataFrame, ts: str = "ts") -> DataFrame:
     )
 
 
-def request_gap_audit(log: DataFrame, delay: float, bucket: str = "hour") -> DataFrame:
+def request_gap_audit(log: DataFrame, delay: float) -> DataFrame:
     """Seconds since the previous request of the same key and the wait a minimum delay asks for.
 
-    The previous request is looked up inside a time bucket; only the first request of a bucket
-    takes the last one of the bucket before. So a hot key is spread over its buckets and its whole
-    history is never sorted in one task.
+    Rows are dealt by ranges of (key, ts, id) and only the last row of each stretch is handed to the next one, so that a key, or an hour of
+    a key, may hold any share of the log.
     """
-    df = log.select("key", "id", "ts", F.date_trunc(bucket, "ts").alias("_bucket"))
-    ends = df.groupBy("key", "_bucket").agg(F.max("ts").alias("_end"))
-    ends = ends.select("key", "_bucket", F.lag("_end").over(W.partitionBy("key").orderBy("_bucket")).alias("_before"))
-    inside = F.lag("ts").over(W.partitionBy("key", "_bucket").orderBy("ts", "id"))
-    joined = df.withColumn("_inside", inside).join(ends, ["key", "_bucket"], "left")
-    gap = _seconds_between(F.coalesce("_inside", "_before"), F.col("ts"))
-    return joined.select("key", "id", "ts", gap.alias("gap")).withColumn(
+    rows = with_previous(log.select("key", "id", "ts"), ["key", "ts", "id"], ["key", "ts"], "_before")
+    gap = F.when(F.col("_before.key").eqNullSafe(F.col("key")), _seconds_between(F.col("_before.ts"), F.col("ts")))
+    return rows.select("key", "id", "ts", gap.alias("gap")).withColumn(
         "wait", F.greatest(F.lit(0.0), F.lit(float(delay)) - F.coalesce("gap", F.lit(float(delay))))
     )

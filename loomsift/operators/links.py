@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomsift.functions import urls, vocab
 from loomsift.functions.dialect import rx
+from loomsift.functions.session import fence
 
 
 def canonicalize_urls(df: DataFrame, url: str = "url", out: str = "canonical_url") -> DataFrame:
@@ -24,13 +25,17 @@ def crawl_priority(df: DataFrame, url: str = "url", depth: Column | None = None,
     return df.withColumn("priority", urls.priority(F.col(url), depth, prefer_content))
 
 
-def link_array(url: Column, html: Column) -> Column:
+def base_columns(df: DataFrame, url: str = "url") -> DataFrame:
+    """Adds ``_scheme`` and ``_netloc`` of a URL, behind a fence: once per page and not once per link."""
+    return fence(df.withColumns({"_scheme": urls.scheme(F.col(url)), "_netloc": urls.netloc(F.col(url))}), "_scheme", "_netloc")
+
+
+def link_array(url: Column, html: Column, base_scheme: Column, base_netloc: Column) -> Column:
     """Distinct links of one page: absolute, root-relative and protocol-relative, without itself."""
 
     def hrefs(target: str) -> Column:
         return F.regexp_extract_all(html, F.lit(rx(rf"""href=["']({target})["']""", "i")), F.lit(1))
 
-    base_scheme, base_netloc = urls.scheme(url), urls.netloc(url)
     absolute = hrefs(r"https?://[^\"']+")
     rooted = hrefs(r"/[^\"']*")
     joined = F.transform(rooted, lambda link: urls.resolve_rooted(base_scheme, base_netloc, link))
@@ -45,7 +50,8 @@ def link_array(url: Column, html: Column) -> Column:
 
 def extract_links(pages: DataFrame) -> DataFrame:
     """``(src_url, dst_url)``: one row per distinct link of every page."""
-    links = pages.select(F.col("url").alias("src_url"), link_array(F.col("url"), F.col("html")).alias("links"))
+    based = base_columns(pages.select("url", "html"))
+    links = based.select(F.col("url").alias("src_url"), link_array(F.col("url"), F.col("html"), F.col("_scheme"), F.col("_netloc")).alias("links"))
     # explode_outer: Catalyst would otherwise add a size test below and run the patterns twice
     return links.select("src_url", F.explode_outer("links").alias("dst_url")).filter(F.col("dst_url").isNotNull())
 

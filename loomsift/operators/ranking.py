@@ -37,6 +37,29 @@ def ranked_in_groups(df: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return placed.join(shifts, same).select(*df.columns, (F.col("_at") + F.col("_shift")).alias("rn"))
 
 
+#: Binary logarithm of the rows of a block in :func:`with_previous`; a partition has 2 ** 33 row numbers.
+_BLOCK = 10
+
+
+def with_previous(df: DataFrame, order: list[str], values: list[str], out: str = "previous") -> DataFrame:
+    """Every row with ``values`` of the row before it in a total order, as a struct; NULL for the first row.
+
+    Rows are sorted by ranges and dealt in blocks of neighbours, so the work is even whatever the values of the order are. What
+    a block needs of the one before it is a single row; so is what a partition needs.
+    """
+    row = F.struct(*values)
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_block", F.shiftright("_at", _BLOCK))
+    part = F.shiftright("_block", 33 - _BLOCK)
+    lasts = placed.groupBy("_block").agg(F.max_by(row, "_at").alias("_last")).withColumn("_part", part)
+    ends = lasts.groupBy("_part").agg(F.max_by("_last", "_block").alias("_end"))
+    ends = ends.select("_part", F.lag("_end").over(W.orderBy("_part")).alias("_end"))  # a row per partition
+    near = F.lag("_last").over(W.partitionBy("_part").orderBy("_block"))
+    starts = lasts.withColumn("_near", near).join(ends, "_part").select("_block", F.coalesce("_near", "_end").alias("_start"))
+    inside = F.lag(row).over(W.partitionBy("_block").orderBy("_at"))
+    return placed.withColumn("_inside", inside).join(starts, "_block").select(*df.columns, F.coalesce("_inside", "_start").alias(out))
+
+
 def with_global_rank(df: DataFrame, *order: Column) -> tuple[DataFrame, int]:
     """Rows with their 1-based position in a total order, and the number of rows.
 

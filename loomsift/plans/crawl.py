@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomsift.functions import urls
 from loomsift.functions.session import cut, table_of
-from loomsift.operators.links import link_array, subdomain_candidates, verified_candidates
+from loomsift.operators.links import base_columns, link_array, subdomain_candidates, verified_candidates
 from loomsift.operators.ranking import first_per_group, ranked_in_groups
 from loomsift.options import CrawlOptions, GateOptions, RenderOptions
 from loomsift.plans.curate import apply_gates, gated_text, stop_after, training_rows
@@ -111,7 +111,8 @@ def read_pages(pages: DataFrame, gate: GateOptions, options: CrawlOptions) -> Da
     canonical = pages.withColumn("url", urls.canonical(F.col("url"))).withColumn("_raw", F.col("html"))
     read = gated_text(canonical, gate)
     ok = F.col("url_gate").isNull() & F.col("error").isNull()
-    read = read.withColumn("_links", F.when(ok, link_array(F.col("url"), F.col("_raw"))))
+    read = base_columns(read)
+    read = read.withColumn("_links", F.when(ok, link_array(F.col("url"), F.col("_raw"), F.col("_scheme"), F.col("_netloc"))))
     keyed = F.transform("_links", lambda x: F.struct(link_order(x, options).alias("ord"), x.alias("url")))
     first = F.slice(F.array_sort(keyed), 1, 2 * options.links_per_page)
     return read.select("page_id", "url", "url_gate", "text", "error", first.alias("dst"))
@@ -163,14 +164,11 @@ def pages_at(pages: DataFrame, index: DataFrame, level: DataFrame) -> DataFrame:
     """The pages of the URLs of a level, under their canonical URL.
 
     Ids are found on narrow tables. With few of them the join broadcasts them; with many, Spark filters the pages by a Bloom filter of the ids
-    ahead of the shuffle, for which the condition on the ids is written out: html of pages that are not reached does not move.
+    ahead of the shuffle (it does so where there is a condition on them): html of pages that are not reached does not move.
     """
     ids = table_of(index.join(level.select("url"), "url", "left_semi").select("page_id", F.col("url").alias("_url")), "ids")
-    bounds = ids.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).first()
-    if bounds["lo"] is None:
-        return pages.withColumn("url", urls.canonical(F.col("url"))).limit(0)
-    inside = F.col("page_id").between(bounds["lo"], bounds["hi"])
-    found = pages.join(ids.filter(inside), "page_id").withColumn("url", urls.canonical(F.col("url")))
+    some = ids.filter("_url >= ''")
+    found = pages.join(some, "page_id").withColumn("url", urls.canonical(F.col("url")))
     return found.filter(F.col("url") == F.col("_url")).drop("_url")
 
 

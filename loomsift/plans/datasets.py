@@ -1,13 +1,15 @@
 """Jobs on source folders and on existing datasets."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from loomsift.functions import vocab
+from loomsift.functions.session import fresh_folder
 from loomsift.operators import code, gates, render
 from loomsift.options import CodeOptions
-from loomsift.sources.sinks import write_filtered, write_training
+from loomsift.sources.sinks import filtered_path, write_filtered, write_training
 from loomsift.sources.tables import parse_jsonl, scan_code
-from loomsift.functions.session import fresh_folder
 
 
 def curate_code(files: DataFrame, options: CodeOptions = CodeOptions()) -> DataFrame:
@@ -44,12 +46,40 @@ def flag_dataset(rows: DataFrame) -> DataFrame:
     return gates.junk_gate(df, "content", "url", out="reason")
 
 
+REPORT = "reason string, rows bigint"
+
+
+def report_path(path: str) -> str:
+    return filtered_path(path) + ".report"
+
+
+def refilter_report(spark: SparkSession, path: str) -> DataFrame | None:
+    """``(reason, rows)`` of a finished re-filtering of a dataset, NULL for kept entries; None if there is none."""
+    try:
+        return spark.read.schema(REPORT).json(report_path(path))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def refilter_dataset(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
-    """Write the kept entries of a JSON-lines dataset, as they are, beside it; returns their path and the flags.
+    """Write the kept entries of a JSON-lines dataset, as they are, beside it; returns their path and the rows per reason.
 
-    The flags are stored once and serve both the kept rows and the histogram of reasons.
+    One pass over the dataset: the rows per reason are observed while the kept entries are written. The report is written last and marks the
+    kept entries as complete. Entries without a report are left from a run that was cut off, and are replaced; a finished
+    result is not.
     """
-    folder = fresh_folder(spark, "refilter")
-    flag_dataset(parse_jsonl(spark.read.text(path))).drop("content").write.parquet(folder)
-    flagged = spark.read.parquet(folder)
-    return write_filtered(flagged.filter(F.col("reason").isNull()), path), flagged
+    if refilter_report(spark, path) is not None:
+        raise FileExistsError(report_path(path))
+    seen = Observation()
+    counts = [F.count_if(F.col("reason") == reason).alias(f"r{k}") for k, reason in enumerate(vocab.REASONS)]
+    flagged = flag_dataset(parse_jsonl(spark.read.text(path))).observe(seen, F.count("*").alias("rows"), F.count("reason").alias("rejected"), *counts)
+    target = write_filtered(flagged.filter(F.col("reason").isNull()), path, "overwrite")
+    told = seen.get
+    rows = [(reason, told[f"r{k}"]) for k, reason in enumerate(vocab.REASONS) if told[f"r{k}"]]
+    if sum(n for _, n in rows) != told["rejected"]:
+        raise ValueError("a reason is not in the list of reasons")
+    report = spark.createDataFrame([(None, told["rows"] - told["rejected"]), *rows], REPORT)
+    report.coalesce(1).write.mode("errorifexists").json(report_path(path), ignoreNullFields=False)
+    return target, refilter_report(spark, path)

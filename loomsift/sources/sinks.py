@@ -1,5 +1,6 @@
 """Writers of training rows and readable dumps."""
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +15,27 @@ def filtered_path(path: str) -> str:
     return stem.removesuffix(".jsonl") + "_filtered" + (".jsonl" if stem.endswith(".jsonl") else "")
 
 
-def write_filtered(kept: DataFrame, path: str) -> str:
+def write_filtered(kept: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """Write the kept entries (``entry``, a whole line each) next to the dataset; the dataset itself is not touched."""
     target = filtered_path(path)
-    kept.select("entry").write.mode("errorifexists").text(target)
+    kept.select("entry").write.mode(mode).text(target)
     return target
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """Write each row ``(rel_path, content)`` as a file of its own below ``root``; a path that is there twice keeps either content."""
+
+    def write(rows) -> None:
+        system, base = (fs.LocalFileSystem(), root.removeprefix("file://").removeprefix("file:")) if root.startswith(("/", "file:")) else fs.FileSystem.from_uri(root)
+        for row in rows:
+            path = f"{base.rstrip('/')}/{row['rel_path']}"
+            system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(path, compression=None) as out:
+                out.write(bytes(row["content"]))
+
+    files.select("rel_path", F.col("content").cast("binary").alias("content")).foreachPartition(write)
+
+
 def readable_entry(number: Column, text: Column) -> Column:
     """One entry of the readable dump, with its trailing blank line."""
     rule = "=" * 80

@@ -1,5 +1,6 @@
 """Readers of seeds, pages, source folders and JSON-lines datasets."""
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomsift.functions import urls
 from loomsift.functions.dialect import strip, without_broken_bytes
+from loomsift.functions.session import table_of
 from loomsift.operators.code import select_code
 
 PAGE_SCHEMA = "page_id BIGINT, url STRING, html STRING"
@@ -68,19 +70,26 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file, line_no, value)``: lines with their 1-based number in the file.
 
-    Only one row per file split is shuffled to turn positions inside splits into line numbers.
+    The lines are read and stored once, with their place in the split they came from. How far the place is from the line number is one
+    value per split, which comes back as a constant and is looked up by the split; no line is moved for it.
     """
-    lines = spark.read.text(path).select(
+    read = spark.read.text(path).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_at"),
     )
-    blocks = lines.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = F.sum("_n").over(W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
-    blocks = blocks.select("file", "_block", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
-    joined = lines.join(blocks, ["file", "_block"])
-    return joined.select("file", (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("line_no"), "value")
+    lines = table_of(read, "lines")
+    task = F.shiftright("_at", 33)
+    splits = lines.groupBy(task.alias("task"), "file", "_block").agg(F.count("*").alias("n"), F.min("_at").alias("first"))
+    before = F.sum("n").over(W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
+    told = splits.select("task", "first", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("shift")).collect()  # a row per split
+    by_task: list[list[dict]] = [[] for _ in range(max([r["task"] for r in told], default=-1) + 1)]
+    for row in sorted(told, key=lambda r: r["first"]):
+        by_task[row["task"]].append({"first": row["first"], "shift": row["shift"]})
+    known = F.from_json(F.lit(json.dumps(by_task)), "array<array<struct<first:bigint,shift:bigint>>>")
+    own = F.filter(F.get(known, task.cast("int")), lambda s: s["first"] <= F.col("_at"))
+    return lines.select("file", (F.col("_at") + F.try_element_at(own, F.lit(-1))["shift"]).alias("line_no"), "value")
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

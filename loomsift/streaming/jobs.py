@@ -11,6 +11,7 @@ from loomsift.operators.endpoints import event_counts, merge_counts, state_from_
 from loomsift.options import GateOptions, RenderOptions
 from loomsift.plans.curate import curation_funnel, training_rows
 from loomsift.sources.tables import PAGE_SCHEMA
+from loomsift.streaming.segments import SegmentTable
 
 
 def pages_stream(spark: SparkSession, folder: str, glob: str = "*.parquet", files_per_trigger: int = 1000) -> DataFrame:
@@ -23,9 +24,29 @@ def stream_curate(pages: DataFrame, gate: GateOptions = GateOptions(), render: R
     return training_rows(curation_funnel(pages, gate), render)
 
 
-def stream_dedup(arrivals: DataFrame, key: str = "url") -> DataFrame:
-    """First arrival of every canonical URL. All URLs are remembered, so that none is let in twice and none is lost."""
-    return arrivals.withColumn("canonical_url", urls.canonical(F.col(key))).dropDuplicates(["canonical_url"])
+#: Parts of the table of known URLs; a URL belongs to one by its hash.
+URL_BUCKETS = 16
+
+
+def stream_dedup(arrivals: DataFrame, purpose: str = "dedup", key: str = "url", target: str | None = None, state: str | None = None) -> DataFrame:
+    """``(canonical_url)`` of every URL that arrived, once; processes what is available.
+
+    The URLs known so far are a table in the shared folder, dealt in buckets by hash, not the state of a streaming operator: a batch takes
+    its distinct URLs, leaves out those of the table, and adds the rest under its number. So executors hold nothing between batches, and a
+    replayed batch adds nothing. With ``target`` and ``state`` a later run goes on where an earlier one ended.
+    """
+    spark = arrivals.sparkSession
+    target, state = target or fresh_folder(spark, purpose), state or fresh_folder(spark, f"{purpose}-state")
+    known = SegmentTable(spark, target, "canonical_url string, bucket int", buckets="bucket")
+
+    def write(batch: DataFrame, number: int) -> None:
+        found = batch.select(urls.canonical(F.col(key)).alias("canonical_url")).distinct()
+        found = found.withColumn("bucket", F.pmod(F.xxhash64("canonical_url"), F.lit(URL_BUCKETS)).cast("int"))
+        same = [found["bucket"] == (old := known.read(number))["bucket"], found["canonical_url"].eqNullSafe(old["canonical_url"])]
+        known.add(found.join(old, same[0] & same[1], "left_anti").repartition(URL_BUCKETS, "bucket"), number)
+
+    arrivals.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return known.read().select("canonical_url")
 
 
 def partial_stats(outcomes: DataFrame, ts: str = "ts", key: str = "outcome", size: str = "1 minute") -> DataFrame:
@@ -58,19 +79,17 @@ def run_to_table(stream: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(target)
 
 
-def run_partials(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], purpose: str) -> DataFrame:
+def run_partials(
+    stream: DataFrame, partial: Callable[[DataFrame], DataFrame], purpose: str, merge: Callable[[DataFrame], DataFrame] | None = None, fan: int = 8
+) -> DataFrame:
     """Process what is available and keep a partial aggregate of every micro-batch in the shared folder.
 
-    A batch writes under its number and overwrites that when it is replayed, so nothing counts twice; there is no
-    watermark, so nothing is left out.
+    Partials of many batches are merged by ``merge`` on the way, see :class:`SegmentTable`, so that their number of files does not grow with
+    the batches. There is no watermark, so nothing is left out.
     """
     spark = stream.sparkSession
     target, state = fresh_folder(spark, purpose), fresh_folder(spark, f"{purpose}-state")
-    schema = partial(stream).schema
-    spark.createDataFrame([], schema).write.parquet(f"{target}/batch=-1")
-
-    def write(batch: DataFrame, number: int) -> None:
-        partial(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(target)
+    table = SegmentTable(spark, target, partial(stream).schema, merge, fan)
+    writer = stream.writeStream.foreachBatch(lambda batch, number: table.add(partial(batch), number))
+    writer.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return table.read()

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomsift.operators import endpoints
+from loomsift.sources.tables import numbered_lines
 from loomsift.operators.ranking import first_per_group, first_rows, ranked_in_groups, with_global_rank
 
 T0 = dt.datetime(2024, 1, 1)
@@ -78,6 +79,42 @@ def test_gap_audit_over_bucket_borders(spark):
         last[key] = ts
 
 
+def test_gap_audit_with_most_rows_in_one_hour_of_a_key(spark):
+    rng = random.Random(5)
+    rows = [("hot" if rng.random() < 0.9 else f"k{i % 40}", T0 + dt.timedelta(seconds=rng.randrange(3600)), i, True, 1.0) for i in range(30_000)]
+    rows += [(None, T0, -1, True, 1.0), (None, T0, -2, True, 1.0), ("hot", None, -3, True, 1.0)]
+    log = spark.createDataFrame(rows, "key string, ts timestamp, id bigint, ok boolean, seconds double").repartition(4)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "6")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        audit = endpoints.request_gap_audit(log, 60.0)
+        sizes = sorted(r["count"] for r in audit.groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(sizes) > 3 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    got, last = {r.id: r.gap for r in audit.collect()}, {}
+    for key, ts, i, _, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or T0, r[2])):
+        gap = (ts - last[key]).total_seconds() if last.get(key) and ts else None
+        assert got[i] == (pytest.approx(gap) if gap is not None else None)
+        last[key] = ts
+
+
+def test_endpoints_of_files(spark, tmp_path):
+    files = {
+        "list": "a.org:80\n\n  1.2.3.4:99 \nuser:k@h:1\nno-colon:\n", "mixed": "a.org:80\nsome words: 5.6.7.8 : 90\n", "one": '{"data":[{"ip":"5.5.5.5","port":"90"}]}',
+        "long": '\n{ "data":\n[ {"ip"\n: "x"},\n{\n"ip": "7.7.7.7",\n"since": 3,\n"port": 81\n}, {"port": "5", "ip": "h.org"}, {"ip": "only"}, {"port": "6"}\n] }\n', "none": "\n \n",
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}.txt").write_text(text)
+    lines = numbered_lines(spark, str(tmp_path))
+    forms = {r.file.rsplit("/", 1)[1]: r.form for r in endpoints.file_forms(lines).collect()}
+    assert forms == {"list.txt": "list", "mixed.txt": "text", "one.txt": "object", "long.txt": "object"}
+    got = {r[0] for r in endpoints.endpoints_of_files(lines).collect()}
+    assert got == {"a.org:80", "1.2.3.4:99", "user:k@h:1", "no-colon:", "5.6.7.8:90", "5.5.5.5:90", "7.7.7.7:81", "h.org:5"}
+
+
 def test_endpoints_in_text(spark):
     texts = ["1.2.3.4:80 and 10.0.0.1 - 8080, 9.9.9.9 too far......... 77", '{"data":[{"ip":"5.5.5.5","port":"90"},{"ip":"6.6.6.6"}]}', '{"data": broken', "1.2.3.4:80"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")

@@ -133,6 +133,7 @@ def test_line_numbers_across_splits(spark, tmp_path):
     try:
         numbered = tables.numbered_lines(spark, path)
         assert numbered.rdd.getNumPartitions() > 1
+        assert "Exchange" not in numbered._jdf.queryExecution().executedPlan().toString()
         assert all(r.value == f"row {r.line_no}" for r in numbered.collect()) and numbered.count() == 5000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
@@ -173,11 +174,30 @@ def test_refilter(spark, tmp_path):
     marker, end = vocab.ASSISTANT_MARKERS[0]
     rows = [{"text": f"{junk}{marker}fine text{end}", "id": 7, "lang": "en"}, {"text": f"x{marker}{junk}{end}"}, {"text": junk, "url": "https://h.com/meal/1"}]
     _write(path, "\n".join(json.dumps(r) for r in rows).encode())
-    target, flagged = datasets.refilter_dataset(spark, path)
+    target, reasons = datasets.refilter_dataset(spark, path)
     assert target.endswith("set_filtered.jsonl") and open(path).read().count("\n") == 2
     assert sorted(r.value for r in spark.read.text(target).collect()) == sorted(json.dumps(rows[k]) for k in (0, 2))
+    assert {r.reason: r.rows for r in reasons.collect()} == {None: 2, vocab.REASON_JUNK: 1}
+    flagged = datasets.flag_dataset(tables.parse_jsonl(spark.read.text(path)))
     assert [tuple(r) for r in curate.reason_histogram(flagged).collect()] == [(vocab.REASON_JUNK, 1)]
     assert tuple(curate.kept_share(flagged).first()) == (3, 2, pytest.approx(66.666667))
+    with pytest.raises(FileExistsError):
+        datasets.refilter_dataset(spark, path)
+
+
+def test_refilter_replaces_what_a_broken_run_left(spark, tmp_path):
+    path = str(tmp_path / "set.jsonl")
+    _write(path, b'{"text": "fine"}\n{"text": \n')
+    spark.createDataFrame([("half",)], "entry string").write.text(sinks.filtered_path(path))  # no report
+    assert datasets.refilter_report(spark, path) is None
+    target, reasons = datasets.refilter_dataset(spark, path)
+    assert [r.value for r in spark.read.text(target).collect()] == ['{"text": "fine"}'] and [tuple(r) for r in reasons.collect()] == [(None, 1)]
+
+
+def test_files_are_written_by_name(spark, tmp_path):
+    rows = [("a/b.txt", bytearray(b"x\xff")), ("c.py", bytearray())]
+    sinks.write_files(spark.createDataFrame(rows, "rel_path string, content binary"), str(tmp_path))
+    assert {p: (tmp_path / p).read_bytes() for p, _ in rows} == {"a/b.txt": b"x\xff", "c.py": b""}
 
 
 def test_kept_share_of_nothing(spark):
