@@ -45,7 +45,7 @@ SPECIAL = "<|"
 
 
 @lru_cache(maxsize=4)
-def _load(path: str) -> tuple[Tokenizer, np.ndarray]:
+def load(path: str) -> tuple[Tokenizer, np.ndarray]:
     """The tokenizer, and whether an id ends a pre-token."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
     with open(path, encoding="utf-8") as file:
@@ -66,7 +66,7 @@ def _load(path: str) -> tuple[Tokenizer, np.ndarray]:
 
 def merged_counts(path: str, words: list[str], at_once: int = 1000) -> list[int]:
     """Tokens of each Latin pre-token in lower case, by the merges of the vocabulary."""
-    tokenizer, ends = _load(path)
+    tokenizer, ends = load(path)
     out: list[int] = []
     for at in range(0, len(words), at_once):
         part = words[at : at + at_once]
@@ -81,7 +81,7 @@ def merged_counts(path: str, words: list[str], at_once: int = 1000) -> list[int]
 @lru_cache(maxsize=4)
 def whole_tokens(path: str) -> frozenset[str]:
     """Pre-tokens that are proved to be one token: the strings of the vocabulary that end a word, each encoded alone."""
-    tokenizer, _ = _load(path)
+    tokenizer, _ = load(path)
     byte_of = {c: b for b, c in enumerate(_byte_letters())}
     found = []
     for token in tokenizer.get_vocab():
@@ -110,7 +110,7 @@ class Counter:
         self.direct = self.merged = 0  # pre-tokens of each kind so far
 
     def _by_library(self, words: list[str]) -> list[int]:
-        tokenizer, out = _load(self.path)[0], []
+        tokenizer, out = load(self.path)[0], []
         for at in range(0, len(words), 1000):
             out += [len(e.ids) for e in tokenizer.encode_batch_fast(words[at : at + 1000], add_special_tokens=False)]
         return out

@@ -13,21 +13,20 @@ zero at the top are left out.
 """
 
 import io
-import os
-import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from loomsift.llm.common import TOKENIZERS, Memo, Published, file_system, id_text, mapped, pieces_of, shared_files
+from loomsift.llm.common import Published, file_system, id_text, mapped, pieces_of, shared_files
+from loomsift.llm.counts import BLANKS, LATIN, PRE_TOKEN, SPECIAL, VOCABULARY, load
 
 MAGIC = b"IDPLANE1"
 FOOTER = struct.Struct("<6q8s")
@@ -140,56 +139,94 @@ class ShardReader:
         return np.concatenate(parts) if parts else np.empty(0, np.uint32)
 
 
-# Printable Latin characters: composing changes none of them, and lower-casing each of them makes one character. The capital I
-# with a dot is left out, and so is the apostrophe, which the vocabulary joins with some letters.
-_LATIN = re.compile("[^\x00-\x20'\x7f-\xa0\u0130\u0250-\U0010ffff]+")
-_RUNS = regex.compile(r"\p{L}+|\p{N}|[^\p{L}\p{N}]+")
+class WordIds:
+    """Ids of texts, by words whose ids stand one after the other in one buffer.
 
-
-def token_ids(path: str, limit: int = 400_000) -> Memo:
-    """Little-endian ids of blank-free strings. The vocabulary drops white space and joins nothing across it.
-
-    Neither does it join letters, a number and signs, so that the ids of a Latin string are those of its runs, in lower case.
-    Many runs are encoded as one text with blanks between, which is cut after each token that ends a word. Other strings, and
-    those with ``<|``, go through the library whole.
+    Latin texts are cut into pre-tokens here. Of other texts the blank-free strings with other characters, or with ``<|``, go through the
+    library whole, as the vocabulary drops white space and joins nothing across it. Many new words are encoded as one text with blanks
+    between, which is cut after each token that ends a word. All words are forgotten when there are more than ``limit``.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
-    tokenizer = Tokenizer.from_file(path)
-    ends_word = np.zeros(tokenizer.get_vocab_size(), bool)
-    for token, i in tokenizer.get_vocab().items():
-        ends_word[i] = token.endswith("</w>")
-
-    def encoded(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode_runs(found: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(found), 1000):  # what the library returns is large
-            part = found[at : at + 1000]
-            ids = encoded([" ".join(part)])[0]
-            ends = (np.flatnonzero(ends_word[ids]) + 1).tolist()
-            if len(ends) != len(part):
-                raise ValueError("a run of a Latin string is no word of the vocabulary")
-            raw = ids.tobytes()
-            out += [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
-        return out
-
-    runs = Memo(encode_runs, limit)
 
-    def make(words: list[str]) -> list[bytes]:
-        parts = [_RUNS.findall(w.lower()) if _LATIN.fullmatch(w) and "<|" not in w else None for w in words]
-        runs.learn([p for own in parts if own for p in own])
-        whole = [w for w, own in zip(words, parts) if own is None]
-        known = {}
-        for at in range(0, len(whole), 1000):
-            known.update(zip(whole[at : at + 1000], [i.tobytes() for i in encoded(whole[at : at + 1000])]))
-        return [known[w] if own is None else b"".join([runs[p] for p in own]) for w, own in zip(words, parts)]
-
-    return Memo(make, limit // 2)
+    def __init__(self, path: str, limit: int = 500_000):
+        self.tokenizer, self.ends_word = load(path)
+        self.limit = limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.starts: list[np.ndarray] = []
+        self.buffer, self.used = np.zeros(1 << 20, np.uint32), 0
+
+    def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Ids of ``words``, one after the other, each up to its end."""
+        while self.used + len(ids) > len(self.buffer):
+            self.buffer = np.concatenate((self.buffer, np.zeros_like(self.buffer)))
+        self.buffer[self.used : self.used + len(ids)] = ids
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
+        self.starts.append(np.concatenate(([0], ends[:-1])) + self.used)
+        self.used += len(ids)
+
+    def _learn(self, words: set[str]) -> None:
+        plain = [w for w in words if w[0] != ODD]
+        odd = [w for w in words if w[0] == ODD]
+        for at in range(0, len(plain), 1000):  # what the library returns is large
+            part = plain[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("a pre-token is not one for the library")
+            self._keep(part, ids, ends)
+        for at in range(0, len(odd), 1000):
+            part = odd[at : at + 1000]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([w[1:] for w in part], add_special_tokens=False)]
+            self._keep(part, np.array([i for own in found for i in own], np.uint32), np.cumsum([len(own) for own in found]))
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        if len(self.place) > self.limit:
+            self._forget()
+        words = [words_of(t) for t in texts]
+        every = [w for own in words for w in own]
+        new = set(every).difference(self.place)
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(self.place.__getitem__, every), np.int64, len(every))
+        starts = np.concatenate([*self.starts, [self.used]])
+        if len(self.starts) > 64:
+            self.starts = [starts[:-1]]
+        first = starts[at]
+        sizes = starts[at + 1] - first
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        flat = self.buffer[np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])]
+        bounds = ends[np.concatenate(([0], np.cumsum([len(own) for own in words])))].tolist()
+        return [flat[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
+#: Marks a string that the library encodes whole; no pre-token begins with it.
+ODD = "\0"
+
+
+def words_of(text: str) -> list[str]:
+    """Pre-tokens of a text in order, and between them the strings that are left to the library."""
+    if SPECIAL not in text and LATIN.fullmatch(text):
+        return PRE_TOKEN.findall(text.lower())
+    found = []
+    for word in BLANKS.split(text):
+        if SPECIAL not in word and LATIN.fullmatch(word):
+            found += PRE_TOKEN.findall(word.lower())
+        else:
+            found.append(ODD + word)
+    return found
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """What a worker has encoded serves its later tasks too."""
+    return WordIds(path)
 
 
 def write_ids(
-    docs: DataFrame, folder: str, vocabulary_path: str = f"{TOKENIZERS}/word_bpe_49k.json", end_id: int = 1, bits: bool = False
+    docs: DataFrame, folder: str, vocabulary_path: str | None = None, end_id: int = 1, bits: bool = False
 ) -> DataFrame:
     """Encode whole texts, append ``end_id`` to each, and write shards; the manifest ``(shard, file, documents, ids)`` comes back.
 
@@ -198,21 +235,20 @@ def write_ids(
     ``doc_id`` alone decides the range, so one id on a great many rows would meet in one shard, streamed, not held.
     """
 
+    vocabulary_path = vocabulary_path or public_tokenizers.path(VOCABULARY)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        memo = token_ids(vocabulary_path)
+        encoder = word_ids(vocabulary_path)
         shard, writer, name = TaskContext.get().partitionId(), None, ""
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], np.uint32)
         for part in pieces_of(batches, size=1 << 20):
             if writer is None:
                 name = f"ids-{shard:06d}.planes"
                 writer = ShardWriter(folder, name, bits)
-            texts = [t.replace("\n", " ").split(" ") for t in part.column(1).to_pylist()]
-            memo.learn([w for words in texts for w in words])
-            look = memo.__getitem__
-            for doc_id, words in zip(part.column(0).to_pylist(), texts):
-                writer.add(doc_id, np.frombuffer(b"".join(map(look, words)) + end, "<u4"))
+            for doc_id, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1).to_pylist())):
+                writer.add(doc_id, np.concatenate((ids, end)))
         if writer is not None:
             documents, total = writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [f"{folder}/{name}"], "documents": [documents], "ids": [total]})
@@ -253,7 +289,7 @@ def read_ids(manifest: DataFrame, bits: bool = False) -> DataFrame:
     return mapped(dealt, decode, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
-def id_digests(docs: DataFrame, vocabulary_path: str = f"{TOKENIZERS}/word_bpe_49k.json") -> DataFrame:
+def id_digests(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     """Write all documents and read them back: ``(doc_id, start, n_tokens, ids_crc32)``."""
     read = read_ids(write_ids(docs, shared_files(docs.sparkSession, "ids"), vocabulary_path))
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
