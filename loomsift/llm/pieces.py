@@ -10,6 +10,7 @@ import heapq
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -255,13 +256,13 @@ class Pieces:
         return raw[1:].decode("utf-8", "surrogatepass")
 
 
-LITERAL = "\U0010fffe"  # a noncharacter that stands for the mark of a text while it is cut into words
+LITERAL = "\n" + MARK  # stands for the mark of a text while it is cut into words; as line ends are alone, no unit of a text is like it
 
 
 def units_of(text: str) -> list[str]:
     """A text with a mark in front and for each blank, cut before each run of marks and around line ends.
 
-    A mark that is in the text itself comes as a unit of its own with one leading ``LITERAL``, to become bytes.
+    A mark that is in the text itself comes as the unit ``LITERAL``, to become bytes.
     """
     if MARK not in text:
         return _UNIT.findall(MARK + text.replace(" ", MARK))
@@ -310,8 +311,77 @@ def combined(total: float, losses: Sequence[float], alternatives: Callable[[int]
 SCHEMA = "doc_id bigint, n_pieces bigint, ids binary, scores array<double>, others array<binary>, lossless boolean"
 
 
+class Encoder:
+    """Solved words of a model: ``(score, ids, loss, bytes)`` of the best segmentation of a unit, and the ``n`` best of those that need them.
+
+    ``limit`` bounds the words that are remembered; it changes the speed only.
+    """
+
+    def __init__(self, model_path: str, n: int, limit: int):
+        self.pieces, self.n = Pieces.load(model_path), n
+        raw = MARK.encode()
+        self.mark = (self.pieces.penalty, np.array([self.pieces.bytes[b] for b in raw], "<u4").tobytes(), np.inf, raw)
+        self.parts, self.units, self.nbest = Memo(self._solve, limit), Memo(self._joined, limit), Memo(self._search, max(1000, limit // 10))
+
+    def _solve(self, units: list[str]) -> list[tuple[float, bytes, float, bytes]]:
+        texts = self.pieces.texts
+        lattices = [u for u in units if len(u) <= LONG]
+        best = self.pieces.best_many(lattices)
+        if len(lattices) < len(units):  # long ones are kept out of the common arrays
+            known = dict(zip(lattices, best))
+            best = [known[u] if len(u) <= LONG else self.pieces.best_many([u])[0] for u in units]
+        return [(s, ids, loss, b"".join([texts[i] for i in np.frombuffer(ids, "<u4").tolist()])) for s, ids, loss in best]
+
+    def _joined(self, units: list[str]) -> list[tuple[float, bytes, float, bytes]]:
+        """Units from their parts: a stem and the signs after it are apart where no piece joins them."""
+        cuts = [None if u == LITERAL else self.pieces.cut(u) for u in units]
+        self.parts.learn([p for c in cuts if c for p in c])
+        found, parts = [], self.parts
+        for c in cuts:
+            if c is None:
+                found.append(self.mark)
+            elif len(c) == 1:
+                found.append(parts[c[0]])
+            else:
+                a, b = parts[c[0]], parts[c[1]]
+                found.append((a[0] + b[0], a[1] + b[1], min(a[2], b[2]), a[3] + b[3]))
+        return found
+
+    def _search(self, units: list[str]) -> list[tuple[list[float], list[bytes]]]:
+        found = [self.pieces.nbest(u, self.n) for u in units]
+        return [([f[0][0] - s for s, _ in f], [np.array(i, "<u4").tobytes() for _, i in f]) for f in found]
+
+    def best_of(self, unit: str) -> tuple[list[float], list[bytes]]:
+        """Losses and ids of the ``n`` best of a unit."""
+        if unit not in self.nbest:
+            self.nbest.learn([unit])
+        return self.nbest[unit]
+
+    def rows(self, texts: list[str], alternatives: bool) -> list[tuple]:
+        """``(n_pieces, ids, scores, others, lossless)`` of each text."""
+        units, out, look = [units_of(t) for t in texts], [], self.units.__getitem__
+        self.units.learn([u for own in units for u in own])
+        for text, own in zip(texts, units):
+            scores, idss, losses, backs = zip(*map(look, own))
+            best = combined(sum(scores), losses, lambda k, own=own: self.best_of(own[k])[0], self.n)
+            ids, back, others = b"".join(idss), b"".join(backs)[1:], []
+            for _, changed in best[1:] if alternatives else []:
+                other = list(idss)
+                for k, alternative in changed:
+                    other[k] = self.best_of(own[k])[1][alternative]
+                others.append(b"".join(other))
+            out.append((len(ids) // 4, ids, [s for s, _ in best], others, back == text.encode("utf-8", "surrogatepass")))
+        return out
+
+
+@lru_cache(maxsize=2)
+def encoder(model_path: str, n: int, limit: int) -> Encoder:
+    """What a worker has solved serves its later tasks too."""
+    return Encoder(model_path, n, limit)
+
+
 def encode(
-    docs: DataFrame, n: int = 3, model_path: str = f"{TOKENIZERS}/piece_bpe_32k.model", alternatives: bool = True, limit: int = 200_000
+    docs: DataFrame, n: int = 3, model_path: str = f"{TOKENIZERS}/piece_bpe_32k.model", alternatives: bool = True, limit: int = 600_000
 ) -> DataFrame:
     """``(doc_id, n_pieces, ids, scores, others, lossless)``: the ``n`` best segmentations of every whole text, a row per row.
 
@@ -319,70 +389,15 @@ def encode(
     of the others (empty without ``alternatives``); ``lossless`` tells that decoding ``ids`` gave the text back.
     Segmentations with equal scores come in a fixed order. A null or empty text is the word front alone. White space, unknown
     characters and the front mark in a text survive the round trip, the last two as bytes. ``limit`` bounds the
-    words that a task remembers; a very long text is held whole by its task, with its units.
+    words that a worker remembers; a very long text is held whole by its task, with its units. Rows with one id, or none, each give a
+    row; an empty table gives none; columns other than id and text play no part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.load(model_path)
-        mark = (pieces.penalty, np.array([pieces.bytes[b] for b in MARK.encode()], "<u4").tobytes(), np.inf, MARK.encode())
-
-        def solve(units: list[str]) -> list[tuple[float, bytes, float, bytes]]:
-            texts = pieces.texts
-            lattices = [u for u in units if len(u) <= LONG]
-            best = pieces.best_many(lattices)
-            if len(lattices) < len(units):  # long ones are kept out of the common arrays
-                known = dict(zip(lattices, best))
-                best = [known[u] if len(u) <= LONG else pieces.best_many([u])[0] for u in units]
-            return [(s, ids, loss, b"".join([texts[i] for i in np.frombuffer(ids, "<u4").tolist()])) for s, ids, loss in best]
-
-        parts = Memo(solve, limit)
-
-        def joined(units: list[str]) -> list[tuple[float, bytes, float, bytes]]:
-            """Units from their parts: a stem and the signs after it are apart where no piece joins them."""
-            cuts = [None if u == LITERAL else pieces.cut(u) for u in units]
-            parts.learn([p for c in cuts if c for p in c])
-            found = []
-            for c in cuts:
-                if c is None:
-                    found.append(mark)
-                elif len(c) == 1:
-                    found.append(parts[c[0]])
-                else:
-                    a, b = parts[c[0]], parts[c[1]]
-                    found.append((a[0] + b[0], a[1] + b[1], min(a[2], b[2]), a[3] + b[3]))
-            return found
-
-        def search(units: list[str]) -> list[tuple[list[float], list[bytes]]]:
-            found = [pieces.nbest(u, n) for u in units]
-            return [([f[0][0] - s for s, _ in f], [np.array(i, "<u4").tobytes() for _, i in f]) for f in found]
-
-        memo, nbest = Memo(joined, limit), Memo(search, max(1000, limit // 10))
-        look = memo.__getitem__
+        coder = encoder(model_path, n, limit)
+        kinds = (pa.int64(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.binary()), pa.bool_())
         for part in pieces_of(batches, size=1 << 20):
-            texts = part.column(1).to_pylist()
-            units = [units_of(t) for t in texts]
-            memo.learn([u for us in units for u in us])
-            columns: list[list] = [[], [], [], [], []]
-            for text, own in zip(texts, units):
-                scores, idss, losses, backs = zip(*map(look, own))
-                ids, back = b"".join(idss), b"".join(backs)[1:]
-
-                def losses_of(k: int, own=own) -> list[float]:
-                    nbest.learn([own[k]])
-                    return nbest[own[k]][0]
-
-                best = combined(sum(scores), losses, losses_of, n)
-                others = []
-                for _, changed in best[1:] if alternatives else []:
-                    other = list(idss)
-                    for k, alternative in changed:
-                        nbest.learn([own[k]])
-                        other[k] = nbest[own[k]][1][alternative]
-                    others.append(b"".join(other))
-                row = (len(ids) // 4, ids, [s for s, _ in best], others, back == text.encode("utf-8", "surrogatepass"))
-                for column, value in zip(columns, row):
-                    column.append(value)
-            kinds = (pa.int64(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.binary()), pa.bool_())
+            columns = zip(*coder.rows(part.column(1).to_pylist(), alternatives))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
                 names=["doc_id", "n_pieces", "ids", "scores", "others", "lossless"],
