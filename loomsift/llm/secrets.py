@@ -16,6 +16,8 @@ _WORDS = ("password", "passwd", "secret", "token", "api")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
+#: Characters of a run that is measured.
+LEAST = 16
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _DIGEST_CHARS = frozenset((32, 40, 48, 56, 64, 96, 128))
 _PURE_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
@@ -38,11 +40,14 @@ def vocabulary(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def known(run: str) -> bool:
-    """A digest of a usual length, a UUID, words or numbers joined by signs, or a name with a number: no secret."""
-    return bool(
-        (len(run) in _DIGEST_CHARS and _PURE_HEX.fullmatch(run)) or _UUID.fullmatch(run) or _WORDY.fullmatch(run) or _NUMBERED.fullmatch(run)
-    )
+def digest(run: str) -> bool:
+    """A digest of a usual length or a UUID: no secret."""
+    return bool((len(run) in _DIGEST_CHARS and _PURE_HEX.fullmatch(run)) or _UUID.fullmatch(run))
+
+
+def plain(run: str) -> bool:
+    """Letters alone, words or numbers joined by signs, or a name with a number: mostly an identifier."""
+    return bool(_WORDY.fullmatch(run) or _NUMBERED.fullmatch(run))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -57,25 +62,53 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def dense_spans(text: str, base: list[tuple[int, int, int]], vocab: tiktoken.Encoding, ratio: float) -> list[tuple[int, int, int]]:
-    """Runs outside the base spans with letters and digits that take a token for every ``ratio`` characters or fewer."""
-    found = []
+def joined(spans: list[tuple[int, int, int]]) -> list[list[int]]:
+    """``[start, end]`` of what spans cover, in order and apart from each other."""
+    out: list[list[int]] = []
+    for start, _, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return out
+
+
+def dense_spans(text: str, base: list[tuple[int, int, int]], vocab: tiktoken.Encoding, ratio: float, plain_ratio: float) -> list[tuple[int, int, int]]:
+    """Runs outside the base spans, or their parts between slashes, that take a token for every ``ratio`` characters or fewer.
+
+    Runs that look like identifiers have to stay under ``plain_ratio``. Runs and base spans are passed through once, side by side.
+    """
+    covered, at, found = joined(base), 0, []
+
+    def dense(run: str) -> bool:
+        body = run.rstrip("=")
+        if len(run) < LEAST or body.isdigit() or digest(body):
+            return False
+        return len(run) <= (plain_ratio if plain(body) else ratio) * len(vocab.encode_ordinary(run))
+
     for m in _RUN.finditer(text):
         run, start, end = m.group(), m.start(), m.end()
-        body = run.rstrip("=")
-        if body.isalpha() or body.isdigit() or known(body) or any(s < end and start < e for s, _, e in base):
+        while at < len(covered) and covered[at][1] <= start:
+            at += 1
+        if at < len(covered) and covered[at][0] < end:
             continue
-        if len(run) <= ratio * len(vocab.encode_ordinary(run)):
+        if dense(run):
             found.append((start, 3, end))
+        elif "/" in run:
+            for part in run.split("/"):
+                if dense(part):
+                    found.append((start, 3, start + len(part)))
+                start += len(part) + 1
     return found
 
 
-def find_secrets(docs: DataFrame, vocabulary_path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", ratio: float = 1.85) -> DataFrame:
+def find_secrets(docs: DataFrame, vocabulary_path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", ratio: float = 1.85, plain_ratio: float = 1.6) -> DataFrame:
     """``(doc_id, spans)``: one row per row of ``docs``, spans by start and kind, in code points, end exclusive.
 
     Kinds ``assign``, ``access`` and ``hex`` come from patterns. Kind ``dense`` comes from token efficiency: a run of
-    16 or more base64 characters that mixes letters with digits or signs is a secret when the vocabulary needs a token for every
-    ``ratio`` characters or fewer, unless it is a known digest, a UUID or an identifier, or touches a base span.
+    16 or more base64 characters, or its part between slashes, is a secret when the vocabulary needs a token for every
+    ``ratio`` characters or fewer, unless it is a number, a known digest or a UUID, or touches a base span. Letters alone and
+    what looks like an identifier is one from ``plain_ratio`` on. Time is linear in the text.
     Null texts are empty and have no spans, rows with a null id or a repeated id each give a row, extra columns
     are not read. The work is narrow: no shuffle, memory of a few texts per task.
     """
@@ -86,7 +119,7 @@ def find_secrets(docs: DataFrame, vocabulary_path: str = f"{TOKENIZERS}/byte_bpe
             spans = []
             for text in part.column(1).to_pylist():
                 base = base_spans(text)
-                every = sorted(base + dense_spans(text, base, vocab, ratio))
+                every = sorted(base + dense_spans(text, base, vocab, ratio, plain_ratio))
                 spans.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in every])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, _ARROW.field(1).type)], schema=_ARROW)
 
