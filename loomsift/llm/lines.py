@@ -6,6 +6,7 @@ such lines is divided at its longest common block. Aligned common blocks go from
 """
 
 import bisect
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,30 +15,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomsift.llm.common import mapped, pieces_of, stored, with_rows
-from loomsift.llm.hashing import range_numbers
 
+#: Lines, as a multiple of those of a pair, that are looked at for blocks without a unique line.
+WORK = 40
 #: Characters of an aligned block, blanks at the ends of lines aside, from which it goes.
 BLOCK_CHARS = 40
 
 
-def line_numbers(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit numbers of the stripped lines of a text, 0 for blank ones, and their lengths."""
+#: Bytes of the number of a line, a keyed digest, so that different lines never pass for equal.
+WIDTH = 16
+_KEY, _BLANK = b"lines of texts", bytes(WIDTH)
+
+
+def line_numbers(text: str) -> tuple[bytes, np.ndarray]:
+    """Numbers of the stripped lines of a text, one after the other, zero for blank ones, and their lengths."""
     lines = [line.strip() for line in text.split("\n")]
-    raws = [line.encode("utf-8", "surrogatepass") for line in lines]
-    ends = np.cumsum([len(r) for r in raws])
-    numbers = range_numbers(np.frombuffer(b"".join(raws), np.uint8), np.concatenate(([0], ends[:-1])), ends)
-    sizes = np.array([len(line) for line in lines])
-    return np.where(sizes > 0, numbers, np.uint64(0)), sizes
+    numbers = [hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=WIDTH, key=_KEY).digest() if x else _BLANK for x in lines]
+    return b"".join(numbers), np.array([len(x) for x in lines])
+
+
+def small_numbers(*lists: bytes) -> list[list[int]]:
+    """The numbers of lines of some texts as small ones, equal for equal lines, 0 for blank ones."""
+    known = {_BLANK: 0}
+    return [[known.setdefault(raw[k : k + WIDTH], len(known)) for k in range(0, len(raw), WIDTH)] for raw in lists]
 
 
 def patience(a: list[int], b: list[int], sizes: list[int] | None = None) -> list[tuple[int, int]]:
     """Aligned pairs ``(place in a, place in b)``, both ascending, of equal lines. Blank lines (0) are matched next to others only.
 
-    ``sizes`` are the lengths of the lines of ``a``, by which blocks are compared; without them a line counts 1.
+    ``sizes`` are the lengths of the lines of ``a``, by which blocks are compared; without them a line counts 1. Stretches that are divided very
+    often, as those of periodic lines, are aligned from line to line in the end, so that time stays linear but for a constant.
     """
     if sizes is None:
         sizes = [int(line != 0) for line in a]
     found, stack = [], [(0, len(a), 0, len(b))]
+    work = WORK * (len(a) + len(b)) + 10_000
     while stack:
         alo, ahi, blo, bhi = stack.pop()
         while alo < ahi and blo < bhi and a[alo] == b[blo]:
@@ -59,6 +71,10 @@ def patience(a: list[int], b: list[int], sizes: list[int] | None = None) -> list
             last = (i + 1, j + 1)
         if chain:
             stack.append((last[0], ahi, last[1], bhi))
+            continue
+        work -= ahi - alo + bhi - blo
+        if work < 0:
+            found += _nearest(a, b, alo, ahi, blo, bhi)
         elif block := _longest_block(a, b, alo, ahi, blo, bhi, sizes):
             i, j, n = block
             found += [(i + k, j + k) for k in range(n)]
@@ -113,6 +129,34 @@ def _longest_block(a: list[int], b: list[int], alo: int, ahi: int, blo: int, bhi
     return block
 
 
+def _nearest(a: list[int], b: list[int], alo: int, ahi: int, blo: int, bhi: int) -> list[tuple[int, int]]:
+    """Aligned pairs from the front on: where two lines differ, the side goes on that has the other's line nearer."""
+    places: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
+    for own, lines, low, high in ((places[0], a, alo, ahi), (places[1], b, blo, bhi)):
+        for k in range(low, high):
+            own.setdefault(lines[k], []).append(k)
+
+    def skip(own: dict[int, list[int]], line: int, at: int) -> int:
+        held = own.get(line, [])
+        k = bisect.bisect_left(held, at)
+        return held[k] - at if line and k < len(held) else len(a) + len(b)
+
+    found, i, j = [], alo, blo
+    while i < ahi and j < bhi:
+        if a[i] == b[j]:
+            found.append((i, j))
+            i, j = i + 1, j + 1
+            continue
+        to_b, to_a = skip(places[1], a[i], j), skip(places[0], b[j], i)
+        if i + to_a >= ahi and j + to_b >= bhi:
+            i, j = i + 1, j + 1
+        elif to_b <= to_a:
+            j += to_b
+        else:
+            i += to_a
+    return found
+
+
 def _once(lines: list[int], low: int, high: int) -> dict[int, int]:
     """Places of the lines that are in a stretch once."""
     seen: dict[int, int] = {}
@@ -163,14 +207,15 @@ def aligned_cuts(rows: DataFrame, rare: int | None = None, least: int = BLOCK_CH
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces_of(batches):
             found = [line_numbers(t) for t in part.column(1).to_pylist()]
-            arrays = [pa.array([np.ascontiguousarray(f[k], t).tobytes() for f in found], pa.binary()) for k, t in ((0, "<u8"), (1, "<i4"))]
+            arrays = [pa.array([f[0] for f in found], pa.binary()), pa.array([f[1].astype("<i4").tobytes() for f in found], pa.binary())]
             yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["row", "numbers", "sizes"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                own = [np.unique(np.frombuffer(b, "<u8")) for b in part.column(1).to_pylist()]
+                # half of a number is enough to find partners; alignments compare whole ones
+                own = [np.unique(np.frombuffer(b, "<u8")[:: WIDTH // 8]) for b in part.column(1).to_pylist()]
                 line = np.concatenate(own)
                 row = np.repeat(np.array(part.column(0), np.int64), [len(o) for o in own])
                 full = line != 0
@@ -181,8 +226,7 @@ def aligned_cuts(rows: DataFrame, rare: int | None = None, least: int = BLOCK_CH
             cuts = []
             for at in range(0, batch.num_rows, 500):
                 for row, own, sizes, other in zip(*[c.to_pylist() for c in batch.slice(at, 500).columns]):
-                    lists = [np.frombuffer(b, "<u8").tolist() for b in (own, other)]
-                    cuts += [(row, a, b) for a, b in common_blocks(*lists, np.frombuffer(sizes, "<i4").tolist(), least)]
+                    cuts += [(row, a, b) for a, b in common_blocks(*small_numbers(own, other), np.frombuffer(sizes, "<i4").tolist(), least)]
             kinds = (pa.int64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([c[k] for c in cuts], t) for k, t in enumerate(kinds)], names=["row", "first", "stop"])
 
