@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomsift.llm.common import Memo, id_text, mapped, pieces_of
-from loomsift.llm.hashing import mixed, range_numbers
+from loomsift.llm.hashing import bucket_numbers, mixed
 
 CUT = 0.7
 #: How often a repeated word counts among the features of a text; a word itself has about so many.
@@ -40,7 +40,7 @@ def features(words: list[str], o: Options) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each word and of its character n-grams between edge marks, and the place of the word that each belongs to."""
     raws = [w.encode("utf-8", "surrogatepass") for w in words]
     ends = np.cumsum([len(r) for r in raws])
-    whole = range_numbers(np.frombuffer(b"".join(raws), np.uint8), np.concatenate(([0], ends[:-1])), ends)
+    whole = bucket_numbers(np.frombuffer(b"".join(raws), np.uint8), np.concatenate(([0], ends[:-1])), ends)
     marked = [f"<{w}>" for w in words]
     sizes = np.array([len(m) for m in marked])
     owner = np.repeat(np.arange(len(words)), sizes)
@@ -84,7 +84,7 @@ def feature_parts(words: list[str], o: Options, chars: int = PART_CHARS) -> Iter
             held += len(word)
             continue
         raw = word.encode("utf-8", "surrogatepass")
-        whole = range_numbers(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]))
+        whole = bucket_numbers(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]))
         yield k, k + 1, _buckets(whole, o), np.zeros(1, np.int64)
         marked = f"<{word}>"
         for at in range(0, len(marked), chars):

@@ -47,8 +47,9 @@ def op5_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    coded = pieces.encode(read_table(spark, sf, "documents"), alternatives=False)
-    return coded.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), "scores", "lossless")
+    coded = pieces.encode(read_table(spark, sf, "documents"))
+    others = [F.transform("others", F.crc32).alias("others_crc32"), F.transform("others", lambda o: (F.octet_length(o) / 4).cast("bigint")).alias("others_pieces")]
+    return coded.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), "scores", *others, "lossless")
 
 
 def op7_archives(spark: SparkSession, sf: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomsift.llm.common import mapped, stored, with_rows
-from loomsift.llm.hashing import BASE, UNBASE, VALUE, mixed, powers, range_numbers
+from loomsift.llm.hashing import VALUE, mixed, range_numbers, sequence_numbers
 
 WIDTH = 100
 #: Bytes of an anchor; every window has WIDTH - GRAM + 1 of them.
@@ -50,12 +50,6 @@ def _types(text: np.ndarray) -> np.ndarray:
     return small
 
 
-def _substring_numbers(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    values = mixed(text.astype(np.uint64) + np.uint64(1))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * powers(BASE, len(text))[:-1], dtype=np.uint64)))
-    return mixed((sums[ends] - sums[starts]) * powers(UNBASE, len(text))[starts] + (ends - starts).astype(np.uint64))
-
-
 def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     """Suffix array of ``text`` over symbols below ``size`` by induced sorting.
 
@@ -111,7 +105,7 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
         place = np.zeros(n, np.int64)
         place[starts] = np.arange(len(starts))
         stop = np.append(starts[1:] + 1, n)[place[ordered]]
-        numbers = _substring_numbers(text, ordered, stop)
+        numbers = sequence_numbers(text, ordered, stop)
         # the last substring ends at the empty suffix, unlike any other
         new = (numbers[1:] != numbers[:-1]) | (stop[1:] - ordered[1:] != stop[:-1] - ordered[:-1]) | (stop[1:] == n) | (stop[:-1] == n)
         names = np.empty(len(starts), np.int64)

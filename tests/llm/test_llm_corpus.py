@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from loomsift.llm import forest, graph, lines, suffixes, warc
+from loomsift.llm import decontaminate, forest, graph, lines, suffixes, warc
 from loomsift.llm.common import file_system, shared_files
 
 SF = "/root/testdata/sf0.001"
@@ -226,6 +226,28 @@ def test_patience_without_unique_lines():
             assert a[i : i + n] == b[j : j + n] and sum(sizes[i : i + n]) == most
 
 
+def test_periodic_lines_take_linear_time():
+    import time
+
+    a, b = [1 + k % 3 for k in range(20_000)], [(1, 2, 4)[k % 3] for k in range(20_000)]
+    start = time.perf_counter()
+    pairs = lines.patience(a, b)
+    assert time.perf_counter() - start < 10 and len(pairs) > 13_000
+    assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
+def test_different_long_lines_stay(spark):
+    word = "".join("ab"[bin(k).count("1") & 1] for k in range(1024))
+    mirror = word.translate(str.maketrans("ab", "ba"))
+    rows = {r["doc_id"]: r for r in lines.drop_repeated_lines(docs_of(spark, [word, mirror, word])).collect()}
+    assert [rows[k]["text"] for k in range(3)] == [word, mirror, ""]
+    near = {r["doc_id"]: r["component_id"] for r in forest.near_groups(docs_of(spark, [f"a b c d {word}", f"a b c d {mirror}"])).collect()}
+    assert near == {0: 0, 1: 1}
+    item = spark.createDataFrame([(1, " ".join([word, *"bcdefghij"]))], "item_id bigint, text string")
+    hit = decontaminate.contamination(docs_of(spark, [" ".join([mirror, *"bcdefghij"]), " ".join([word, *"bcdefghij"])]), item)
+    assert {r["doc_id"]: r["contaminated"] for r in hit.collect()} == {0: False, 1: True}
+
+
 def test_repeated_lines_go_from_later_documents(spark):
     first = "\n".join(f"line number {k} of the first document here" for k in range(6))
     texts = [
