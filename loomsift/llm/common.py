@@ -1,8 +1,10 @@
 """Helpers that the operators of this subpackage share."""
 
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,6 +38,18 @@ def pieces_of(batches: Iterator[pa.RecordBatch], text: str = "text", size: int =
             yield batch.slice(first)
 
 
+@contextmanager
+def without_cycle_search() -> Iterator[None]:
+    """Python's search for unreachable cycles is off inside: it walks over all remembered values again and again and finds none."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Memo(dict):
     """Values by word, made for many words at once; those not used for long are forgotten.
 

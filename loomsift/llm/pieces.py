@@ -18,7 +18,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomsift.llm.common import TOKENIZERS, Memo, id_text, mapped, pieces_of
+from loomsift.llm.common import TOKENIZERS, Memo, id_text, mapped, pieces_of, without_cycle_search
 
 MARK = "▁"
 #: Longer units are solved one by one.
@@ -397,7 +397,8 @@ def encode(
         coder = encoder(model_path, n, limit)
         kinds = (pa.int64(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.binary()), pa.bool_())
         for part in pieces_of(batches, size=1 << 20):
-            columns = zip(*coder.rows(part.column(1).to_pylist(), alternatives))
+            with without_cycle_search():
+                columns = zip(*coder.rows(part.column(1).to_pylist(), alternatives))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
                 names=["doc_id", "n_pieces", "ids", "scores", "others", "lossless"],
