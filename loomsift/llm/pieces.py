@@ -23,8 +23,10 @@ from loomsift.llm.common import TOKENIZERS, Memo, id_text, mapped, pieces_of, wi
 MARK = "▁"
 #: Longer units are solved one by one.
 LONG = 64
-_SIGNS = re.compile(r"[^\w▁]+$")
 _UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+#: Units that also end where a sign follows a letter or number.
+_FINE = re.compile(rf"{MARK}*[^\w{MARK}\n]*\w+|{MARK}*[^\w{MARK}\n]+|{MARK}+|\n")
+_OVER = re.compile(rf"\w[^\w{MARK}]")
 
 
 class PieceTable:
@@ -103,7 +105,7 @@ class Pieces:
     texts: list[bytes] = field(repr=False, default_factory=list)
     lengths: dict[int, int] = field(repr=False, default_factory=dict)
     table: "PieceTable" = field(repr=False, default=None)
-    pairs: set[str] = field(repr=False, default_factory=set)  # neighbours inside pieces
+    over: re.Pattern = field(repr=False, default=None)  # a letter or number and a sign that are neighbours in a piece
 
     @classmethod
     def load(cls, path: str) -> "Pieces":
@@ -121,7 +123,8 @@ class Pieces:
                 scores[piece] = (i, model.get_score(i))
         low = min((s for _, s in scores.values() if s > -1e8), default=0.0)
         lengths = {i: len(piece) for piece, (i, _) in scores.items()}
-        return cls(scores, of_byte, max(map(len, scores)), low - 10, texts, lengths, PieceTable(scores), {p[k : k + 2] for p in scores for k in range(len(p) - 1)})
+        over = {p[k : k + 2] for p in scores for k in range(len(p) - 1) if _OVER.match(p, k)}
+        return cls(scores, of_byte, max(map(len, scores)), low - 10, texts, lengths, PieceTable(scores), re.compile("|".join(map(re.escape, sorted(over))) or "(?!)"))
 
     def edges(self, unit: str, end: int, plain: bool = False) -> list[tuple[int, tuple[int, ...], float]]:
         """``(start, ids, score)`` of the edges into node ``end``, longest first."""
@@ -243,12 +246,9 @@ class Pieces:
                 at += self.lengths[i]
         return np.array(whole, "<u4").tobytes()
 
-    def cut(self, unit: str) -> tuple[str, ...]:
-        """A unit, or its stem and the signs after it if no piece has the last character of the one and the first of the other side by side."""
-        found = _SIGNS.search(unit)
-        if found is None or not (at := found.start()) or unit[at - 1 : at + 1] in self.pairs:
-            return (unit,)
-        return unit[:at], unit[at:]
+    def units(self, text: str) -> list[str]:
+        """Units of a text; where a sign follows a letter or number one ends too, unless the text has such a pair that is in a piece."""
+        return units_of(text, _UNIT if self.over.search(text) else _FINE)
 
     def decode(self, ids) -> str:
         """The text of a segmentation."""
@@ -259,19 +259,19 @@ class Pieces:
 LITERAL = "\n" + MARK  # stands for the mark of a text while it is cut into words; as line ends are alone, no unit of a text is like it
 
 
-def units_of(text: str) -> list[str]:
+def units_of(text: str, pattern: re.Pattern = _UNIT) -> list[str]:
     """A text with a mark in front and for each blank, cut before each run of marks and around line ends.
 
     A mark that is in the text itself comes as the unit ``LITERAL``, to become bytes.
     """
     if MARK not in text:
-        return _UNIT.findall(MARK + text.replace(" ", MARK))
+        return pattern.findall(MARK + text.replace(" ", MARK))
     units: list[str] = []
     for k, part in enumerate(text.split(MARK)):
         if k:
             units.append(LITERAL)
         body = part.replace(" ", MARK)
-        units += _UNIT.findall(MARK + body if k == 0 else body)
+        units += pattern.findall(MARK + body if k == 0 else body)
     return units
 
 
@@ -312,7 +312,7 @@ SCHEMA = "doc_id bigint, n_pieces bigint, ids binary, scores array<double>, othe
 
 
 class Encoder:
-    """Solved words of a model: ``(score, ids, loss, bytes)`` of the best segmentation of a unit, and the ``n`` best of those that need them.
+    """Solved units of a model: ``(score, ids, loss, bytes)`` of the best segmentation of each, and the ``n`` best of those that need them.
 
     ``limit`` bounds the words that are remembered; it changes the speed only.
     """
@@ -321,31 +321,17 @@ class Encoder:
         self.pieces, self.n = Pieces.load(model_path), n
         raw = MARK.encode()
         self.mark = (self.pieces.penalty, np.array([self.pieces.bytes[b] for b in raw], "<u4").tobytes(), np.inf, raw)
-        self.parts, self.units, self.nbest = Memo(self._solve, limit), Memo(self._joined, limit), Memo(self._search, max(1000, limit // 10))
+        self.solved, self.nbest = Memo(self._solve, limit), Memo(self._search, max(1000, limit // 10))
 
     def _solve(self, units: list[str]) -> list[tuple[float, bytes, float, bytes]]:
-        texts = self.pieces.texts
-        lattices = [u for u in units if len(u) <= LONG]
-        best = self.pieces.best_many(lattices)
-        if len(lattices) < len(units):  # long ones are kept out of the common arrays
-            known = dict(zip(lattices, best))
-            best = [known[u] if len(u) <= LONG else self.pieces.best_many([u])[0] for u in units]
-        return [(s, ids, loss, b"".join([texts[i] for i in np.frombuffer(ids, "<u4").tolist()])) for s, ids, loss in best]
-
-    def _joined(self, units: list[str]) -> list[tuple[float, bytes, float, bytes]]:
-        """Units from their parts: a stem and the signs after it are apart where no piece joins them."""
-        cuts = [None if u == LITERAL else self.pieces.cut(u) for u in units]
-        self.parts.learn([p for c in cuts if c for p in c])
-        found, parts = [], self.parts
-        for c in cuts:
-            if c is None:
-                found.append(self.mark)
-            elif len(c) == 1:
-                found.append(parts[c[0]])
-            else:
-                a, b = parts[c[0]], parts[c[1]]
-                found.append((a[0] + b[0], a[1] + b[1], min(a[2], b[2]), a[3] + b[3]))
-        return found
+        # long ones are kept out of the common arrays
+        lattices = [u for u in units if len(u) <= LONG and u != LITERAL]
+        best = dict(zip(lattices, self.pieces.best_many(lattices)))
+        best.update((u, self.pieces.best_many([u])[0]) for u in units if len(u) > LONG)
+        return [self.mark if u == LITERAL else (*(found := best[u]), self._text(found[1])) for u in units]
+
+    def _text(self, ids: bytes) -> bytes:
+        return b"".join([self.pieces.texts[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
     def _search(self, units: list[str]) -> list[tuple[list[float], list[bytes]]]:
         found = [self.pieces.nbest(u, self.n) for u in units]
@@ -359,8 +345,8 @@ class Encoder:
 
     def rows(self, texts: list[str], alternatives: bool) -> list[tuple]:
         """``(n_pieces, ids, scores, others, lossless)`` of each text."""
-        units, out, look = [units_of(t) for t in texts], [], self.units.__getitem__
-        self.units.learn([u for own in units for u in own])
+        units, out, look = [self.pieces.units(t) for t in texts], [], self.solved.__getitem__
+        self.solved.learn([u for own in units for u in own])
         for text, own in zip(texts, units):
             scores, idss, losses, backs = zip(*map(look, own))
             best = combined(sum(scores), losses, lambda k, own=own: self.best_of(own[k])[0], self.n)
