@@ -45,27 +45,30 @@ def capture_time(page_id: int | None) -> str:
     return (EPOCH + timedelta(seconds=(page_id or 0) % 10**9)).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None = None, name: str = "") -> bytes:
-    """One record, uncompressed, under ``name`` if the page has no id. Line ends in a URL would break the header and become blanks."""
-    target = " ".join((url or "").split())
+def record_id(page_id: int, url: str, digest: str, copy: int) -> str:
+    """A name of its own for every record of a page: by payload, URL and the number among equal rows."""
+    return f"<urn:page:{page_id}:{digest}:{zlib.crc32(url.encode('utf-8', 'surrogatepass')):08x}:{copy}>"
+
+
+def record(name: str, page_id: int | None, url: str, payload: bytes, digest: str, size: int, refers_to: str | None = None) -> bytes:
+    """One record, uncompressed. ``refers_to`` names the response of a revisit, which has no payload itself. Line ends in a URL would break the header and become blanks."""
     head = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:unnamed:{name}>" if page_id is None else f"<urn:page:{page_id}>"),
+        ("WARC-Record-ID", name),
         ("WARC-Date", capture_time(page_id)),
-        ("WARC-Target-URI", target),
+        ("WARC-Target-URI", " ".join(url.split())),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
     ]
-    block = payload
     if refers_to is not None:
         head += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-            ("WARC-Refers-To", f"<urn:page:{refers_to}>"),
-            ("X-Payload-Length", str(len(payload))),
+            ("WARC-Refers-To", refers_to),
+            ("X-Payload-Length", str(size)),
         ]
-        block = b""
-    head += [("Content-Type", "text/html"), ("Content-Length", str(len(block)))]
+        payload = b""
+    head += [("Content-Type", "text/html"), ("Content-Length", str(len(payload)))]
     lines = b"".join(f"{k}: {v}\r\n".encode("utf-8", "surrogatepass") for k, v in head)
-    return VERSION + b"\r\n" + lines + b"\r\n" + block + b"\r\n\r\n"
+    return VERSION + b"\r\n" + lines + b"\r\n" + payload + b"\r\n\r\n"
 
 
 def packed(raw: bytes) -> bytes:
@@ -105,21 +108,37 @@ def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, body[:size]
 
 
+_KEY = ["id", "url", "digest", "n"]
+_CAPTURE = ["page_id", "url", "html", "digest", "n", "copy", "refers_to", "refers_url"]
+
+
 def plan_captures(pages: DataFrame) -> DataFrame:
-    """``(page_id, digest, n, url, html, refers_to)``: equal payloads after the one with the smallest id refer to it.
+    """``(page_id, url, html, digest, n, copy, refers_to, refers_url)``: one response per payload, that of the smallest id, and revisits without html.
 
-    Digests are grouped with map-side merging. Only the rows that refer to another come back through a join, by page, digest and length with one row
-    on the other side; html moves once, by these. Rows with a null id refer to the smallest id with their payload, if there is one.
+    Equal rows are counted first, with map-side merging. Of rows of the smallest id with one payload, that with the smallest URL is the
+    response, and of equal ones the first; all others are revisits and are made from the narrow counts, so html moves once and only to drop the
+    rows that revisit. Rows with a null id refer to the smallest id with their payload; without one each is a response. Null URLs are empty.
     """
-    own = pages.select(
-        F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
-    ).select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("digest"), F.octet_length("html").alias("n"), "url", "html")
-    digests = stored(own.select("page_id", "digest", "n"), "digests")
-    firsts = digests.groupBy("digest", "n").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).filter("copies > 1 AND refers_to IS NOT NULL")
-    revisits = digests.join(firsts, ["digest", "n"]).filter("page_id IS NULL OR page_id > refers_to").select("page_id", "digest", "n", "refers_to").distinct()
-    revisits = revisits.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("n").alias("_n"), "refers_to")
-    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")) & (F.col("n") == F.col("_n"))
-    return own.join(revisits, same, "left").drop("_page", "_digest", "_n")
+    page, url = F.col("page_id").cast("bigint"), F.coalesce(F.col("url").cast("string"), F.lit(""))
+    own = pages.select(F.coalesce(page.cast("string"), F.lit("")).alias("id"), url.alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    own = own.select("id", "url", F.sha1(F.encode("html", "UTF-8")).alias("digest"), F.octet_length("html").cast("bigint").alias("n"), "html")
+    page_id = F.col("id").try_cast("bigint")
+    rows = stored(own.groupBy(*_KEY).agg(F.count("*").alias("copies")).withColumn("page_id", page_id), "digests")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    owners = rows.groupBy("digest", "n").agg(first.alias("owner"), F.sum("copies").alias("all")).filter("all > 1 AND owner IS NOT NULL")
+    is_owner = F.col("page_id").eqNullSafe(F.col("owner.page_id")) & (F.col("url") == F.col("owner.url"))
+    again = rows.join(owners, ["digest", "n"]).withColumn("mine", is_owner).filter("NOT mine OR copies > 1")
+    again = stored(again.select(*_KEY, "page_id", "copies", "mine", F.col("owner.page_id").alias("refers_to"), F.col("owner.url").alias("refers_url")), "revisits")
+
+    nothing = [F.lit(0).cast("bigint").alias("copy"), F.lit(None).cast("bigint").alias("refers_to"), F.lit(None).cast("string").alias("refers_url")]
+    once = own.join(again.select(*_KEY), _KEY, "left_anti").select(page_id.alias("page_id"), "url", "html", "digest", "n", *nothing)
+    twice = again.filter("mine").select(*_KEY)
+    several = own.join(twice, _KEY).groupBy(*_KEY).agg(F.first("html").alias("html")).select(page_id.alias("page_id"), "url", "html", "digest", "n", *nothing)
+    copy = F.explode(F.sequence(F.when(F.col("mine"), F.lit(1)).otherwise(F.lit(0)).cast("bigint"), F.col("copies") - 1)).alias("copy")
+    revisits = again.select("page_id", "url", F.lit(None).cast("string").alias("html"), "digest", "n", copy, "refers_to", "refers_url").select(*_CAPTURE)
+    # the scan for responses of repeated rows is left out where there are none
+    responses = once if twice.isEmpty() else once.unionAll(several)
+    return responses.unionAll(revisits)
 
 
 ENTRY = "url_key string, ts string, page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, file string, offset bigint, size bigint"
@@ -142,12 +161,15 @@ def write_archives(captures: DataFrame, folder: str, archive_bytes: int = ARCHIV
 
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                for page_id, url, html, refers_to in zip(*[c.to_pylist() for c in batch.slice(at, 200).columns]):
-                    payload = html.encode("utf-8", "surrogatepass")
+                for page_id, url, html, digest, n, copy, refers_to, refers_url in zip(*[c.to_pylist() for c in batch.slice(at, 200).columns]):
+                    payload = (html or "").encode("utf-8", "surrogatepass")
+                    told = payload_digest(payload) if refers_to is None else base64.b32encode(bytes.fromhex(digest)).decode()
                     if out is None:
                         out, count = Published(folder, f"pages-{task:06d}-{serial:04d}.warc.gz"), 0
                     unnamed += page_id is None
-                    out.write(packed(record(page_id, url, payload, payload_digest(payload), refers_to, name=f"{task}-{unnamed}")))
+                    name = f"<urn:unnamed:{task}-{unnamed}>" if page_id is None else record_id(page_id, url, told, copy)
+                    source = None if refers_to is None else record_id(refers_to, refers_url, told, 0)
+                    out.write(packed(record(name, page_id, url, payload, told, n, source)))
                     count += 1
                     if out.size >= archive_bytes:
                         close()
@@ -160,7 +182,7 @@ def write_archives(captures: DataFrame, folder: str, archive_bytes: int = ARCHIV
         )
 
     # the list is stored, so that the archives are written once
-    return stored(mapped(captures.select("page_id", "url", "html", "refers_to"), write, "file string, records bigint, bytes bigint"), "archives")
+    return stored(mapped(captures.select(*_CAPTURE), write, "file string, records bigint, bytes bigint"), "archives")
 
 
 def index_archives(archives: DataFrame) -> DataFrame:
@@ -193,7 +215,7 @@ def index_archives(archives: DataFrame) -> DataFrame:
 
 
 def _page(urn: str) -> int | None:
-    return None if urn.startswith("<urn:unnamed:") else int(urn.rstrip(">").rsplit(":", 1)[1])
+    return None if urn.startswith("<urn:unnamed:") else int(urn.split(":")[2])
 
 
 def _key(entry: tuple) -> tuple:
@@ -344,7 +366,7 @@ def archive_pages(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, unnamed:
     """Write all pages and read the archives back as capture histories.
 
     Null html is an empty payload, null URLs are empty. With ``unnamed``, pages with a null id get a record under a name of their own, otherwise they are
-    left out; rows with equal ids each give a record. Equal payloads refer to the record with the smallest id and their digest. An empty table gives no
+    left out; rows with equal ids, and equal rows, each give a record with a name of its own. Of equal payloads one record, of the smallest id, is the response. An empty table gives no
     archive and no rows.
     """
     folder = shared_files(pages.sparkSession, "warc")

@@ -152,26 +152,28 @@ def test_archives_round_trip(spark):
 
 def test_archives_with_repeated_and_null_ids(spark):
     given = [(1, "a"), (2, "a"), (2, "b"), (3, "c"), (3, "d"), (4, "c"), (4, "d"), (4, "d"), (4, "c"), (None, "e"), (None, "e"), (None, "d")]
+    given += [(5, "f"), (5, "f"), (5, "f"), (6, "f"), (7, "")]
     pages = spark.createDataFrame([(i, "http://a.org/", h) for i, h in given], "page_id bigint, url string, html string")
-    want = [(i, h, None) for i, h in given if (i, h) in {(1, "a"), (2, "b"), (3, "c"), (3, "d"), (None, "e")}]
+    want = [(i, h, None) for i, h in given if (i, h) in {(1, "a"), (2, "b"), (3, "c"), (3, "d"), (None, "e"), (7, "")}] + [(5, "f", None), (5, "f", 5), (5, "f", 5), (6, "f", 5)]
     want += [(2, "a", 1), (4, "c", 3), (4, "c", 3), (4, "d", 3), (4, "d", 3), (None, "d", 3)]
-    names = {warc.payload_digest(h.encode()): h for h in "abcde"}
+    names = {warc.payload_digest(h.encode()): h for h in [*"abcdef", ""]}
     for parts in (1, 3):
         rows = warc.archive_pages(pages.repartition(parts), archive_bytes=300, unnamed=True).collect()
         got = [(r["page_id"], names[r["payload_digest"]], r["refers_to"]) for r in rows]
         assert sorted(got, key=repr) == sorted(want, key=repr)
-        assert all((r["record_type"] == "response") == (r["refers_to"] is None) and r["payload_bytes"] == 1 for r in rows)
+        assert all((r["record_type"] == "response") == (r["refers_to"] is None) and r["payload_bytes"] == (r["page_id"] != 7) for r in rows)
         assert len({(r["file"], r["offset"]) for r in rows}) == len(given)
         order = [(r["ts"], r["page_id"] is None, r["page_id"] or 0) for r in sorted(rows, key=lambda r: (r["range_no"], r["place"]))]
         assert order == sorted(order)
-        read = set()
+        read, responses, referred = set(), set(), set()
         for r in rows:
             system, path = file_system(r["file"])
             with system.open_input_file(path) as f:
                 ((_, _, headers, _),) = warc.records_of(iter([f.read_at(r["size"], r["offset"])]))
-            if r["page_id"] is None:
-                read.add(headers["WARC-Record-ID"])
-        assert len(read) == 3
+            read.add(headers["WARC-Record-ID"])
+            responses |= {headers["WARC-Record-ID"]} if r["record_type"] == "response" else set()
+            referred |= {headers["WARC-Refers-To"]} if r["refers_to"] is not None else set()
+        assert len(read) == len(given) and referred <= responses
 
 
 def test_histories_are_in_order_with_many_runs(spark):
