@@ -240,7 +240,11 @@ def score(docs: DataFrame, model: Model, o: Options = Options()) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> DataFrame:
-    """The rows of ``docs``, all columns, with a score of 0.7 or more; narrow but for the training."""
+    """The rows of ``docs``, all columns, with a score of 0.7 or more; narrow but for the training.
+
+    Null texts are scored as empty and stay null, long ones are scored whole. Each row is judged by its text, whatever its id is, so that repeated rows stay or
+    go together. An empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, o).weights())
     at = docs.columns.index("text")
 
@@ -256,7 +260,8 @@ def good_documents(docs: DataFrame, labels: DataFrame, o: Options = Options()) -
 def classify(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> DataFrame:
     """``(doc_id, held_out, score, predicted)``: train on labelled rows that are not held out, score every row.
 
-    ``held_out`` is null for a null id. With no usable labels all scores are 0.5.
+    ``held_out`` is null for a null id. With no usable labels all scores are 0.5. Null texts are empty, long ones are read whole; equal texts have equal
+    scores, and every row gives one, also where ids are repeated. An empty table gives no rows. Columns other than id and text play no part.
     """
     scored = score(docs, train(docs, labels, o), o)
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2

@@ -208,7 +208,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slo
 
     ``n_hit`` counts words inside any occurrence of a window, ``items`` are the sorted ids of items with such windows.
     Null texts have no words; a null item id counts as an empty one; items with equal ids are taken together; an empty
-    benchmark finds nothing. The index is written to the shared folder once and read by the search.
+    benchmark finds nothing. Rows with equal or null ids are documents of their own, each with a row; texts of any length are indexed whole, in segments of
+    documents; an empty table gives no rows; other columns, whatever their names, play no part. The index is written to the shared folder once and read by the search.
     """
     found = search(stored(build_index(docs), "index"), benchmark, size=size, slop=slop)
     zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("to"))

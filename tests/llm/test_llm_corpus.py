@@ -417,3 +417,22 @@ def test_pipeline_stages_against_plain_versions(spark):
     assert set(made["piece_ids"]) == clean and all(r["lossless"] for r in made["piece_ids"].values())
     back = {r["doc_id"]: r["text"] for r in p.pieces.decode(before.select("doc_id", "ids")).collect()}
     assert back == {i: made["decontamination"][i]["text"] for i in clean}
+
+
+def test_pipeline_stages_with_odd_rows(spark):
+    import corpus_pipeline as p
+
+    line = "A line of more than forty characters that two documents share."
+    texts = [line, f"{line}\n\n \t\n", "\n \n", None, "other words of a text", "other words of a text", f"{line}\nand one of its own"]
+    ids = [1, 2, 3, 4, 5, 5, None]
+    stages = dict(p.STAGES)
+    left = stages["line_dedup"](spark, docs_of(spark, texts, ids), SF)
+    assert left.columns == ["doc_id", "text", "row", "component", "node"]
+    want = [(1, line), (3, "\n \n"), (4, ""), (5, texts[4]), (5, texts[4]), (None, "and one of its own")]
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted(want, key=repr)
+    one = stages["near_dedup"](spark, docs_of(spark, texts, ids), SF).collect()
+    assert sum(r["text"] == texts[4] for r in one) == 1 and len(one) == 5  # 2 has the words of 1
+    assert stages["decontamination"](spark, docs_of(spark, texts, ids), SF).count() == len(texts)
+    assert stages["piece_ids"](spark, docs_of(spark, texts, ids), SF).filter("lossless").count() == len(texts)
+    for stage in stages.values():
+        assert stage(spark, docs_of(spark, []), SF).count() == 0

@@ -146,6 +146,15 @@ def test_contamination_equals_brute_force(spark):
     assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in rows} == want
 
 
+def test_contamination_with_repeated_and_null_ids(spark):
+    words = " ".join(f"w{k}" for k in range(10))
+    texts, ids = [words, "clean text", f"x {words}", None, words], [3, 3, 3, None, None]
+    bench = spark.createDataFrame([(1, words, "x"), (1, words, "y")], "item_id bigint, text string, n_hit string")
+    rows = decontaminate.contamination(docs_of(spark, texts, ids), bench).collect()
+    got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["contaminated"]) for r in rows), key=repr)
+    assert got == sorted([(3, 10, 10, True), (3, 2, 0, False), (3, 11, 10, True), (None, 0, 0, False), (None, 10, 10, True)], key=repr)
+
+
 def test_contamination_of_given_documents(spark):
     items = [(r["item_id"], r["text"]) for r in given(spark, "benchmark").collect()]
     rows = {r["doc_id"]: r for r in queries.op2_decontamination(spark, SF).collect()}
@@ -216,6 +225,18 @@ def test_all_of_a_long_word_counts():
     assert high > 0.7 > 0.3 > low
 
 
+def test_classifier_with_repeated_and_null_ids(spark):
+    o = classify.Options(buckets=1 << 10, dimensions=4)
+    texts, ids = ["good words here", "bad thing", "good words here", None, "good " * 30_000, "good words here"], [1, 2, 1, 4, None, None]
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 0, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
+    rows = classify.classify(docs_of(spark, texts, ids), labels, o).collect()
+    assert sorted((r["doc_id"] for r in rows), key=repr) == sorted(ids, key=repr) and all(0 <= r["score"] <= 1 for r in rows)
+    assert len({r["score"] for r in rows if r["doc_id"] == 1}) == 1 and {r["held_out"] for r in rows if r["doc_id"] is None} == {None}
+    assert classify.classify(docs_of(spark, []), labels, o).count() == 0
+    kept = classify.good_documents(docs_of(spark, texts, ids), labels, o)
+    assert kept.columns == ["doc_id", "text", "lang", "keep_id", "spans"] and kept.count() <= len(texts)
+
+
 def test_classifier_without_labels(spark):
     none = spark.createDataFrame([(1, None, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
     assert {r["score"] for r in classify.classify(docs_of(spark, ["a", None]), none).collect()} == {0.5}
