@@ -2,9 +2,10 @@
 
 A text is the set of its word shingles. Equal sets are one node. A node has a signature of 64 minimum hashes, and the
 forest sorts all nodes in 16 orders, each by eight consecutive values from another place of the signature. Close in an order means a
-long common prefix: candidates of a node are its neighbours within a window with a common prefix of three values
-at least. Where many nodes share a prefix, the window holds those with the longest one, so that depth adapts to
-the region. Orders are dealt by ranges, so that no group, however large, meets in one task.
+long common prefix: candidates of a node are all nodes with the same prefix, its run. The depth of a run adapts to its
+region: three values where at most ``RUN`` nodes share them, else as many more as it takes. Nodes of such crowded
+regions are sorted in 48 more orders, by values picked at random, to make up for the greater depth. A run that is crowded at
+the full depth is dealt in parts, each with the first node of the run. Runs never cross the border of a range.
 
 Candidates whose whole signatures are alike make regions, the components of that graph. A region is a superset of
 classes: inside it, full sets decide, and every pair that could still join two classes is tested.
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +25,10 @@ from loomsift.llm.hashing import mixed, range_numbers, word_ranges
 
 SHINGLE = 5
 VALUES, TREES, DEPTH, LEAST_DEPTH = 64, 16, 8, 3
-#: Neighbours looked at on each side of a node in each order.
-WINDOW = 8
-#: Equal values of 64 that make two nodes candidates: at a similarity of 0.75 this is 4 standard deviations down.
-ALIKE = 34
+#: Nodes of a run up to which no deeper prefix is asked for.
+RUN = 2048
+#: Equal values of 64 that make two nodes candidates: at a similarity of 0.75 this is 4.6 standard deviations down.
+ALIKE = 32
 #: Regions up to this size are solved in one task, larger ones by rounds over all tasks.
 REGION_NODES, REGION_SHINGLES = 10_000, 3_000_000
 
@@ -35,6 +37,8 @@ _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _RNG = np.random.default_rng(29)
 _FACTOR = _RNG.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(0, 1 << 63, VALUES, dtype=np.uint64)
+#: Places of the signature by which the further orders of crowded regions sort.
+_PICKS = np.stack([_RNG.permutation(VALUES)[:DEPTH] for _ in range(48)])
 
 
 def shingle_sets(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
@@ -125,31 +129,132 @@ class Sets:
         return True
 
 
+def _alike(sketch: np.ndarray) -> np.ndarray:
+    """First member of the class of each row when all alike rows are linked.
+
+    One row at a time is compared with all others, until every row outside the largest class has been.
+    """
+    labels, led = np.arange(len(sketch)), np.zeros(len(sketch), bool)
+    while True:
+        sizes = np.bincount(labels)
+        top = sizes.argmax()
+        rest = np.flatnonzero(~led & ((labels != top) | (sizes[top] == 1)))
+        if not len(rest):
+            return labels
+        led[rest[0]] = True
+        near = np.unique(labels[(sketch == sketch[rest[0]]).sum(axis=1) >= ALIKE])
+        if len(near) > 1:
+            labels[np.isin(labels, near)] = near[0]
+
+
+def _run_links(rows: pa.Table) -> pa.RecordBatch:
+    """Candidates inside whole runs of sorted rows ``(tree, key, part, node, sketch)``."""
+    n = rows.num_rows
+    node = np.array(rows.column(3), np.int64)
+    sketch = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint8).reshape(n, VALUES)
+    firsts = np.flatnonzero(_run_starts(rows))
+    sizes = np.diff(np.append(firsts, n))
+    pairs = firsts[sizes == 2]
+    pairs = pairs[(sketch[pairs] == sketch[pairs + 1]).sum(axis=1) >= ALIKE]
+    u, v = [node[pairs + 1]], [node[pairs]]
+    for first, size in zip(firsts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+        labels = _alike(sketch[first : first + size])
+        k = np.flatnonzero(labels != np.arange(size))
+        u.append(node[first + k])
+        v.append(node[first + labels[k]])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v)], names=["u", "v"])
+
+
+def _run_starts(rows: pa.Table) -> np.ndarray:
+    starts = np.ones(rows.num_rows, bool)
+    if len(starts) > 1:
+        starts[1:] = False
+        for column in rows.columns[:3]:
+            starts[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy()
+    return starts
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates among sorted rows ``(tree, prefix, node, sketch)``; the last rows of a batch are met again with the next."""
-    tail: tuple | None = None
+    """Candidates among rows ``(tree, key, part, node, sketch)`` sorted by the first three; the last run waits for the next rows."""
+    held, count = [], 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 20_000):
-            part = batch.slice(at, 20_000)
-            n = part.num_rows
-            tree = np.array(part.column(0), np.int32)
-            prefix = np.frombuffer(b"".join(part.column(1).to_pylist()), ">u2").reshape(n, DEPTH)
-            node = np.array(part.column(2), np.int64)
-            sketch = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(n, VALUES)
-            if tail is not None:
-                tree, prefix, node, sketch = (np.concatenate(x) for x in zip(tail, (tree, prefix, node, sketch)))
-            n = len(tree)
-            sets, links = Sets(n), []
-            for w in range(1, min(WINDOW, n - 1) + 1):
-                same = (tree[w:] == tree[:-w]) & (prefix[w:, :LEAST_DEPTH] == prefix[:-w, :LEAST_DEPTH]).all(axis=1)
-                k = np.flatnonzero(same)
-                k = k[(sketch[k] == sketch[k + w]).sum(axis=1) >= ALIKE]
-                links += [(a, a + w) for a in k.tolist() if sets.join(a, a + w)]
-            if links:
-                a, b = np.array([(x, sets.root(x)) for pair in links for x in pair]).T
-                far = a != b
-                yield pa.RecordBatch.from_arrays([pa.array(node[a[far]]), pa.array(node[b[far]])], names=["u", "v"])
-            tail = tuple(x[-WINDOW:] for x in (tree, prefix, node, sketch))
+        held.append(batch)
+        count += batch.num_rows
+        if count >= 4 * RUN:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            last = int(np.flatnonzero(_run_starts(rows))[-1])
+            if last:
+                yield _run_links(rows.slice(0, last))
+            held, count = rows.slice(last).to_batches(), 0
+    if held and (rows := pa.Table.from_batches(held).combine_chunks()).num_rows:
+        yield _run_links(rows)
+
+
+def _more_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(tree, prefix, node, sketch)`` of the further orders, from ``(node, orders, sketch)``."""
+    for batch in batches:
+        n, times = batch.num_rows, len(_PICKS)
+        values = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(n, VALUES)
+        prefix = np.ascontiguousarray(values[:, _PICKS]).reshape(n * times, DEPTH)
+        again = pa.array(np.repeat(np.arange(n), times))
+        columns = [
+            pa.array(np.tile(np.arange(TREES, TREES + times, dtype=np.int32), n)), pa.array([p.tobytes() for p in prefix], pa.binary()),
+            batch.column(0).take(again), batch.column(2).take(again),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["tree", "prefix", "node", "sketch"])
+
+
+def _runs(trees: DataFrame, run: int) -> tuple[DataFrame, DataFrame | None]:
+    """``(tree, key, part, node, sketch)`` of rows ``(tree, prefix, node, sketch)``, and the nodes of crowded regions if there are any.
+
+    ``key`` is the shortest prefix that at most ``run`` nodes share. Counts meet after map-side merging; only crowded prefixes are kept.
+    """
+    rows, left = trees.withColumn("depth", F.lit(LEAST_DEPTH)), trees
+    crowded = nodes = None
+    for depth in range(LEAST_DEPTH, DEPTH + 1):
+        key = F.substring("prefix", 1, 2 * depth).alias("key")
+        first = [F.min(F.struct("node", "sketch")).alias("first")] if depth == DEPTH else []
+        counts = left.groupBy("tree", key).agg(F.count("*").alias("n"), *first)
+        crowded = stored(counts.filter(F.col("n") > run), "crowded")
+        if crowded.isEmpty():
+            crowded = None
+            break
+        here = crowded.select("tree", "key")
+        left = left.withColumn("key", key).join(here, ["tree", "key"], "left_semi").drop("key")
+        if nodes is None:
+            nodes = left.select("node").distinct()
+        if depth < DEPTH:
+            marked = here.withColumn("more", F.lit(True))
+            rows = rows.withColumn("key", key).join(marked, ["tree", "key"], "left")
+            rows = rows.withColumn("depth", F.when(F.col("more"), F.lit(depth + 1)).otherwise(F.col("depth"))).drop("key", "more")
+    out = rows.select("tree", F.expr("substring(prefix, 1, 2 * depth)").alias("key"), "node", "sketch")
+    if crowded is None:
+        return out.select("tree", "key", F.lit(0).alias("part"), "node", "sketch"), nodes
+    parts = crowded.select("tree", "key", F.ceil(F.col("n") / run).cast("int").alias("parts"), "first")
+    out = out.join(parts.drop("first"), ["tree", "key"], "left")
+    out = out.select("tree", "key", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.lit(0)).alias("part"), "node", "sketch")
+    firsts = parts.select("tree", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "first.node", "first.sketch")
+    return out.unionAll(firsts), nodes
+
+
+def _candidates(mine: DataFrame, run: int) -> DataFrame:
+    """Links of alike nodes ``(node, orders, sketch)``."""
+    parts = max(1, int(mine.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def linked(runs: DataFrame) -> DataFrame:
+        dealt = runs.repartitionByRange(parts, "tree", "key", "part").sortWithinPartitions("tree", "key", "part")
+        return mapped(dealt, _neighbours, LINKS)
+
+    doubled = F.concat("orders", F.substring("orders", 1, 2 * DEPTH))
+    trees = mine.select("node", "sketch", doubled.alias("values"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    step = 2 * VALUES // TREES
+    trees = trees.select("tree", F.substring("values", F.col("tree") * step + 1, F.lit(2 * DEPTH)).alias("prefix"), "node", "sketch")
+    runs, crowded = _runs(trees, run)
+    links = linked(runs)
+    if crowded is None:
+        return links
+    more = mapped(mine.join(crowded, "node", "left_semi").select("node", "orders", "sketch"), _more_orders, "tree int, prefix binary, node bigint, sketch binary")
+    return stored(links, "candidates").unionAll(linked(_runs(stored(more, "orders"), run)[0]))
 
 
 def similar(overlap: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
@@ -265,20 +370,14 @@ def _large_links(rows: DataFrame, sizes: DataFrame, leaders_at_once: int = 16, s
     return links if links is not None else sets.sparkSession.createDataFrame([], LINKS)
 
 
-def row_groups(rows: DataFrame, region_nodes: int = REGION_NODES, region_shingles: int = REGION_SHINGLES) -> DataFrame:
+def row_groups(rows: DataFrame, region_nodes: int = REGION_NODES, region_shingles: int = REGION_SHINGLES, run: int = RUN) -> DataFrame:
     """``(row, doc_id, n_shingles, component)`` of rows ``(row, doc_id, text)``, ``component`` being the first row reachable."""
     nodes = stored(mapped(rows.select("row", "doc_id", "text"), _nodes, NODES), "nodes")
     full = nodes.filter("n_shingles > 0")
     firsts = full.groupBy("set_key").agg(F.min("node").alias("first"))
     own = full.join(firsts, "set_key")
     mine = stored(own.filter("node = first").select("node", "n_shingles", "orders", "sketch"), "signatures")
-    doubled = F.concat("orders", F.substring("orders", 1, 2 * DEPTH))
-    trees = mine.select("node", "sketch", doubled.alias("values"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    step = 2 * VALUES // TREES
-    trees = trees.select("tree", F.substring("values", F.col("tree") * step + 1, F.lit(2 * DEPTH)).alias("prefix"), "node", "sketch")
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = trees.repartitionByRange(parts, "tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
-    regions = components(mapped(dealt, _neighbours, LINKS)).withColumnRenamed("component", "region")
+    regions = components(_candidates(mine, run)).withColumnRenamed("component", "region")
     sized = stored(regions.join(mine.select("node", "n_shingles"), "node"), "regions")
     sizes = stored(sized.groupBy("region").agg(F.count("*").alias("nodes"), F.sum("n_shingles").alias("shingles")), "sizes")
     small = (F.col("nodes") <= region_nodes) & (F.col("shingles") <= region_shingles)
@@ -297,7 +396,7 @@ def row_groups(rows: DataFrame, region_nodes: int = REGION_NODES, region_shingle
     return each.select(F.col("m.members").alias("row"), F.col("m.ids").alias("doc_id"), "n_shingles", F.coalesce("component", F.col("m.members")).alias("component"))
 
 
-def near_groups(docs: DataFrame, region_nodes: int = REGION_NODES, region_shingles: int = REGION_SHINGLES) -> DataFrame:
+def near_groups(docs: DataFrame, region_nodes: int = REGION_NODES, region_shingles: int = REGION_SHINGLES, run: int = RUN) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``: a row per row of ``docs``.
 
     Texts whose shingle sets have an intersection of three quarters of their union or more are linked; ``component_id`` is
@@ -306,7 +405,7 @@ def near_groups(docs: DataFrame, region_nodes: int = REGION_NODES, region_shingl
     last; of a group that starts with an id which is there twice, the first row is kept. An empty table gives no rows.
     """
     rows, numbered = with_rows(docs)
-    each = row_groups(rows, region_nodes, region_shingles)
+    each = row_groups(rows, region_nodes, region_shingles, run)
     kept = (F.col("row") == F.col("component")).alias("kept")
     if not numbered:
         return each.select("doc_id", "n_shingles", F.col("component").alias("component_id"), kept)

@@ -82,6 +82,60 @@ def test_near_groups_equal_brute_force(spark, limit):
     assert got == {k: (len(sets[k]), root[k], root[k] == k) for k in range(len(texts))}
 
 
+def template_texts(rng, families, size):
+    """Texts of a common template; each family has words of its own, so that links are inside families only."""
+    vocabulary = [f"w{k}" for k in range(900)]
+    template = [rng.choice(vocabulary) for _ in range(60)]
+    texts = []
+    for _ in range(families):
+        base = template + [rng.choice(vocabulary) for _ in range(60)]
+        for _ in range(size):
+            own = list(base)
+            for _ in range(rng.randrange(3)):
+                own[rng.randrange(60, 120)] = rng.choice(vocabulary)
+            texts.append(" ".join(own))
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("run", [2, 5, forest.RUN])
+def test_crowded_prefixes_equal_brute_force(spark, run):
+    texts = template_texts(random.Random(14), 25, 4) + [f"a b c d e f g h i j k l m n o p q r s t u v w x y z {k}" for k in range(30)]
+    sets, root = plain_classes(texts)
+    rows = forest.near_groups(docs_of(spark, texts).repartition(3), run=run).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == dict(enumerate(root))
+    assert {r["doc_id"]: r["n_shingles"] for r in rows} == {k: len(s) for k, s in enumerate(sets)}
+
+
+def test_alike_rows_equal_brute_force():
+    rng = np.random.default_rng(4)
+    for n in [*range(1, 12), 60]:
+        base = rng.integers(0, 256, (4, forest.VALUES), dtype=np.uint8)
+        rows = base[rng.integers(0, 4, n)]
+        rows = np.where(rng.random(rows.shape) < 0.3, rng.integers(0, 256, rows.shape, dtype=np.uint8), rows)
+        linked = [(a, b) for a in range(n) for b in range(a) if (rows[a] == rows[b]).sum() >= forest.ALIKE]
+        assert forest._alike(rows).tolist() == reachable(n, linked)
+
+
+def test_runs_are_held_over_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    keys = np.sort(rng.integers(0, 3, 9 * forest.RUN))
+    sketch = np.repeat(rng.integers(0, 256, (len(keys), 1), dtype=np.uint8) % 5, forest.VALUES, axis=1)
+    names = ["tree", "key", "part", "node", "sketch"]
+    columns = [
+        pa.array(np.zeros(len(keys), np.int32)), pa.array([b"%d" % k for k in keys]), pa.array(np.zeros(len(keys), np.int32)),
+        pa.array(np.arange(len(keys))), pa.array([s.tobytes() for s in sketch]),
+    ]
+    rows = pa.RecordBatch.from_arrays(columns, names=names)
+    cuts = [rows.slice(k, 700) for k in range(0, len(keys), 700)] + [rows.slice(0, 0)]
+    links = [(a, b) for out in forest._neighbours(iter(cuts)) for a, b in zip(*[c.to_pylist() for c in out.columns])]
+    root = reachable(len(keys), links)
+    assert len({(k, s[0], r) for k, s, r in zip(keys, sketch, root)}) == len({(k, s[0]) for k, s in zip(keys, sketch)}) == len(set(root))
+    assert list(forest._neighbours(iter([]))) == []
+
+
 def test_near_groups_of_given_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
