@@ -14,6 +14,8 @@ from loomsift.llm.common import id_text, mapped, pieces_of, stored
 
 #: Bytes of edge labels that a trie holds before it spills a subtree.
 HELD_BYTES = 96 << 20
+#: Rows of one length and hash, from as many parts of the input, beyond which they are combined in several tasks first.
+COPIES = 256
 
 
 class Node:
@@ -137,7 +139,7 @@ _ARROW = pa.schema(
         ("text", pa.binary()), ("members", pa.list_(pa.int64())), ("best", pa.int64()), ("n", pa.int64()),
     ]
 )
-OWNERS = "local string, keep_id bigint, group_size bigint, winner boolean"
+OWNERS = "local string, keep_id bigint, group_size bigint, leader string"
 
 
 def lowered(text: str) -> bytes:
@@ -149,7 +151,7 @@ def _best(choose: Callable, ids: list) -> int | None:
     return choose((i for i in ids if i is not None), default=None)
 
 
-def exact_owners(docs: DataFrame, keep: str = "smallest", budget: int = HELD_BYTES) -> DataFrame:
+def exact_owners(docs: DataFrame, keep: str = "smallest", budget: int = HELD_BYTES, copies: int = COPIES) -> DataFrame:
     """``(doc_id, keep_id, group_size, kept, text_sha256)``: a row per row of ``docs``.
 
     Texts are equal when their bytes are, after A-Z became a-z. Of equal texts the row with the smallest (or ``largest``) id stays;
@@ -158,7 +160,9 @@ def exact_owners(docs: DataFrame, keep: str = "smallest", budget: int = HELD_BYT
 
     Two levels of tries: every task first puts its own rows, a few megabytes at a time, into one, so that a text with any number of copies goes on
     as one row per part of the input. These rows are dealt by length and content hash, and the tries of
-    the partitions compare full strings. Ids of members do not move; they are joined by the number of their part's group.
+    the partitions compare full strings. Where more than ``copies`` of them have one length and hash, tries of about the root of their
+    number each combine as many first, so that a text in every part of the input does not meet in one task. Ids of members do not move;
+    they are joined by the number of their part's group.
     """
     choose = {"smallest": min, "largest": max}[keep]
 
@@ -191,9 +195,9 @@ def exact_owners(docs: DataFrame, keep: str = "smallest", budget: int = HELD_BYT
         held: list[tuple] = []
         for rows in trie.groups():
             stays = _best(choose, [best[r] for r in rows])
-            winner = min((r for r in rows if best[r] == stays), key=lambda r: names[r])
+            leader = min(names[r] for r in rows if best[r] == stays)
             total = sum(sizes[r] for r in rows)
-            held += [(names[r], stays, total, r == winner) for r in rows]
+            held += [(names[r], stays, total, leader) for r in rows]
             if len(held) >= 10_000:
                 yield _owner_rows(held)
                 held = []
@@ -201,8 +205,25 @@ def exact_owners(docs: DataFrame, keep: str = "smallest", budget: int = HELD_BYT
             yield _owner_rows(held)
 
     shards = stored(mapped(id_text(docs), local_groups, SHARDS), "exact")
-    dealt = shards.select("local", "text", "best", "n", "n_bytes", "head").repartition("n_bytes", "head").select("local", "text", "best", "n")
-    found = mapped(dealt, owners, OWNERS)
+    slim = shards.select("local", "text", "best", "n", "n_bytes", "head")
+    crowds = shards.groupBy("n_bytes", "head").agg(F.count("*").alias("copies")).filter(F.col("copies") > copies)
+    crowds = stored(crowds.withColumn("parts", F.ceil(F.sqrt("copies")).cast("int")), "crowds")
+
+    def merged(rows: DataFrame, *keys: str) -> DataFrame:
+        return mapped(rows.repartition("n_bytes", "head", *keys).select("local", "text", "best", "n"), owners, OWNERS)
+
+    if crowds.isEmpty():
+        found = merged(slim)
+    else:
+        common = slim.join(crowds, ["n_bytes", "head"]).withColumn("part", F.pmod(F.xxhash64("local"), F.col("parts")))
+        first = stored(merged(common, "part"), "combined")
+        leaders = first.filter("local = leader").select("local", F.col("keep_id").alias("best"), F.col("group_size").alias("n"))
+        leaders = slim.drop("best", "n").join(leaders, "local").select(*slim.columns)
+        last = stored(merged(slim.join(crowds, ["n_bytes", "head"], "left_anti").select(*slim.columns).unionAll(leaders)), "owners")
+        above = last.select(F.col("local").alias("above"), "keep_id", "group_size", "leader")
+        below = first.select("local", F.col("leader").alias("above")).join(above, "above")
+        found = last.join(first.select("local"), "local", "left_anti").unionAll(below.select("local", "keep_id", "group_size", "leader"))
+    found = found.withColumn("winner", F.col("local") == F.col("leader")).drop("leader")
     joined = shards.select("local", "text_sha256", "members").join(found, "local")
     rows = joined.select("keep_id", "group_size", "text_sha256", "winner", "members", F.posexplode("members").alias("at", "doc_id"))
     first = F.coalesce(F.array_position("members", F.col("keep_id")) - 1, F.lit(0))
@@ -211,5 +232,5 @@ def exact_owners(docs: DataFrame, keep: str = "smallest", budget: int = HELD_BYT
 
 
 def _owner_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["local", "keep_id", "group_size", "winner"])
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["local", "keep_id", "group_size", "leader"])

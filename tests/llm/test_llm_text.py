@@ -277,6 +277,23 @@ def test_exact_owners(spark):
     assert exact.exact_owners(docs_of(spark, [])).count() == 0
 
 
+def test_exact_owners_of_a_text_in_every_part(spark):
+    rng = random.Random(12)
+    texts = [rng.choice(["hot", "HOT", "warm", f"own {k}"]) for k in range(80)] + [None, "", "nulls", "nulls", "nulls"]
+    ids = [*range(82), None, None, None]
+    for keep, choose in (("largest", max), ("smallest", min)):
+        rows = exact.exact_owners(docs_of(spark, texts, ids).repartition(17), keep, copies=3).collect()
+        groups = {}
+        for i, t in zip(ids, texts):
+            groups.setdefault((t or "").lower(), []).append(i)
+        want = {hashlib.sha256(t.encode()).hexdigest(): g for t, g in groups.items()}
+        assert len(rows) == len(texts) and sum(r["kept"] for r in rows) == len(groups)
+        for r in rows:
+            g = want[r["text_sha256"]]
+            stays = choose((i for i in g if i is not None), default=None)
+            assert (r["keep_id"], r["group_size"]) == (stays, len(g)) and (stays is None or r["kept"] == (r["doc_id"] == stays))
+
+
 # 6 ----------------------------------------------------------------------------------------------------------------------
 
 
