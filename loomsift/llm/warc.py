@@ -270,20 +270,23 @@ class LoserTree:
             self._play(k)
 
 
+#: Entries that are sorted into one run, and that a range is made for.
+RUN_ROWS, RANGE_ROWS = 20_000, 100_000
 SLICES = "bucket int, task int, run bigint, entries binary"
 
 
-def capture_histories(archives: DataFrame, ranges: int | None = None, fan_in: int = 256) -> DataFrame:
+def capture_histories(archives: DataFrame, ranges: int | None = None, fan_in: int = 256, run_rows: int = RUN_ROWS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Captures of all archives in the order of URL key, time and page, nulls last: ``(range_no, place, …)``, ``place`` counting inside a range.
 
-    Each index task sorts what it read, a run, and cuts it at the bounds of the ranges, which come from a sample
-    of bounded size. Slices of a range are merged ``fan_in`` at a time. The bounds have URL key, time, page, file and offset, so
+    Each index task sorts what it read, ``run_rows`` at a time, into runs and cuts these at the bounds of the ranges, which come from a sample
+    of some rows per range. There are as many ranges as it takes for about ``range_rows`` captures each, so that a merge holds no more at any size of the
+    table. Slices of a range are merged ``fan_in`` at a time. The bounds have URL key, time, page, file and offset, so
     that also a single URL or page with very many captures is spread.
     """
     spark = archives.sparkSession
     entries = stored(index_archives(archives), "entries")
-    ranges = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     total = max(1, entries.count())
+    ranges = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_rows))
     chosen = F.pmod(F.xxhash64("page_id", "offset"), F.lit(max(1, total // (40 * ranges)))) == 0
     sample = sorted(_key(r) for r in entries.filter(chosen).select(*_FIELDS).limit(80 * ranges).collect())
     bounds = [sample[len(sample) * k // ranges] for k in range(1, ranges)] if len(sample) >= ranges else sample
@@ -294,7 +297,7 @@ def capture_histories(archives: DataFrame, ranges: int | None = None, fan_in: in
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        for run, batch in enumerate(batches):
+        for run, batch in enumerate(_gathered(batches, run_rows)):
             keys = [_key(e) for e in zip(*[c.to_pylist() for c in batch.columns])]
             order = sorted(range(len(keys)), key=keys.__getitem__)
             buckets = [bisect.bisect_right(bounds, keys[k]) for k in order]
@@ -304,7 +307,8 @@ def capture_histories(archives: DataFrame, ranges: int | None = None, fan_in: in
                 part = batch.take(pa.array(order[at:stop]))
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, part.schema) as out:
-                    out.write_batch(part)
+                    for first in range(0, part.num_rows, 200):  # a merge decodes a block of each slice at a time
+                        out.write_batch(part.slice(first, 200))
                 rows.append((buckets[at], task, run, sink.getvalue().to_pybytes()))
                 at = stop
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
@@ -327,6 +331,18 @@ def capture_histories(archives: DataFrame, ranges: int | None = None, fan_in: in
     return mapped(dealt, merge, f"range_no int, place bigint, {ENTRY}")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    held, count = [], 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= rows:
+            yield pa.concat_batches(held)
+            held, count = [], 0
+    if count:
+        yield pa.concat_batches(held)
+
+
 def _rows(raw: bytes) -> Iterator[tuple]:
     for batch in pa.ipc.open_stream(raw):
         yield from zip(*[c.to_pylist() for c in batch.columns])
