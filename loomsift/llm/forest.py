@@ -109,26 +109,6 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-class Sets:
-    """Disjoint sets of small numbers; the smallest is the root."""
-
-    def __init__(self, count: int):
-        self.up = list(range(count))
-
-    def root(self, k: int) -> int:
-        while self.up[k] != k:
-            self.up[k] = self.up[self.up[k]]
-            k = self.up[k]
-        return k
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
-
 def _alike(sketch: np.ndarray) -> np.ndarray:
     """First member of the class of each row when all alike rows are linked.
 
@@ -263,28 +243,41 @@ def similar(overlap: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
 
 
 def classes(sets: list[np.ndarray]) -> list[int]:
-    """Root of each set when all similar pairs are linked.
+    """First member of the class of each set when all similar pairs are linked.
 
-    One set at a time is compared with all others. That is done for every set outside the largest class, so that no two
-    classes have an untested pair, while the many members of one class need no comparison with each other.
+    One set at a time is compared with others. That is done for every set outside the largest class, so that no two
+    classes have an untested pair, while the many members of one class need no comparison with each other. A similar set has one
+    at least of any quarter of the shingles and one more, so that only sets with one of the rarest of these are looked at.
     """
     flat, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     sizes = np.array([len(s) for s in sets])
-    firsts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    links, roots, led = Sets(len(sets)), np.arange(len(sets)), np.zeros(len(sets), bool)
+    ends = np.cumsum(sizes)
+    uses = np.bincount(inverse, minlength=len(flat))
+    lists = np.repeat(np.arange(len(sets)), sizes)[np.argsort(inverse, kind="stable")]
+    list_ends = np.cumsum(uses)
+    labels, led, mark = np.arange(len(sets)), np.zeros(len(sets), bool), np.zeros(len(flat), np.int64)
     while True:
-        counts = np.bincount(roots, minlength=len(sets))
-        rest = np.flatnonzero(~led & (roots != counts.argmax()))
-        if not len(rest) and (counts.max() > 1 or led.all() or len(sets) == 1):
-            return roots.tolist()
-        leader = int(rest[0]) if len(rest) else int(np.flatnonzero(~led)[0])
+        counts = np.bincount(labels)
+        top = counts.argmax()
+        rest = np.flatnonzero(~led & ((labels != top) | (counts[top] == 1)))
+        if not len(rest):
+            return labels.tolist()
+        leader = int(rest[0])
         led[leader] = True
-        mark = np.zeros(len(flat), np.int64)
-        mark[inverse[firsts[leader] : firsts[leader] + sizes[leader]]] = 1
-        overlap = np.add.reduceat(mark[inverse], firsts)
-        for other in np.flatnonzero(similar(overlap, int(sizes[leader]), sizes)).tolist():
-            links.join(leader, other)
-        roots = np.array([links.root(k) for k in range(len(sets))])
+        size = int(sizes[leader])
+        own = inverse[ends[leader] - size : ends[leader]]
+        rare = own[np.argsort(uses[own], kind="stable")[: size // 4 + 1]]
+        others = np.unique(np.concatenate([lists[e - n : e] for e, n in zip(list_ends[rare].tolist(), uses[rare].tolist())]))
+        others = others[similar(np.minimum(sizes[others], size), size, sizes[others])]
+        mark[own] = 1
+        widths = sizes[others]
+        firsts = np.cumsum(widths) - widths
+        places = np.arange(widths.sum()) + np.repeat(ends[others] - widths - firsts, widths)
+        overlap = np.add.reduceat(mark[inverse[places]], firsts)
+        mark[own] = 0
+        near = np.unique(labels[others[similar(overlap, size, widths)]])
+        if len(near) > 1:
+            labels[np.isin(labels, near)] = near[0]
 
 
 def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

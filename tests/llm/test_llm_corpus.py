@@ -161,6 +161,17 @@ def test_classes_of_sets():
         assert forest.classes(sets) == reachable(len(sets), linked)
 
 
+def test_classes_of_a_template_take_no_pairwise_time():
+    import time
+
+    rng = np.random.default_rng(3)
+    template = rng.integers(0, 1 << 60, 150, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((template, rng.integers(0, 1 << 60, 100, dtype=np.uint64)))) for _ in range(3000)]
+    begin = time.process_time()
+    assert forest.classes([*sets, sets[7], sets[9][:240]]) == [*range(3000), 7, 9]
+    assert time.process_time() - begin < 5
+
+
 def test_components(spark):
     rng = random.Random(6)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 140)] + [(5, 5)]
@@ -233,10 +244,11 @@ def test_archives_with_repeated_and_null_ids(spark):
 def test_histories_are_in_order_with_many_runs(spark):
     pages = spark.createDataFrame([(k, f"http://h{k % 3}.org/same", f"{k % 50}") for k in range(400)], "page_id bigint, url string, html string")
     archives = warc.write_archives(warc.plan_captures(pages), shared_files(spark, "warc"), archive_bytes=2000)
-    rows = warc.capture_histories(archives, ranges=5, fan_in=2).collect()
-    order = [(r["url_key"], r["ts"], r["page_id"]) for r in sorted(rows, key=lambda r: (r["range_no"], r["place"]))]
-    assert len(order) == 400 and order == sorted(order) and len({r["range_no"] for r in rows}) > 1
-    assert sum(r["record_type"] == "revisit" for r in rows) == 350
+    for options, least in (({"ranges": 5, "run_rows": 1}, 2), ({"range_rows": 15}, 12)):
+        rows = warc.capture_histories(archives, fan_in=2, **options).collect()
+        order = [(r["url_key"], r["ts"], r["page_id"]) for r in sorted(rows, key=lambda r: (r["range_no"], r["place"]))]
+        assert len(order) == 400 and order == sorted(order) and len({r["range_no"] for r in rows}) >= least
+        assert sum(r["record_type"] == "revisit" for r in rows) == 350
 
 
 # 9 ----------------------------------------------------------------------------------------------------------------------
