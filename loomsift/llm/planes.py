@@ -225,12 +225,16 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+#: Bytes of text in a shard at most, about; shards are smaller where the shuffle partitions are more than it takes.
+SHARD_BYTES = 256 << 20
+
+
 def write_ids(
-    docs: DataFrame, folder: str, vocabulary_path: str | None = None, end_id: int = 1, bits: bool = False
+    docs: DataFrame, folder: str, vocabulary_path: str | None = None, end_id: int = 1, bits: bool = False, shard_bytes: int = SHARD_BYTES
 ) -> DataFrame:
     """Encode whole texts, append ``end_id`` to each, and write shards; the manifest ``(shard, file, documents, ids)`` comes back.
 
-    Rows are dealt into ranges of ``doc_id``, so shard numbers follow the order of ids; rows with equal ids are
+    Rows are dealt into ranges of ``doc_id``, as many as it takes for about ``shard_bytes`` of text each; so shard numbers follow the order of ids; rows with equal ids are
     neighbours, in order of text, and null ids come first. Null texts are empty: one end id. An empty table gives no files.
     ``doc_id`` alone decides the range, so one id on a great many rows would meet in one shard, streamed, not held.
     """
@@ -253,7 +257,8 @@ def write_ids(
             documents, total = writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [f"{folder}/{name}"], "documents": [documents], "ids": [total]})
 
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    total = id_text(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))
     ordered = id_text(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     manifest = mapped(ordered, encode, "shard bigint, file string, documents bigint, ids bigint")
     # written once: the files are written while this small table, a row per shard, is computed
