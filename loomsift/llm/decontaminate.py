@@ -147,19 +147,13 @@ def search(
     numbered = index.withColumn("segment", F.monotonically_increasing_id())
     sc, parts = index.sparkSession.sparkContext, []
     for block in _blocks(benchmark, item, text, block_chars):
-        phrases = {}
-        for name, body in block:
-            for w in windows(body, size):
-                phrases.setdefault(w.tobytes(), (w, set()))[1].add(name)
-        terms = np.unique(np.concatenate([w for w, _ in phrases.values()])) if phrases else np.empty(0, np.uint64)
-        asked = sc.broadcast((terms, [(np.searchsorted(terms, w), sorted(names)) for w, names in phrases.values()]))
+        asked = sc.broadcast(Phrases.of(block, size))
 
         def look(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
-            terms, phrases = asked.value
             for batch in batches:
                 for k in range(batch.num_rows):
                     row = batch.slice(k, 1).to_pylist()[0]
-                    yield _hits_of(Segment.of(row), row["segment"], terms, phrases, slop)
+                    yield _hits_of(Segment.of(row), row["segment"], asked.value, slop)
 
         parts.append(mapped(numbered, look, HITS))
     found = parts[0]
@@ -171,13 +165,42 @@ def search(
     return found
 
 
-def _hits_of(segment: Segment, number: int, terms: np.ndarray, phrases: list, slop: int) -> pa.RecordBatch:
-    places = segment.places(terms)
+@dataclass
+class Phrases:
+    """Distinct windows of some items as arrays: the terms, the place among them of every word of every window, and the items of each."""
+
+    names: list[str]
+    terms: np.ndarray
+    words: np.ndarray
+    ends: np.ndarray
+    owners: np.ndarray
+    owner_ends: np.ndarray
+
+    @classmethod
+    def of(cls, items: list[tuple[str, str]], size: int) -> "Phrases":
+        names = sorted({name for name, _ in items})
+        number = {name: k for k, name in enumerate(names)}
+        own: dict[bytes, set[int]] = {}
+        for name, body in items:
+            for w in windows(body, size):
+                own.setdefault(w.tobytes(), set()).add(number[name])
+        terms, words = np.unique(np.frombuffer(b"".join(own), np.uint64), return_inverse=True)
+        owners = np.array([k for group in own.values() for k in sorted(group)], np.int32)
+        return cls(names, terms, words.astype(np.int32), np.cumsum([len(w) // 8 for w in own], dtype=np.int64), owners, np.cumsum([len(g) for g in own.values()], dtype=np.int64))
+
+    def within(self, segment: Segment) -> Iterator[tuple[np.ndarray, list[str]]]:
+        """Places of the terms in ``segment``, and the items, of those windows whose terms are all there."""
+        if not len(self.ends):
+            return
+        places = segment.places(self.terms)[self.words]
+        firsts, owner_firsts = (np.concatenate(([0], e[:-1])) for e in (self.ends, self.owner_ends))
+        for k in np.flatnonzero(np.logical_and.reduceat(places >= 0, firsts)).tolist():
+            yield places[firsts[k] : self.ends[k]], [self.names[o] for o in self.owners[owner_firsts[k] : self.owner_ends[k]].tolist()]
+
+
+def _hits_of(segment: Segment, number: int, phrases: Phrases, slop: int) -> pa.RecordBatch:
     spans: dict[tuple[int, str], list[list[int]]] = {}
-    for at, names in phrases:
-        own = places[at]
-        if (own < 0).any():
-            continue
+    for own, names in phrases.within(segment):
         starts = segment.find(own, slop)
         docs = np.searchsorted(segment.starts, starts, side="right") - 1
         for doc, start in zip(docs.tolist(), (starts - segment.starts[docs]).tolist()):
