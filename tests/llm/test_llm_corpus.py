@@ -272,6 +272,21 @@ def test_patience_aligns_equal_lines():
     assert lines.patience([1, 0, 2], [3, 0, 4]) == []  # blank lines alone are no anchor
 
 
+def test_common_blocks_equal_another_alignment():
+    import difflib
+
+    rng = random.Random(21)
+    for _ in range(200):
+        fresh = iter(range(1, 10_000))
+        shared = [[next(fresh) if rng.random() < 0.9 else 0 for _ in range(rng.randrange(1, 6))] for _ in range(rng.randrange(4))]
+        shared = [[next(fresh), *block, next(fresh)] for block in shared]
+        later, earlier = ([x for block in [*shared, []] for x in [*(next(fresh) for _ in range(rng.randrange(1, 5))), *block]] for _ in range(2))
+        sizes = [rng.randrange(1, 30) if x else 0 for x in later]
+        blocks = difflib.SequenceMatcher(None, later, earlier, autojunk=False).get_matching_blocks()
+        want = [(m.a, m.a + m.size) for m in blocks if m.size and sum(sizes[m.a : m.a + m.size]) >= 40]
+        assert lines.common_blocks(later, earlier, sizes, 40) == want
+
+
 def test_patience_without_unique_lines():
     assert lines.patience([1, 9, 2, 9, 3], [4, 9, 5]) == [(1, 1)]
     assert lines.patience([4, 9, 5], [1, 9, 2, 9, 3]) == [(1, 1)]

@@ -146,6 +146,19 @@ def test_contamination_equals_brute_force(spark):
     assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in rows} == want
 
 
+def test_windows_without_their_terms_cost_nothing(spark):
+    import time
+
+    items = [(str(k), " ".join(f"x{k}y{j}" for j in range(12))) for k in range(20_000)] + [("hit", " ".join("abcdefghij"))]
+    phrases = decontaminate.Phrases.of(items, 10)
+    assert len(phrases.ends) == 60_001 and decontaminate.Phrases.of([], 10).ends.tolist() == []
+    (row,) = decontaminate.build_index(docs_of(spark, [" ".join("zabcdefghij"), "x1y0 x1y1 x1y2"]).coalesce(1)).collect()
+    begin = time.process_time()
+    found = decontaminate._hits_of(decontaminate.Segment.of(row), 0, phrases, 0).to_pylist()
+    assert time.process_time() - begin < 0.5
+    assert [r["hits"] for r in found] == [[{"item": "hit", "start": 1, "stop": 11}], []]
+
+
 def test_contamination_with_repeated_and_null_ids(spark):
     words = " ".join(f"w{k}" for k in range(10))
     texts, ids = [words, "clean text", f"x {words}", None, words], [3, 3, 3, None, None]
@@ -242,6 +255,45 @@ def test_classifier_without_labels(spark):
     assert {r["score"] for r in classify.classify(docs_of(spark, ["a", None]), none).collect()} == {0.5}
 
 
+def test_fit_equals_plain_gradient_descent():
+    o = classify.Options(buckets=512, dimensions=4, epochs=3, least_steps=30)
+    texts = ["good plain words", "bad bad stuff !!", "a b c", "", "ééé ok ok ok", "plain good text here", "spam spam spam", "x", "one two", "ok " * 9]
+    labels = [1, 0, 1, 0, 0, 1, 0, 1, 1, 0]
+    rows = []
+    for t in texts:
+        counts = {}
+        words = t.split()
+        for w in words:
+            for b in classify.features([w], o)[0].tolist():  # a word at a time
+                counts[b] = counts.get(b, 0) + 1
+        for one, two in zip(words, words[1:]):
+            if one == two:
+                b = classify._repeat_bucket(o)
+                counts[b] = counts.get(b, 0) + classify.REPEAT_WEIGHT
+        rows.append(counts)
+    rng = np.random.default_rng(o.seed)
+    vectors = rng.uniform(-1 / 4, 1 / 4, (512, 4)).tolist()
+    output = [[0.0, 0.0] for _ in range(4)]
+    steps, done = 3 * len(rows), 0
+    for _ in range(3):
+        for k in rng.permutation(len(rows)).tolist():
+            rate, total = o.rate * (1 - done / steps), sum(rows[k].values())
+            done += 1
+            if not total:
+                continue
+            mean = [sum(n / total * vectors[b][d] for b, n in rows[k].items()) for d in range(4)]
+            e = [np.exp(sum(mean[d] * output[d][c] for d in range(4))) for c in (0, 1)]
+            error = [e[c] / sum(e) - (labels[k] == c) for c in (0, 1)]
+            back = [sum(output[d][c] * error[c] for c in (0, 1)) for d in range(4)]
+            for d in range(4):
+                for c in (0, 1):
+                    output[d][c] -= rate * mean[d] * error[c]
+                for b, n in rows[k].items():
+                    vectors[b][d] -= rate * o.boost * n / total * back[d]
+    model = classify.fit(texts, labels, o)
+    assert np.allclose(model.vectors, vectors, rtol=2e-3, atol=2e-4) and np.allclose(model.output, output, rtol=2e-3, atol=2e-4)
+
+
 # 4 ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -367,8 +419,9 @@ def test_written_ids(spark):
     whole = Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json")
     texts = ["It's  GOOD\nnews<|endoftext|> x", "é ́ a b c", *EDGE] + [r["text"] for r in given(spark, "documents").limit(60).collect()]
     ids = [7, None, *range(20, 20 + len(texts) - 2)]
-    for bits in (False, True):
-        manifest = planes.write_ids(docs_of(spark, texts, ids), shared_files(spark, "ids"), bits=bits)
+    for bits, shard_bytes in ((False, planes.SHARD_BYTES), (True, planes.SHARD_BYTES), (False, 4000)):
+        manifest = planes.write_ids(docs_of(spark, texts, ids), shared_files(spark, "ids"), bits=bits, shard_bytes=shard_bytes)
+        assert shard_bytes > 4000 or manifest.count() > 12
         rows = sorted(planes.read_ids(manifest, bits).collect(), key=lambda r: r["start"])
         assert [r["doc_id"] for r in rows] == sorted(ids, key=lambda i: -1 if i is None else i)
         start = 0
