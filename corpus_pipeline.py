@@ -37,9 +37,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, n_pieces, ids, score, lossless)``: the best segmentation, little-endian 32-bit ids, and whether it decodes to the text."""
-    coded = pieces.encode(docs, n=2, alternatives=False)
-    return coded.select("doc_id", "n_pieces", "ids", F.col("scores")[0].alias("score"), "lossless")
+    """``(doc_id, n_pieces, ids, score, lossless, scores, others)``: the best segmentation, little-endian 32-bit ids, and whether it decodes to the text; and the scores of the best three and the ids of the second and third."""
+    coded = pieces.encode(docs)
+    return coded.select("doc_id", "n_pieces", "ids", F.col("scores")[0].alias("score"), "lossless", "scores", "others")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
