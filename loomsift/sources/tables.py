@@ -2,6 +2,7 @@
 
 import json
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,6 +12,7 @@ from loomsift.functions import urls
 from loomsift.functions.dialect import strip, without_broken_bytes
 from loomsift.functions.session import table_of
 from loomsift.operators.code import select_code
+from loomsift.sources import files as folders
 
 PAGE_SCHEMA = "page_id BIGINT, url STRING, html STRING"
 ROW_SCHEMA = "text STRING, url STRING"
@@ -70,6 +72,25 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file, line_no, value)``: lines with their 1-based number in the file.
 
+    The files of a folder, or of those that the last names of a path with ``*`` or ``?`` choose, are listed and read by tasks, however many
+    there are, and their lines are stored once. Files that are larger than a task should read, and paths that Arrow cannot list, are read in splits.
+    """
+    root, chosen = path, []
+    while re.search(r"[*?]", root):
+        root, _, name = root.rstrip("/").rpartition("/")
+        chosen.insert(0, name)
+    if not root or re.search(r"[\[\]{}\\]", path) or not folders.read_by_tasks(spark, root):
+        return _lines_of_splits(spark, path)
+    found = folders.list_files(spark, root, tuple(chosen))
+    whole = (F.col("length") <= folders.TASK_BYTES) & ~reduce(Column.__or__, [F.endswith("rel", F.lit(c)) for c in folders.OTHER_CODECS])
+    lines = table_of(folders.lines(found.filter(whole), root), "lines")
+    rest = [re.sub(r"([*?\[\]{}\\])", r"\\\1", folders.shown(root) + r["rel"]) for r in found.filter(~whole).collect()]  # no more rows than splits, beside odd codecs
+    return lines.unionAll(_lines_of_splits(spark, rest)) if rest else lines
+
+
+def _lines_of_splits(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Numbered lines of what Spark's reader takes.
+
     The lines are read and stored once, with their place in the split they came from. How far the place is from the line number is one
     value per split, which comes back as a constant and is looked up by the split; no line is moved for it.
     """
