@@ -39,10 +39,16 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 def scan_code(spark: SparkSession, root: str, max_size: int | None = None) -> DataFrame:
     """``(path, rel_path, length, content)`` of the source files below ``root``.
 
-    Files above ``max_size``, or above what Spark's binary reader takes, are listed without content and never opened.
+    Files above ``max_size``, or above what Spark's binary reader takes, are listed without content and never opened. Tasks list the
+    folders and read the files, however many there are; only what Arrow cannot list is left to Spark's reader, which lists it in the driver.
     """
     most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
     most = most if max_size is None else min(most, max_size)
+    if folders.read_by_tasks(spark, root):
+        chosen = select_code(folders.list_files(spark, root, deep=True).withColumn("rel_path", F.col("rel")), "rel_path").select("rel", "length")
+        read = folders.contents(chosen.filter(F.col("length") <= most), root)
+        listed = read.unionAll(chosen.filter(F.col("length") > most).withColumn("content", F.lit(None).cast("binary")))
+        return listed.select(F.concat(F.lit(folders.shown(root)), "rel").alias("path"), F.col("rel").alias("rel_path"), "length", "content")
     base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     inside = F.substr("path", F.instr("path", base) + len(base))

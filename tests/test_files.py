@@ -5,7 +5,7 @@ import gzip
 
 import pytest
 
-from loomsift.sources import files, tables
+from loomsift.sources import files, sinks, tables
 
 NAMES = {
     "a b%20é.txt": b"one\r\ntwo\rthree\n\nfour", "mark.txt": b"\xef\xbb\xbfx\n\xef\xbb\xbfy", "only.txt": b"\xef\xbb\xbf", "bad.txt": b"caf\xe9\n\x85\x0b\n\r\n\r", "empty.txt": b"",
@@ -47,11 +47,23 @@ def test_no_row_per_file_in_the_driver(spark, root, monkeypatch):
     collect = frame.collect
     monkeypatch.setattr(frame, "collect", lambda df: held.append(rows := collect(df)) or rows)
     lines = tables.numbered_lines(spark, root)
+    found = tables.scan_code(spark, root)
     monkeypatch.undo()
     assert not any(len(rows) > 1 for rows in held)
-    for df in (lines,):
+    for df in (lines, found):
         plan = df._jdf.queryExecution().analyzed().toString()
         assert "binaryFile" not in plan and "Relation [value" not in plan
+    assert [(r.rel_path, r.length, bytes(r.content)) for r in found.collect()] == [("sub/deep/three.py", 6, b"a = 1\n")]
+
+
+def test_tasks_follow_the_files_not_the_cores(spark, tmp_path):
+    """600 small files are a task's work, where Spark's reader makes a task of every 32 or fewer."""
+    rows = [(f"d{i % 7}/{i}.py", f"x = {i}\n") for i in range(600)]
+    sinks.write_files(spark.createDataFrame(rows, "rel_path string, content string"), str(tmp_path))
+    found = tables.scan_code(spark, str(tmp_path))
+    assert found.count() == 600 and {(r.rel_path, bytes(r.content).decode()) for r in found.collect()} == set(rows)
+    listed = files.list_files(spark, str(tmp_path), deep=True)
+    assert files.contents(listed, str(tmp_path)).rdd.getNumPartitions() == 1
 
 
 def test_missing_folders_are_errors_of_sparks_reader(spark, tmp_path):
