@@ -25,6 +25,8 @@ WIDTH = 100
 #: Bytes of an anchor; every window has WIDTH - GRAM + 1 of them.
 GRAM = 32
 CHUNK = 1 << 20
+#: Windows that are hashed at once.
+BLOCK = 1 << 14
 SHARD_BYTES = 1 << 20
 #: An anchor with a larger share of all contexts is common. At most so many can be: the reciprocal.
 COMMON = 1 / 20_000
@@ -50,11 +52,103 @@ def _types(text: np.ndarray) -> np.ndarray:
     return small
 
 
+def _induced(text: np.ndarray, small: np.ndarray, size: int, order: np.ndarray) -> np.ndarray:
+    """All suffixes in order, from the leftmost S suffixes in ``order``.
+
+    A bucket holds the suffixes of one first symbol, the L suffixes before the S ones. What stands in a bucket is passed on in
+    blocks: the suffixes one place to the left go to the next free places of their buckets. Only those of the bucket itself
+    make a further block, one for each symbol of its longest run of equal symbols.
+    """
+    n = len(text)
+    kind = np.int16 if size < 1 << 15 else np.int64  # 16 bits are sorted by radix
+    counts = np.bincount(text, minlength=size)
+    tails = np.cumsum(counts)
+    heads = tails - counts
+    # the symbol before a suffix, if that is the start of an L or of an S suffix, else -1
+    before_large, before_small = np.full(n, -1, kind), np.full(n, -1, kind)
+    np.copyto(before_large[1:], text[:-1], casting="unsafe", where=small[: n - 1] == 0)
+    np.copyto(before_small[1:], text[:-1], casting="unsafe", where=small[: n - 1] == 1)
+    array = np.full(n, -1, np.int64)
+    present = np.flatnonzero(counts).tolist()
+
+    def pass_on(block: np.ndarray, before: np.ndarray, places: np.ndarray, step: int) -> None:
+        """``places`` are the next free ones, of all buckets; they go up or down by ``step``."""
+        if len(block) < 8:
+            for k in block.tolist():
+                if (c := int(before[k])) >= 0:
+                    array[places[c]] = k - 1
+                    places[c] += step
+            return
+        symbols = before[block]
+        some = symbols >= 0
+        block, symbols = block[some], symbols[some]
+        if len(block):
+            turn = np.argsort(symbols, kind="stable")
+            symbols = symbols[turn]
+            first = np.flatnonzero(np.concatenate(([True], symbols[1:] != symbols[:-1])))
+            many = np.diff(first, append=len(symbols))
+            own = symbols[first]
+            array[np.repeat(places[own] - step * first, many) + step * np.arange(len(symbols))] = block[turn] - 1
+            places[own] += step * many
+
+    # the leftmost S suffixes at the ends of their buckets
+    symbols = text[order]
+    turn = np.argsort(symbols.astype(kind), kind="stable")
+    many = np.bincount(symbols, minlength=size)
+    leftmost = tails - many
+    array[np.repeat(leftmost - (np.cumsum(many) - many), many) + np.arange(len(order))] = order[turn]
+    fronts = heads.copy()
+    array[fronts[text[n - 1]]] = n - 1  # the suffix before the empty one is L
+    fronts[text[n - 1]] += 1
+    for c in present:
+        low = int(heads[c])
+        while low < (high := int(fronts[c])):
+            pass_on(array[low:high], before_large, fronts, 1)
+            low = high
+        pass_on(array[int(leftmost[c]) : int(tails[c])], before_large, fronts, 1)
+    ends = tails - 1
+    for c in reversed(present):
+        high = int(tails[c])
+        while high > (low := int(ends[c]) + 1):
+            pass_on(array[low:high][::-1], before_small, ends, -1)
+            high = low
+        pass_on(array[int(heads[c]) : int(fronts[c])][::-1], before_small, ends, -1)
+    return array
+
+
+def _by_doubling(names: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of ``names``: ranks by 1, 2, 4, … names, until all differ; those that do are left alone."""
+    n = len(names)
+    order = np.argsort(names, kind="stable")
+    rank = np.empty(n, np.int64)
+    new = np.concatenate(([True], names[order[1:]] != names[order[:-1]]))
+    first = np.flatnonzero(new)
+    rank[order] = np.repeat(first, np.diff(first, append=n))
+    have, at = 1, np.arange(n)
+    while True:
+        # places in the order whose rank is not theirs alone
+        alone = np.append(new, True)
+        at = at[~(alone[at] & alone[at + 1])]
+        if not len(at):
+            return order
+        own = order[at]
+        after = own + have
+        key = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        group = rank[own]
+        turn = np.lexsort((key, group))
+        own, key, group = own[turn], key[turn], group[turn]
+        order[at] = own
+        fresh = np.concatenate(([True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])))
+        new[at] = fresh
+        rank[own] = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
+        have *= 2
+
+
 def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     """Suffix array of ``text`` over symbols below ``size`` by induced sorting.
 
     Suffixes are smaller (S) or larger (L) than the one after them. The leftmost S of each run starts a substring;
-    these substrings are sorted by inducing, named, and, if names repeat, ordered by the suffix array of the names. Once they
+    these substrings are sorted by inducing, named, and, if names repeat, ordered by doubling over the names. Once they
     are in order, one pass from the left puts the L suffixes in place and one from the right the S suffixes.
     """
     text = np.asarray(text, np.int64)
@@ -62,42 +156,8 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     if n < 2:
         return np.arange(n)
     small = _types(text)
-    tails = np.cumsum(np.bincount(text, minlength=size))
-    heads = np.concatenate(([0], tails[:-1])).tolist()
-    tails = tails.tolist()
     starts = np.flatnonzero((small[1:n] == 1) & (small[: n - 1] == 0)) + 1
-    symbols = text.tolist()
-    # what stands before position k: an L or an S suffix; the last entry is for the mark -1
-    before_large = bytes([0]) + (1 - small[: n - 1]).tobytes() + bytes([0])
-    before_small = bytes([0]) + small[: n - 1].tobytes() + bytes([0])
-
-    def induce(order: list[int]) -> list[int]:
-        array = [-1] * n
-        ends = tails.copy()
-        for k in reversed(order):
-            c = symbols[k]
-            ends[c] -= 1
-            array[ends[c]] = k
-        fronts = heads.copy()
-        c = symbols[n - 1]  # the suffix before the empty one is L
-        array[fronts[c]] = n - 1
-        fronts[c] += 1
-        for k in array:
-            if before_large[k]:
-                c = symbols[k - 1]
-                at = fronts[c]
-                array[at] = k - 1
-                fronts[c] = at + 1
-        ends = tails.copy()
-        for i in range(n - 1, -1, -1):
-            k = array[i]
-            if before_small[k]:
-                c = symbols[k - 1]
-                ends[c] = at = ends[c] - 1
-                array[at] = k - 1
-        return array
-
-    array = np.array(induce(starts.tolist()))
+    array = _induced(text, small, size, starts)
     if len(starts) > 1:
         first = np.zeros(n, bool)
         first[starts] = True
@@ -110,34 +170,49 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
         new = (numbers[1:] != numbers[:-1]) | (stop[1:] - ordered[1:] != stop[:-1] - ordered[:-1]) | (stop[1:] == n) | (stop[:-1] == n)
         names = np.empty(len(starts), np.int64)
         names[place[ordered]] = np.concatenate(([0], np.cumsum(new)))
-        if new.all():
-            order = ordered
-        else:
-            order = starts[suffix_array(names, int(names.max()) + 1)]
-        array = np.array(induce(order.tolist()))
+        order = ordered if new.all() else starts[_by_doubling(names)]
+        array = _induced(text, small, size, order)
     return array
 
 
-def permuted_prefixes(text: list[int], array: np.ndarray, limit: int) -> np.ndarray:
+def permuted_prefixes(text: np.ndarray, array: np.ndarray, limit: int) -> np.ndarray:
     """Per text position, the common prefix with the suffix before it in the array, up to ``limit``.
 
-    From one position to the next it shrinks by one at most, so that all comparisons together are linear.
+    Where the symbol to the left of both is the same, it is one less than that of the position to the left. Only the other
+    positions are compared, and every ``limit``-th one that follows, over up to twice the limit, so that those between are known up to the limit.
     """
+    text = np.asarray(text, np.int64)
     n = len(text)
+    if not n:
+        return np.empty(0, np.int64)
     before = np.full(n, -1, np.int64)
     before[array[1:]] = array[:-1]
-    lengths, held = [0] * n, 0
-    for k, other in enumerate(before.tolist()):
-        if other < 0:
-            held = 0
-            continue
-        end = min(limit, n - max(k, other))
-        while held < end and text[k + held] == text[other + held]:
-            held += 1
-        lengths[k] = held
-        if held:
-            held -= 1
-    return np.array(lengths)
+    place = np.arange(n)
+    left = np.concatenate(([-1], text))  # the symbol to the left of a position
+    fresh = (before < 1) | (left[:-1] != left[before]) | (place == 0)
+    since = place - np.maximum.accumulate(np.where(fresh, place, 0))
+    compared = since % limit == 0
+    # a word holds four symbols, if they are small; behind the end is a symbol like no other
+    step = 4 if text.max() < 0xFFFF else 1
+    own = np.concatenate((text, np.full(step, 0xFFFF if step > 1 else -1))).astype(np.uint64)
+    words = own[:n].copy() if step > 1 else own
+    for k in range(1, step):
+        words |= own[k : n + k] << np.uint64(16 * k)
+    if step > 1:
+        words = np.append(words, np.uint64((1 << 64) - 1))
+    known = np.zeros(n, np.int64)
+    mine = np.flatnonzero(compared & (before >= 0))
+    other, held = before[mine], 0
+    while len(mine) and held < 2 * limit:
+        unlike = words[mine + held] ^ words[other + held]
+        for k in range(step - 1):
+            known[mine] += unlike & np.uint64((1 << 16 * (k + 1)) - 1) == 0
+        alike = unlike == 0
+        mine, other = mine[alike], other[alike]
+        held += step
+        known[mine] = held
+    back = place - np.maximum.accumulate(np.where(compared, place, 0))
+    return np.minimum(limit, np.maximum(0, known[place - back] - back))
 
 
 def with_shared_windows(contexts: list[tuple[int, int, bytes]], width: int = WIDTH) -> list[tuple[int, int, bytes]]:
@@ -169,7 +244,7 @@ def repeated_in(contexts: list[tuple[int, int, bytes]], width: int = WIDTH) -> n
     data = (np.frombuffer(b"".join([c[2] + b"\0" for c in contexts]), np.uint8).astype(np.int64)) + 1
     data[np.cumsum(sizes + 1) - 1] = 0
     array = suffix_array(data, 257)
-    prefixes = permuted_prefixes(data.tolist(), array, width)
+    prefixes = permuted_prefixes(data, array, width)
     firsts = np.cumsum(sizes + 1) - sizes - 1
     owner = np.repeat(np.arange(len(contexts)), sizes + 1)
     offset = np.arange(len(data)) - firsts[owner]
@@ -204,12 +279,17 @@ def spans_of(row: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
 
 
 def gram_numbers(data: np.ndarray, size: int) -> np.ndarray:
-    """Numbers of all strings of ``size`` bytes, a power of two, by doubling."""
-    numbers, have = mixed(VALUE[data]), 1
+    """Numbers of all strings of ``size`` bytes, a power of two, by doubling.
+
+    They are polynomials modulo 2^64 and for short strings only. An anchor that two strings share by chance makes a shard larger, no more.
+    """
+    numbers, have, base = VALUE[data], 1, 0x9E3779B97F4A7C15
     while have < size:
-        numbers = mixed(numbers[: len(numbers) - have] * np.uint64(0x9E3779B97F4A7C15) + numbers[have:])
-        have *= 2
-    return numbers
+        ahead = numbers[have:]
+        numbers = numbers[: len(ahead)] * np.uint64(base)
+        numbers += ahead
+        have, base = 2 * have, base * base % (1 << 64)
+    return mixed(numbers)
 
 
 def window_minima(keys: np.ndarray, size: int) -> np.ndarray:
@@ -220,33 +300,56 @@ def window_minima(keys: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(keys[: len(keys) - (size - have)], keys[size - have :])
 
 
-def contexts_of(rows: list[int], raws: list[bytes], begins: list[int], width: int = WIDTH, gram: int = GRAM) -> np.ndarray:
-    """Contexts of pieces of texts ``(row, bytes, place in the text)``: every window of every piece is in exactly one."""
-    sizes = np.array([len(r) for r in raws])
+def _stretches(raws: list[bytes], width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of all contexts of ``raws``, put together: the number and place of the anchor, begin, end, and the text and its begin; and the bytes.
+
+    Texts are gone through in blocks that stay in the cache of a core.
+    """
+    sizes = np.array([len(r) for r in raws], np.int64)
     data = np.frombuffer(b"".join(raws), np.uint8)
-    if len(data) < width:
-        return np.empty(0, CONTEXT)
-    numbers = gram_numbers(data, gram)
-    bits = np.uint64(max(1, int(len(data)).bit_length()))
-    place = np.arange(len(numbers), dtype=np.uint64)
-    smallest = window_minima((numbers >> bits << bits) | place, width - gram + 1)
-    anchor = (smallest & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     firsts = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(raws)), sizes)[: len(anchor)]
-    valid = np.arange(len(anchor)) + width <= (firsts + sizes)[owner]
-    new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))) & valid
-    begin = np.flatnonzero(new)
-    if not len(begin):
-        return np.empty(0, CONTEXT)
+    windows = len(data) - width + 1
+    bits = np.uint64((BLOCK + width).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    place = np.arange(BLOCK + width, dtype=np.uint64)
+    grams, anchors, begins, last = [], [], [], -1
+    for at in range(0, windows, BLOCK):
+        numbers = gram_numbers(data[at : at + BLOCK + width - 1], gram)
+        keys = numbers & ~low
+        keys |= place[: len(keys)]
+        smallest = window_minima(keys, width - gram + 1)
+        new = np.empty(len(smallest), bool)
+        new[0] = at + int(smallest[0] & low) != last
+        np.not_equal(smallest[1:], smallest[:-1], out=new[1:])
+        new[firsts[np.searchsorted(firsts, at) : np.searchsorted(firsts, at + len(new))] - at] = True
+        begin = np.flatnonzero(new)
+        anchor = (smallest[begin] & low).astype(np.int64)
+        grams.append(numbers[anchor])
+        anchors.append(anchor + at)
+        begins.append(begin + at)
+        last = at + int(smallest[-1] & low)
+    if not begins:
+        none = np.empty(0, np.int64)
+        return none.astype(np.uint64), none, none, none, none, none, data
+    begin, anchor, number = np.concatenate(begins), np.concatenate(anchors), np.concatenate(grams)
+    owner = np.searchsorted(firsts, begin, "right") - 1
     # a context ends where the next begins or the piece has no more windows
-    stop = np.minimum(np.append(begin[1:], len(anchor)), (firsts + sizes - width + 1)[owner[begin]])
+    stop = np.minimum(np.append(begin[1:], windows), (firsts + sizes - width + 1)[owner])
+    own = stop > begin
+    return number[own], anchor[own], begin[own], stop[own] + width - 1, owner[own], firsts[owner[own]], data
+
+
+def contexts_of(rows: list[int], raws: list[bytes], begins: list[int], width: int = WIDTH, gram: int = GRAM) -> np.ndarray:
+    """Contexts of pieces of texts ``(row, bytes, place in the text)``: every window of every piece is in exactly one."""
+    number, anchor, begin, end, owner, first, data = _stretches(raws, width, gram)
     found = np.empty(len(begin), CONTEXT)
-    found["gram"] = numbers[anchor[begin]]
-    end = stop + width - 1
+    if not len(begin):
+        return found
+    found["gram"] = number
     inside = range_numbers(data, begin, end)
-    found["number"] = mixed(inside + (anchor[begin] - begin).astype(np.uint64))
-    found["row"] = np.array(rows, np.int64)[owner[begin]]
-    found["start"] = begin - firsts[owner[begin]] + np.array(begins)[owner[begin]]
+    found["number"] = mixed(inside + (anchor - begin).astype(np.uint64))
+    found["row"] = np.array(rows, np.int64)[owner]
+    found["start"] = begin - first + np.array(begins)[owner]
     found["size"] = end - begin
     return found
 
@@ -316,9 +419,9 @@ def _common_grams(rows: DataFrame, width: int, gram: int, share: float) -> np.nd
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
         for part in _pieces(batches, width, CHUNK):
-            found = contexts_of(*part, width, gram)
+            found = _stretches(part[1], width, gram)[0]
             total += len(found)
-            grams, counts = np.unique(found["gram"], return_counts=True)
+            grams, counts = np.unique(found, return_counts=True)
             often = counts >= max(4, share * len(found))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(grams[often].view(np.int64)), pa.array(counts[often], pa.int64())], names=["gram", "n"]
@@ -397,9 +500,11 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, share:
             pieces: dict[int, list] = {}
             for row, text, asked in zip(*[c.to_pylist() for c in batch.columns]):
                 raw = text.encode("utf-8", "surrogatepass")
-                for g, _, start, size in np.concatenate([np.frombuffer(a, WANTED) for a in asked]).tolist():
-                    head = np.array([(g, row, start, size)], WANTED).tobytes()
-                    pieces.setdefault(_bucket(g, buckets), []).append(head + raw[start : start + size])
+                wanted = np.concatenate([np.frombuffer(a, WANTED) for a in asked])
+                heads, dealt_to = wanted.tobytes(), (mixed(wanted["gram"]) % np.uint64(buckets)).tolist()
+                for k, (start, size) in enumerate(zip(wanted["start"].tolist(), wanted["size"].tolist())):
+                    head = heads[k * WANTED.itemsize : (k + 1) * WANTED.itemsize]
+                    pieces.setdefault(dealt_to[k], []).append(head + raw[start : start + size])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(pieces), pa.int32()), pa.array([b"".join(p) for p in pieces.values()], pa.binary())], names=["bucket", "blob"]
             )
@@ -440,10 +545,6 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, share:
     return texts.join(spans, "row", "left")
 
 
-def _bucket(gram: int, buckets: int) -> int:
-    return int(mixed(np.array([gram], np.uint64))[0] % np.uint64(buckets))
-
-
 def _windows_of(found: np.ndarray, part: tuple, width: int) -> np.ndarray:
     """The windows of contexts, each with a number of its own bytes."""
     if not len(found):

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -429,6 +430,65 @@ def test_suffix_array_and_prefixes():
                 assert prefixes[b] == min(7, common)
 
 
+def test_suffix_array_and_prefixes_of_runs_and_passages():
+    rng = random.Random(5)
+    texts = [[3] * 700, [k % 2 for k in range(501)], [0] * 40 + [4] * 300 + [0] * 300, [rng.randrange(70_000) for _ in range(400)]]
+    for _ in range(12):
+        pool = [[rng.randrange(1, 5) for _ in range(rng.randrange(1, 60))] for _ in range(3)]
+        texts.append(sum((rng.choice(pool) + [0] * rng.randrange(2) for _ in range(30)), []))
+    for text in texts:
+        array = suffixes.suffix_array(np.array(text, np.int64), max(text) + 1).tolist()
+        assert array == sorted(range(len(text)), key=lambda k: text[k:])
+        for limit in (1, 5, 100):
+            prefixes = suffixes.permuted_prefixes(text, np.array(array), limit)
+            for a, b in zip(array, array[1:]):
+                common = next((k for k, (x, y) in enumerate(zip(text[a:], text[b:])) if x != y), len(text) - max(a, b))
+                assert prefixes[b] == min(limit, common)
+
+
+def test_shards_are_sorted_by_arrays_not_byte_by_byte():
+    rng = random.Random(6)
+    passages = [bytes(rng.choice(b"etaoin shrdlu") for _ in range(160)) for _ in range(200)]
+    shard = []
+    for row in range(600):
+        at = rng.randrange(40)
+        shard.append((row, 0, bytes(rng.choice(b"xyz") for _ in range(at)) + rng.choice(passages)[at:]))
+    executed = 0
+
+    def count(frame, event, arg):
+        nonlocal executed
+        executed += event == "line"
+        return count if frame.f_code.co_filename == suffixes.__file__ else None
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        spans = suffixes.repeated_in(shard)
+    finally:
+        sys.settrace(before)
+    size = sum(len(raw) for _, _, raw in shard)
+    assert executed < size  # lines of Python; by lists it was several a byte
+    masks = plain_repeats([raw for _, _, raw in shard], suffixes.WIDTH)
+    got = [np.zeros(len(raw), bool) for _, _, raw in shard]
+    for row, start, length in spans.tolist():
+        got[row][start : start + length] = True
+    assert all((a == b).all() for a, b in zip(got, masks))
+
+
+def test_contexts_are_the_same_in_blocks_of_any_size(monkeypatch):
+    rng = random.Random(8)
+    raws = [bytes(rng.choice(b"ab ") for _ in range(rng.choice([0, 3, 39, 40, 41, 90, 400]))) for _ in range(60)] + [b"", b"a" * 300, b""]
+    rows, begins = list(range(len(raws))), [0] * len(raws)
+    want = suffixes.contexts_of(rows, raws, begins, 40, 16)
+    seen = np.zeros((len(raws), 500), int)
+    for _, _, row, start, size in want.tolist():
+        seen[row, start : start + size - 39] += 1
+    assert all((seen[k] == (np.arange(500) + 40 <= len(raw))).all() for k, raw in enumerate(raws))
+    for block in (1, 7, 64, 1000):
+        monkeypatch.setattr(suffixes, "BLOCK", block)
+        assert (suffixes.contexts_of(rows, raws, begins, 40, 16) == want).all()
+
+
 @pytest.mark.parametrize("share", [1 / 20_000, 0.0])
 def test_repeats_equal_brute_force(spark, share, monkeypatch):
     rng = random.Random(7)
