@@ -31,6 +31,8 @@ RUN = 2048
 ALIKE = 32
 #: Regions up to this size are solved in one task, larger ones by rounds over all tasks.
 REGION_NODES, REGION_SHINGLES = 10_000, 3_000_000
+#: What a task compares with the leaders of a large region, and what these hold in a round at most.
+SHARE_NODES, SHARE_SHINGLES, LEADER_SHINGLES = 4000, 2_000_000, 2_000_000
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -242,20 +244,54 @@ def similar(overlap: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
     return 100 * overlap >= 75 * (size + sizes - overlap)
 
 
+class Listed:
+    """Sets of numbers, and for each number those that have it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.flat, self.inverse = np.unique(np.concatenate(sets), return_inverse=True)
+        self.sizes = np.array([len(s) for s in sets])
+        self.ends = np.cumsum(self.sizes)
+        self.uses = np.bincount(self.inverse, minlength=len(self.flat))
+        self.lists = np.repeat(np.arange(len(sets)), self.sizes)[np.argsort(self.inverse, kind="stable")]
+        self.list_ends = np.cumsum(self.uses)
+        self.mark = np.zeros(len(self.flat), np.int64)
+
+    def places(self, numbers: np.ndarray) -> np.ndarray:
+        """Where those of ``numbers`` are that any set has."""
+        at = np.minimum(np.searchsorted(self.flat, numbers), len(self.flat) - 1)
+        return at[self.flat[at] == numbers]
+
+    def similar_to(self, own: np.ndarray, size: int, wanted: np.ndarray | None = None) -> np.ndarray:
+        """Sets, of the ``wanted`` ones, that are similar to one of ``size`` numbers, of which those at the places ``own`` are here.
+
+        A similar set has one at least of any quarter of the numbers and one more, so that only sets with one of the rarest of these are looked at.
+        """
+        rare = own[np.argsort(self.uses[own], kind="stable")[: max(0, size // 4 + 1 - (size - len(own)))]]
+        if not len(rare):
+            return np.empty(0, np.int64)
+        others = np.unique(np.concatenate([self.lists[e - n : e] for e, n in zip(self.list_ends[rare].tolist(), self.uses[rare].tolist())]))
+        others = others[similar(np.minimum(self.sizes[others], size), size, self.sizes[others])]
+        if wanted is not None:
+            others = others[wanted[others]]
+        if not len(others):
+            return others
+        self.mark[own] = 1
+        widths = self.sizes[others]
+        firsts = np.cumsum(widths) - widths
+        places = np.arange(widths.sum()) + np.repeat(self.ends[others] - widths - firsts, widths)
+        overlap = np.add.reduceat(self.mark[self.inverse[places]], firsts)
+        self.mark[own] = 0
+        return others[similar(overlap, size, widths)]
+
+
 def classes(sets: list[np.ndarray]) -> list[int]:
     """First member of the class of each set when all similar pairs are linked.
 
     One set at a time is compared with others. That is done for every set outside the largest class, so that no two
-    classes have an untested pair, while the many members of one class need no comparison with each other. A similar set has one
-    at least of any quarter of the shingles and one more, so that only sets with one of the rarest of these are looked at.
+    classes have an untested pair, while the many members of one class need no comparison with each other.
     """
-    flat, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    sizes = np.array([len(s) for s in sets])
-    ends = np.cumsum(sizes)
-    uses = np.bincount(inverse, minlength=len(flat))
-    lists = np.repeat(np.arange(len(sets)), sizes)[np.argsort(inverse, kind="stable")]
-    list_ends = np.cumsum(uses)
-    labels, led, mark = np.arange(len(sets)), np.zeros(len(sets), bool), np.zeros(len(flat), np.int64)
+    listed = Listed(sets)
+    labels, led = np.arange(len(sets)), np.zeros(len(sets), bool)
     while True:
         counts = np.bincount(labels)
         top = counts.argmax()
@@ -264,18 +300,9 @@ def classes(sets: list[np.ndarray]) -> list[int]:
             return labels.tolist()
         leader = int(rest[0])
         led[leader] = True
-        size = int(sizes[leader])
-        own = inverse[ends[leader] - size : ends[leader]]
-        rare = own[np.argsort(uses[own], kind="stable")[: size // 4 + 1]]
-        others = np.unique(np.concatenate([lists[e - n : e] for e, n in zip(list_ends[rare].tolist(), uses[rare].tolist())]))
-        others = others[similar(np.minimum(sizes[others], size), size, sizes[others])]
-        mark[own] = 1
-        widths = sizes[others]
-        firsts = np.cumsum(widths) - widths
-        places = np.arange(widths.sum()) + np.repeat(ends[others] - widths - firsts, widths)
-        overlap = np.add.reduceat(mark[inverse[places]], firsts)
-        mark[own] = 0
-        near = np.unique(labels[others[similar(overlap, size, widths)]])
+        size = int(listed.sizes[leader])
+        own = listed.inverse[listed.ends[leader] - size : listed.ends[leader]]
+        near = np.unique(labels[listed.similar_to(own, size)])
         if len(near) > 1:
             labels[np.isin(labels, near)] = near[0]
 
@@ -308,59 +335,71 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["region", "node", "numbers"])
 
 
-def _against(members: pa.Table, leaders: pa.Table) -> pa.Table:
-    """Links between a share of a region's members and its leaders."""
-    u, v = [], []
-    sets = [np.frombuffer(b, "<u8") for b in members.column("numbers").to_pylist()]
-    nodes = np.array(members.column("node"), np.int64)
-    if sets and leaders.num_rows:
-        flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
-        firsts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        for leader, raw in zip(leaders.column("node").to_pylist(), leaders.column("numbers").to_pylist()):
-            own = np.frombuffer(raw, "<u8")
-            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-            overlap = np.add.reduceat((own[at] == flat).astype(np.int64), firsts)
-            hits = nodes[similar(overlap, len(own), sizes)]
-            u += hits.tolist()
-            v += [leader] * len(hits)
-    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-
-def _large_links(rows: DataFrame, sizes: DataFrame, leaders_at_once: int = 16, share: int = 4000) -> DataFrame:
+def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components of a region, from rows ``(region, salt, member, node, component, numbers)`` sorted by the first three.
+
+    The leaders of a share (``member`` 0) come before its members and are held; the members pass by in parts of some megabytes. Members of the
+    component of a leader are not compared with it.
+    """
+    share, leaders = None, []
+    for part in pieces_of(batches, "numbers"):
+        region, salt, member, component = (np.array(part.column(k), np.int64) for k in (0, 1, 2, 4))
+        sets = [np.frombuffer(b, "<u8") for b in part.column(5).to_pylist()]
+        cuts = (np.flatnonzero((np.diff(region) != 0) | (np.diff(salt) != 0)) + 1).tolist()
+        for first, last in zip([0, *cuts], [*cuts, len(sets)]):
+            if share != (now := (int(region[first]), int(salt[first]))):
+                share, leaders = now, []
+            middle = first + int((member[first:last] == 0).sum())
+            leaders += zip(component[first:middle].tolist(), sets[first:middle])
+            if middle == last or not leaders:
+                continue
+            listed, labels = Listed(sets[middle:last]), component[middle:last]
+            u, v = [], []
+            for label, own in leaders:
+                near = np.unique(labels[listed.similar_to(listed.places(own), len(own), labels != label)])
+                u.append(np.full(len(near), label))
+                v.append(near)
+            links = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], axis=1).astype(np.int64), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["u", "v"])
+
+
+def _large_links(
+    rows: DataFrame, sizes: DataFrame, leaders_at_once: int = 16, share_nodes: int = SHARE_NODES, share_shingles: int = SHARE_SHINGLES, leader_shingles: int = LEADER_SHINGLES
+) -> DataFrame:
     """Links inside regions that are too large for a task, from rows ``(region, node, text)``.
 
-    Rounds of the comparison in ``classes``: some leaders of each region, from outside its largest class, go against all members, which are dealt
-    over tasks in shares of a few thousand. It ends when all nodes outside the largest class have led.
+    Rounds of the comparison in ``classes``: some leaders of each region, from outside its largest class, the longest ones first, go against all members
+    of other classes, which are dealt over tasks in shares of a few thousand. Classes that a round links become one. It ends when all nodes outside
+    the largest class have led; the links are those of each node to the first one of its class.
     """
     sets = stored(mapped(rows.select("region", "node", "text"), _set_rows, "region bigint, node bigint, numbers binary"), "sets")
-    shares = sizes.select("region", (F.floor(F.col("nodes") / share) + 1).cast("int").alias("shares"))
-    spread = sets.join(shares, "region").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"))
-    state = stored(sets.select("region", "node", F.col("node").alias("component")), "state")
-    led, links = None, None
+    shares = F.greatest(F.ceil(F.col("nodes") / share_nodes), F.ceil(F.col("shingles") / share_shingles)).cast("int").alias("shares")
+    shares = stored(sizes.select("region", shares), "shares")
+    state = sets.select("region", "node", (F.octet_length("numbers") / 8).cast("bigint").alias("n_shingles")).join(shares, "region")
+    salt = F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("salt")
+    state = stored(state.select("region", "node", "n_shingles", salt, F.col("node").alias("component"), F.lit(False).alias("led")), "state")
     while True:
         counts = state.groupBy("region", "component").agg(F.count("*").alias("n"))
         largest = counts.groupBy("region").agg(F.max(F.struct("n", "component")).alias("top"))
-        rest = state.join(largest, "region").filter((F.col("component") != F.col("top.component")) | (F.col("top.n") == 1))
-        rest = rest.select("region", "node") if led is None else rest.select("region", "node").join(led, "node", "left_anti")
-        chosen = rest.groupBy("region", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(leaders_at_once)).alias("part")).agg(F.min("node").alias("node"))
-        chosen = stored(chosen.select("region", "node"), "leaders")
+        rest = state.filter("not led").join(largest, "region").filter((F.col("component") != F.col("top.component")) | (F.col("top.n") == 1))
+        at_once = F.least(F.lit(leaders_at_once), F.greatest(F.lit(1), F.floor(leader_shingles / F.max("n_shingles")))).alias("parts")
+        dealt = rest.select("region", "node", "n_shingles").join(rest.groupBy("region").agg(at_once), "region")
+        chosen = dealt.groupBy("region", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).alias("part"))
+        chosen = stored(chosen.agg(F.max(F.struct("n_shingles", "node")).alias("most")).select("region", "most.node"), "leaders")
         if chosen.isEmpty():
-            break
-        leaders = sets.join(chosen.select("node"), "node").join(shares, "region")
-        leaders = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-        fresh = (
-            spread.select("region", "salt", "node", "numbers").groupBy("region", "salt")
-            .cogroup(leaders.select("region", "salt", "node", "numbers").groupBy("region", "salt"))
-            .applyInArrow(_against, LINKS)
-        )
-        fresh = stored(fresh.filter("u <> v"), "links")
-        links = fresh if links is None else links.unionAll(fresh)
-        led = chosen.select("node") if led is None else led.unionAll(chosen.select("node"))
-        found = components(links)
-        state = state.select("region", "node").join(found, "node", "left")
-        state = stored(state.select("region", "node", F.coalesce("component", "node").alias("component")), "state")
-        leaders_at_once = min(4 * leaders_at_once, 1024)
-    return links if links is not None else sets.sparkSession.createDataFrame([], LINKS)
+            return state.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+        mine = state.join(chosen.select("region").distinct(), "region", "left_semi").select("node", "component", "salt")
+        members = sets.join(mine, "node").select("region", "salt", F.lit(1).alias("member"), "node", "component", "numbers")
+        named = chosen.join(shares, "region").select("node", "shares").join(state.select("node", "component"), "node")
+        leaders = sets.join(named, "node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        both = members.unionAll(leaders.select("region", "salt", F.lit(0).alias("member"), "node", "component", "numbers"))
+        both = both.repartition("region", "salt").sortWithinPartitions("region", "salt", "member")
+        merged = components(mapped(both, _against, LINKS)).select(F.col("node").alias("component"), F.col("component").alias("root"))
+        marks = chosen.select("node", F.lit(True).alias("leads"))
+        state = state.join(merged, "component", "left").join(marks, "node", "left")
+        component, led = F.coalesce("root", "component").alias("component"), (F.col("led") | F.coalesce("leads", F.lit(False))).alias("led")
+        state = stored(state.select("region", "node", "n_shingles", "salt", component, led), "state")
+        leaders_at_once = min(4 * leaders_at_once, 4096)
 
 
 def row_groups(rows: DataFrame, region_nodes: int = REGION_NODES, region_shingles: int = REGION_SHINGLES, run: int = RUN) -> DataFrame:
@@ -406,8 +445,8 @@ def near_groups(docs: DataFrame, region_nodes: int = REGION_NODES, region_shingl
     return each.join(names, "component").select("doc_id", "n_shingles", "component_id", kept)
 
 
-def first_of_each_group(docs: DataFrame) -> DataFrame:
+def first_of_each_group(docs: DataFrame, region_nodes: int = REGION_NODES) -> DataFrame:
     """The rows of ``docs``, all columns, that ``near_groups`` keeps; null texts become empty."""
     rows, _ = with_rows(docs, carry=True)
-    kept = row_groups(rows).filter("row = component").select("row")
+    kept = row_groups(rows, region_nodes).filter("row = component").select("row")
     return kept_columns(rows.join(kept, "row", "left_semi"), docs)

@@ -6,6 +6,7 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomsift.llm import decontaminate, forest, graph, lines, suffixes, warc
 from loomsift.llm.common import file_system, shared_files
@@ -108,6 +109,59 @@ def test_crowded_prefixes_equal_brute_force(spark, run):
     assert {r["doc_id"]: r["n_shingles"] for r in rows} == {k: len(s) for k, s in enumerate(sets)}
 
 
+def region_texts(rng, families, size):
+    """Texts of a region: families of near copies, not similar to each other, with most words from one template."""
+    vocabulary = [f"w{k}" for k in range(900)]
+    template = [rng.choice(vocabulary) for _ in range(100)]
+    texts = []
+    for k in range(families):
+        base = template + [rng.choice(vocabulary) for _ in range(24)]
+        for _ in range(size * (1 + 3 * (k == 1))):
+            own = list(base)
+            own[rng.randrange(100, 124)] = rng.choice(vocabulary)
+            texts.append(" ".join(own))
+    rng.shuffle(texts)
+    return texts
+
+
+def test_first_of_each_group_in_large_regions(spark):
+    texts = region_texts(random.Random(5), 4, 4)
+    _, root = plain_classes(texts)
+    docs = docs_of(spark, texts).repartition(3).withColumn("lang", F.lit("en"))
+    kept = forest.first_of_each_group(docs, region_nodes=1)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"], r["lang"]) for r in kept.collect()) == [(k, texts[k], "en") for k in sorted(set(root))]
+
+
+@pytest.mark.parametrize("at_once, share_nodes, leader_shingles", [(1, 1000, 1 << 40), (16, 7, 1 << 40), (64, 5, 300)])
+def test_large_links_in_rounds_equal_brute_force(spark, at_once, share_nodes, leader_shingles):
+    rng = random.Random(6)
+    parts = [region_texts(rng, 5, 3), region_texts(rng, 2, 4), [f"a b c d e f g h i {k}" for k in range(5)]]
+    texts, regions = [t for part in parts for t in part], [k for k, part in enumerate(parts) for _ in part]
+    sets, root = plain_classes(texts)
+    rows = spark.createDataFrame([(r, k, t) for k, (r, t) in enumerate(zip(regions, texts))], "region bigint, node bigint, text string").repartition(3)
+    sizes = rows.groupBy("region").agg(F.count("*").alias("nodes"), F.lit(30).alias("shingles"))
+    links = forest._large_links(rows, sizes, at_once, share_nodes, 10, leader_shingles).collect()
+    assert reachable(len(texts), [(r["u"], r["v"]) for r in links]) == root
+    assert all(r["v"] == root[r["u"]] for r in links)
+
+
+def test_leaders_stay_over_batches():
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    rows = []
+    for region, salt in ((1, 0), (1, 1), (2, 0)):
+        rows += [(region, salt, 0, k, k, list(range(10 * k, 10 * k + 12))) for k in (1, 2)]
+        rows += [(region, salt, 1, 10 * k + c, c, sorted(rng.sample(range(10 * k, 10 * k + 12), 11))) for k in (1, 2) for c in (1, 2, 3 + salt, 5)]
+    names = ["region", "salt", "member", "node", "component", "numbers"]
+    table = pa.RecordBatch.from_pylist([dict(zip(names, (*r[:5], np.array(r[5], "<u8").tobytes()))) for r in rows])
+    for size in (1, 4, 50):
+        found = [b for k in range(0, len(rows), size) for b in [table.slice(k, size)]]
+        links = {(u, v) for out in forest._against(iter(found)) for u, v in zip(*[c.to_pylist() for c in out.columns])}
+        assert links == {(1, 2), (2, 1), (1, 3), (1, 4), (1, 5), (2, 3), (2, 4), (2, 5)}
+
+
 def test_alike_rows_equal_brute_force():
     rng = np.random.default_rng(4)
     for n in [*range(1, 12), 60]:
