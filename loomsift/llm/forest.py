@@ -415,10 +415,13 @@ def row_groups(rows: DataFrame, region_nodes: int = REGION_NODES, region_shingle
     small = (F.col("nodes") <= region_nodes) & (F.col("shingles") <= region_shingles)
     wanted = sized.join(sizes.withColumn("small", small), "region").select("node", "region", "small")
     texts = rows.select(F.col("row").alias("node"), "text").join(wanted, "node")
+    large = sizes.filter(~small)
+    any_large = not large.isEmpty()
+    if any_large:
+        texts = stored(texts, "texts")  # it is read twice, and the join shuffles the texts that are in no region too
     grouped = texts.filter("small").select("region", "node", "text").repartition("region").sortWithinPartitions("region", "node")
     links = mapped(grouped, _solved, LINKS)
-    large = sizes.filter(~small)
-    if not large.isEmpty():
+    if any_large:
         links = stored(links, "links").unionAll(_large_links(texts.filter(~F.col("small")), large))
     linked = components(links)
     done = own.select("members", "ids", "n_shingles", F.col("first").alias("node")).join(linked, "node", "left")

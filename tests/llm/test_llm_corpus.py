@@ -124,6 +124,14 @@ def region_texts(rng, families, size):
     return texts
 
 
+def test_near_groups_in_large_regions_equal_brute_force(spark):
+    texts = region_texts(random.Random(4), 6, 5) + ["alone " * 9, ""]
+    _, root = plain_classes(texts)
+    assert 6 < len(set(root)) < 20
+    rows = forest.near_groups(docs_of(spark, texts).repartition(3), region_shingles=200).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == dict(enumerate(root))
+
+
 def test_first_of_each_group_in_large_regions(spark):
     texts = region_texts(random.Random(5), 4, 4)
     _, root = plain_classes(texts)
@@ -133,10 +141,10 @@ def test_first_of_each_group_in_large_regions(spark):
     assert sorted((r["doc_id"], r["text"], r["lang"]) for r in kept.collect()) == [(k, texts[k], "en") for k in sorted(set(root))]
 
 
-@pytest.mark.parametrize("at_once, share_nodes, leader_shingles", [(1, 1000, 1 << 40), (16, 7, 1 << 40), (64, 5, 300)])
+@pytest.mark.parametrize("at_once, share_nodes, leader_shingles", [(16, 1000, 1 << 40), (64, 5, 600)])
 def test_large_links_in_rounds_equal_brute_force(spark, at_once, share_nodes, leader_shingles):
     rng = random.Random(6)
-    parts = [region_texts(rng, 5, 3), region_texts(rng, 2, 4), [f"a b c d e f g h i {k}" for k in range(5)]]
+    parts = [region_texts(rng, 3, 3), region_texts(rng, 2, 2), [f"a b c d e f g h i {k}" for k in range(5)]]
     texts, regions = [t for part in parts for t in part], [k for k, part in enumerate(parts) for _ in part]
     sets, root = plain_classes(texts)
     rows = spark.createDataFrame([(r, k, t) for k, (r, t) in enumerate(zip(regions, texts))], "region bigint, node bigint, text string").repartition(3)
