@@ -57,7 +57,8 @@ def with_previous(df: DataFrame, order: list[str], values: list[str], out: str =
     near = F.lag("_last").over(W.partitionBy("_part").orderBy("_block"))
     starts = lasts.withColumn("_near", near).join(ends, "_part").select("_block", F.coalesce("_near", "_end").alias("_start"))
     inside = F.lag(row).over(W.partitionBy("_block").orderBy("_at"))
-    return placed.withColumn("_inside", inside).join(starts, "_block").select(*df.columns, F.coalesce("_inside", "_start").alias(out))
+    found = placed.withColumn("_inside", inside).join(starts, "_block", "left")  # each block has a start; an inner join may be dealt as the starts are, by whole partitions
+    return found.select(*df.columns, F.coalesce("_inside", "_start").alias(out))
 
 
 def with_global_rank(df: DataFrame, *order: Column) -> tuple[DataFrame, int]:
